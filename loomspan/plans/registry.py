@@ -1,0 +1,4 @@
+"""Queries over the driver's tables, and their SQL."""
+
+QUERIES: dict = {}
+SQL: dict = {}
