@@ -1,7 +1,7 @@
 """Queries of this subpackage and their SQL."""
 
-from loomspan.llm import decontaminate, gif, html_extract, url_filter
+from loomspan.llm import class_lm, decontaminate, gif, html_extract, packing, url_filter
 
-MODULES = (decontaminate, html_extract, url_filter, gif)
+MODULES = (decontaminate, html_extract, class_lm, url_filter, packing, gif)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
