@@ -8,11 +8,13 @@ from the bound on differences for its own size, in one order that all sets share
 partitions that hold nothing but very frequent shingles come last, which keeps
 passages common to many documents out of the signatures and loses no pair.
 
-Sets that share a signature are candidates. They are not paired all with all: each is
-compared with one set of its bucket first, linked sets become one component, and later
-rounds compare only sets of different components, until no bucket holds a pair of
-different components that was not compared. An upper bound on the intersection (from
-counts of shingles by hash range) and then the exact intersection decide each pair.
+Sets that share enough signatures are candidates. They are not paired all with all:
+each set goes to the cluster of the head with which it shares most signatures. In a
+cluster, cut into blocks of bounded size, sets of different components are compared and
+linked sets become one component at once; then buckets give the pairs of different
+clusters and components, until none is left that was not compared. An upper bound on
+the intersection (from counts of shingles by hash range) and then the exact
+intersection decide each pair.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ WORDS = 5
 FINE = 64
 #: Very frequent shingles that are put last in the order: at least so many documents, at most so many shingles.
 FREQUENT, FREQUENT_MOST = 300, 100_000
+#: Bytes of shingles in a block of a cluster.
+BLOCK = 4 << 20
 #: Largest bitmap of candidates, in bits.
 BITMAP = 1 << 27
 
@@ -85,6 +89,11 @@ def differences(size: int, band: int, fine: bool) -> int:
     return (size + most) // 7
 
 
+def surplus(band: int) -> int:
+    """How many signatures a linked pair of the band shares at least: sets enumerate so many beyond the possible differences."""
+    return 1 if band < 3 else 2 if band < 4 else 4 if band < 5 else 6 if band < 7 else 16
+
+
 def parts(h: np.ndarray, band: int, fine: bool, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of a set's non-empty partitions in the common order: plain ones first, then those of frequent shingles alone."""
     common = np.isin(h, frequent, assume_unique=True) if len(frequent) else np.zeros(len(h), bool)
@@ -107,19 +116,22 @@ def signatures(h: np.ndarray, fine_bands: frozenset = frozenset(), frequent: np.
     for band in bands(len(h)):
         fine = 1 << band < FINE or band in fine_bands
         content, common = parts(h, band, fine, frequent)
-        n = differences(len(h), band, fine) + 1
+        n = differences(len(h), band, fine) + surplus(band)
         plain = content[~common]
         out.append(plain[:n] if len(plain) >= n else np.concatenate((plain, content[common][: n - len(plain)])))
     return np.concatenate(out)
 
 
 def weak_bands(h: np.ndarray) -> list[int]:
-    """Bands in which too few of a set's partitions are non-empty for the guarantee; there every shingle becomes a partition."""
+    """Bands in which too few of a set's partitions are non-empty for the guarantee; there every shingle becomes a partition.
+
+    Among single shingles the surplus always remains: a set loses at most a quarter of them.
+    """
     out = []
     for band in bands(len(h)):
         if 1 << band >= FINE:
             p = h >> np.uint64(64 - band)
-            if 1 + int((p[1:] != p[:-1]).sum()) <= differences(len(h), band, False):
+            if 1 + int((p[1:] != p[:-1]).sum()) < differences(len(h), band, False) + surplus(band):
                 out.append(band)
     return out
 
@@ -212,7 +224,19 @@ def shared(rows: DataFrame) -> DataFrame:
         many[:-1] |= same
         yield pa.RecordBatch.from_arrays([pa.array(token[many]), pa.array(sid[many])], ["token", "sid"])
 
-    return rows.repartition("token").mapInArrow(run, "token long, sid long")
+    return rows.select("token", "sid").repartition("token").mapInArrow(run, "token long, sid long")
+
+
+def prune(buckets: DataFrame, sizes: DataFrame, rounds: int = 2) -> DataFrame:
+    """Rows of the sets that share as many signatures with others as a linked set must."""
+    need = F.when(F.col("n") < 8, surplus(0))
+    for band in range(3, 8):
+        need = need.when(F.col("n") < 2 << band, surplus(band))
+    need = need.otherwise(surplus(8))
+    for _ in range(rounds):
+        enough = buckets.groupBy("sid").agg(F.count("*").alias("c")).join(sizes, "sid").where(F.col("c") >= need).select("sid")
+        buckets = scratch.materialize(shared(buckets.join(enough, "sid")), "buckets")
+    return buckets
 
 
 def candidate_sets(docs: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -281,35 +305,80 @@ def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
+def best_heads(buckets: DataFrame, sized: DataFrame) -> DataFrame:
+    """For each set one head of its buckets, of a size that allows a link: the one with which it shares most buckets.
 
-def first_partners(buckets: DataFrame, sizes: DataFrame) -> DataFrame:
-    """For each set the one least set of its buckets, of a size that allows a link, with which it shares most buckets."""
-    sized = buckets.join(sizes, "sid")
-    heads = sized.groupBy("token").agg(F.min(F.struct("sid", "n")).alias("head"))
-    pairs = sized.join(heads, "token").where("sid <> head.sid AND 4 * least(n, head.n) >= 3 * greatest(n, head.n)")
+    sized: sid, n, rank. A bucket's head is its set of highest rank, the share of the
+    set's signatures that others have too: the text of which the others are copies.
+    """
+    ranked = buckets.join(sized, "sid")
+    heads = ranked.groupBy("token").agg(F.max(F.struct("rank", "sid", "n")).alias("head"))
+    pairs = ranked.join(heads, "token").where("sid <> head.sid AND 4 * least(n, head.n) >= 3 * greatest(n, head.n)")
     pairs = pairs.groupBy("sid", F.col("head.sid").alias("b")).agg(F.count("*").alias("c"))
-    best = pairs.groupBy("sid").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b"))
-    return _ordered(best.select(F.col("sid").alias("a"), "b"))
+    best = pairs.groupBy("sid").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+    return best.select("sid", F.col("b").alias("head"))
+
+
+def _links_within(table: pa.Table) -> pa.Table:
+    """Links (a, b) that join what was not joined, among the sets of one block or of two."""
+    sid = table.column("sid").to_numpy()
+    order = np.lexsort((sid, -table.column("rank").to_numpy()))
+    h = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("h")]
+    sid, h = sid[order], [h[i] for i in order]
+    side = table.column("block").to_numpy()[order]
+    two = len(set(side.tolist())) > 1
+    n = np.array([len(x) for x in h])
+    bits = min(10, max(4, int(n.max()).bit_length()))
+    counts = np.stack([np.bincount((x >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) for x in h]).astype(np.int32)
+    comp = np.arange(len(h))
+    out: list[tuple[int, int]] = []
+    for i in range(len(h)):
+        later = np.arange(i + 1, len(h))
+        later = later[(comp[later] != comp[i]) & (4 * np.minimum(n[later], n[i]) >= 3 * np.maximum(n[later], n[i]))]
+        if two:
+            later = later[side[later] != side[i]]  # a block's own pairs are another group's
+        for part in (later[k : k + 512] for k in range(0, len(later), 512)):
+            bound = np.minimum(counts[part], counts[i]).sum(1)
+            for j in part[7 * bound >= 3 * (n[part] + n[i])].tolist():
+                if comp[j] == comp[i]:
+                    continue
+                at = np.searchsorted(h[i], h[j])
+                at[at == len(h[i])] = 0
+                if linked(len(h[i]), len(h[j]), int((h[i][at] == h[j]).sum())):
+                    out.append((int(sid[i]), int(sid[j])))
+                    comp[comp == comp[j]] = comp[i]
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
+def cluster_links(sized: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links within clusters; with them the linked sets of each cluster are connected, though not all of their links are there.
+
+    sized: sid, n, rank, head. A cluster beyond a block's size is cut into blocks by
+    hash, and every two of them meet in a group of their own.
+    """
+    blocks = sized.groupBy("head").agg(F.count("*").alias("members"), F.ceil(F.sum(8 * F.col("n")) / BLOCK).cast("int").alias("blocks")).where("members > 1")
+    rows = sized.join(blocks, "head").withColumn("block", F.expr("cast(pmod(xxhash64(sid), blocks) as int)"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("head", "sid", "rank", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    rows = rows.join(sets, "sid")
+    return rows.groupBy("head", "low", "high").applyInArrow(_links_within, "a long, b long")
 
 
 def cross_pairs(rows: DataFrame, everyone: bool) -> DataFrame:
-    """Pairs (a, b) of one bucket but different components, of sizes that allow a link.
+    """Pairs (a, b) of one bucket but different components and clusters, of sizes that allow a link.
 
-    rows: token, sid, n, comp. With `everyone` all such pairs, else each set with the
-    least set of each other component. Each task sorts its share of the buckets and
+    rows: token, sid, n, comp, rank, head. With `everyone` all such pairs, else each set with
+    the set of highest rank of each other component. Each task sorts its share of the buckets and
     leaves out pairs that it gave before.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [np.stack([b.column(i).to_numpy() for i in range(4)]) for b in batches]
+        table = [np.stack([b.column(i).to_numpy() for i in range(6)]) for b in batches]
         if not table:
             return
-        token, sid, n, comp = np.concatenate(table, axis=1)
-        order = np.lexsort((sid, comp, token))
-        token, sid, n, comp = token[order], sid[order], n[order], comp[order]
+        token, sid, n, comp, rank, head = np.concatenate(table, axis=1)
+        order = np.lexsort((sid, -rank, comp, token))
+        token, sid, n, comp, head = token[order], sid[order], n[order], comp[order], head[order]
         edges = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
         given: set[tuple[int, int]] = set()
         out: list[tuple[int, int]] = []
@@ -319,7 +388,7 @@ def cross_pairs(rows: DataFrame, everyone: bool) -> DataFrame:
             heads = s + np.flatnonzero(np.concatenate(([True], comp[s + 1 : e] != comp[s : e - 1])))
             for i in range(s, e):
                 others = np.arange(i + 1, e) if everyone else heads
-                others = others[(comp[others] != comp[i]) & (4 * np.minimum(n[others], n[i]) >= 3 * np.maximum(n[others], n[i]))]
+                others = others[(comp[others] != comp[i]) & (head[others] != head[i]) & (4 * np.minimum(n[others], n[i]) >= 3 * np.maximum(n[others], n[i]))]
                 x = int(sid[i])
                 for y in sid[others].tolist():
                     pair = (x, y) if x < y else (y, x)
@@ -333,7 +402,13 @@ def cross_pairs(rows: DataFrame, everyone: bool) -> DataFrame:
                 given.clear()
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
-    return rows.select("token", "sid", "n", "comp").repartition("token").mapInArrow(run, "a long, b long")
+    return rows.select("token", "sid", "n", "comp", "rank", "head").repartition("token").mapInArrow(run, "a long, b long")
+
+
+def _with_heads(sized: DataFrame) -> DataFrame:
+    """Every head is a member of its own cluster too, besides the cluster of its own head."""
+    heads = sized.select("head").distinct().join(sized.select(F.col("sid").alias("head"), F.col("sid"), "n", "rank"), "head")
+    return sized.unionByName(heads.select("sid", "n", "rank", "head")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -361,27 +436,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not classes.where("low <> high").isEmpty():
         raise RuntimeError("two shingle sets share a digest")
     buckets = scratch.materialize(shared(signature_rows(docs, fine_bands, frequent)), "buckets")
-    sets = scratch.materialize(candidate_sets(docs, buckets), "sets", "none")
     sizes = classes.select("sid", "n")
+    buckets = prune(buckets, sizes)
+    sets = scratch.materialize(candidate_sets(docs, buckets), "sets", "none")
+    degrees = buckets.groupBy("sid").agg(F.count("*").alias("c"))
+    sized = degrees.join(sizes, "sid").select("sid", "n", F.expr("c * 1000000 div n").alias("rank"))
+    sized = scratch.materialize(sized.join(best_heads(buckets, sized), "sid", "left").withColumn("head", F.coalesce("head", "sid")), "sized")
+    links = scratch.materialize(cluster_links(_with_heads(sized), sets), "links")
     compared: DataFrame | None = None
-    links: DataFrame | None = None
-    comps: DataFrame | None = None
-    for step in ("first", "heads", "all"):
-        if step == "first":
-            pairs = first_partners(buckets, sizes)
-        else:
-            member = buckets.join(sizes, "sid").join(comps.select(F.col("node").alias("sid"), "component"), "sid", "left")
-            member = member.select("token", "sid", "n", F.coalesce("component", "sid").alias("comp"))
-            mixed = member.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-            pairs = cross_pairs(member.join(mixed, "token"), step == "all")
-        pairs = pairs.distinct()
+    for everyone in (False, True):
+        comps = connected(links)
+        member = buckets.join(sized, "sid").join(comps.select(F.col("node").alias("sid"), "component"), "sid", "left")
+        member = member.select("token", "sid", "n", "rank", "head", F.coalesce("component", "sid").alias("comp"))
+        mixed = member.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
+        pairs = cross_pairs(member.join(mixed, "token"), everyone).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = scratch.materialize(pairs, "pairs")
-        found = scratch.materialize(verify(scratch.materialize(plausible(pairs, classes), "plausible"), sets), "found")
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        comps = connected(links)
+        compared = scratch.materialize(pairs, "pairs")
+        found = scratch.materialize(verify(scratch.materialize(plausible(compared, classes), "plausible"), sets), "found")
+        links = links.unionByName(found)
+    comps = connected(links)
     named = classes.select("sid", "rep").join(comps.select(F.col("node").alias("sid"), "component"), "sid")
     heads = named.groupBy("component").agg(F.min("rep").alias("head"))
     named = named.join(heads, "component").select("sid", "head")

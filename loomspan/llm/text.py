@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 #: A-Z to a-z, all other bytes as they are. bytes.split() then cuts at 0x20 and 0x09-0x0D alone.
@@ -25,8 +26,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        sizes = batch.column(column).cast(pa.binary())
-        ends = np.cumsum([len(x) if x is not None else 0 for x in sizes.to_pylist()])
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start, base = 0, 0
         while start < batch.num_rows:
             stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
