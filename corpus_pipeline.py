@@ -1,10 +1,58 @@
-"""The corpus pipeline: quality, near duplicates, decontamination, packing."""
+"""The corpus pipeline: quality, near duplicates, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns what it keeps; its result is written
+as Parquet and read again as the next stage's docs. All but the last stage return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspan import scratch
+from loomspan.llm import decontaminate, jaccard_join, packing, quality
+
+
+def _without(docs: DataFrame, gone: DataFrame, label: str) -> DataFrame:
+    """The documents whose id is not in `gone`; its ids are written first, so that their size decides on a broadcast."""
+    gone = scratch.materialize(gone.select(F.col("doc_id").alias("gone")).distinct(), label)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the classifier rejects."""
+    return quality.keep_accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep of each component of near duplicates the document with the least id."""
+    return _without(docs, jaccard_join.near_duplicates(docs).where("NOT doc_id <=> component_id"), "copies")
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents in which a window of a test item occurs."""
+    found = decontaminate.find_windows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.where(F.size("spans") > 0), "contaminated")
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the documents' tokens into sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("best-fit packing", best_fit_packing),
+]
+#: SQL cannot express the classifier or the packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,7 +1,7 @@
 """Queries of this subpackage and their SQL."""
 
-from loomspan.llm import class_lm, decontaminate, gif, html_extract, jaccard_join, packing, url_filter
+from loomspan.llm import class_lm, decontaminate, gif, html_extract, jaccard_join, packing, quality, sharding, token_counts, url_filter
 
-MODULES = (decontaminate, html_extract, class_lm, url_filter, jaccard_join, packing, gif)
+MODULES = (decontaminate, html_extract, class_lm, sharding, url_filter, token_counts, quality, jaccard_join, packing, gif)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
