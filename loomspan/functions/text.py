@@ -1,0 +1,163 @@
+"""Scalar text expressions: URLs, HTML, quality, identifiers. All are Catalyst columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Endings and hosts of links that are not read, and hints of scholarly links.
+BINARY_ENDINGS = (".jpg", ".jpeg", ".png", ".gif", ".webp", ".svg", ".mp3", ".mp4", ".zip", ".gz", ".tar", ".exe")
+SCHOLARLY_HINTS = ("arxiv.org", "doi.org", "biorxiv", "pubmed", "ncbi.nlm.nih.gov", "nature.com", "sciencedirect", "springer", "jstor")
+USABLE_LENGTH = 50
+
+
+def strip(c: Column) -> Column:
+    """Without white space of any script at the ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def usable(c: Column) -> Column:
+    return F.length(strip(c)) >= USABLE_LENGTH
+
+
+def damaged_chars(c: Column) -> Column:
+    """Control characters other than tab and line ends, and replacement characters."""
+    return F.length(c) - F.length(F.regexp_replace(c, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F\\uFFFD]", ""))
+
+
+def unreadable(c: Column) -> Column:
+    bad = damaged_chars(c)
+    return (bad >= 32) & (bad > 0.01 * F.length(c))
+
+
+def without_controls(c: Column) -> Column:
+    return F.regexp_replace(c, "[\\x00-\\x08\\x0B-\\x1F\\x7F]", "")
+
+
+def trim_link(c: Column) -> Column:
+    """Drop trailing punctuation and unbalanced closing brackets until nothing changes."""
+
+    def unbalanced(u: Column, opening: str, closing: str) -> Column:
+        count = lambda ch: F.length(u) - F.length(F.replace(u, F.lit(ch), F.lit("")))
+        return u.endswith(closing) & (count(closing) > count(opening))
+
+    def once(u: Column) -> Column:
+        u = F.regexp_replace(u, "[.,;:!?\"'>]+$", "")
+        return F.when(unbalanced(u, "(", ")") | unbalanced(u, "[", "]"), F.substring(u, F.lit(1), F.length(u) - 1)).otherwise(u)
+
+    return F.aggregate(F.sequence(F.lit(0), F.length(c)), c, lambda u, _: once(u))
+
+
+def links(c: Column) -> Column:
+    """Distinct links of a text in order of appearance."""
+    found = F.regexp_extract_all(c, F.lit(r"(?iU)(https?://[^\s<>\"'`]+)"), F.lit(1))
+    return F.array_distinct(F.filter(F.transform(found, trim_link), lambda u: F.length(u) > 0))
+
+
+def netloc(url: Column) -> Column:
+    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+
+
+def url_path(url: Column) -> Column:
+    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+
+
+def is_scholarly(url: Column) -> Column:
+    low = F.lower(url)
+    out = low.endswith(".pdf")
+    for hint in SCHOLARLY_HINTS:
+        out = out | low.contains(hint)
+    return out
+
+
+def is_binary(url: Column) -> Column:
+    path = F.lower(url_path(url))
+    out = F.lit(False)
+    for ending in BINARY_ENDINGS:
+        out = out | path.endswith(ending)
+    return out
+
+
+def on_host(url: Column, host: str) -> Column:
+    at = F.lower(netloc(url))
+    return (at == host) | at.endswith("." + host)
+
+
+def title_from_url(url: Column) -> Column:
+    last = F.regexp_extract(F.regexp_replace(url_path(url), "/+$", ""), "([^/]*)$", 1)
+    name = F.when(F.length(last) > 0, last).otherwise(netloc(url))
+    return F.regexp_replace(F.regexp_replace(name, r"\.[A-Za-z0-9]{1,5}$", ""), "[-_]", " ")
+
+
+def truncated(c: Column, most: int) -> Column:
+    """At most `most` characters, cut at a space and marked."""
+    c = strip(c)
+    cut = F.regexp_replace(F.substring(c, 1, most), " [^ ]*$", "")
+    return F.when(F.length(c) > most, F.concat(cut, F.lit(" …[truncated]"))).otherwise(c)
+
+
+def html_title(html: Column) -> Column:
+    return F.regexp_extract(html, r"(?is)<title[^>]*>([^<]*)</title>", 1)
+
+
+def html_text(html: Column) -> Column:
+    """Text of a page by patterns alone, entities as they stand."""
+    c = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<noscript\b.*?</noscript>|<template\b.*?</template>|<!--.*?-->", " ")
+    c = F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]*>", " "), r"[ \t\r\f\x0B]+", " ")
+    c = F.regexp_replace(F.regexp_replace(c, r" ?\n ?", "\n"), r"\n{3,}", "\n\n")
+    return F.regexp_replace(c, r"^[ \n]+|[ \n]+$", "")
+
+
+def first_heading(c: Column, fallback: Column) -> Column:
+    found = strip(F.regexp_extract(c, r"(?m)^[ \t]*#+[ \t]*([^\n]*)$", 1))
+    return F.when(F.length(found) > 0, found).otherwise(fallback)
+
+
+def human_size(c: Column) -> Column:
+    return (
+        F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B")))
+        .when(c < 1 << 20, F.concat(F.format_string("%.1f", c / 1024), F.lit(" KB")))
+        .when(c < 1 << 30, F.concat(F.format_string("%.1f", c / (1 << 20)), F.lit(" MB")))
+        .otherwise(F.concat(F.format_string("%.1f", c / (1 << 30)), F.lit(" GB")))
+    )
+
+
+def markdown_label(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, r"([\\\[\]])", r"\\$1"), r"[\r\n]+", " ")
+
+
+def unfenced(c: Column) -> Column:
+    """A document without the code fence that wraps it whole."""
+    inner = F.regexp_extract(strip(c), r"(?s)^(?:[^\n`]*\n)?```[a-z]*\n(.*?)\n?```$", 1)
+    return F.when(inner.startswith("#"), inner).otherwise(F.regexp_replace(F.regexp_replace(strip(c), r"^```[a-z]*\n", ""), r"\n```$", ""))
+
+
+def auto_linked(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?<![\w/.])www\.", "https://www.")
+
+
+def path_key(path: Column) -> Column:
+    """Percent-encoded path that keeps slashes."""
+    out = F.url_encode(path)
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def output_path(digest: Column, stem: Column) -> Column:
+    name = F.substring(F.regexp_replace(stem, r"[^A-Za-z0-9._-]+", "-"), 1, 80)
+    return F.concat(F.substring(digest, 1, 2), F.lit("/"), name, F.lit("-"), digest, F.lit(".md"))
+
+
+def remote_name(key: Column, digest: Column, suffix: Column) -> Column:
+    return F.concat(F.substring(F.sha2(key, 256), 1, 16), F.lit("-"), F.substring(digest, 1, 16), suffix)
+
+
+def revision(recipe: str, digest: Column) -> Column:
+    """Identity of derived data: any change of recipe or content makes another."""
+    return F.sha2(F.concat(F.lit(recipe), digest), 256)
+
+
+def token_count(c: Column) -> Column:
+    """Words and single marks, the default tokens of the offline tokenizer."""
+    return F.size(F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"), F.lit(1)))
