@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +22,19 @@ def ledger_usage(requests: DataFrame) -> DataFrame:
 def admit(requests: DataFrame, limit: int) -> DataFrame:
     """(account, seq, amount, admitted): in order of seq, a request is admitted if it fits the account's limit; a refused one takes nothing."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, spent, out = pdf.sort_values("seq", kind="stable"), 0, []
-        for x in pdf.amount:
-            out.append(spent + x <= limit)
-            spent += x if out[-1] else 0
-        return pdf.assign(admitted=out)[["account", "seq", "amount", "admitted"]]
-
-    return requests.select("account", "seq", "amount").groupBy("account").applyInPandas(run, "account long, seq long, amount long, admitted boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        account, spent = None, 0  # carried from batch to batch: a partition is sorted, no account is gathered
+        for batch in batches:
+            out = []
+            for a, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if a != account:
+                    account, spent = a, 0
+                out.append(spent + x <= limit)
+                spent += x if out[-1] else 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], ["account", "seq", "amount", "admitted"])
+
+    rows = requests.select("account", "seq", "amount").repartition("account").sortWithinPartitions("account", "seq")
+    return rows.mapInArrow(run, "account long, seq long, amount long, admitted boolean")
 
 
 def storage_cost(size: Column, days: int, searches: int) -> Column:

@@ -70,12 +70,12 @@ def keyword_scores(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float
     words = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
     held = docs.select("doc_id", F.filter(words, lambda w: F.length(w) > 0).alias("w"))
     held = held.select("doc_id", F.size("w").alias("n"), *(F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"t{i}") for i, t in enumerate(terms)))
-    total = held.agg(F.count("*").alias("N"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"t{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
+    total = held.agg(F.count("*").alias("total"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"t{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     both = held.crossJoin(F.broadcast(total))  # one row
     score = F.lit(0.0)
     for i in range(len(terms)):
         tf, df = F.col(f"t{i}"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("N") - df + 0.5) / (df + 0.5))
+        idf = F.log(1 + (F.col("total") - df + 0.5) / (df + 0.5))
         score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n") / F.col("mean")))
     return both.select("doc_id", score.alias("score")).where("score > 0")
 

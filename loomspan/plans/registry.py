@@ -1,4 +1,377 @@
-"""Queries over the driver's tables, and their SQL."""
+"""Queries over the driver's tables, and their SQL. Each key is both a query and, if SQL can say it, its twin."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspan.functions import calendar as cal
+from loomspan.functions import text as tx
+from loomspan.operators import chunking, context, manifests, metrics, retrieval
+from loomspan.streaming import watch
 
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _vector(spark: SparkSession, sf_dir: str, key: int = 0) -> list[float]:
+    """The stated query vector: one row."""
+    return [float(x) for x in table(spark, sf_dir, "embeddings").where(F.col("vec_id") == key).first().embedding]
+
+
+_DIST = "1 - list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))))"
+
+
+@query(f"""WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), d AS (SELECT vec_id, label AS paper, {_DIST} AS x FROM embeddings e, q),
+ c AS (SELECT * FROM d ORDER BY x, vec_id LIMIT 40), r AS (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY x, vec_id) AS n FROM c)
+ SELECT vec_id, paper, round(x, 5) + 0.0 AS distance FROM r WHERE n <= 2 ORDER BY x, vec_id LIMIT 8""")
+def retrieve_capped(spark, d):
+    near = retrieval.distances(table(spark, d, "embeddings"), _vector(spark, d)).select("vec_id", F.col("label").alias("paper"), "distance")
+    return retrieval.retrieve(near, 8).select("vec_id", "paper", (F.round("distance", 5) + F.lit(0.0)).alias("distance"))
+
+
+@query("""WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0)
+ SELECT vec_id, round(list_sum(list_transform(list_zip(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 5) AS distance
+ FROM embeddings e, q ORDER BY list_sum(list_transform(list_zip(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), vec_id LIMIT 100""")
+def knn_l2(spark, d):
+    near = retrieval.distances(table(spark, d, "embeddings"), _vector(spark, d), "l2")
+    return near.orderBy("distance", "vec_id").limit(100).select("vec_id", F.round("distance", 5).alias("distance"))
+
+
+@query(f"""SELECT query_id, vec_id, rank, round(x, 5) + 0.0 AS distance FROM (SELECT q.vec_id AS query_id, e.vec_id AS vec_id, {_DIST} AS x,
+ row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id < 16) WHERE rank <= 5""")
+def knn_cosine_batch(spark, d):
+    vectors = table(spark, d, "embeddings")
+    queries = [(r.vec_id, list(r.embedding)) for r in vectors.where("vec_id < 16").orderBy("vec_id").collect()]  # the stated query set
+    return retrieval.batch_top_k(vectors, queries, 5).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), (F.round("distance", 5) + F.lit(0.0)).alias("distance"))
+
+
+_NETLOC = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
+_PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+
+
+@query(f"""WITH a AS (SELECT page_id, {_NETLOC} AS netloc, {_PATH} AS path FROM pages),
+ b AS (SELECT *, regexp_extract(regexp_replace(path, '/+$', ''), '([^/]*)$', 1) AS tail FROM a)
+ SELECT page_id, netloc, path, regexp_replace(regexp_replace(CASE WHEN length(tail) > 0 THEN tail ELSE netloc END, '\\.[A-Za-z0-9]{{1,5}}$', ''), '[-_]', ' ', 'g') AS title FROM b""")
+def url_parts(spark, d):
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", tx.netloc(u).alias("netloc"), tx.url_path(u).alias("path"), tx.title_from_url(u).alias("title"))
+
+
+_SCHOLARLY = " OR ".join(["suffix(lower(url), '.pdf')", *(f"contains(lower(url), '{h}')" for h in tx.SCHOLARLY_HINTS)])
+_BINARY = " OR ".join(f"suffix(lower({_PATH}), '{e}')" for e in tx.BINARY_ENDINGS)
+
+
+@query(f"""SELECT page_id, ({_SCHOLARLY}) AS scholarly, ({_BINARY}) AS is_binary, (lower({_NETLOC}) = 'example.net' OR suffix(lower({_NETLOC}), '.example.net')) AS skipped FROM pages""")
+def url_class(spark, d):
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", tx.is_scholarly(u).alias("scholarly"), tx.is_binary(u).alias("is_binary"), tx.on_host(u, "example.net").alias("skipped"))
+
+
+@query("""WITH t AS (SELECT page_id, 'see (' || url || '), or ' || url || '. Also <' || url || '>' AS text, url FROM pages)
+ SELECT page_id, 1 AS n_links, url AS first_link FROM t""")
+def url_extract(spark, d):
+    u = F.col("url")
+    found = table(spark, d, "pages").select("page_id", tx.links(F.concat(F.lit("see ("), u, F.lit("), or "), u, F.lit(". Also <"), u, F.lit(">"))).alias("x"))
+    return found.select("page_id", F.size("x").alias("n_links"), F.element_at("x", 1).alias("first_link"))
+
+
+@query("SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1) AS title FROM pages")
+def html_title(spark, d):
+    return table(spark, d, "pages").select("page_id", tx.html_title(F.col("html")).alias("title"))
+
+
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<noscript\b.*?</noscript>|<template\b.*?</template>|<!--.*?-->', ' ', 'g') AS c FROM pages),
+ b AS (SELECT page_id, regexp_replace(regexp_replace(c, '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\f\x0B]+', ' ', 'g') AS c FROM a),
+ e AS (SELECT page_id, regexp_replace(regexp_replace(c, ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS c FROM b)
+ SELECT page_id, regexp_replace(c, '^[ \n]+|[ \n]+$', '', 'g') AS body FROM e""")
+def html_text(spark, d):
+    return table(spark, d, "pages").select("page_id", tx.html_text(F.col("html")).alias("body"))
+
+
+@query(r"""SELECT doc_id, length(text) AS n_chars, (x >= 32 AND x > 0.01 * length(text)) AS unreadable, length(s) >= 50 AS usable
+ FROM (SELECT doc_id, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s, length(text) - length(regexp_replace(text, '[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}\x{FFFD}]', '', 'g')) AS x FROM documents)""")
+def unreadable_text(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.length(t).cast("long").alias("n_chars"), tx.unreadable(t).alias("unreadable"), tx.usable(t).alias("usable"))
+
+
+@query("SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM documents GROUP BY 1")
+def content_hash_dupes(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    return docs.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+
+
+@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
+ c AS (SELECT doc_id, w, unnest(range(0, CAST(greatest(0, ceil((len(w) - 175) / 155.0)) AS BIGINT) + 1)) AS i FROM w),
+ x AS (SELECT doc_id, i, list_slice(w, i * 155 + 1, i * 155 + 175) AS p FROM c)
+ SELECT doc_id, i AS chunk, i * 155 AS first_token, len(p) AS n_tokens, array_to_string(p, ' ') AS chunk_text FROM x WHERE length(regexp_replace(array_to_string(p, ' '), '\\s', '', 'g')) > 0""")
+def fixed_windows(spark, d):
+    w = chunking.fixed_windows(table(spark, d, "documents"), 175, 20)
+    return w.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("chunk", "first_token", "n_tokens")), "chunk_text")
+
+
+@query("""WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')) AS n FROM documents)
+ SELECT doc_id, n AS tokens, CAST(CASE WHEN n = 0 THEN 0 ELSE 1 + ceil(greatest(0, n - 800) / 700.0) END AS BIGINT) AS windows,
+ CAST(CASE WHEN n = 0 THEN 0 ELSE ceil(n * (n + ceil(greatest(0, n - 800) / 700.0) * 100) / n) + 1 + ceil(greatest(0, n - 800) / 700.0) END AS BIGINT) AS submitted FROM t""")
+def window_counts(spark, d):
+    n = F.col("tokens")
+    docs = table(spark, d, "documents").select("doc_id", tx.token_count(F.col("text")).cast("long").alias("tokens"))
+    return docs.select("doc_id", "tokens", chunking.window_count(n, 800, 100).alias("windows"), chunking.submitted_tokens(n, n, 800, 100).alias("submitted"))
+
+
+@query("""WITH RECURSIVE m AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, text, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')) AS n FROM conversations),
+ p AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY i) AS s FROM m),
+ f(conv_id, i, b, cut_from) AS (SELECT conv_id, 0::BIGINT, 0::BIGINT, NULL::BIGINT FROM p WHERE i = 0
+  UNION ALL SELECT f.conv_id, p.i, CASE WHEN x.full THEN coalesce((SELECT max(j.i) FROM p j WHERE j.conv_id = f.conv_id AND j.i >= f.b AND j.i < p.i AND (p.s - p.n) - (j.s - j.n) >= 12), f.b) ELSE f.b END,
+   CASE WHEN x.full THEN f.b ELSE NULL END
+  FROM f JOIN p ON p.conv_id = f.conv_id AND p.i = f.i + 1 JOIN LATERAL (SELECT p.i > f.b AND p.s - (SELECT k.s - k.n FROM p k WHERE k.conv_id = f.conv_id AND k.i = f.b) > 60 AS full) x ON true),
+ cuts AS (SELECT conv_id, cut_from AS a, i AS e FROM f WHERE cut_from IS NOT NULL
+  UNION ALL SELECT conv_id, arg_max(b, i), max(i) + 1 FROM f GROUP BY conv_id)
+ SELECT c.conv_id AS conv_id, row_number() OVER (PARTITION BY c.conv_id ORDER BY c.e, c.a) - 1 AS chunk, c.a AS first_message, c.e AS end_message,
+  CAST((SELECT sum(n) FROM p WHERE p.conv_id = c.conv_id AND p.i >= c.a AND p.i < c.e) AS BIGINT) AS n_tokens,
+  (SELECT string_agg(text, chr(10) ORDER BY i) FROM p WHERE p.conv_id = c.conv_id AND p.i >= c.a AND p.i < c.e) AS chunk_text FROM cuts c""")
+def message_chunks(spark, d):
+    return chunking.message_chunks(table(spark, d, "conversations"), 60, 12)
+
+
+@query(r"""WITH l AS (SELECT conv_id AS log_id, '12:' || lpad(CAST(turn AS VARCHAR), 2, '0') || ' <' || role || '> ' || replace(text, chr(10), ' ') AS line, turn FROM conversations)
+ SELECT log_id, turn AS line_no, '12:' || lpad(CAST(turn AS VARCHAR), 2, '0') AS ts, regexp_extract(line, '<([^>]*)>', 1) AS nick, regexp_replace(regexp_extract(line, '(?s)^[^<]*<[^>]*>(.*)$', 1), '^\s+|\s+$', '', 'g') AS message
+ FROM (SELECT log_id, line, row_number() OVER (PARTITION BY log_id ORDER BY turn) - 1 AS turn0, turn FROM l)""")
+def lines_parse(spark, d):
+    c = table(spark, d, "conversations")
+    line = F.concat(F.lit("12:"), F.lpad(F.col("turn").cast("string"), 2, "0"), F.lit(" <"), "role", F.lit("> "), F.replace("text", F.lit("\n"), F.lit(" ")))
+    parsed = chunking.parse_lines(c.select(F.col("conv_id").alias("log_id"), "turn", line.alias("raw")).withColumn("log_id", F.struct("log_id", "turn")))
+    return parsed.select(F.col("log_id.log_id").alias("log_id"), F.col("log_id.turn").alias("line_no"), "ts", "nick", "message")
+
+
+@query("SELECT doc_id, lang, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def anti_join_resume(spark, d):
+    return manifests.pending(table(spark, d, "documents"), table(spark, d, "labels"), ["doc_id"]).select("doc_id", "lang", "source")
+
+
+_DAYS = "SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase' OR user_id % 7 = 0"
+
+
+def _days(spark, d) -> DataFrame:
+    return table(spark, d, "events").where("event_type = 'purchase' OR user_id % 7 = 0").select(F.to_date("ts").alias("day")).distinct()
+
+
+@query("""WITH o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_totalprice > 300000)
+ SELECT CAST(day AS VARCHAR) AS day FROM (SELECT CAST(unnest(generate_series((SELECT min(day) FROM o), (SELECT max(day) FROM o), INTERVAL 1 DAY)) AS DATE) AS day) WHERE day NOT IN (SELECT day FROM o)""")
+def missing_days(spark, d):
+    days = table(spark, d, "orders").where("o_totalprice > 300000").select(F.to_date("o_orderdate").alias("day"))
+    return cal.missing_days(days).select(F.col("day").cast("string").alias("day"))
+
+
+@query("""WITH o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), s AS (SELECT min(day) AS a, max(day) AS b FROM o)
+ SELECT 'daily' AS kind, CAST(day AS VARCHAR) AS label FROM o
+ UNION ALL SELECT 'weekly', strftime(x, '%G-W%V') FROM (SELECT unnest(generate_series(date_trunc('week', a), date_trunc('week', b), INTERVAL 7 DAY)) AS x FROM s)
+ UNION ALL SELECT 'monthly', strftime(x, '%Y-%m') FROM (SELECT unnest(generate_series(date_trunc('month', a), date_trunc('month', b), INTERVAL 1 MONTH)) AS x FROM s)""")
+def expected_periods(spark, d):
+    return cal.expected_periods(table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")))
+
+
+@query("""SELECT strftime(ts, '%G-W%V') AS week, CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS monday, count(*) AS n_events, count(DISTINCT CAST(ts AS DATE)) AS n_days, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def week_rollup(spark, d):
+    e = table(spark, d, "events")
+    grouped = e.groupBy(cal.week_label(F.col("ts")).alias("week"), cal.monday_of(F.col("ts")).cast("string").alias("monday"))
+    return grouped.agg(F.count("*").alias("n_events"), F.countDistinct(F.to_date("ts")).alias("n_days"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("""WITH w AS (SELECT DISTINCT CAST(date_trunc('week', o_orderdate) AS DATE) AS a FROM orders)
+ SELECT DISTINCT m AS month, CAST(a AS VARCHAR) AS week_start FROM (SELECT a, unnest([strftime(a, '%Y-%m'), strftime(a + 6, '%Y-%m')]) AS m FROM w)""")
+def month_week_overlap(spark, d):
+    return cal.month_weeks(table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day"))).select("month", F.col("week_start").cast("string").alias("week_start"))
+
+
+@query("""SELECT l_orderkey AS orderkey, count(*) AS n_children, coalesce(max(l_shipdate) > max(o_orderdate) + INTERVAL 60 DAY, true) AS stale
+ FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey""")
+def stale_parents(spark, d):
+    parents = table(spark, d, "orders").select(F.col("o_orderkey").alias("orderkey"), F.expr("o_orderdate + interval 60 days").alias("mtime"))
+    children = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("orderkey"), F.col("l_shipdate").alias("mtime"))
+    return manifests.stale(parents, children, "orderkey")
+
+
+@query("SELECT event_type AS state, count(*) AS n, round(avg(value), 5) AS mean, count(*) FILTER (WHERE value > 50) AS high FROM events GROUP BY 1")
+def state_counts(spark, d):
+    e = table(spark, d, "events")
+    return e.groupBy(F.col("event_type").alias("state")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 5).alias("mean"), F.count_if(F.col("value") > 50).alias("high"))
+
+
+@query("""WITH e AS (SELECT CASE WHEN event_type = 'purchase' THEN 'ready' WHEN event_type = 'click' THEN 'failed' ELSE 'running' END AS state, epoch(ts) AS u FROM events),
+ n AS (SELECT max(u) AS now, min(u) AS started FROM e), w AS (SELECT unnest([5, 15, 60, 120]) AS minutes)
+ SELECT minutes, count(*) FILTER (WHERE u > greatest(now - 60 * minutes, started) AND state IN ('ready', 'failed')) AS attempts,
+ round(count(*) FILTER (WHERE u > greatest(now - 60 * minutes, started) AND state IN ('ready', 'failed')) * 3600.0 / max(now - greatest(now - 60 * minutes, started)), 6) AS per_hour FROM e, n, w GROUP BY minutes""")
+def throughput_windows(spark, d):
+    e = table(spark, d, "events").select(
+        F.when(F.col("event_type") == "purchase", "ready").when(F.col("event_type") == "click", "failed").otherwise("running").alias("state"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
+    )
+    e = e.select("state", (F.col("us") / 1e6).alias("updated"))
+    span = e.agg(F.max("updated").alias("now"), F.min("updated").alias("started"))
+    out = metrics.throughput(e.crossJoin(F.broadcast(span)), F.col("now"), F.col("started"))  # one row
+    return out.select("minutes", "attempts", F.round("per_hour", 6).alias("per_hour"))
+
+
+@query("""SELECT l_suppkey AS account, count(*) AS requests, round(coalesce(sum(CASE WHEN l_linestatus = 'F' THEN l_extendedprice END), 0), 2) AS spent,
+ round(coalesce(sum(CASE WHEN l_linestatus <> 'F' THEN l_extendedprice END), 0), 2) AS reserved, CAST(sum(l_quantity) AS BIGINT) AS tokens FROM lineitem GROUP BY 1""")
+def ledger_usage(spark, d):
+    done = F.col("l_linestatus") == "F"
+    grouped = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("account"))
+    money = lambda c: F.round(F.coalesce(F.sum(F.when(c, F.col("l_extendedprice"))), F.lit(0.0)), 2)
+    return grouped.agg(F.count("*").alias("requests"), money(done).alias("spent"), money(~done).alias("reserved"), F.sum("l_quantity").cast("long").alias("tokens"))
+
+
+@query("""WITH RECURSIVE r AS (SELECT l_orderkey AS account, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS seq, CAST(l_quantity AS BIGINT) AS amount FROM lineitem),
+ f(account, seq, amount, spent, admitted) AS (SELECT account, seq, amount, CASE WHEN amount <= 80 THEN amount ELSE 0 END, amount <= 80 FROM r WHERE seq = 1
+ UNION ALL SELECT r.account, r.seq, r.amount, CASE WHEN f.spent + r.amount <= 80 THEN f.spent + r.amount ELSE f.spent END, f.spent + r.amount <= 80 FROM f JOIN r ON r.account = f.account AND r.seq = f.seq + 1)
+ SELECT account, seq, amount, admitted FROM f""")
+def ledger_admission(spark, d):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("account"), F.row_number().over(order).cast("long").alias("seq"), F.col("l_quantity").cast("long").alias("amount"))
+    return metrics.admit(rows, 80)
+
+
+@query("""WITH s AS (SELECT count(*) AS n, sum(length(text)) AS c FROM documents), a AS (SELECT unnest([1024, 2560, 4096]) AS dimensions), p AS (SELECT unnest([0.01, 0.02]) AS price)
+ SELECT dimensions, CAST(price AS DOUBLE) AS price, round(n * dimensions * 4 / 1073741824.0, 8) AS fp32_gib, round(2 + 2 * (n * dimensions * 4 / 1073741824.0), 8) AS ram_gib, round(c / 1e6 * price, 8) AS cost_usd FROM s, a, p""")
+def cost_projection_grid(spark, d):
+    s = table(spark, d, "documents").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c")).first()
+    grid = metrics.projections(spark, s.n, (1024, 2560, 4096), (0.01, 0.02), s.c or 0)
+    return grid.select("dimensions", "price", *(F.round(c, 8).alias(c) for c in ("fp32_gib", "ram_gib", "cost_usd")))
+
+
+@query("""SELECT conv_id, string_agg('[' || i || '] ' || role || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) AS context
+ FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations) GROUP BY conv_id""")
+def context_block(spark, d):
+    return context.numbered_context(table(spark, d, "conversations"), "conv_id", ["turn"], F.col("role"), F.col("text"))
+
+
+@query("""SELECT conv_id, count(*) AS turns, string_agg('## ' || role || ' ' || turn || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS digest FROM conversations GROUP BY conv_id""")
+def conversation_digest(spark, d):
+    block = F.concat(F.lit("## "), "role", F.lit(" "), F.col("turn").cast("string"), F.lit("\n\n"), "text")
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), context.ordered_join(["turn"], block, "\n\n").alias("digest"))
+
+
+@query("""WITH a AS (SELECT p_partkey AS k, p_size AS size, p_partkey % 5 AS mtime FROM part), b AS (SELECT k, CASE WHEN k % 3 = 0 THEN size // 2 ELSE size END AS has, CASE WHEN k % 7 = 0 THEN mtime + 1 ELSE mtime END AS stamp FROM a WHERE k % 11 <> 0)
+ SELECT a.k AS partkey, CASE WHEN has IS NULL THEN 'missing' WHEN size = has AND mtime = stamp THEN 'complete' WHEN has < size THEN 'partial' ELSE 'outdated' END AS state,
+ CAST(CASE WHEN (size = has AND mtime = stamp) OR has < size THEN has ELSE 0 END AS BIGINT) AS bytes FROM a LEFT JOIN b USING (k)""")
+def transfer_diff(spark, d):
+    a = table(spark, d, "part").select(F.col("p_partkey").alias("partkey"), F.col("p_size").cast("long").alias("size"), (F.col("p_partkey") % 5).alias("mtime"))
+    b = a.where("partkey % 11 <> 0").select("partkey", F.expr("CASE WHEN partkey % 3 = 0 THEN size div 2 ELSE size END").alias("size"), F.expr("CASE WHEN partkey % 7 = 0 THEN mtime + 1 ELSE mtime END").alias("mtime"))
+    return manifests.transfer_state(a, b, "partkey").select("partkey", "state", F.col("bytes").cast("long").alias("bytes"))
+
+
+@query("""SELECT p_partkey AS partkey, CASE WHEN p_partkey % 11 = 0 THEN 'missing' ELSE 'size' END AS problem FROM part WHERE p_partkey % 11 = 0 OR (p_partkey % 3 = 0 AND p_size // 2 <> p_size)""")
+def inventory_problems(spark, d):
+    a = table(spark, d, "part").select(F.col("p_partkey").alias("partkey"), F.col("p_size").cast("long").alias("size"))
+    b = a.where("partkey % 11 <> 0").select("partkey", F.expr("CASE WHEN partkey % 3 = 0 THEN size div 2 ELSE size END").alias("size"))
+    return manifests.inventory_problems(a, b, "partkey")
+
+
+@query("""WITH e AS (SELECT doc_id, CAST(ceil(n_chars / 500.0) AS BIGINT) + CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END AS expected FROM documents WHERE doc_id % 17 <> 0),
+ f AS (SELECT doc_id, CAST(ceil(n_chars / 500.0) AS BIGINT) AS found FROM documents WHERE doc_id % 19 <> 0 AND n_chars > 0)
+ SELECT doc_id, coalesce(expected, 0) AS expected, coalesce(found, 0) AS found,
+ CASE WHEN expected IS NULL THEN 'orphan' WHEN found IS NULL AND expected > 0 THEN 'missing' WHEN coalesce(found, 0) <> expected THEN 'count' ELSE 'ok' END AS problem FROM e FULL JOIN f USING (doc_id)""")
+def integrity_audit(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.ceil(F.col("n_chars") / 500).alias("k"), "n_chars")
+    expected = docs.where("doc_id % 17 <> 0").select("doc_id", F.expr("k + IF(doc_id % 13 = 0, 1, 0)").alias("total"))
+    stored = docs.where("doc_id % 19 <> 0 AND n_chars > 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("chunk"))
+    return manifests.audit(expected, stored, "doc_id")
+
+
+@query("""SELECT source, doc_id, digest, state FROM (SELECT source, doc_id, sha256(text) AS digest, CASE WHEN doc_id % 2 = 0 THEN 'old' ELSE 'new' END AS state,
+ row_number() OVER (PARTITION BY source ORDER BY doc_id % 2 DESC, doc_id DESC) AS n FROM documents) WHERE n = 1""")
+def manifest_upsert(spark, d):
+    docs = table(spark, d, "documents").select("source", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.expr("IF(doc_id % 2 = 0, 'old', 'new')").alias("state"))
+    old, new = (manifests.latest(docs.where(F.col("state") == s), ["source"], [F.desc("doc_id")]) for s in ("old", "new"))
+    return manifests.upsert(old, new, ["source"])
+
+
+@query("""SELECT lang, doc_id, n_chars, CASE WHEN lang IN (SELECT lang FROM documents WHERE doc_id % 2 = 1 AND lang <> 'en') THEN 'fresh' ELSE 'kept' END AS origin FROM documents
+ WHERE CASE WHEN lang IN (SELECT lang FROM documents WHERE doc_id % 2 = 1 AND lang <> 'en') THEN doc_id % 2 = 1 ELSE doc_id % 2 = 0 END""")
+def revision_replace(spark, d):
+    docs = table(spark, d, "documents").select("lang", "doc_id", "n_chars")
+    store = docs.where("doc_id % 2 = 0").withColumn("origin", F.lit("kept"))
+    return manifests.replace_revision(store, docs.where("doc_id % 2 = 1 AND lang <> 'en'").withColumn("origin", F.lit("fresh")), "lang")
+
+
+@query("""SELECT orderkey, revision, state, error, updated FROM (SELECT o_orderkey AS orderkey, o_orderpriority AS revision, CASE WHEN o_totalprice > 250000 THEN 'failed' ELSE o_orderstatus END AS state,
+ CASE WHEN o_totalprice > 250000 THEN 'too large' END AS error, CASE WHEN o_totalprice > 250000 THEN o_totalprice ELSE 0 END AS updated FROM orders)""")
+def failure_upsert(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("orderkey"), F.col("o_orderpriority").alias("revision"), F.col("o_orderstatus").alias("state"), F.lit(None).cast("string").alias("error"), F.lit(0.0).alias("updated"), "o_totalprice")
+    failed = o.where("o_totalprice > 250000").select("orderkey", F.lit("too large").alias("error"), F.col("o_totalprice").alias("updated"))
+    return manifests.record_failures(o.drop("o_totalprice"), failed, "orderkey").select("orderkey", "revision", "state", "error", "updated")
+
+
+@query("""SELECT lang AS kind, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, max(n_chars) AS largest, count(*) FILTER (WHERE n_chars < 50) AS short FROM documents GROUP BY lang""")
+def catalog_stats(spark, d):
+    return table(spark, d, "documents").groupBy(F.col("lang").alias("kind")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("largest"), F.count_if(F.col("n_chars") < 50).alias("short"))
+
+
+@query("""SELECT lang AS kind, source AS label, substr(text, 1, 40) AS title, n_chars FROM documents WHERE lang = 'de' AND contains(lower(lang || ' ' || source || ' ' || substr(text, 1, 40)), 'src1')""")
+def catalog_search(spark, d):
+    items = table(spark, d, "documents").select(F.col("lang").alias("kind"), F.col("source").alias("label"), F.substring("text", 1, 40).alias("title"), "n_chars")
+    return context.catalog_search(items, "SRC1", "de", "n_chars", True)
+
+
+_TERMS = ("that", "with", "from", "thing")
+
+
+def _bm25(spark, d) -> DataFrame:
+    return retrieval.keyword_scores(table(spark, d, "documents"), list(_TERMS))
+
+
+_COUNTS = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS t{i}" for i, t in enumerate(_TERMS))
+_DF = ", ".join(f"count(*) FILTER (WHERE t{i} > 0) AS df{i}" for i in range(len(_TERMS)))
+_SCORE = " + ".join(f"ln(1 + (docs - df{i} + 0.5) / (df{i} + 0.5)) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * n / mean))" for i in range(len(_TERMS)))
+_BM25 = f"""w0 AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 0) AS w FROM documents),
+ h AS (SELECT doc_id, len(w) AS n, {_COUNTS} FROM w0), g AS (SELECT count(*) AS docs, avg(n) AS mean, {_DF} FROM h), s AS (SELECT doc_id, {_SCORE} AS score FROM h, g)"""
+
+
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM s WHERE score > 0")
+def keyword_bm25(spark, d):
+    return _bm25(spark, d).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_BM25}, k AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 50),
+ q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), v AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY {_DIST}, vec_id) AS rank FROM embeddings e, q QUALIFY rank <= 50)
+ SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM k UNION ALL SELECT * FROM v) GROUP BY doc_id ORDER BY round(sum(1.0 / (60 + rank)), 9) DESC, doc_id LIMIT 20""")
+def hybrid_rrf(spark, d):
+    from pyspark.sql import Window
+
+    def ranked(df: DataFrame, *order) -> DataFrame:
+        top = df.orderBy(*order).limit(50)
+        return top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).select("doc_id", "rank")  # 50 rows
+
+    words = ranked(_bm25(spark, d).withColumn("score", F.round("score", 9)), F.desc("score"), F.col("doc_id"))
+    near = retrieval.distances(table(spark, d, "embeddings"), _vector(spark, d)).select(F.col("vec_id").alias("doc_id"), "distance")
+    fused = retrieval.reciprocal_ranks([words, ranked(near, F.col("distance"), F.col("doc_id"))], 1000)
+    return fused.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+@query("SELECT doc_id, path_key, remote, length(revision) AS n FROM (SELECT doc_id, source || '/' || lang || '%20' || doc_id || '.pdf' AS path_key, substr(sha256(source || '/' || lang || '%20' || doc_id || '.pdf'), 1, 16) || '-' || substr(sha256(text), 1, 16) || '.md' AS remote, sha256('r1' || sha256(text)) AS revision FROM documents)")
+def identifiers(spark, d):
+    key = tx.path_key(F.concat("source", F.lit("/"), "lang", F.lit(" "), F.col("doc_id").cast("string"), F.lit(".pdf")))
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    return table(spark, d, "documents").select("doc_id", key.alias("path_key"), tx.remote_name(key, digest, F.lit(".md")).alias("remote"), F.length(tx.revision("r1", digest)).cast("long").alias("n"))
+
+
+@query("SELECT event_type AS state, count(*) AS n, max(event_id) AS last_event, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def stream_available_now(spark, d):
+    return watch.state_totals(spark, f"{d}/events.parquet")
