@@ -65,11 +65,15 @@ def batch_top_k(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: i
     return ranked.where(F.col("rank") <= k)
 
 
+def _is(term: str):
+    return lambda x: x == term
+
+
 def keyword_scores(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(doc_id, score) of documents that hold a term: BM25 over lower-case words, each term counted by pattern on the JVM."""
     words = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
     held = docs.select("doc_id", F.filter(words, lambda w: F.length(w) > 0).alias("w"))
-    held = held.select("doc_id", F.size("w").alias("n"), *(F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"t{i}") for i, t in enumerate(terms)))
+    held = held.select("doc_id", F.size("w").alias("n"), *(F.size(F.filter("w", _is(t))).alias(f"t{i}") for i, t in enumerate(terms)))
     total = held.agg(F.count("*").alias("total"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"t{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     both = held.crossJoin(F.broadcast(total))  # one row
     score = F.lit(0.0)
