@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from loomspan import scratch
 from loomspan.llm.text import ALNUM, slices, utf8
 
+MEASURES = 9
 #: Labelled documents that the model is fitted on, at most; the least by a hash of their id.
-SAMPLE = 12_000
+SAMPLE = 6_000
 WORDS = 200
 BINS = 8
 RIDGE = 1.0
@@ -68,7 +69,7 @@ def fit(stats: np.ndarray, words: list[set[bytes]], y: np.ndarray, most: int = W
 
     Without both labels in the sample the model is the smoothed share of ones.
     """
-    n, k = len(y), stats.shape[1] if len(stats) else 9
+    n, k = len(y), MEASURES
     share = (y.sum() + 0.5) / (n + 1)
     bias = float(np.log(share / (1 - share)))
     if n == 0 or y.min() == y.max():
@@ -133,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Mod
             )
 
     got = rows.mapInArrow(run, "doc_id long, stats array<double>, words binary, quality long, toxic long").orderBy("doc_id", "words").toArrow()
-    stats = np.array(got.column("stats").to_pylist(), float).reshape(got.num_rows, -1)
+    stats = np.array(got.column("stats").to_pylist(), float).reshape(got.num_rows, MEASURES)
     words = [set(x.split()) for x in got.column("words").to_pylist()]
     return tuple(fit(stats, words, (got.column(c).to_numpy() > 0).astype(float)) for c in ("quality", "toxic"))
 
