@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from loomspan import scratch
 from loomspan.llm.components import connected
-from loomspan.llm.text import mix, shingle_hashes, slices, utf8
+from loomspan.llm.text import mix, shingle_hashes, slices, trim, utf8
 
 WORDS = 5
 #: Links have 7 * intersection >= 3 * (sum of sizes), which is a Jaccard similarity of 0.75 or more.
@@ -94,9 +94,8 @@ def surplus(band: int) -> int:
     return 1 if band < 3 else 2 if band < 4 else 4 if band < 5 else 6 if band < 7 else 16
 
 
-def parts(h: np.ndarray, band: int, fine: bool, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a set's non-empty partitions in the common order: plain ones first, then those of frequent shingles alone."""
-    common = np.isin(h, frequent, assume_unique=True) if len(frequent) else np.zeros(len(h), bool)
+def parts(h: np.ndarray, band: int, fine: bool, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set's non-empty partitions, and which of them have frequent shingles alone."""
     seed = np.uint64((band * 2 + fine) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
     with np.errstate(over="ignore"):
         if fine:
@@ -111,11 +110,15 @@ def parts(h: np.ndarray, band: int, fine: bool, frequent: np.ndarray) -> tuple[n
 
 def signatures(h: np.ndarray, fine_bands: frozenset = frozenset(), frequent: np.ndarray | None = None) -> np.ndarray:
     """All signatures that a set enumerates."""
-    frequent = np.empty(0, np.uint64) if frequent is None else frequent
+    often = np.zeros(len(h), bool)
+    if frequent is not None and len(frequent):
+        at = np.searchsorted(frequent, h)
+        at[at == len(frequent)] = 0
+        often = frequent[at] == h
     out = []
     for band in bands(len(h)):
         fine = 1 << band < FINE or band in fine_bands
-        content, common = parts(h, band, fine, frequent)
+        content, common = parts(h, band, fine, often)
         n = differences(len(h), band, fine) + surplus(band)
         plain = content[~common]
         out.append(plain[:n] if len(plain) >= n else np.concatenate((plain, content[common][: n - len(plain)])))
@@ -141,7 +144,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=16 << 20):
             sets = [shingle_hashes(t, WORDS) for t in utf8(batch.column(1))]
             ids = [set_ids(h) if len(h) else (None, None) for h in sets]
             n = batch.num_rows
@@ -223,11 +226,12 @@ def shared(rows: DataFrame) -> DataFrame:
         many[1:] |= same
         many[:-1] |= same
         yield pa.RecordBatch.from_arrays([pa.array(token[many]), pa.array(sid[many])], ["token", "sid"])
+        trim()
 
     return rows.select("token", "sid").repartition("token").mapInArrow(run, "token long, sid long")
 
 
-def prune(buckets: DataFrame, sizes: DataFrame, rounds: int = 2) -> DataFrame:
+def prune(buckets: DataFrame, sizes: DataFrame, rounds: int = 1) -> DataFrame:
     """Rows of the sets that share as many signatures with others as a linked set must."""
     need = F.when(F.col("n") < 8, surplus(0))
     for band in range(3, 8):
@@ -239,36 +243,30 @@ def prune(buckets: DataFrame, sizes: DataFrame, rounds: int = 2) -> DataFrame:
     return buckets
 
 
-def candidate_sets(docs: DataFrame, buckets: DataFrame) -> DataFrame:
-    """(sid, shingles) of the sets that have a bucket: texts are read again and told apart by a bitmap of bounded size."""
-    n = buckets.select("sid").distinct().count()
-    bits = min(BITMAP, 1 << max(16, (16 * n).bit_length()))
-    at = F.col("sid").bitwiseAND(F.lit(bits - 1))
-    words = buckets.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((sid & {bits - 1}) & 63 as int))")).alias("b")).toArrow()
+def candidate_sets(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(sid, shingles) of the candidates (sid, rep): the representatives' texts are read again, told apart by a bitmap of bounded size."""
+    bits = min(BITMAP, 1 << max(16, (16 * candidates.count()).bit_length()))
+    at = F.xxhash64("rep").bitwiseAND(F.lit(bits - 1))
+    words = candidates.select(at.alias("i")).groupBy(F.shiftright("i", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i & 63 as int))")).alias("b")).toArrow()
     bitmap = np.zeros(bits >> 6, np.uint64)
     bitmap[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
     handle = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in slices(batches, most=4 << 20):
-            sids, sets = [], []
-            for text in utf8(batch.column(0)):
-                h = shingle_hashes(text, WORDS)
-                if not len(h):
-                    continue
-                sid = set_ids(h)[0]
-                i = sid & (bits - 1)
-                if sid in seen or not int(handle.value[i >> 6]) >> (i & 63) & 1:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(sid)
-                sids.append(sid)
-                sets.append(h.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sets, pa.binary())], ["sid", "h"])
+        for batch in batches:
+            i = batch.column(0).to_numpy() & (bits - 1)
+            there = (handle.value[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1)
+            for part in slices(iter([batch.filter(pa.array(there == 1))]), most=4 << 20):
+                sids, sets = [], []
+                for text in utf8(part.column(1)):
+                    h = shingle_hashes(text, WORDS)
+                    if len(h):
+                        sids.append(set_ids(h)[0])
+                        sets.append(h.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sets, pa.binary())], ["sid", "h"])
 
-    found = docs.select("text").mapInArrow(run, "sid long, h binary")
-    return found.dropDuplicates(["sid"])
+    found = docs.select(F.xxhash64("doc_id").alias("k"), "text").mapInArrow(run, "sid long, h binary")
+    return found.join(candidates.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -289,34 +287,44 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidates (a, b) whose sizes and sketches allow a link."""
+def _bucket_edges(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edges = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
+    return edges[:-1], edges[1:]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, m = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            mask = pa.array([linked(n[i], m[i], at_most(x[i], y[i])) for i in range(batch.num_rows)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    one = classes.select(F.col("sid").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x"))
-    two = classes.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
-    both = pairs.join(one, "a").join(two, "b").where("4 * least(n, m) >= 3 * greatest(n, m)")
-    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+def _gathered(batches: Iterator[pa.RecordBatch], columns: int) -> np.ndarray:
+    table = [np.stack([b.column(i).to_numpy() for i in range(columns)]) for b in batches]
+    return np.concatenate(table, axis=1) if table else np.empty((columns, 0), np.int64)
 
 
 def best_heads(buckets: DataFrame, sized: DataFrame) -> DataFrame:
-    """For each set one head of its buckets, of a size that allows a link: the one with which it shares most buckets.
+    """(sid, head): for each set one head of its buckets, of a size that allows a link: the one with which it shares most.
 
     sized: sid, n, rank. A bucket's head is its set of highest rank, the share of the
-    set's signatures that others have too: the text of which the others are copies.
+    set's signatures that others have too: the text of which the others are copies. Of
+    larger sets a quarter of the buckets votes. Heads only say where pairs are looked
+    for first; pairs of different clusters are compared by all of their buckets later.
     """
-    ranked = buckets.join(sized, "sid")
-    heads = ranked.groupBy("token").agg(F.max(F.struct("rank", "sid", "n")).alias("head"))
-    pairs = ranked.join(heads, "token").where("sid <> head.sid AND 4 * least(n, head.n) >= 3 * greatest(n, head.n)")
-    pairs = pairs.groupBy("sid", F.col("head.sid").alias("b")).agg(F.count("*").alias("c"))
-    best = pairs.groupBy("sid").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
-    return best.select("sid", F.col("b").alias("head"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, sid, n, rank = _gathered(batches, 4)
+        order = np.lexsort((sid, rank, token))
+        token, sid, n = token[order], sid[order], n[order]
+        starts, ends = _bucket_edges(token) if len(token) else (np.empty(0, int), np.empty(0, int))
+        top = np.repeat(ends - 1, ends - starts)
+        fits = (sid != sid[top]) & (4 * np.minimum(n, n[top]) >= 3 * np.maximum(n, n[top])) if len(token) else np.empty(0, bool)
+        pair = np.stack([sid[fits], sid[top][fits]]) if len(token) else np.empty((2, 0), np.int64)
+        order = np.lexsort(pair)
+        pair = pair[:, order]
+        first = np.flatnonzero(np.concatenate(([True], (pair[:, 1:] != pair[:, :-1]).any(0)))) if pair.shape[1] else np.empty(0, int)
+        count = np.diff(np.append(first, pair.shape[1]))
+        yield pa.RecordBatch.from_arrays([pa.array(pair[0, first]), pa.array(pair[1, first]), pa.array(count, pa.int64())], ["sid", "b", "c"])
+        trim()
+
+    voting = buckets.join(sized, "sid").where("n < 96 OR token & 3 = 0").select("token", "sid", "n", "rank")
+    pairs = voting.repartition("token").mapInArrow(run, "sid long, b long, c long")
+    pairs = pairs.groupBy("sid", "b").agg(F.sum("c").alias("c"))
+    return pairs.groupBy("sid").agg(F.max_by("b", F.struct("c", "b")).alias("head"))
 
 
 def _links_within(table: pa.Table) -> pa.Table:
@@ -326,11 +334,12 @@ def _links_within(table: pa.Table) -> pa.Table:
     h = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("h")]
     sid, h = sid[order], [h[i] for i in order]
     side = table.column("block").to_numpy()[order]
+    comp = np.unique(table.column("comp").to_numpy()[order], return_inverse=True)[1]
     two = len(set(side.tolist())) > 1
     n = np.array([len(x) for x in h])
     bits = min(10, max(4, int(n.max()).bit_length()))
-    counts = np.stack([np.bincount((x >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) for x in h]).astype(np.int32)
-    comp = np.arange(len(h))
+    counts = np.stack([np.bincount((x >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) for x in h])
+    counts = np.minimum(counts, 65535).astype(np.uint16) if n.max() < 65536 else counts
     out: list[tuple[int, int]] = []
     for i in range(len(h)):
         later = np.arange(i + 1, len(h))
@@ -338,7 +347,7 @@ def _links_within(table: pa.Table) -> pa.Table:
         if two:
             later = later[side[later] != side[i]]  # a block's own pairs are another group's
         for part in (later[k : k + 512] for k in range(0, len(later), 512)):
-            bound = np.minimum(counts[part], counts[i]).sum(1)
+            bound = np.minimum(counts[part], counts[i]).sum(1, dtype=np.int64)
             for j in part[7 * bound >= 3 * (n[part] + n[i])].tolist():
                 if comp[j] == comp[i]:
                     continue
@@ -350,65 +359,85 @@ def _links_within(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
-def cluster_links(sized: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links within clusters; with them the linked sets of each cluster are connected, though not all of their links are there.
+def cluster_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links within clusters that join different components; with them a cluster's linked sets are connected.
 
-    sized: sid, n, rank, head. A cluster beyond a block's size is cut into blocks by
-    hash, and every two of them meet in a group of their own.
+    members: sid, n, rank, comp, head (the cluster). A cluster beyond a block's size is
+    cut into blocks by hash, and every two of them meet in a group of their own.
     """
-    blocks = sized.groupBy("head").agg(F.count("*").alias("members"), F.ceil(F.sum(8 * F.col("n")) / BLOCK).cast("int").alias("blocks")).where("members > 1")
-    rows = sized.join(blocks, "head").withColumn("block", F.expr("cast(pmod(xxhash64(sid), blocks) as int)"))
+    blocks = members.groupBy("head").agg(F.ceil(F.sum(8 * F.col("n")) / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    rows = members.join(blocks.where("low <> high").drop("low", "high"), "head").withColumn("block", F.expr("cast(pmod(xxhash64(sid), blocks) as int)"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("head", "sid", "rank", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    rows = rows.join(sets, "sid")
-    return rows.groupBy("head", "low", "high").applyInArrow(_links_within, "a long, b long")
+    rows = rows.select("head", "sid", "rank", "comp", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return rows.join(sets, "sid").groupBy("head", "low", "high").applyInArrow(_links_within, "a long, b long")
+
+
+def mixed_rows(rows: DataFrame) -> DataFrame:
+    """Rows (token, sid, n, comp, head) of the buckets that hold several components and several clusters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _gathered(batches, 5)
+        table = table[:, np.argsort(table[0], kind="stable")]
+        if table.shape[1]:
+            starts, ends = _bucket_edges(table[0])
+            several = np.ones(len(starts), bool)
+            for x in (table[3], table[4]):
+                several &= np.minimum.reduceat(x, starts) != np.maximum.reduceat(x, starts)
+            table = table[:, np.repeat(several, ends - starts)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in table], ["token", "sid", "n", "comp", "head"])
+        trim()
+
+    return rows.select("token", "sid", "n", "comp", "head").repartition("token").mapInArrow(run, "token long, sid long, n long, comp long, head long")
 
 
-def cross_pairs(rows: DataFrame, everyone: bool) -> DataFrame:
-    """Pairs (a, b) of one bucket but different components and clusters, of sizes that allow a link.
+def cross_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one bucket but different components and clusters whose sizes and sketches allow a link.
 
-    rows: token, sid, n, comp, rank, head. With `everyone` all such pairs, else each set with
-    the set of highest rank of each other component. Each task sorts its share of the buckets and
-    leaves out pairs that it gave before.
+    rows: token, sid, n, comp, head, sketch. Each task sorts its share of the buckets
+    and looks at a pair once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [np.stack([b.column(i).to_numpy() for i in range(6)]) for b in batches]
+        table, sketches = [], []
+        for b in batches:
+            table.append(np.stack([b.column(i).to_numpy() for i in range(5)]))
+            sketches.extend(b.column(5).to_pylist())
         if not table:
             return
-        token, sid, n, comp, rank, head = np.concatenate(table, axis=1)
-        order = np.lexsort((sid, -rank, comp, token))
+        token, sid, n, comp, head = np.concatenate(table, axis=1)
+        order = np.lexsort((sid, token))
         token, sid, n, comp, head = token[order], sid[order], n[order], comp[order], head[order]
-        edges = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
-        given: set[tuple[int, int]] = set()
+        looked: set[tuple[int, int]] = set()
         out: list[tuple[int, int]] = []
-        for s, e in zip(edges[:-1], edges[1:], strict=True):
-            if comp[s] == comp[e - 1]:
-                continue
-            heads = s + np.flatnonzero(np.concatenate(([True], comp[s + 1 : e] != comp[s : e - 1])))
+        for s, e in zip(*_bucket_edges(token), strict=True):
             for i in range(s, e):
-                others = np.arange(i + 1, e) if everyone else heads
+                others = np.arange(i + 1, e)
                 others = others[(comp[others] != comp[i]) & (head[others] != head[i]) & (4 * np.minimum(n[others], n[i]) >= 3 * np.maximum(n[others], n[i]))]
-                x = int(sid[i])
-                for y in sid[others].tolist():
-                    pair = (x, y) if x < y else (y, x)
-                    if pair not in given:
-                        given.add(pair)
-                        out.append(pair)
-            if len(out) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
-                out = []
-            if len(given) > 1_000_000:
-                given.clear()
+                for j in others.tolist():
+                    pair = int(sid[i]), int(sid[j])
+                    if pair not in looked:
+                        looked.add(pair)
+                        if linked(int(n[i]), int(n[j]), at_most(sketches[order[i]], sketches[order[j]])):
+                            out.append(pair)
+            if len(looked) > 1_000_000:
+                looked.clear()
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
-    return rows.select("token", "sid", "n", "comp", "rank", "head").repartition("token").mapInArrow(run, "a long, b long")
+    return rows.select("token", "sid", "n", "comp", "head", "sketch").repartition("token").mapInArrow(run, "a long, b long")
 
 
-def _with_heads(sized: DataFrame) -> DataFrame:
+def _with_heads(members: DataFrame) -> DataFrame:
     """Every head is a member of its own cluster too, besides the cluster of its own head."""
-    heads = sized.select("head").distinct().join(sized.select(F.col("sid").alias("head"), F.col("sid"), "n", "rank"), "head")
-    return sized.unionByName(heads.select("sid", "n", "rank", "head")).distinct()
+    heads = members.select("head").distinct().join(members.drop("head").withColumn("head", F.col("sid")), "head")
+    return members.unionByName(heads.select(members.columns)).distinct()
+
+
+def _with_components(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members with their component, clusters named by the component of their head."""
+    of = comps.select(F.col("node").alias("sid"), F.col("component").alias("comp"))
+    heads = comps.select(F.col("node").alias("head"), F.col("component").alias("lead"))
+    out = members.join(of, "sid", "left").join(heads, "head", "left")
+    return out.select("sid", "n", "rank", F.coalesce("comp", "sid").alias("comp"), F.coalesce("lead", "head").alias("head"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -438,24 +467,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = scratch.materialize(shared(signature_rows(docs, fine_bands, frequent)), "buckets")
     sizes = classes.select("sid", "n")
     buckets = prune(buckets, sizes)
-    sets = scratch.materialize(candidate_sets(docs, buckets), "sets", "none")
     degrees = buckets.groupBy("sid").agg(F.count("*").alias("c"))
-    sized = degrees.join(sizes, "sid").select("sid", "n", F.expr("c * 1000000 div n").alias("rank"))
+    sized = scratch.materialize(degrees.join(classes, "sid").select("sid", "rep", "n", F.expr("c * 1000000 div n").alias("rank")), "sized")
+    sets = scratch.materialize(candidate_sets(docs, sized.select("sid", "rep")), "sets", "none")
+    sized = sized.drop("rep")
     sized = scratch.materialize(sized.join(best_heads(buckets, sized), "sid", "left").withColumn("head", F.coalesce("head", "sid")), "sized")
-    links = scratch.materialize(cluster_links(_with_heads(sized), sets), "links")
-    compared: DataFrame | None = None
-    for everyone in (False, True):
-        comps = connected(links)
-        member = buckets.join(sized, "sid").join(comps.select(F.col("node").alias("sid"), "component"), "sid", "left")
-        member = member.select("token", "sid", "n", "rank", "head", F.coalesce("component", "sid").alias("comp"))
-        mixed = member.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-        pairs = cross_pairs(member.join(mixed, "token"), everyone).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        compared = scratch.materialize(pairs, "pairs")
-        found = scratch.materialize(verify(scratch.materialize(plausible(compared, classes), "plausible"), sets), "found")
-        links = links.unionByName(found)
+    links = scratch.materialize(cluster_links(_with_heads(sized.withColumn("comp", F.col("sid"))), sets), "links")
+    # once more where heads turned out to be linked: one cluster for each component of heads
+    member = scratch.materialize(_with_components(sized, connected(links)), "members")
+    links = links.unionByName(scratch.materialize(cluster_links(member, sets), "links"))
     comps = connected(links)
+    member = _with_components(member.drop("comp"), comps)
+    mixed = scratch.materialize(mixed_rows(buckets.join(member, "sid")), "mixed")
+    pairs = scratch.materialize(cross_pairs(mixed.join(classes.select("sid", "sketch"), "sid")).distinct(), "pairs")
+    found = scratch.materialize(verify(pairs, sets), "found")
+    if not found.isEmpty():
+        comps = connected(links.unionByName(found))
     named = classes.select("sid", "rep").join(comps.select(F.col("node").alias("sid"), "component"), "sid")
     heads = named.groupBy("component").agg(F.min("rep").alias("head"))
     named = named.join(heads, "component").select("sid", "head")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,12 @@ FOLD = bytes.maketrans(UPPER, LOWER)
 #: Also every ASCII byte that is neither a letter nor a digit to a space.
 ALNUM = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in FOLD)
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim.argtypes = [ctypes.c_size_t]
+except (OSError, AttributeError):  # not glibc
+    _libc = None
+
 
 def utf8(column: pa.Array) -> list[bytes]:
     """The column's texts as UTF-8; null becomes empty."""
@@ -21,7 +28,14 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in binary.to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def trim() -> None:
+    """Give freed memory back: worker processes live on, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about `most` bytes of text (or one row)."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -32,6 +46,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(start, stop - start)
             start, base = stop, int(ends[stop - 1])
+        trim()
 
 
 def _constants(seed: int) -> tuple[np.ndarray, int, int]:
