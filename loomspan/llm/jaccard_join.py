@@ -36,6 +36,8 @@ WORDS = 5
 FINE = 64
 #: Very frequent shingles that are put last in the order: at least so many documents, at most so many shingles.
 FREQUENT, FREQUENT_MOST = 300, 100_000
+#: Rows of a written table that may be broadcast; larger ones are joined by shuffles.
+BROADCAST_ROWS = 300_000
 #: Bytes of shingles in a block of a cluster.
 BLOCK = 4 << 20
 #: Largest bitmap of candidates, in bits.
@@ -46,6 +48,11 @@ def linked(a: int, b: int, both: int) -> bool:
     return both > 0 and 7 * both >= 3 * (a + b)
 
 
+def small(table: DataFrame) -> DataFrame:
+    """The written table, to be broadcast if its count allows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def set_ids(h: np.ndarray) -> tuple[int, int]:
     """Two independent 64-bit digests of a set of hashes, as signed numbers."""
     with np.errstate(over="ignore"):
@@ -239,7 +246,8 @@ def prune(buckets: DataFrame, sizes: DataFrame, rounds: int = 1) -> DataFrame:
     need = need.otherwise(surplus(8))
     for _ in range(rounds):
         enough = buckets.groupBy("sid").agg(F.count("*").alias("c")).join(sizes, "sid").where(F.col("c") >= need).select("sid")
-        buckets = scratch.materialize(shared(buckets.join(enough, "sid")), "buckets")
+        enough = scratch.materialize(enough, "enough")
+        buckets = scratch.materialize(shared(buckets.join(small(enough), "sid")), "buckets")
     return buckets
 
 
@@ -283,7 +291,9 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("h").alias("y")), "b")
+    one = sets.select(F.col("sid").alias("a"), F.col("h").alias("x")).join(small(pairs), "a")
+    two = sets.select(F.col("sid").alias("b"), F.col("h").alias("y")).join(small(pairs), "b")
+    both = one.join(two, ["a", "b"])
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -321,7 +331,7 @@ def best_heads(buckets: DataFrame, sized: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(pair[0, first]), pa.array(pair[1, first]), pa.array(count, pa.int64())], ["sid", "b", "c"])
         trim()
 
-    voting = buckets.join(sized, "sid").where("n < 96 OR token & 3 = 0").select("token", "sid", "n", "rank")
+    voting = buckets.join(small(sized), "sid").where("n < 96 OR token & 3 = 0").select("token", "sid", "n", "rank")
     pairs = voting.repartition("token").mapInArrow(run, "sid long, b long, c long")
     pairs = pairs.groupBy("sid", "b").agg(F.sum("c").alias("c"))
     return pairs.groupBy("sid").agg(F.max_by("b", F.struct("c", "b")).alias("head"))
@@ -369,7 +379,8 @@ def cluster_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     rows = members.join(blocks.where("low <> high").drop("low", "high"), "head").withColumn("block", F.expr("cast(pmod(xxhash64(sid), blocks) as int)"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("head", "sid", "rank", "comp", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    return rows.join(sets, "sid").groupBy("head", "low", "high").applyInArrow(_links_within, "a long, b long")
+    rows = scratch.materialize(rows, "blocks")
+    return sets.join(small(rows), "sid").groupBy("head", "low", "high").applyInArrow(_links_within, "a long, b long")
 
 
 def mixed_rows(rows: DataFrame) -> DataFrame:
@@ -478,7 +489,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = links.unionByName(scratch.materialize(cluster_links(member, sets), "links"))
     comps = connected(links)
     member = _with_components(member.drop("comp"), comps)
-    mixed = scratch.materialize(mixed_rows(buckets.join(member, "sid")), "mixed")
+    mixed = scratch.materialize(mixed_rows(buckets.join(small(scratch.materialize(member, "members")), "sid")), "mixed")
     pairs = scratch.materialize(cross_pairs(mixed.join(classes.select("sid", "sketch"), "sid")).distinct(), "pairs")
     found = scratch.materialize(verify(pairs, sets), "found")
     if not found.isEmpty():
