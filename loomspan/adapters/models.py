@@ -53,8 +53,8 @@ def checked_vectors(vectors: Sequence[Sequence[float]], count: int, dimensions:
     return matrix.tolist()
 
 
-def embed(rows: DataFrame, model: Embedder, batch: int = 1000, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(key, embedding) of every row; a null text is embedded as an empty one. A failed call fails the task, which Spark repeats."""
+def embed(rows: DataFrame, model: Embedder, batch: int = 1000, key: str = "chunk_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """(key, embedding) of every row, with the text between them if `carry`; a null text is embedded as an empty one. A failed call fails the task, which Spark repeats."""
     source = rows.select(key, text)
     kind = source.schema[key].dataType.simpleString()
 
@@ -62,9 +62,10 @@ def embed(rows: DataFrame, model: Embedder, batch: int = 1000, key: str = "chunk
         pairs = (p for b in batches for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         for held in chunked(pairs, batch):
             vectors = checked_vectors(model([t or "" for _, t in held]), len(held), model.dimensions)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held]), pa.array(vectors, pa.list_(pa.float32()))], [key, "embedding"])
+            texts = [pa.array([t for _, t in held], pa.string())] if carry else []
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held]), *texts, pa.array(vectors, pa.list_(pa.float32()))], [key, *[text] * carry, "embedding"])
 
-    return source.mapInArrow(run, f"`{key}` {kind}, embedding array<float>")
+    return source.mapInArrow(run, f"`{key}` {kind}, {f'`{text}` string, ' * carry}embedding array<float>")
 
 
 def complete(prompt: str, model: Completer, tries: int = 3, least: int = LEAST_ANSWER) -> str:

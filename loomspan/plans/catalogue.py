@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from loomspan.adapters import models
 from loomspan.functions import calendar as cal
 from loomspan.functions import text as tx
-from loomspan.operators import citations, manifests, uploads
+from loomspan import scratch
+from loomspan.operators import citations, digests, indexing, manifests, uploads
 from loomspan.plans.registry import _BINARY, _SCHOLARLY, query, table
 
 _PATH = "source || '/' || doc_id || CASE WHEN doc_id % 23 = 0 THEN '.txt' ELSE '.md' END"
@@ -98,3 +99,45 @@ def answer_links(spark, d):
 def embed_messages(spark, d):
     rows = table(spark, d, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chunk_id"), "text")
     return models.embed(rows, models.HashEmbedder(16))
+
+
+_TOKENS = "len(regexp_extract_all(t, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]'))"
+_BAD = "length(t) - length(regexp_replace(t, '[\\x{00}-\\x{08}\\x{0B}\\x{0C}\\x{0E}-\\x{1F}\\x{7F}-\\x{9F}\\x{FFFD}]', '', 'g'))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || ' more' ELSE text END AS t, doc_id % 17 = 3 AS tampered FROM documents),
+ n AS (SELECT *, {_TOKENS} AS n, {_BAD} AS x FROM d), e AS (SELECT *, CASE WHEN tampered THEN 'changed since conversion' WHEN x >= 32 AND x > 0.01 * length(t) THEN 'unreadable' WHEN n = 0 THEN 'no text to embed' END AS error FROM n)
+ SELECT CAST(doc_id AS VARCHAR) AS paper, CASE WHEN error IS NULL THEN 'ready' ELSE 'failed' END AS state, coalesce(error, '') AS error,
+ CAST(CASE WHEN error IS NULL THEN 1 + ceil(greatest(0, n - 175) / 155.0) ELSE 0 END AS BIGINT) AS stored FROM e""")
+def index_incremental(spark, d):
+    """Half of the papers, then all, some of them changed: what the manifest and the store hold in the end."""
+    root = scratch.fresh_path(spark, "index")
+    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("paper"), "text")
+    digest = F.when(F.col("doc_id") % 17 == 3, F.lit("other")).otherwise(F.sha2(F.col("text").cast("binary"), 256))
+    model = models.HashEmbedder(16)
+    indexing.index(docs.where("doc_id % 2 = 0").withColumn("sha256", digest), root, model)
+    changed = docs.withColumn("text", F.expr("IF(doc_id % 10 = 0, concat(text, ' more'), text)"))
+    indexing.index(changed.withColumn("sha256", digest), root, model)
+    stored = indexing.current_passages(spark, root).groupBy("paper").agg(F.count("*").alias("stored"))
+    held = indexing.manifest(spark, root).join(stored, "paper", "left")
+    return held.select("paper", "state", F.coalesce("error", F.lit("")).alias("error"), F.coalesce("stored", F.lit(0)).cast("long").alias("stored"))
+
+
+_DAY_TEXT = "count(*) || ' purchases of ' || count(DISTINCT user_id) || ' people on this day, as the log has them.'"
+
+
+@query(f"""WITH p AS (SELECT CAST(ts AS DATE) AS day, {_DAY_TEXT} AS text, max(event_id) AS mtime FROM events WHERE event_type = 'purchase' GROUP BY 1),
+ g AS (SELECT strftime(day, '%G-W%V') AS label, max(mtime) AS newest, min(mtime) AS oldest, string_agg('## ' || CAST(day AS VARCHAR) || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY day) AS block FROM p GROUP BY 1),
+ w AS (SELECT label, block, CASE WHEN oldest % 2 = 0 THEN newest ELSE newest - 1 END >= newest AS keep FROM g)
+ SELECT label, CASE WHEN keep THEN 'reused' ELSE 'generated' END AS state,
+ CASE WHEN keep THEN 'An older digest of the week that is long enough to be used again.' ELSE 'Summary: ' || right('Digest of ' || label || chr(10) || block, 400) END AS text FROM w""")
+def digest_build(spark, d):
+    days = table(spark, d, "events").where("event_type = 'purchase'").groupBy(F.to_date("ts").alias("day"))
+    parts = days.agg(
+        F.concat(F.count("*").cast("string"), F.lit(" purchases of "), F.countDistinct("user_id").cast("string"), F.lit(" people on this day, as the log has them.")).alias("text"),
+        F.max("event_id").alias("mtime"),
+    )
+    parts = parts.select(cal.week_label(F.col("day")).alias("label"), F.col("day").cast("string").alias("part"), "text", "mtime")
+    wholes = parts.groupBy("label").agg(F.expr("IF(min(mtime) % 2 = 0, max(mtime), max(mtime) - 1)").alias("mtime"))
+    wholes = wholes.withColumn("text", F.lit("An older digest of the week that is long enough to be used again."))
+    return digests.build(digests.plan(parts, wholes), models.echo)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan import scratch
+from loomspan.operators import indexing
 
 
 def watch_manifest(source: DataFrame, merge, checkpoint: str, seconds: int | None = None):
@@ -38,3 +39,12 @@ def state_totals(spark: SparkSession, path: str) -> DataFrame:
     watch_manifest(stream, merge, f"{out}-checkpoint").awaitTermination()
     parts = spark.read.schema("state string, n long, last_event long, total double, epoch int").parquet(out)
     return parts.groupBy("state").agg(F.sum("n").alias("n"), F.max("last_event").alias("last_event"), F.round(F.sum("total"), 4).alias("total"))
+
+
+def watch_papers(source: DataFrame, root: str, model, checkpoint: str, seconds: int | None = None):
+    """Index the papers (paper, text, sha256) of a stream; of two texts of a paper in one batch the one with the greater digest stays."""
+
+    def merge(batch: DataFrame, _: int) -> None:
+        indexing.index(latest_by_key(batch, ["paper"], "sha256"), root, model)
+
+    return watch_manifest(source, merge, checkpoint, seconds)
