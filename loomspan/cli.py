@@ -43,7 +43,7 @@ def preprocess(spark, logs: str, output: str, most: int, overlap: int) -> None:
 
 def main(argv: list[str] | None = None) -> int:
     from loomspan.operators import retrieval
-    from loomspan.plans import catalogue, registry  # noqa: F401  both register queries
+    from loomspan.plans import catalogue, publishing, registry  # noqa: F401  all register queries
 
     asked = _parser().parse_args(argv)
     if asked.command == "queries":

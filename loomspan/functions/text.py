@@ -132,10 +132,6 @@ def unfenced(c: Column) -> Column:
     return F.when(inner.startswith("#"), inner).otherwise(F.regexp_replace(F.regexp_replace(strip(c), r"^```[a-z]*\n", ""), r"\n```$", ""))
 
 
-def auto_linked(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?<![\w/.])www\.", "https://www.")
-
-
 def path_key(path: Column) -> Column:
     """Percent-encoded path that keeps slashes."""
     out = F.url_encode(path)
@@ -161,3 +157,9 @@ def revision(recipe: str, digest: Column) -> Column:
 def token_count(c: Column) -> Column:
     """Words and single marks, the default tokens of the offline tokenizer."""
     return F.size(F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"), F.lit(1)))
+
+
+def auto_link(c: Column) -> Column:
+    """Words that begin like a URL as Markdown links; `www.` leads to https."""
+    c = F.regexp_replace(c, "(^|[ \\t\\n\\r\\f])(www\\.[^ \\t\\n\\r\\f]*)", "$1[$2](https://$2)")
+    return F.regexp_replace(c, "(^|[ \\t\\n\\r\\f])((?:https?|ftp)://[^ \\t\\n\\r\\f]*)", "$1[$2]($2)")
