@@ -3,8 +3,8 @@
 The standard library's parser streams its events into block lines. Each line has the
 ratio of its characters to its tags; lines of known boilerplate containers have ratio
 0. The smoothed ratios are cut at their spread, and neighbouring lines above the cut
-form clusters. The clusters select the page's content region: the smallest container
-that holds most of their text (articles first), of which all lines that are neither
+form clusters. The clusters select the page's content region: the article that holds
+them all, else the smallest container that does, of which all lines that are neither
 boilerplate nor lists of links are returned.
 """
 
@@ -39,7 +39,6 @@ CLOSES = {"p": frozenset(("p",)), "li": frozenset(("li",)), "dt": frozenset(("dt
 LIMITS = frozenset("article aside blockquote body div dl footer form header main nav ol section table td th ul".split())
 BODY = frozenset(("html", "body", "article", "main"))
 SIGMA, RADIUS = 1.0, 2
-SHARE = 0.7
 
 _word = re.compile(r"[^a-z0-9]+")
 
@@ -47,7 +46,7 @@ _word = re.compile(r"[^a-z0-9]+")
 class Line:
     __slots__ = ("text", "chars", "tags", "linked", "node", "dropped", "article")
 
-    def __init__(self, text: str, tags: int, linked: int, node: int, dropped: bool, article: bool):
+    def __init__(self, text: str, tags: int, linked: int, node: int, dropped: bool, article: int):
         self.text, self.chars, self.tags, self.linked, self.node, self.dropped, self.article = text, len(text), tags, linked, node, dropped, article
 
 
@@ -60,12 +59,13 @@ class Blocks(HTMLParser):
         self.parents = [-1]
         self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = self.linked = self.anchors = self.articles = self.drops = 0
+        self.tags = self.linked = self.anchors = self.drops = 0
+        self.articles: list[tuple[int, bool]] = []  # for each open article or main: the outermost article around it, else the outermost main, and whether it is an article
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append(Line(text, self.tags, self.linked, self.open[-1][1] if self.open else 0, self.drops > 0, self.articles > 0))
+            self.lines.append(Line(text, self.tags, self.linked, self.open[-1][1] if self.open else 0, self.drops > 0, self.articles[-1][0] if self.articles else 0))
             self.tags = 0
         self.parts.clear()
         self.linked = 0
@@ -92,7 +92,8 @@ class Blocks(HTMLParser):
         tag, _, why = self.open.pop()
         self.drops -= bool(why)
         self.anchors -= tag == "a"
-        self.articles -= tag in ("article", "main")
+        if tag in ("article", "main"):
+            self.articles.pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -120,7 +121,9 @@ class Blocks(HTMLParser):
         self.open.append((tag, node, why))
         self.drops += bool(why)
         self.anchors += tag == "a"
-        self.articles += tag in ("article", "main")
+        if tag in ("article", "main"):
+            around = self.articles[-1] if self.articles else None
+            self.articles.append(around if around and (around[1] or tag == "main") else (node, tag == "article"))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -177,15 +180,18 @@ def content_lines(lines: list[Line], parents: list[int]) -> list[Line]:
     cut = min(float(np.std(smoothed)), float(smoothed[kept].max()))
     above = kept & (smoothed >= cut)
     if any(lines[i].article for i in np.flatnonzero(kept)):
-        inside = np.array([x.article for x in lines])
+        inside = np.array([x.article > 0 for x in lines])
         above = above & inside if (above & inside).any() else kept & inside
-    weight = [0] * len(parents)
+    held = [0] * len(parents)
     for i in np.flatnonzero(above):
-        weight[lines[i].node] += lines[i].chars
-    total = sum(weight)
+        held[lines[i].node] += 1
+    total = sum(held)
     for node in range(len(parents) - 1, 0, -1):
-        weight[parents[node]] += weight[node]
-    region = max((n for n in range(len(parents)) if weight[n] >= SHARE * total), default=0)
+        held[parents[node]] += held[node]
+    region = max(n for n in range(len(parents)) if held[n] == total)  # the common ancestor of all clusters
+    chosen = {lines[i].article for i in np.flatnonzero(above)}
+    if len(chosen) == 1:
+        region = chosen.pop() or region
     within = [False] * len(parents)
     for node in range(len(parents)):
         within[node] = node == region or node > 0 and within[parents[node]]
@@ -194,7 +200,7 @@ def content_lines(lines: list[Line], parents: list[int]) -> list[Line]:
     for i, x in enumerate(lines):
         if x.dropped or articles and not x.article:
             continue
-        if not (within[x.node] or above[i]):
+        if not within[x.node]:
             continue
         if x.linked > 0.6 * x.chars and not above[i] and not x.article:
             continue

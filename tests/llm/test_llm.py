@@ -87,6 +87,18 @@ def test_main_text():
     assert html_extract.main_text("just text") == "just text"
 
 
+def test_article_keeps_its_short_lines():
+    long, short = [f"<p>{'long text %d ' % i * 50}</p>" for i in range(6)], [f"<p>Closing line {i} of some forty characters.</p>" for i in range(3)]
+    nav = "<body><nav><a href=/>Home</a><a href=/b>More</a></nav>"
+    for box in ("div class=body", "blockquote", "section", "table"):
+        inner = f"<h1>Short title</h1><{box}>{''.join(long)}</{box.split()[0]}>{''.join(short)}"
+        for page in (f"<article>{inner}</article>", f"<main>{inner}</main>", f"<main><article>{inner}</article><p>About us</p></main>"):
+            got = html_extract.main_text(f"{nav}{page}<footer>foot</footer>").split("\n")
+            assert got[0] == "Short title" and len(got) == 10 and got[-1] == "Closing line 2 of some forty characters."
+    apart = html_extract.main_text(f"{nav}<div><section>{''.join(long)}</section><p>Between.</p><section>{long[0]}</section></div>")
+    assert "Between." in apart.split("\n")
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", None), (None, None, "<p>x y"), (2, "u", "")], "page_id long, url string, html string")
     assert sorted((r.text, r.n_chars) for r in html_extract.extract_pages(df).collect()) == [("", 0), ("", 0), ("x y", 3)]
