@@ -443,12 +443,14 @@ def _with_heads(members: DataFrame) -> DataFrame:
     return members.unionByName(heads.select(members.columns)).distinct()
 
 
-def _with_components(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members with their component, clusters named by the component of their head."""
+def _with_components(members: DataFrame, comps: DataFrame, rename: bool = True) -> DataFrame:
+    """Members with their component; with `rename`, clusters are named by the component of their head."""
     of = comps.select(F.col("node").alias("sid"), F.col("component").alias("comp"))
-    heads = comps.select(F.col("node").alias("head"), F.col("component").alias("lead"))
-    out = members.join(of, "sid", "left").join(heads, "head", "left")
-    return out.select("sid", "n", "rank", F.coalesce("comp", "sid").alias("comp"), F.coalesce("lead", "head").alias("head"))
+    out = members.join(of, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    if rename:
+        heads = comps.select(F.col("node").alias("head"), F.col("component").alias("lead"))
+        out = out.join(heads, "head", "left").withColumn("head", F.coalesce("lead", "head"))
+    return out.select("sid", "n", "rank", "comp", "head")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -488,7 +490,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     member = scratch.materialize(_with_components(sized, connected(links)), "members")
     links = links.unionByName(scratch.materialize(cluster_links(member, sets), "links"))
     comps = connected(links)
-    member = _with_components(member.drop("comp"), comps)
+    # clusters keep the names under which the second pass compared them: sets of two clusters have not met, even if their heads are linked by now
+    member = _with_components(member.drop("comp"), comps, rename=False)
     mixed = scratch.materialize(mixed_rows(buckets.join(small(scratch.materialize(member, "members")), "sid")), "mixed")
     pairs = scratch.materialize(cross_pairs(mixed.join(classes.select("sid", "sketch"), "sid")).distinct(), "pairs")
     found = scratch.materialize(verify(pairs, sets), "found")

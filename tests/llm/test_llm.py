@@ -265,6 +265,18 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch, block):
     assert got == brute(docs.collect())
 
 
+def test_heads_that_link_in_the_second_pass(spark, monkeypatch):
+    """a and b link, but neither to its head; the heads' components are joined only by p, which the second pass compares with the other head."""
+    one, two = [f"w{i}" for i in range(200)], [f"x{i}" for i in range(200)]
+    texts = {"k": one[:74], "j": one[10:84], "p": one[20:94], "k2": one[30:104], "a": two[:74], "b": two[10:84]}
+    docs = odd_docs(spark, [" ".join(w) for w in texts.values()])
+    sid = {x: jaccard_join.set_ids(shingle_hashes(" ".join(w).encode(), 5))[0] for x, w in texts.items()}
+    heads = spark.createDataFrame([(sid[x], sid[y]) for x, y in (("j", "k"), ("p", "j"), ("k2", "k"), ("a", "k2"), ("b", "k"))], "sid long, head long")
+    monkeypatch.setattr(jaccard_join, "best_heads", lambda buckets, sized: heads)
+    got = sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in jaccard_join.near_duplicates(docs).collect())
+    assert got == brute(docs.collect())
+
+
 def test_no_near_duplicates_in_an_empty_table(spark):
     assert jaccard_join.near_duplicates(empty_docs(spark)).count() == 0
 
