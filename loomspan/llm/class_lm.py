@@ -1,14 +1,16 @@
 """Language-model scoring with a Brown class-based bigram model.
 
 Exchange clustering assigns items to classes so as to maximise the likelihood of class
-bigrams. Items are the most frequent words, each for itself, and shapes (endings) that
-stand for all other words, so every word has a class. A text's probability is the
+bigrams. Its items are the most frequent words, each for itself, and shapes (endings) that
+stand for all other words. Then each other of the `TOP` most frequent words is exchanged
+by its own bigrams against these fixed classes; only words beyond have the class of
+their ending, so every word has a class. A text's probability is the
 product of class transitions (Witten-Bell smoothed) and word emissions (absolute
 discounting; the discounted mass of a class is that of its unseen words).
 
 Counts cover all training texts. Only tables of bounded size reach the driver and the
-tasks: at most the `TOP` most frequent words, and the bigrams of at most `WORDS + SHAPES + 2`
-items. The counts of all other words stay distributed and are joined to their texts.
+tasks: at most the `TOP` most frequent words, the bigrams of at most `WORDS + SHAPES + 2`
+items, and those of classes. The bigrams of words with classes and the counts of all other words stay distributed and are joined to their texts.
 """
 
 from __future__ import annotations
@@ -209,24 +211,147 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
     return of
 
 
-def transitions(bigrams: np.ndarray, of: np.ndarray) -> np.ndarray:
+def transitions(table: np.ndarray) -> np.ndarray:
     """log10 P(class | class before), Witten-Bell smoothed with the classes' own shares."""
-    k = int(of.max()) + 1 if len(of) else 1
-    table = np.zeros((k, k))
-    np.add.at(table, (of[:, None].repeat(len(of), 1), of[None, :].repeat(len(of), 0)), bigrams)
+    k = len(table)
     share = (table.sum(0) + 0.5) / (table.sum() + 0.5 * k)
     kinds = np.maximum(1, (table > 0).sum(1, keepdims=True))
     return np.log10((table + kinds * share) / (table.sum(1, keepdims=True) + kinds))
 
 
-def class_totals(counts: DataFrame, items: Items, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def class_table(bigrams: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Bigrams of classes from those of items."""
+    k = int(of.max()) + 1
+    table = np.zeros((k, k))
+    np.add.at(table, (of[:, None].repeat(len(of), 1), of[None, :].repeat(len(of), 0)), bigrams)
+    return table
+
+
+def exchange_words(docs: DataFrame, frequent: list[tuple[bytes, int]], items: Items, of: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A class for each frequent word: that of its item, or for words that are no item the best by exchange.
+
+    Each such word leaves the class of its ending and joins the class of most likelihood
+    for its own bigrams; the classes stay fixed meanwhile. Empty classes take no word.
+    The driver gets a number for each word.
+    """
+    k, first = len(table), len(items.words)
+    start = np.array([of[items.of(w)] for w, _ in frequent], np.int64)
+    if len(frequent) <= first:
+        return start
+    words = [w for w, _ in frequent]
+    handle = docs.sparkSession.sparkContext.broadcast((words, start, items, of))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, start, items, of = handle.value
+        place = {w: i for i, w in enumerate(words)}
+        keys: list[np.ndarray] = []
+        cache: dict[bytes, int] = {}
+
+        def out() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate([np.empty(0, np.int64), *keys]), return_counts=True)
+            keys.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key // (2 * k)), pa.array(key % (2 * k)), pa.array(n)], ["w", "context", "n"])
+
+        for batch in slices(batches):
+            line, classes = [-1], []
+            for key, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+                if not held_out(key):
+                    found = words_of(text)
+                    at = [place.get(w, -2) for w in found]
+                    if -2 in at:
+                        classes.extend(numbers([w for w, i in zip(found, at, strict=True) if i < 0], cache, lambda w: int(of[items.of(w)])))
+                    line.extend(at)
+                    line.append(-1)
+            w = np.array(line, np.int64)
+            c = np.where(w >= 0, start[w], of[items.end])
+            c[w == -2] = classes
+            at = np.flatnonzero(w >= first)
+            keys.extend((w[at] * 2 * k + c[at + 1], w[at] * 2 * k + k + c[at - 1]))
+            if sum(map(len, keys)) > 2_000_000:
+                yield out()
+        yield out()
+
+    def f(x: np.ndarray) -> np.ndarray:
+        return x * np.log(np.maximum(x, 1))
+
+    cells = np.concatenate([table.T, table])  # the cells of a context, by the word's class
+    margins = np.stack([table.sum(1), table.sum(0)])  # of words before others, of words after others
+    full = margins.sum(0) > 0
+    full[of[items.end]] = False
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [np.stack([b.column(i).to_numpy() for i in range(3)]) for b in batches if b.num_rows]
+        if not got:
+            return
+        w, context, n = np.concatenate(got, axis=1)
+        word, at = np.unique(w, return_inverse=True)
+        old = handle.value[1][word]
+        gain = np.zeros((len(word), k))
+
+        def add(to: np.ndarray, cell: np.ndarray, n: np.ndarray, sign: int) -> None:
+            change = f(cell + n[:, None]) - f(cell)
+            i = np.arange(len(to))
+            here = cell[i, old[to]]
+            change[i, old[to]] = f(here) - f(here - n)  # its own counts are in its old class already
+            np.add.at(gain, to, sign * change)
+
+        for s in range(0, len(w), 50_000):
+            part = slice(s, s + 50_000)
+            add(at[part], cells[context[part]], n[part].astype(float), 1)
+        for side in (0, 1):
+            total = np.bincount(at, np.where(context // k == side, n, 0), len(word))
+            for s in range(0, len(word), 50_000):
+                to = np.arange(s, min(len(word), s + 50_000))
+                add(to, np.repeat(margins[side][None], len(to), 0), total[to], -1)
+        stay = gain[np.arange(len(word)), old]
+        gain[:, ~full] = -np.inf
+        new = gain.argmax(1)
+        new = np.where(gain.max(1) > stay + 1e-9, new, old)
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(new)], ["w", "c"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(contexts, "w long, context long, n long").groupBy("w", "context").agg(F.sum("n").alias("n"))
+    found = rows.repartition("w").mapInArrow(choose, "w long, c long").toArrow()
+    start[found.column("w").to_numpy()] = found.column("c").to_numpy()
+    return start
+
+
+def class_bigrams(docs: DataFrame, own: dict[bytes, int], items: Items, of: np.ndarray) -> np.ndarray:
+    """Bigrams of classes over all training texts, where words in `own` have a class of their own."""
+    k = int(of.max()) + 1
+    handle = docs.sparkSession.sparkContext.broadcast((own, items, of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, items, of = handle.value
+        total, cache, end = np.zeros(k * k, np.int64), dict(own), int(of[items.end])
+        for batch in slices(batches):
+            line = [end]
+            for key, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+                if not held_out(key):
+                    line.extend(numbers(words_of(text), cache, lambda w: int(of[items.of(w)])))
+                    line.append(end)
+            ids = np.array(line, np.int64)
+            total += np.bincount(ids[:-1] * k + ids[1:], minlength=k * k)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at // k), pa.array(at % k), pa.array(total[at])], ["a", "b", "n"])
+
+    table = np.zeros((k, k))
+    for row in docs.select("doc_id", "text").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # a row for each pair of classes
+        table[row.a, row.b] = row.n
+    return table
+
+
+def class_totals(counts: DataFrame, items: Items, of: np.ndarray, own: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of each class, and its kinds of words that occur at all, once and twice."""
 
+    handle = counts.sparkSession.sparkContext.broadcast((own, items, of))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, items, of = handle.value
         k = int(of.max()) + 1
         total = np.zeros((k, 4), np.int64)
         for batch in batches:
-            classes = of[np.array([items.end if w == END else items.of(w) for w in batch.column(0).to_pylist()], np.int64)] if batch.num_rows else np.empty(0, np.int64)
+            found = [(w, own.get(w)) for w in batch.column(0).to_pylist()]
+            classes = np.array([c if c is not None else of[items.end if w == END else items.of(w)] for w, c in found], np.int64)
             n = batch.column(1).to_numpy(zero_copy_only=False)
             for j, x in enumerate((n, np.ones_like(n), n == 1, n == 2)):
                 total[:, j] += np.bincount(classes, x, k).astype(np.int64)
@@ -260,13 +385,16 @@ def score_texts(docs: DataFrame, top: int = TOP, words: int = WORDS, shapes: int
     for row in count_bigrams(docs, items).toLocalIterator():
         bigrams[row.a, row.b] = row.n
     of = exchange(bigrams, classes)
-    steps = transitions(bigrams, of)
-    tokens, sorts = class_totals(counts, items, of)
+    group_of = exchange_words(docs, frequent, items, of, class_table(bigrams, of))
+    own = dict(zip((w for w, _ in frequent), group_of.tolist(), strict=True))
+    steps = transitions(class_bigrams(docs, own, items, of))
+    tokens, sorts = class_totals(counts, items, of, own)
+    del own
     discount = np.clip(sorts[:, 1] / np.maximum(1, sorts[:, 1] + 2 * sorts[:, 2]), 0.1, 0.9)
     spare = np.maximum(discount * np.maximum(sorts[:, 0], 1), 0.5)  # the tokens' worth of a class's unseen words
     whole_mass = tokens - discount * sorts[:, 0] + spare
     base_of = float(np.log10(n_train + ALPHA * (kinds + 1))) if n_train else 0.0
-    model = spark.sparkContext.broadcast((frequent, items, of, steps, discount, spare, whole_mass, int(ends.n) if ends else 0))
+    model = spark.sparkContext.broadcast((frequent, group_of, items, of, steps, discount, spare, whole_mass, int(ends.n) if ends else 0))
 
     def emit(n: np.ndarray, c: np.ndarray, discount, spare, mass) -> np.ndarray:
         return np.log10(np.where(n > 0, n - discount[c], spare[c]) / mass[c])
@@ -275,11 +403,10 @@ def score_texts(docs: DataFrame, top: int = TOP, words: int = WORDS, shapes: int
     rare = [("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int32())), ("classes", pa.list_(pa.int32()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, items, of, steps, discount, spare, mass, n_end = model.value
+        frequent, group_of, items, of, steps, discount, spare, mass, n_end = model.value
         place = {w: i for i, (w, _) in enumerate(frequent)}
         n = np.array([n for _, n in frequent] + [n_end], np.float64)
-        item = np.array([items.of(w) for w, _ in frequent] + [items.end], np.int64)
-        known, group = n > 0, of[item]
+        known, group = n > 0, np.append(group_of, of[items.end])
         base, said = np.log10(n + ALPHA) - base_of if n_train else np.zeros(len(n)), emit(n, group, discount, spare, mass) if n_train else np.zeros(len(n))
         first, serial, end = of[items.end], TaskContext.get().partitionId() << 36, len(frequent)
         for batch in slices(batches):

@@ -129,6 +129,14 @@ def test_model_beats_base_on_held_out_texts(spark):
     assert got.score.sum() > got.base_score.sum()
 
 
+def test_words_of_one_ending_have_classes_of_their_own(spark):
+    train = [i for i in range(200) if not class_lm.held_out(i)]
+    out = [i for i in range(200) if class_lm.held_out(i)][:2]
+    rows = [(d, f"p a0zz q b0zz p a{1 + d % 9}zz q b{1 + d % 9}zz") for d in train] + [(out[0], "p a3zz q b3zz"), (out[1], "p b3zz q a3zz")]
+    got = {r.doc_id: r.score for r in class_lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), words=4, shapes=3, classes=7).collect()}
+    assert got[out[0]] > got[out[1]] + 2
+
+
 def test_exchange_finds_classes():
     rng = np.random.default_rng(0)
     big = np.zeros((9, 9))
