@@ -9,11 +9,13 @@ word by word.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomspan import scratch
 from loomspan.llm.text import ALNUM, slices, utf8
@@ -39,7 +41,7 @@ def windows_of(words: list[bytes], length: int) -> list[tuple[bytes, ...]]:
 class WuManber:
     """Windows of one length: shift table, suffix buckets, direct comparison."""
 
-    def __init__(self, windows: dict[tuple[bytes, ...], tuple[int, ...]], length: int, block: int = BLOCK):
+    def __init__(self, windows: dict[tuple[bytes, ...], tuple], length: int, block: int = BLOCK):
         self.m, self.b = length, min(block, length)
         self.skip = length - self.b + 1
         self.shift: dict = {}
@@ -51,7 +53,7 @@ class WuManber:
             last = window[-self.b :] if self.b > 1 else window[-1]
             self.bucket.setdefault(last, {}).setdefault(hash(window[: self.b]), []).append((window, items))
 
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, tuple[int, ...]]]:
+    def search(self, words: list[bytes]) -> Iterator[tuple[int, tuple]]:
         """(end, items) for each occurrence, by rising end; the words are words[end - m + 1 : end + 1]."""
         m, b, skip, shift, bucket = self.m, self.b, self.skip, self.shift, self.bucket
         get, n, end = shift.get, len(words), m - 1
@@ -69,7 +71,7 @@ class WuManber:
             end += 1
 
 
-def build(items: list[tuple[int, bytes]], length: int = WINDOW) -> list[WuManber]:
+def build(items: list[tuple], length: int = WINDOW) -> list[WuManber]:
     """A searcher for each window length that occurs among the items."""
     by_length: dict[int, dict] = {}
     for item, text in items:
@@ -78,10 +80,10 @@ def build(items: list[tuple[int, bytes]], length: int = WINDOW) -> list[WuManber
     return [WuManber({w: tuple(s) for w, s in windows.items()}, m) for m, windows in sorted(by_length.items())]
 
 
-def scan(words: list[bytes], searchers: list[WuManber]) -> tuple[list[tuple[int, int]], set[int]]:
+def scan(words: list[bytes], searchers: list[WuManber]) -> tuple[list[tuple[int, int]], set]:
     """Merged [start, end) spans of hit words, and the items whose windows occur."""
     spans: list[tuple[int, int]] = []
-    found: set[int] = set()
+    found: set = set()
     for s in searchers:
         for end, items in s.search(words):
             found.update(items)
@@ -100,7 +102,7 @@ def scan(words: list[bytes], searchers: list[WuManber]) -> tuple[list[tuple[int,
     return merged, found
 
 
-def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, bytes]]]:
+def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple]]:
     """The test items in blocks of at most `most` bytes of text, or one item: a block fits a broadcast, whatever the table's size."""
     block, size = [], 0
     for row in benchmark.select(F.col("item_id"), F.col("text").cast("binary").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").toLocalIterator():
@@ -114,57 +116,75 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, bytes]]
         yield block
 
 
-SPANS = "n_words long, spans array<struct<start:long,end:long>>, items array<long>"
+_built: dict[str, list[WuManber]] = {}
 
 
-def find_windows(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, block_bytes: int = 8 * BLOCK_WORDS) -> DataFrame:
+def _searchers(name: str, items: list[tuple], length: int) -> list[WuManber]:
+    """This worker process's searchers of the block it has at hand; only the last block's are kept."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = build(items, length)
+    return _built[name]
+
+
+def find_windows(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, block_bytes: int = 8 * BLOCK_WORDS, whole_rows: bool = False) -> DataFrame:
     """Each document with its number of words, merged spans of hit words, and occurring items.
 
-    Columns: doc_id, n_words, spans (word positions, end exclusive), items (sorted as
-    numbers). A null or empty text has no words. Rows repeat as they come in; extra
+    Columns: doc_id, n_words, spans (word positions, end exclusive), items (of the
+    benchmark's type, in its order); with `whole_rows` also `row`, a struct of all the document's columns.
+    A null or empty text has no words. Rows repeat as they come in; extra
     columns are left out. Test items without words, or null, match nothing; items with
     a null id are ignored; equal windows belong to all their items. An empty benchmark
     leaves all documents without hits. Documents are only mapped, never shuffled; a
     benchmark beyond one broadcast is searched block by block, each over the result
-    of the one before.
+    of the one before, and the driver holds two blocks at most.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    fields = [("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.int64()))]
     spark = docs.sparkSession
+    given = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", "text")}
+    state = docs.select("doc_id", "text")
+    if whole_rows:
+        state = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+        given["row"] = state.schema["row"].dataType.simpleString()
+    item = benchmark.schema["item_id"].dataType
+    kinds = f"n_words long, spans array<struct<start:long,end:long>>, items array<{item.simpleString()}>"
+    fields = [("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(to_arrow_type(item)))]
+
+    def mapper(block: list[tuple], passed: bool, keep: list[str]):
+        handle, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-    def mapper(handle, text: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            searchers = build(handle.value, length)
+            searchers = _searchers(name, handle.value, length)
             for batch in slices(batches):
                 rows = []
-                before = batch.column("items").to_pylist() if text else None
-                old = batch.column("spans").to_pylist() if text else None
+                before = batch.column("items").to_pylist() if passed else None
+                old = batch.column("spans").to_pylist() if passed else None
                 for i, t in enumerate(utf8(batch.column("text"))):
                     words = words_of(t)
                     spans, found = scan(words, searchers)
-                    if before:
+                    if passed:
                         found.update(before[i])
                         spans = _union(spans, [(x["start"], x["end"]) for x in old[i]])
                     rows.append((len(words), [{"start": a, "end": b} for a, b in spans], sorted(found)))
                 columns = [pa.array([r[j] for r in rows], t) for j, (_, t) in enumerate(fields)]
-                keep = [batch.column("text")] if more else []
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *keep, *columns], ["doc_id", *(["text"] if more else []), *(n for n, _ in fields)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], [*keep, *(n for n, _ in fields)])
 
         return run
 
-    state, passed = docs.select("doc_id", "text"), False
-    blocks = list(_paged(_blocks(benchmark, block_bytes)))
-    for i, block in enumerate(blocks or [[]]):
-        more = i + 1 < len(blocks)
-        state = state.mapInArrow(mapper(spark.sparkContext.broadcast(block), passed), f"doc_id {kind}, {'text string, ' if more else ''}{SPANS}")
-        if more:
+    blocks = _blocks(benchmark, block_bytes)
+    block, passed = next(blocks, []), False
+    while block is not None:
+        after = next(blocks, None)
+        keep = [c for c in given if c != "text" or after is not None]
+        state = state.mapInArrow(mapper(block, passed, keep), ", ".join([*(f"{c} {given[c]}" for c in keep), kinds]))
+        if after is not None:
             state = scratch.materialize(state, "windows")
-        passed = True
+        block, passed = after, True
     return state
 
 
-def _paged(blocks: Iterator[list]) -> Iterator[list]:
-    yield from blocks
+def without_windows(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
+    """The rows of the documents in which no window of a test item occurs, each as often as it comes, with their own columns."""
+    return find_windows(docs, benchmark, length, whole_rows=True).where(F.size("spans") == 0).select("row.*")
 
 
 def _union(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:

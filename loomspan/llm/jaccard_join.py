@@ -506,6 +506,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return full.unionByName(empty)
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each component of near duplicates, with all its columns; rows without words are all kept.
+
+    The row of the least doc_id stays (a null id is greater than all), and of rows with
+    one id any one. Rows are numbered in a written copy, since ids may be shared or null;
+    after the join only numbers and ids are shuffled, and texts only if the numbers of
+    the copies are too many to broadcast.
+    """
+    names = docs.columns
+    row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")
+    keyed = scratch.materialize(docs.select(F.monotonically_increasing_id().alias("key"), row), "numbered")
+    found = near_duplicates(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")))
+    found = scratch.materialize(found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")), "components")
+    several = found.where("key <> component")
+    several = several.unionByName(several.select(F.col("component").alias("key"), "component").distinct())
+    ids = keyed.select("key", F.col("row.doc_id").alias("id"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    several = scratch.materialize(several.join(ids, "key").select("component", order.alias("order")), "several")
+    heads = several.groupBy("component").agg(F.min("order").alias("head"))
+    gone = several.join(heads, "component").where(F.col("order.key") != F.col("head.key")).select(F.col("order.key").alias("key"))
+    gone = scratch.materialize(gone, "gone")
+    return keyed.join(small(gone), "key", "left_anti").select("row.*")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

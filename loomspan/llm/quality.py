@@ -206,14 +206,12 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
 def keep_accepted(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """The documents that the classifier accepts, with their own columns and no others."""
-    names = docs.columns
-    models = train(docs, labels)
-    judge = evidence(docs.sparkSession, models)
-    site = [F.coalesce(F.col(host), F.lit("")), F.coalesce(F.col(path), F.lit(""))]
-    scored = scratch.materialize(docs.select(site[0].alias("host"), site[1].alias("path"), judge(F.col("text")).alias("evidence")), "evidence")
+    judge = evidence(docs.sparkSession, train(docs, labels))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    scored = docs.select(F.coalesce(F.col(host), F.lit("")).alias("host"), F.coalesce(F.col(path), F.lit("")).alias("path"), judge(F.col("text")).alias("evidence"), row)
+    scored = scratch.materialize(scored, "evidence")  # with the rows, so that no text is judged twice
     sites = scratch.materialize(site_posteriors(scored), "sites")
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), site[0].alias("host"), site[1].alias("path"), judge(F.col("text")).alias("evidence"))
-    return combine(whole, sites).where("accepted").select("row.*")
+    return combine(scored, sites).where("accepted").select("row.*")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

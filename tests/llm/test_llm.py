@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import Row
 
 from loomspan import scratch
 from loomspan.llm import class_lm, components, decontaminate, gif, html_extract, jaccard_join, packing, quality, registry, sharding, token_counts, url_filter
@@ -68,6 +69,10 @@ def test_windows_by_brute_force(spark):
             x = got[r.doc_id]
             assert (x.n_words, x.n_hit, x.n_items, x.contaminated) == (len(words), len(hit), len(ids), bool(hit))
             assert x.items_sha256 == hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
+    named = spark.createDataFrame([(f"i{i}", t) for i, t in items[:8]] * 2, "item_id string, text string")
+    again = docs.unionByName(docs)
+    twice = Counter((r.doc_id, len(r.spans), tuple(r.items)) for r in decontaminate.find_windows(again, named, block_bytes=1).collect())
+    assert twice == Counter({(d, s, tuple(sorted(f"i{i}" for i in its))): n for (d, s, its), n in Counter((r.doc_id, len(r.spans), tuple(r.items)) for r in decontaminate.find_windows(again, benchmark.where("item_id < 90")).collect()).items()})
     assert decontaminate.find_windows(empty_docs(spark), benchmark).count() == 0
     assert decontaminate.digest(decontaminate.find_windows(docs, benchmark.limit(0))).where("contaminated").count() == 0
 
@@ -400,20 +405,72 @@ def test_stored_texts(spark):
 # pipeline
 
 
+def key_of(row):
+    return repr(tuple(row))
+
+
+def brute_keep_one(rows):
+    """Rows that stay, by brute force over rows: one of each component, of the least id, null last; of equal rows any."""
+    numbered = [Row(doc_id=i, text=r.text) for i, r in enumerate(rows)]
+    component = {int(i): c for i, _, c in brute(numbered)}
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(component[i], []).append((r.doc_id is None, r.doc_id if r.doc_id is not None else 0, i))
+    return [[rows[i] for n, d, i in g if (n, d) == min(g)[:2]] for g in groups.values()]
+
+
+def agrees(kept, groups):
+    """Whether exactly one of each group's candidates was kept, rows counted as often as they come."""
+    left = Counter(map(key_of, kept))
+    if sum(left.values()) != len(groups):
+        return False
+    for g in sorted(groups, key=len):
+        k = next((key_of(r) for r in g if left[key_of(r)]), None)
+        if k is None:
+            return False
+        left[k] -= 1
+    return True
+
+
+def test_near_duplicates_keep_rows_not_ids(spark):
+    copy, near = "a text of some words that is copied here and there in full", "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, copy), (2, copy), (2, "a unique text that shares its id with the copy of another"), (None, copy), (None, "a unique text without any id at all"), (5, "two rows of one id and one text"), (5, "two rows of one id and one text"),
+            (7, near), (6, near + " thirteen"), (None, "only null ids have this text"), (None, "only null ids have this text"), (8, ""), (8, ""), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", i, "k", "r") for i, (d, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, key string, row string")
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert agrees(got, brute_keep_one(docs.collect()))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got) == sorted(
+        [(False, 1, copy), (False, 2, rows[2][1]), (True, 0, rows[4][1]), (False, 5, rows[5][1]), (False, 6, near + " thirteen"), (True, 0, rows[9][1]), (False, 8, ""), (False, 8, ""), (True, 0, "")]
+    )
+    assert jaccard_join.keep_one(empty_docs(spark)).count() == 0
+
+
 def test_pipeline_by_brute_force(spark):
     import corpus_pipeline as pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    benchmark = pq.read_table(f"{SF}/benchmark.parquet").to_pylist()
+    passage = " ".join(max((b["text"] or "" for b in benchmark), key=len).split()[:14])
+    some = [r for r in docs.limit(40).collect()]
+    odd = [r.asDict() for r in some[:8]] + [{**r.asDict(), "doc_id": some[20].doc_id} for r in some[:8]] + [{**r.asDict(), "doc_id": None} for r in some[8:12]]
+    odd += [{**r.asDict(), "doc_id": None, "text": f"{r.text} {passage}"} for r in some[12:16]] + [{**some[16].asDict(), "text": t} for t in (None, "", "Hello there")]
+    docs = docs.unionByName(spark.createDataFrame([Row(**{c: x[c] for c in docs.columns}) for x in odd], docs.schema))  # shared, null and repeated ids
     steps = [docs]
     for _, stage in pipeline.STAGES:
         steps.append(scratch.materialize(stage(spark, steps[-1], SF), "step"))
     assert all(s.columns == docs.columns for s in steps[:-1])
-    judged = quality.classify(docs, spark.read.parquet(f"{SF}/labels.parquet"))
-    ids = [{r.doc_id for r in s.select("doc_id").collect()} for s in steps]
-    assert ids[1] == {r.doc_id for r in judged.where("accepted").collect()}
-    assert ids[2] == {int(d) for d, _, c in brute(steps[1].collect()) if d == c}
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{SF}/benchmark.parquet'")
-    con.register("kept", steps[2].toPandas())
-    assert ids[3] == set(con.execute(f"SELECT doc_id FROM ({decontaminate.hits_sql('kept')}) WHERE NOT contaminated").df().doc_id)
-    assert ids[4] == ids[3]
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = [s.collect() for s in steps]
+    judge = {(r.doc_id, r.host, r.path, round(r.evidence, 12)): r.accepted for r in quality.classify(docs, labels).collect()}
+    models = quality.train(docs, labels)
+    good = [r for r in rows[0] if judge[(r.doc_id, r.source or "", r.lang or "", round(quality.evidence_of((r.text or "").encode(), models), 12))]]
+    assert Counter(map(key_of, rows[1])) == Counter(map(key_of, good)) and 0 < len(good) < len(rows[0])
+    assert agrees(rows[2], brute_keep_one(rows[1]))
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {tuple(w[i : i + 10]) for b in benchmark for w in [words(b["text"])] for i in range(max(1, len(w) - 9)) if w}
+    sizes = {len(w) for w in windows}
+    clean = [r for r in rows[2] if not any(tuple(w[i : i + n]) in windows for w in [words(r.text)] for n in sizes for i in range(len(w) - n + 1))]
+    assert Counter(map(key_of, rows[3])) == Counter(map(key_of, clean)) and len(clean) < len(rows[2])
+    assert Counter(r.doc_id for r in rows[4] if r.piece == 0) == Counter(r.doc_id for r in rows[3])
