@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; its result is written
 as Parquet and read again as the next stage's docs. All but the last stage return the
-columns of documents.
+columns of documents. Stages decide on rows, not on ids: rows that share an id, or have
+none, are judged each for itself.
 """
 
 from __future__ import annotations
@@ -14,26 +15,19 @@ from loomspan import scratch
 from loomspan.llm import decontaminate, jaccard_join, packing, quality
 
 
-def _without(docs: DataFrame, gone: DataFrame, label: str) -> DataFrame:
-    """The documents whose id is not in `gone`; its ids are written first, so that their size decides on a broadcast."""
-    gone = scratch.materialize(gone.select(F.col("doc_id").alias("gone")).distinct(), label)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the classifier rejects."""
     return quality.keep_accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each component of near duplicates the document with the least id."""
-    return _without(docs, jaccard_join.near_duplicates(docs).where("NOT doc_id <=> component_id"), "copies")
+    """Keep one row of each component of near duplicates: that of the least id, null last; of equal ids any one."""
+    return jaccard_join.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents in which a window of a test item occurs."""
-    found = decontaminate.find_windows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where(F.size("spans") > 0), "contaminated")
+    return decontaminate.without_windows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
