@@ -2,8 +2,9 @@
 
 Only the counts of piece lengths reach the driver: at most `capacity` numbers. Large
 lengths are rounded up within groups of equal cardinality; a column-generation program
-over the few rounded sizes chooses how often each configuration is used; the groups'
-real pieces take the slots; then the small pieces go where they fit best. The plan is
+over the few rounded sizes chooses how often each configuration is used; real pieces
+take the slots, the last one the longest that fits; sequences that this fills stay, and
+what is left is grouped again; then the small pieces go where they fit best. The plan is
 a list of runs (so many pieces of one length go to so many consecutive sequences), whose
 number depends on the capacity, not on the number of documents. Pieces find their place
 by their rank among the pieces of their length, which a grouped count over tasks gives
@@ -13,13 +14,16 @@ without gathering any length's pieces.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,8 +34,8 @@ from loomspan.llm.text import slices
 CAPACITY = 4096
 END_ID = 1
 GROUPS = 32
-#: Pieces longer than this part of the capacity are large.
-LARGE = 6
+#: What is tried: pieces longer than this part of the capacity are large; then, step by step, the free tokens that a sequence of a configuration may be left with.
+SCHEDULES = ((6, (0, 0, 0, 2, 4, 8, 16, 32, 64, 128)), (6, (0,)), (3, (0,)))
 #: Distinct words whose ids a worker process keeps.
 CACHE = 800_000
 
@@ -60,6 +64,45 @@ class Encoder:
         self.kind = np.dtype("<u4" if self.wide else "<u2")
         self.known: dict[str, bytes] = {}
         self.most = most
+        self.ends, self.pattern = self._word_ends(path)
+
+    def _word_ends(self, path: str) -> tuple[np.ndarray | None, regex.Pattern | None]:
+        """Which ids end a pre-token, and the pattern of pre-tokens; None where the vocabulary does not mark ends."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix = spec["model"].get("end_of_word_suffix")
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        pattern = steps[0].get("pattern", {}).get("Regex") if steps[0].get("type") == "Split" and steps[0].get("invert") else None
+        if not suffix or not pattern:
+            return None, None
+        ends = np.zeros(max(self.tokenizer.get_vocab(True).values()) + 1, bool)
+        ends[[i for t, i in self.tokenizer.get_vocab(False).items() if t.endswith(suffix)]] = True
+        return ends, regex.compile(pattern)
+
+    def _pre_tokens(self, word: str) -> int:
+        return 1 if word.isalpha() else len(self.pattern.findall(word if word.isascii() else unicodedata.normalize("NFC", word)))
+
+    def _each(self, words: list[str]) -> Iterator[bytes]:
+        for got in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
+            yield np.array(got.ids, self.kind).tobytes() if self.wide else array("H", got.ids).tobytes()
+
+    def _lines(self, words: list[str], size: int = 200) -> Iterator[tuple[str, bytes]]:
+        """(word, ids) of distinct words, encoded many to a line and told apart by the ids that end pre-tokens.
+
+        Where a line has not as many ends as its words should, its words are encoded singly.
+        """
+        lines = [words[i : i + size] for i in range(0, len(words), size)]
+        for line, got in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, self.kind)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            upto = np.cumsum(list(map(self._pre_tokens, line)))
+            if upto[-1] != len(ends) or len(ids) and (not len(ends) or ends[-1] != len(ids)):
+                yield from zip(line, self._each(line), strict=True)
+                continue
+            raw, start = ids.tobytes(), 0
+            for word, stop in zip(line, (np.concatenate(([0], ends))[upto] * self.kind.itemsize).tolist(), strict=True):
+                yield word, raw[start:stop]
+                start = stop
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text. Words beyond the cache's bound are kept for this call alone."""
@@ -69,8 +112,7 @@ class Encoder:
         made: dict[str, bytes] = {}
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                made[word] = np.array(got.ids, self.kind).tobytes() if self.wide else array("H", got.ids).tobytes()
+            made.update(zip(some, self._each(some), strict=True) if self.ends is None else self._lines(some))
         if len(known) + len(made) <= self.most:
             known.update(made)
             made = {}
@@ -141,35 +183,38 @@ def _knapsack(sizes: list[int], values: np.ndarray, capacity: int) -> tuple[floa
     return float(counts @ values), counts
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int = CAPACITY, rounds: int = 400) -> list[tuple[tuple[int, ...], int]]:
-    """(pieces of each size, times) that cover nearly all of the demand and nowhere exceed it.
+def configurations(sizes: list[int], demand: list[int], capacity: int = CAPACITY, rounds: int = 2_000) -> list[tuple[tuple[int, ...], int]]:
+    """(pieces of each size, times) that cover nearly all of the demand and nowhere exceed it, the most used first.
 
-    Solves the fractional configuration program by column generation and rounds down;
-    what is left over goes to the caller.
+    Solves the fractional configuration program by column generation, until it is within
+    a ten-thousandth of its bound, and rounds down; what is left over goes to the caller.
     """
     n = len(sizes)
     if n == 0:
         return []
-    columns = [np.zeros(n) for _ in range(n)]
-    for i, size in enumerate(sizes):
-        columns[i][i] = capacity // size
-    basis, need = np.array(columns).T, np.array(demand, float)
-    uses = np.linalg.solve(basis, need)
-    for _ in range(rounds):
-        prices = np.linalg.solve(basis.T, np.ones(n))
-        value, column = _knapsack(sizes, prices, capacity)
-        if value <= 1 + 1e-7:
+    need = np.array(demand, float)
+    basis = np.diag([float(capacity // size) for size in sizes])
+    inverse = np.diag(1 / np.diag(basis))
+    uses = inverse @ need
+    for turn in range(rounds):
+        value, column = _knapsack(sizes, inverse.sum(0), capacity)
+        if value <= 1 + 1e-6 or uses.sum() - uses.sum() / value < 1e-4 * uses.sum():
             break
-        step = np.linalg.solve(basis, column)
+        step = inverse @ column
         ratio = np.full(n, np.inf)
         ratio[step > 1e-9] = uses[step > 1e-9] / step[step > 1e-9]
         out = int(np.argmin(ratio))
         if not np.isfinite(ratio[out]):
             break
         basis[:, out] = column
-        uses = np.linalg.solve(basis, need)
+        row = inverse[out] / step[out]
+        inverse -= np.outer(step, row)
+        inverse[out] = row
+        if turn % 100 == 99:  # against the drift of the updates
+            inverse = np.linalg.inv(basis)
+        uses = inverse @ need
     left, plan = need.copy(), []
-    for i in np.argsort(-uses):
+    for i in np.argsort(-uses, kind="stable"):
         column = np.round(basis[:, i])
         times = int(min(np.floor(uses[i] + 1e-6), min((left[j] // column[j] for j in range(n) if column[j]), default=0)))
         if times > 0:
@@ -198,55 +243,95 @@ class Runs:
             self.room.setdefault(room, []).append((first, count))
 
 
-def plan_runs(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS, large: int = LARGE) -> np.ndarray:
-    """Runs (length, first rank, pieces, first sequence, offset) for counts[length] pieces of each length."""
+def _grouped(left: np.ndarray, capacity: int, groups: int, least: int) -> dict[int, int]:
+    """Pieces by rounded length: groups of equal cardinality over the lengths from capacity - 1 to `least`, each rounded up to its longest."""
+    lengths = np.arange(capacity - 1, least - 1, -1)
+    lengths = lengths[left[lengths] > 0]
+    total = int(left[lengths].sum())
+    quota, before = max(1, -(-total // groups)), 0
+    out: dict[int, int] = {}
+    for x in lengths.tolist():
+        n, head = int(left[x]), x
+        if before % quota:  # the group that this length's first pieces join
+            head = current
+            first = min(n, quota - before % quota)
+            out[head] += first
+            before, n = before + first, n - first
+        if n:
+            current = x
+            out[x] = out.get(x, 0) + n
+            before += n
+    return out
+
+
+def _apply(runs: Runs, slots: list[int], times: int, capacity: int, least: int, waste: int) -> None:
+    """Up to `times` sequences of one configuration, as long as they leave no more than `waste` tokens free.
+
+    A slot takes the longest piece left that its rounded length admits, the last one the longest
+    that the sequence still has room for: that is never less than its own size.
+    """
+    left, there = runs.left, runs.left > 0
+    there[:least] = False
+    while times > 0:
+        room, picks = capacity, []
+        for k, slot in enumerate(slots):
+            most = min(room, slot) if k + 1 < len(slots) else room
+            x = most - int(np.argmax(there[most::-1]))
+            if not there[x]:
+                break
+            picks.append(x)
+            room -= x
+            left[x] -= 1
+            there[x] = left[x] > 0
+        for x in picks:
+            left[x] += 1
+            there[x] = True
+        if not picks or room > waste:
+            return
+        n = min([times, *(int(left[x]) // picks.count(x) for x in set(picks))])
+        at, first = 0, runs.sequences
+        runs.sequences += n
+        for x in picks:
+            runs.place(x, n, first, at)
+            there[x] = left[x] > 0
+            at += x
+        runs.free(room, first, n)
+        times -= n
+
+
+def _plan(counts: np.ndarray, capacity: int, groups: int, large: int, schedule: tuple[int, ...]) -> tuple[int, np.ndarray]:
     runs = Runs(counts)
-    if runs.left[capacity]:
-        n = int(runs.left[capacity])
+    if n := int(runs.left[capacity]):
         runs.place(capacity, n, 0, 0)
         runs.sequences = n
-    lengths = [x for x in range(capacity - 1, capacity // large, -1) if runs.left[x]]
-    total = int(sum(runs.left[x] for x in lengths))
-    made: list[list[list[int]]] = []  # groups of [length, pieces left], longest first
-    if total:
-        quota, filled = -(-total // groups), 0
-        for x in lengths:
-            n = int(runs.left[x])
-            while n:
-                if not made or filled >= quota:
-                    made.append([])
-                    filled = 0
-                take = min(n, quota - filled)
-                made[-1].append([x, take])
-                n -= take
-                filled += take
-    sizes: dict[int, list[list[list[int]]]] = {}
-    for group in made:  # groups that round up to the same length are one size
-        sizes.setdefault(group[0][0], []).append(group)
-    heads = list(sizes)
-    stock = [[run for group in sizes[h] for run in group] for h in heads]
-    plan = configurations(heads, [sum(n for _, n in s) for s in stock], capacity)
-    for column, times in plan:
-        slots = [i for i, n in enumerate(column) for _ in range(n)]
-        first, spans = runs.sequences, [(0, times, 0)]  # of this configuration's sequences: start, count, filled tokens
-        runs.sequences += times
-        for slot in slots:
-            after = []
-            for start, count, filled in spans:
-                while count:
-                    run = stock[slot][0]
-                    n = min(count, run[1])
-                    runs.place(run[0], n, first + start, filled)
-                    after.append((start, n, filled + run[0]))
-                    run[1] -= n
-                    if not run[1]:
-                        stock[slot].pop(0)
-                    start, count = start + n, count - n
-            spans = after
-        for start, count, filled in spans:
-            runs.free(capacity - filled, first + start, count)
+    least = capacity // large + 1
+    for waste in schedule:
+        sizes = _grouped(runs.left, capacity, groups, least)
+        heads = list(sizes)
+        for column, times in configurations(heads, list(sizes.values()), capacity):
+            _apply(runs, [heads[i] for i, n in enumerate(column) for _ in range(n)], times, capacity, least, waste)
     _best_fit(runs, capacity)
-    return np.array(sorted(runs.rows), np.int64).reshape(-1, 5)
+    return runs.sequences, np.array(sorted(runs.rows), np.int64).reshape(-1, 5)
+
+
+def plan_runs(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS, schedules: tuple = SCHEDULES) -> np.ndarray:
+    """Runs (length, first rank, pieces, first sequence, offset) for counts[length] pieces of each length.
+
+    Each step of a schedule groups the large pieces that are left anew, solves for the
+    configurations and keeps those of their sequences that the actual pieces fill up to
+    the step's waste; the rest, and the small pieces, are placed by best fit. The plan
+    of the schedule with the fewest sequences is taken; none is tried beyond one that
+    reaches the bound, the sum of all lengths over the capacity.
+    """
+    bound = -(-int((counts * np.arange(len(counts))).sum()) // capacity)
+    best = None
+    for large, schedule in schedules:
+        got = _plan(counts, capacity, groups, large, schedule)
+        if best is None or got[0] < best[0]:
+            best = got
+        if best[0] <= bound:
+            break
+    return best[1]
 
 
 def _best_fit(runs: Runs, capacity: int) -> None:
@@ -295,7 +380,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, pla
         counts[row.length] = row.n
     runs = docs.sparkSession.sparkContext.broadcast((planner or functools.partial(plan_runs, capacity=capacity))(counts))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = pieces.join(per_task.select("length", "task", F.coalesce(before, F.lit(0)).alias("before")), ["length", "task"])
+    # the counts grow with lengths times tasks, so they are merged and never broadcast; a length within a task is no hot key
+    ranked = pieces.join(per_task.select("length", "task", F.coalesce(before, F.lit(0)).alias("before")).hint("merge"), ["length", "task"])
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 

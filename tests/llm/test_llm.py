@@ -341,17 +341,46 @@ def test_packing(spark):
     assert packing.pack(empty_docs(spark)).count() == 0
 
 
-def test_plan_is_near_the_bound():
+def sequences_of(counts, runs):
+    """The number of sequences of a plan, each filled gaplessly within the capacity and every piece placed once."""
+    starts = {}
+    for length, rank, n, first, at in runs.tolist():
+        starts.setdefault(length, []).append((rank, n))
+    assert {x: sum(n for _, n in r) for x, r in starts.items()} == {x: int(n) for x, n in enumerate(counts) if n}
+    for r in starts.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(r, r[1:], strict=False)) and r[0][0] == 0
+    total = int((runs[:, 3] + runs[:, 2]).max())
+    filled, longest = np.zeros(total, np.int64), np.zeros(total, np.int64)
+    for length, _, n, first, at in runs.tolist():
+        filled[first : first + n] += length
+        longest[first : first + n] = np.maximum(longest[first : first + n], at + length)
+    assert (filled == longest).all() and filled.max() <= 4096 and filled.min() > 0
+    return total
+
+
+def test_plan_has_few_sequences():
     rng = np.random.default_rng(6)
-    counts = np.bincount(np.minimum(4096, rng.lognormal(6.5, 1, 20_000).astype(int) + 1), minlength=4097)
-    runs = packing.plan_runs(counts)
-    assert runs[:, 2].sum() == counts.sum()
-    assert (runs[:, 3] + runs[:, 2]).max() <= 1.01 * np.ceil((counts * np.arange(4097)).sum() / 4096) + 2
+    cases = [np.bincount(np.minimum(4096, rng.lognormal(m, s, n).astype(int) + 1), minlength=4097) for m, s, n in ((6.5, 1, 20_000), (7.5, 0.5, 20_000), (7.2, 0.7, 160_000), (7, 0.2, 20_000), (8, 0.4, 5_000))]
+    cases += [np.bincount(rng.integers(1, 4097, 9_000), minlength=4097), np.eye(1, 4097, 1000, dtype=int)[0] * 7, np.bincount([4096] * 3 + [1] * 5, minlength=4097)]
+    better = 0
+    for counts in cases:
+        plain = packing.Runs(counts)
+        packing._best_fit(plain, 4096)
+        got = sequences_of(counts, packing.plan_runs(counts))
+        assert -(-int((counts * np.arange(4097)).sum()) // 4096) <= got <= plain.sequences
+        better += got < plain.sequences
+    assert better >= 3
+    assert len(packing.plan_runs(np.zeros(4097, int))) == 0
+
+
+def test_plan_of_the_documents_is_at_the_bound(spark):
+    got = registry.QUERIES["op9_best_fit_packing"](spark, "/root/testdata/sf0.01").toPandas()
+    assert got.sequence_id.nunique() == -(-got.length.sum() // 4096)
 
 
 def test_encoder_equals_tokenizer_on_whole_texts():
     e = packing.Encoder(packing.vocabulary_path(), most=10)
-    odd = ["a  b\t\tc\n x", "", "don't I'LL ÇA E\u0301 e\u0301 x\u00a0y \u3000z", "<|startoftext|> hi<|endoftext|>", "ΑΣ ΑΣ, Σ ÀÉ", "a\x1cb \x85 c", "\u200bq 12 345 İx ǅ K"]
+    odd = ["a  b\t\tc\n x", "", "don't I'LL ÇA E\u0301 e\u0301 x\u00a0y \u3000z", "<|startoftext|> hi<|endoftext|>", "ΑΣ ΑΣ, Σ ÀÉ", "\u1100\u1161 n\u0303o ²³ ½ x\u200dy \U0001f600\U0001f600 a.b,c%% 中文字 ไทย", "a\x1cb \x85 c", "\u200bq 12 345 İx ǅ K"]
     for t, ids in zip(odd, e.encode(odd), strict=True):
         assert ids.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
