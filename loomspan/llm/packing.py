@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan import scratch
-from loomspan.llm.text import slices
+from loomspan.llm.text import slices, trim
 
 CAPACITY = 4096
 END_ID = 1
@@ -111,7 +111,8 @@ class Encoder:
         new = list({w for words in parts for w in words} - known.keys())
         made: dict[str, bytes] = {}
         for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
+            # the cache keeps copies made in a row: the texts' own words would each hold on to a block of freed memory
+            some = " ".join(new[i : i + 20_000]).split(" ")
             made.update(zip(some, self._each(some), strict=True) if self.ends is None else self._lines(some))
         if len(known) + len(made) <= self.most:
             known.update(made)
@@ -380,12 +381,16 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, pla
         counts[row.length] = row.n
     runs = docs.sparkSession.sparkContext.broadcast((planner or functools.partial(plan_runs, capacity=capacity))(counts))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
-    # the counts grow with lengths times tasks, so they are merged and never broadcast; a length within a task is no hot key
-    ranked = pieces.join(per_task.select("length", "task", F.coalesce(before, F.lit(0)).alias("before")).hint("merge"), ["length", "task"])
+    # the counts grow with lengths times tasks, so they are never broadcast; a length within a task is no hot key, and one number as key keeps the hash tables small
+    group = (F.col("task") * (capacity + 1) + F.col("length")).alias("group")
+    starts = per_task.select(group, F.coalesce(before, F.lit(0)).alias("before"))
+    ranked = pieces.withColumn("group", group).join(starts.hint("shuffle_hash"), "group")
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoders.clear()  # their words are not needed any more
+        trim()
         rows = runs.value
         span = int(rows[:, 1].max()) + int(rows[:, 2].max()) + 1 if len(rows) else 1
         keys = rows[:, 0] * span + rows[:, 1]
