@@ -1,11 +1,11 @@
 """Main text of web pages: parser events, text-to-tag ratios, Gaussian smoothing, threshold clusters.
 
 The standard library's parser streams its events into block lines. Each line has the
-ratio of its characters to its tags; lines of known boilerplate containers have ratio
-0. The smoothed ratios are cut at their spread, and neighbouring lines above the cut
-form clusters. The clusters select the page's content region: the article that holds
-them all, else the smallest container that does, of which all lines that are neither
-boilerplate nor lists of links are returned.
+ratio of its characters to its tags, on which its tags' and links' meaning is a weight: 0 for
+known boilerplate. The ratios are smoothed along the page and cut at their spread, and
+neighbouring lines above the cut form clusters. A line is returned if it is in a cluster
+or if it keeps a ratio in the article, else in the smallest container, of the clusters;
+nothing but the smoothed ratios and the place of the clusters decides.
 """
 
 from __future__ import annotations
@@ -39,6 +39,12 @@ CLOSES = {"p": frozenset(("p",)), "li": frozenset(("li",)), "dt": frozenset(("dt
 LIMITS = frozenset("article aside blockquote body div dl footer form header main nav ol section table td th ul".split())
 BODY = frozenset(("html", "body", "article", "main"))
 SIGMA, RADIUS = 1.0, 2
+#: Share of a line's ratio that is left to text that is all links, and to lines outside the articles of a page that has some.
+LINKED, OUTSIDE = 0.02, 0.02
+#: How many times its own ratio a line can have by its neighbours'.
+LIFT = 10.0
+#: Characters for each tag that a line must keep, smoothed, to follow the clusters of its container where there is no article.
+LOW = 1.0
 
 _word = re.compile(r"[^a-z0-9]+")
 
@@ -163,49 +169,70 @@ def block_lines(html: str) -> tuple[list[Line], list[int]]:
     return parser.lines, parser.parents
 
 
+def ratios_of(lines: list[Line]) -> np.ndarray:
+    """Characters by tags of each line, weighed down by what its tags say: nothing for known boilerplate, little for links and for what is outside an article."""
+    articles = any(x.article and not x.dropped for x in lines)
+    out = np.zeros(len(lines))
+    for i, x in enumerate(lines):
+        if not x.dropped:
+            weight = max(LINKED, 1 - x.linked / x.chars)
+            out[i] = weight * (OUTSIDE if articles and not x.article else 1.0) * x.chars / max(1, x.tags)
+    return out
+
+
 def smooth(ratios: np.ndarray, sigma: float = SIGMA, radius: int = RADIUS) -> np.ndarray:
-    """Gaussian smoothing; at the ends the kernel is cut and scaled to 1."""
+    """Gaussian smoothing over the lines that have a ratio; lines of ratio 0 stay 0 and no line is lifted above LIFT times its own ratio."""
     kernel = np.exp(-(np.arange(-radius, radius + 1) ** 2) / (2 * sigma**2))
-    full = np.convolve(ratios, kernel)[radius : radius + len(ratios)]
-    return full / np.convolve(np.ones(len(ratios)), kernel)[radius : radius + len(ratios)]
+    there = (ratios > 0).astype(float)
+    full, share = (np.convolve(x, kernel)[radius : radius + len(ratios)] for x in (ratios, there))
+    return np.where(ratios > 0, np.minimum(full / np.maximum(share, 1e-300), LIFT * ratios), 0.0)
+
+
+def clusters_of(smoothed: np.ndarray, places: list[int]) -> list[list[int]]:
+    """Runs of lines at or above the cut, the spread of the smoothed ratios; lines without a ratio do not part a run, another article does."""
+    cut = min(float(np.std(smoothed)), float(smoothed.max(initial=0)))
+    out: list[list[int]] = []
+    last = -1  # the last line that has a ratio
+    for i in np.flatnonzero(smoothed > 0).tolist():
+        if smoothed[i] >= cut:
+            if out and out[-1][-1] == last and places[last] == places[i]:
+                out[-1].append(i)
+            else:
+                out.append([i])
+        last = i
+    return out
 
 
 def content_lines(lines: list[Line], parents: list[int]) -> list[Line]:
-    """The lines of the content region, in page order."""
-    if not any(not x.dropped for x in lines):
+    """The lines that the clusters choose, in page order.
+
+    A cluster within an article brings all lines of that article that have a smoothed
+    ratio. Without an article the clusters bring the lines of their common container
+    that keep a ratio of LOW; beside articles a cluster brings its own lines alone.
+    """
+    if not lines:
         return []
-    ratios = np.array([0.0 if x.dropped else max(0, x.chars - x.linked) / max(1, x.tags) for x in lines])
-    smoothed = smooth(ratios)
-    kept = np.array([not x.dropped for x in lines])
-    cut = min(float(np.std(smoothed)), float(smoothed[kept].max()))
-    above = kept & (smoothed >= cut)
-    if any(lines[i].article for i in np.flatnonzero(kept)):
-        inside = np.array([x.article > 0 for x in lines])
-        above = above & inside if (above & inside).any() else kept & inside
-    held = [0] * len(parents)
-    for i in np.flatnonzero(above):
-        held[lines[i].node] += 1
-    total = sum(held)
-    for node in range(len(parents) - 1, 0, -1):
-        held[parents[node]] += held[node]
-    region = max(n for n in range(len(parents)) if held[n] == total)  # the common ancestor of all clusters
-    chosen = {lines[i].article for i in np.flatnonzero(above)}
-    if len(chosen) == 1:
-        region = chosen.pop() or region
-    within = [False] * len(parents)
-    for node in range(len(parents)):
-        within[node] = node == region or node > 0 and within[parents[node]]
-    articles = any(lines[i].article for i in np.flatnonzero(above))
-    out = []
-    for i, x in enumerate(lines):
-        if x.dropped or articles and not x.article:
-            continue
-        if not within[x.node]:
-            continue
-        if x.linked > 0.6 * x.chars and not above[i] and not x.article:
-            continue
-        out.append(x)
-    return out
+    smoothed = smooth(ratios_of(lines))
+    places = [x.article for x in lines]
+    clusters = clusters_of(smoothed, places)
+    chosen = {places[c[0]] for c in clusters}
+    take = np.zeros(len(lines), bool)
+    for c in clusters:
+        take[c] = True
+    if articles := chosen - {0}:
+        take |= (smoothed > 0) & np.array([p in articles for p in places])
+    elif clusters:
+        held = [0] * len(parents)
+        for i in np.flatnonzero(take):
+            held[lines[i].node] += 1
+        for node in range(len(parents) - 1, 0, -1):
+            held[parents[node]] += held[node]
+        region = max(n for n in range(len(parents)) if held[n] == held[0])
+        within = [False] * len(parents)
+        for node in range(len(parents)):
+            within[node] = node == region or node > 0 and within[parents[node]]
+        take |= (smoothed >= LOW) & np.array([within[x.node] for x in lines])
+    return [x for x, t in zip(lines, take, strict=True) if t]
 
 
 def main_text(html: str | None) -> str:

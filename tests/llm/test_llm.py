@@ -104,6 +104,61 @@ def test_article_keeps_its_short_lines():
     assert "Between." in apart.split("\n")
 
 
+BOILERPLATE = (
+    "<nav><ul><li><a href=/>Home</a><li><a href=/x>More &amp; more</a></ul></nav>", "<aside><p>{0}</aside>", "<div class='ad banner'>{0}</div>", "<script>var a='<p>{0}</p>'</script>", "<style>p{{}}</style>",
+    "<form><label>Mail</label><input value='{0}'><button>Go</button></form>", "<div id=cookie-notice>{0}</div>", "<div class=sidebar><p>{0}</p><p>{0}</p></div>", "<section id=comments><p>{0}</p><article>{0}</article></section>",
+    "<footer>&copy; {0}</footer>", "<div role=navigation>{0}</div>", "<!-- {0} -->", "<p hidden>{0}</p>", "<div class='related share'><a href=/>{0}</a></div>",
+)
+
+
+def made_page(rng, box):
+    """A page of known blocks: (html, its main text)."""
+    blocks, want, words = [], [], [f"w{i}" for i in range(50)] + ["&eacute;t&eacute;", "a&nbsp;b", "&lt;tag&gt;", "x<br>y", "<b>bold</b>", "<i>it</i>alic", "&#x4e2d;", "<a href=/l>link</a>"]
+    plain = {"&eacute;t&eacute;": "été", "a&nbsp;b": "a b", "&lt;tag&gt;": "<tag>", "x<br>y": "x y", "<b>bold</b>": "bold", "<i>it</i>alic": "italic", "&#x4e2d;": "中", "<a href=/l>link</a>": "link"}
+    junk = lambda: rng.choice(BOILERPLATE).format(" ".join(rng.choices(words[:50], k=rng.choice([3, 40]))))
+    for i in range(rng.randint(3, 12)):
+        got = rng.choices(words, k=rng.choice([2, 6, 40, 120]) if 0 < i < 3 else rng.choice([30, 90]))
+        blocks.append(f"<{(t := rng.choice(['p', 'h2', 'blockquote', 'pre']))}>{rng.choice([' ', chr(10), '  '])}{' '.join(got)}</{t}>")
+        want.append(" ".join(plain.get(w, w) for w in got))
+        if rng.random() < 0.3:
+            blocks.append(junk())
+    html = f"<html><head><title>T</title></head><body>{junk()}{junk()}<{box}>{''.join(blocks)}</{box.split()[0]}>{junk()}{junk()}</body></html>"
+    return html, "\n".join(want)
+
+
+def test_main_text_of_made_pages(spark):
+    rng = random.Random(11)
+    pages = [made_page(rng, box) for box in ("article", "main", "div class=body") for _ in range(60)]
+    rows = [(i, f"http://x/{i}", html, "clash", 1, "clash") for i, (html, _) in enumerate(pages)]
+    huge = "<article>" + "<p>one more paragraph of a very long page</p>" * 60_000 + "</article><footer>x</footer>"
+    rows += [rows[0], rows[0], (None, None, huge, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, n_lines string")
+    got = html_extract.extract_pages(df).collect()
+    assert Counter((r.page_id, r.text) for r in got if r.page_id is not None) == Counter([(i, w) for i, (_, w) in enumerate(pages)] + [(0, pages[0][1])] * 2)
+    assert all(r.n_chars == len(r.text) for r in got)
+    assert [r.text.count("\n") for r in got if r.page_id is None] == [59_999]
+    assert html_extract.extract_pages(df.limit(0)).count() == 0
+
+
+def test_ratios_decide(monkeypatch):
+    """With other smoothed ratios nearly every page reads otherwise: nothing beside them drops a line."""
+    rng = random.Random(12)
+    pages = [made_page(rng, box) for box in ("article", "div") for _ in range(40)]
+    numbers = np.random.default_rng(1)
+    smooth = html_extract.smooth
+    for other in (lambda r: numbers.random(len(r)), lambda r: np.ones(len(r)), lambda r: smooth(r)[::-1]):
+        monkeypatch.setattr(html_extract, "smooth", other)
+        assert sum(html_extract.main_text(html) != want for html, want in pages) > 70
+
+
+def test_smoothing_lifts_short_lines(monkeypatch):
+    long = "<p>" + "some long body text here. " * 20 + "</p>"
+    page = f"<body><div>{long}{long}<p><i><b></b></i><span></span><u></u>Yes</p>{long}<p><i></i><i></i>12 {long}</div>"
+    assert html_extract.main_text(page).split("\n")[2] == "Yes"
+    monkeypatch.setattr(html_extract, "smooth", lambda ratios: ratios)
+    assert "Yes" not in html_extract.main_text(page).split("\n")
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", None), (None, None, "<p>x y"), (2, "u", "")], "page_id long, url string, html string")
     assert sorted((r.text, r.n_chars) for r in html_extract.extract_pages(df).collect()) == [("", 0), ("", 0), ("x y", 3)]
