@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from loomspan import scratch
+from loomspan.operators import metrics
 from loomspan.operators.chunking import chunked
+from loomspan.sources import sinks
 
 LEAST_ANSWER = 50
 
@@ -86,3 +90,84 @@ def complete(prompt: str, model: Completer, tries: int = 3, least: int = LEAST_A
 def joined_prompt(*sections: tuple[str, str | None]) -> str:
     """Headed sections one after the other, without empty ones; nothing is formatted, since logs hold braces."""
     return "\n\n".join(head + "\n" + body for head, body in sections if body)
+
+
+def cache_key(text: Column, model: str) -> Column:
+    """What identifies the vector of a text by a model; a null text counts as empty."""
+    return F.sha2(F.concat(F.lit(model + "\n"), F.coalesce(text, F.lit(""))).cast("binary"), 256)
+
+
+#: Bytes that a call costs beyond its text, and the most that one text may have.
+OVERHEAD, MOST_BYTES = 32, 32_000
+
+
+def budgeted(rows: DataFrame, cache: DataFrame, limit: int) -> DataFrame:
+    """(account, seq, key, state) of rows (account, seq, text, key): cached, embedded, refused, or too long.
+
+    A row that the cache (key) holds costs nothing; the others ask in order for their bytes,
+    and one that does not fit the account's limit takes nothing.
+    """
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + OVERHEAD
+    held = cache.select("key").distinct().withColumn("__held", F.lit(True))
+    told = rows.select("account", "seq", "key", size.alias("amount")).join(held, "key", "left")
+    ask = told.where(F.col("__held").isNull() & (F.col("amount") <= MOST_BYTES))
+    granted = metrics.admit(ask, limit).select("account", "seq", "admitted")
+    both = told.join(granted, ["account", "seq"], "left")
+    state = F.when(F.col("__held"), "cached").when(F.col("amount") > MOST_BYTES, "too long").when(F.col("admitted"), "embedded").otherwise("refused")
+    return both.select("account", "seq", "key", state.alias("state"))
+
+
+def embed_budgeted(rows: DataFrame, root: str, model: Embedder, limit: int) -> DataFrame:
+    """(account, seq, key, state), after the vectors that the budget admits were added to the cache, a table below `root`.
+
+    A run that dies leaves the cache as it was; what it had embedded is asked for again.
+    """
+    spark = rows.sparkSession
+    found = sinks.current_table(spark, root)
+    cache = spark.createDataFrame([], "key string, embedding array<float>") if found is None else found
+    plan = scratch.materialize(budgeted(rows, cache, limit), "budget")
+    wanted = rows.join(plan.where("state = 'embedded'").select("account", "seq"), ["account", "seq"], "left_semi").select("key", "text").dropDuplicates(["key"])
+    sinks.replace_table(cache.unionByName(embed(wanted, model, key="key")), root)
+    return plan
+
+
+class IncompleteAnswer(RuntimeError):
+    """An answer that ended at its limit; carries what there is of it."""
+
+    def __init__(self, text: str):
+        super().__init__("the answer ended at its limit")
+        self.text = text
+
+
+LONG_ANSWER, BRIEF_ANSWER = 8192, 1800
+
+
+def answer(question: str, context: str, model: Callable[[str, int], tuple[str, str]], brief: bool = False, extra: str = "") -> str:
+    """An answer from passages by a model that gives (text, reason of the end); an empty one is an error, one that ended at its limit carries its text."""
+    asked = f"Question: {question}" + (f"\n\nAdditional instructions:\n{extra}" if extra else "") + f"\n\nPaper excerpts:\n{context}"
+    text, reason = model(asked, BRIEF_ANSWER if brief else LONG_ANSWER)
+    if not text.strip():
+        raise ValueError("the model returned no answer")
+    if reason == "length":
+        raise IncompleteAnswer(text)
+    return text
+
+
+def searched_answer(question: str, search: Callable[[str], str], model: Completer) -> str:
+    """Ask the model for a search query, search, and answer from what was found; the answer begins with the query."""
+    wanted = model(joined_prompt(("Write a search query for this question.", question))).strip()
+    return f"Search query: {wanted}\n\n" + model(joined_prompt(("Context", search(wanted)), ("Question", question)))
+
+
+def with_retry(model: Embedder, message: str = "No embedding data received") -> Callable[[Sequence[str]], Sequence[Sequence[float]]]:
+    """The model, asked once more where it fails with the message that stands for an empty reply; any other error stays."""
+
+    def call(texts: Sequence[str]) -> Sequence[Sequence[float]]:
+        try:
+            return model(texts)
+        except ValueError as error:
+            if message not in str(error):
+                raise
+            return model(texts)
+
+    return call

@@ -1,4 +1,4 @@
-"""Command line: list and run registered queries, preprocess logs, serve a search."""
+"""Command line: queries, logs, searches, indexes and their state, inventories, digests."""
 
 from __future__ import annotations
 
@@ -27,9 +27,118 @@ def _parser() -> argparse.ArgumentParser:
     search.add_argument("tables")
     search.add_argument("words", nargs="+")
     search.add_argument("--top-k", type=int, default=8)
+    search.add_argument("--filter", help='such as: lang = "en" AND n_chars >= 200')
+    search.add_argument("--mode", choices=("keyword", "semantic", "hybrid"), default="keyword")
+    search.add_argument("--vector", type=int, default=0, help="the vector that stands for the question where the mode asks for one")
+    context = commands.add_parser("context", help="print the context of a search: headed passages, one after the other")
+    context.add_argument("tables")
+    context.add_argument("words", nargs="+")
+    context.add_argument("--top-k", type=int, default=4)
+    build = commands.add_parser("index", help="index new and changed papers of a table (paper, text, sha256)")
+    build.add_argument("papers")
+    build.add_argument("root")
+    for name, told in (("status", "print counts of papers by state"), ("failures", "print failed papers with their errors"), ("audit", "compare the stored passages with the manifest")):
+        commands.add_parser(name, help=told).add_argument("root")
+    words = commands.add_parser("keyword-index", help="write postings of a table of documents")
+    words.add_argument("documents")
+    words.add_argument("root")
+    find = commands.add_parser("keyword-search", help="search written postings")
+    find.add_argument("root")
+    find.add_argument("words", nargs="+")
+    find.add_argument("--top-k", type=int, default=8)
+    listing = commands.add_parser("inventory", help="print number and size of files")
+    listing.add_argument("root")
+    listing.add_argument("--pattern", default="*")
+    cost = commands.add_parser("cost", help="print what storing files costs")
+    cost.add_argument("root")
+    cost.add_argument("--pattern", default="*.md")
+    cost.add_argument("--days", type=int, default=30)
+    cost.add_argument("--searches", type=int, default=0)
+    gaps = commands.add_parser("missing", help="print the days without a log")
+    gaps.add_argument("logs")
+    gaps.add_argument("--today")
+    gaps.add_argument("--since", default="2021-01-01")
+    corpus = commands.add_parser("corpus", help="read a corpus of a known shape and write it as Parquet")
+    corpus.add_argument("shape")
+    corpus.add_argument("root")
+    corpus.add_argument("output")
+    digest = commands.add_parser("summarize", help="build weekly digests from daily ones and write them as JSON lines")
+    digest.add_argument("digests")
+    digest.add_argument("output")
+    page = commands.add_parser("index-page", help="write the page that lists all digests")
+    page.add_argument("digests")
+    page.add_argument("output")
     return parser
 
 
+def _print(df) -> None:
+    for row in df.toLocalIterator():
+        print(json.dumps(row.asDict(recursive=True), default=str, ensure_ascii=False))
+
+
+def found(spark, tables: str, words: list[str], k: int, mode: str = "keyword", where: str | None = None, vector: int = 0):
+    """(doc_id, score) of a search over the documents of a folder of tables."""
+    from loomspan.operators import retrieval
+    from loomspan.plans import registry
+
+    docs = registry.table(spark, tables, "documents")
+    allowed = docs.where(retrieval.metadata_filter(where, set(docs.columns) - {"text"})).select("doc_id") if where else None
+
+    def semantic():
+        near = retrieval.distances(registry.table(spark, tables, "embeddings"), registry._vector(spark, tables, vector))
+        return near.select(F.col("vec_id").alias("doc_id"), "distance")
+
+    return retrieval.search(mode, semantic, lambda: retrieval.keyword_scores(docs, [w.lower() for w in words]), k, allowed=allowed)
+
+
+def reports(spark, asked: argparse.Namespace) -> None:
+    """The commands that only read and print, or write one output."""
+    from loomspan.adapters import models
+    from loomspan.functions import calendar as cal
+    from loomspan.operators import context, digests, index_page, indexing, manifests, metrics, retrieval
+    from loomspan.plans import registry
+    from loomspan.sources import files, sinks
+
+    if asked.command == "context":
+        docs = registry.table(spark, asked.tables, "documents")
+        best = found(spark, asked.tables, asked.words, asked.top_k)
+        rows = best.join(docs, "doc_id").withColumn("rank", -F.col("score"))
+        head = context.passage_header({"source_type": F.col("source"), "filename": F.col("doc_id").cast("string")}, F.col("score"))
+        for row in context.format_context(rows, [], ["rank", "doc_id"], head, F.col("text")).collect():
+            print(row.context)
+    elif asked.command == "index":
+        indexing.index(spark.read.parquet(asked.papers), asked.root, models.HashEmbedder())
+    elif asked.command == "status":
+        _print(indexing.manifest(spark, asked.root).groupBy("state").agg(F.count("*").alias("papers"), F.sum("total").alias("passages")).orderBy("state"))
+    elif asked.command == "failures":
+        _print(indexing.manifest(spark, asked.root).where("state = 'failed'").select("paper", "error").orderBy("paper"))
+    elif asked.command == "audit":
+        _print(manifests.audit(indexing.manifest(spark, asked.root).select("paper", "total"), indexing.current_passages(spark, asked.root), "paper").where("problem <> 'ok'").orderBy("paper"))
+    elif asked.command == "keyword-index":
+        retrieval.keyword_index(spark.read.parquet(asked.documents), asked.root)
+    elif asked.command == "keyword-search":
+        _print(retrieval.indexed_scores(spark, asked.root, [w.lower() for w in asked.words]).orderBy(F.desc("score"), "doc_id").limit(asked.top_k))
+    elif asked.command == "inventory":
+        _print(metrics.inventory(files.inventory(spark, asked.root, asked.pattern)))
+    elif asked.command == "cost":
+        held = metrics.inventory(files.inventory(spark, asked.root, asked.pattern))
+        _print(held.select("files", "bytes", "gib", metrics.storage_cost(F.col("bytes"), asked.days, asked.searches).alias("usd")))
+    elif asked.command == "missing":
+        today = F.to_date(F.lit(asked.today)) if asked.today else F.current_date()
+        _print(cal.days_to_fetch(files.day_logs(spark, asked.logs).select("day"), today, F.to_date(F.lit(asked.since))).orderBy("day"))
+    elif asked.command == "corpus":
+        files.corpus(spark, asked.root, files.CORPORA[asked.shape]).write.parquet(asked.output)
+    elif asked.command == "summarize":
+        held = files.digests(spark, asked.digests, only_usable=True).withColumn("seconds", F.unix_micros("mtime"))
+        parts = held.where("kind = 'daily'").select(cal.week_label(F.col("start")).alias("label"), F.col("label").alias("part"), "text", F.col("seconds").alias("mtime"))
+        wholes = held.where("kind = 'weekly'").select("label", F.col("seconds").alias("mtime"), "text")
+        sinks.write_lines(digests.build(digests.plan(parts, wholes), models.echo), asked.output)
+    else:
+        held = index_page.items(files.digests(spark, asked.digests).select("kind", "label", "text"))
+        gone = index_page.missing(held, held.where("kind = 'daily'").select(F.col("start").alias("day")))
+        sinks.write_text(spark, asked.output, index_page.page(index_page.payload(held, gone).first().payload))
+
+
 def preprocess(spark, logs: str, output: str, most: int, overlap: int) -> None:
     from loomspan.operators import chunking
     from loomspan.sources import files, sinks
@@ -42,8 +151,7 @@ def preprocess(spark, logs: str, output: str, most: int, overlap: int) -> None:
 
 
 def main(argv: list[str] | None = None) -> int:
-    from loomspan.operators import retrieval
-    from loomspan.plans import catalogue, publishing, registry  # noqa: F401  all register queries
+    from loomspan.plans import catalogue, publishing, registry, reports  # noqa: F401  all register queries
 
     asked = _parser().parse_args(argv)
     if asked.command == "queries":
@@ -56,10 +164,10 @@ def main(argv: list[str] | None = None) -> int:
         registry.QUERIES[asked.name](spark, asked.tables).write.parquet(asked.output)
     elif asked.command == "preprocess":
         preprocess(spark, asked.logs, asked.output, asked.max_tokens, asked.overlap)
+    elif asked.command == "search":
+        _print(found(spark, asked.tables, asked.words, asked.top_k, asked.mode, asked.filter, asked.vector))
     else:
-        docs = registry.table(spark, asked.tables, "documents")
-        for row in retrieval.keyword_scores(docs, [w.lower() for w in asked.words]).orderBy(F.desc("score"), "doc_id").limit(asked.top_k).collect():
-            print(json.dumps(row.asDict()))
+        reports(spark, asked)
     return 0
 
 

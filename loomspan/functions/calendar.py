@@ -50,3 +50,11 @@ def month_weeks(days: DataFrame) -> DataFrame:
     """(month, week_start): an ISO week belongs to every month that it touches."""
     weeks = days.select(monday_of(F.col("day")).alias("week_start")).distinct()
     return weeks.select("week_start", F.explode(F.array_distinct(F.array(month_label(F.col("week_start")), month_label(F.date_add("week_start", 6))))).alias("month"))
+
+
+def days_to_fetch(days: DataFrame, today: Column, floor: Column) -> DataFrame:
+    """Days from the later of the first held day and the floor up to today that are not held; with none held, today alone."""
+    held = days.select("day").where("day IS NOT NULL")
+    first = held.agg(F.min("day").alias("a")).select(F.when(F.col("a").isNull(), today).otherwise(F.greatest("a", floor)).alias("a"))
+    span = first.select(F.explode(days_between(F.col("a"), today)).alias("day"))
+    return span.join(held.distinct(), "day", "left_anti").select("day")

@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-#: Endings and hosts of links that are not read, and hints of scholarly links.
-BINARY_ENDINGS = (".jpg", ".jpeg", ".png", ".gif", ".webp", ".svg", ".mp3", ".mp4", ".zip", ".gz", ".tar", ".exe")
-SCHOLARLY_HINTS = ("arxiv.org", "doi.org", "biorxiv", "pubmed", "ncbi.nlm.nih.gov", "nature.com", "sciencedirect", "springer", "jstor")
+from pyspark.sql import types as T
+
+# Links of these hosts and endings are not read, and these hints in a link mean a scholarly text.
+BINARY_ENDINGS = (
+    ".png", ".jpg", ".jpeg", ".gif", ".webp", ".svg", ".bmp", ".ico", ".mp4", ".webm", ".mov", ".avi", ".mkv", ".mp3", ".wav", ".ogg",
+    ".zip", ".tar", ".gz", ".xz", ".bz2", ".7z", ".rar", ".exe", ".dmg", ".iso", ".bin",
+)
+SCHOLARLY_HINTS = (
+    "arxiv.org", "biorxiv.org", "medrxiv.org", "chemrxiv.org", "osf.io", "doi.org", "nature.com", "science.org", "sciencedirect.com", "cell.com", "pnas.org",
+    "ncbi.nlm.nih.gov", "pubmed", "pmc", "wiley.com", "springer", "link.springer.com", "frontiersin.org", "journals.plos.org", "plos.org", "mdpi.com",
+    "biomedcentral.com", "elifesciences.org", "jamanetwork.com", "thelancet.com", "nejm.org", "oup.com", "academic.oup.com", "tandfonline.com", "researchgate.net",
+    "semanticscholar.org", "ssrn.com", "eprint.iacr.org", "acm.org", "ieee.org", "ieeexplore", "aeb", "acs.org", "rsc.org", "ntrs.nasa.gov", "europepmc.org",
+)
+# Names of the meta elements that give a title or a description, the first that has one wins.
+TITLE_METAS = ("citation_title", "og:title", "dc.title")
+DESCRIPTION_METAS = ("description", "og:description", "citation_abstract")
+# The mark of a cut text, the control characters that no text should have, and those that are taken out of answers.
+TRUNCATED = " …[truncated]"
+DAMAGED = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F\\uFFFD]"
+CONTROLS = "[\\x00-\\x08\\x0B-\\x1F\\x7F]"
 USABLE_LENGTH = 50
 
 
@@ -22,7 +41,7 @@ def usable(c: Column) -> Column:
 
 def damaged_chars(c: Column) -> Column:
     """Control characters other than tab and line ends, and replacement characters."""
-    return F.length(c) - F.length(F.regexp_replace(c, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F\\uFFFD]", ""))
+    return F.length(c) - F.length(F.regexp_replace(c, DAMAGED, ""))
 
 
 def unreadable(c: Column) -> Column:
@@ -31,7 +50,7 @@ def unreadable(c: Column) -> Column:
 
 
 def without_controls(c: Column) -> Column:
-    return F.regexp_replace(c, "[\\x00-\\x08\\x0B-\\x1F\\x7F]", "")
+    return F.regexp_replace(c, CONTROLS, "")
 
 
 def trim_link(c: Column) -> Column:
@@ -84,28 +103,113 @@ def on_host(url: Column, host: str) -> Column:
 
 
 def title_from_url(url: Column) -> Column:
+    """A title for a link without one: the last part of its path, else its host."""
     last = F.regexp_extract(F.regexp_replace(url_path(url), "/+$", ""), "([^/]*)$", 1)
     name = F.when(F.length(last) > 0, last).otherwise(netloc(url))
-    return F.regexp_replace(F.regexp_replace(name, r"\.[A-Za-z0-9]{1,5}$", ""), "[-_]", " ")
+    title = strip(F.regexp_replace(F.regexp_replace(name, r"\.[A-Za-z0-9]{1,5}$", ""), "[-_]", " "))
+    return F.when(F.length(title) > 0, title).otherwise(netloc(url))
 
 
 def truncated(c: Column, most: int) -> Column:
     """At most `most` characters, cut at a space and marked."""
     c = strip(c)
     cut = F.regexp_replace(F.substring(c, 1, most), " [^ ]*$", "")
-    return F.when(F.length(c) > most, F.concat(cut, F.lit(" …[truncated]"))).otherwise(c)
+    return F.when(F.length(c) > most, F.concat(cut, F.lit(TRUNCATED))).otherwise(c)
+
+
+@F.pandas_udf(T.StringType())
+def unescaped(texts: pd.Series) -> pd.Series:
+    """Character references decoded; the built-in functions know none, so whole columns go through Arrow. Null stays null."""
+    return texts.map(lambda t: html.unescape(t) if t and "&" in t else t, na_action="ignore")
+
+
+def meta_contents(page: Column, names: tuple[str, ...]) -> Column:
+    """The first content that is not blank among the meta elements of these names, tried in order; character references as they stand."""
+    metas = F.regexp_extract_all(page, F.lit(r"(?is)(<meta\b[^>]*>)"), F.lit(1))
+    name = lambda m: F.lower(F.regexp_extract(m, r"""(?is)\s(?:name|property)\s*=\s*["']([^"']*)["']""", 1))
+    content = lambda m: F.regexp_extract(m, r"""(?is)\scontent\s*=\s*("[^"]*"|'[^']*')""", 1)
+    pairs = F.transform(metas, lambda m: F.struct(name(m).alias("name"), strip(F.regexp_replace(content(m), r"(?s)^.|.$", "")).alias("content")))
+
+    def named(n: str):
+        return lambda x: (x["name"] == n) & (F.length(x["content"]) > 0)
+
+    return F.coalesce(*(F.get(F.filter(pairs, named(n)), 0)["content"] for n in names))
+
+
+def html_title(page: Column) -> Column:
+    """The title element's text without tags, else that of the title metas; empty where there is none."""
+    title = strip(F.regexp_replace(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1), "<[^>]+>", ""))
+    return strip(unescaped(F.when(F.length(title) > 0, title).otherwise(F.coalesce(meta_contents(page, TITLE_METAS), F.lit("")))))
+
+
+def html_description(page: Column) -> Column:
+    """The description that the metas give; null where there is none."""
+    return strip(unescaped(meta_contents(page, DESCRIPTION_METAS)))
+
+
+def html_text(page: Column) -> Column:
+    """Text of a page by patterns alone: scripts and tags out, references decoded, lines stripped, at most one blank line together."""
+    c = F.regexp_replace(page, r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</\1>", " ")
+    c = unescaped(F.regexp_replace(c, "<[^>]+>", " "))
+    c = F.regexp_replace(c, r"[ \t\r\f\x0B]+", " ")
+    c = F.regexp_replace(c, "[\u001c\u001d\u001e\u0085\u2028\u2029]", "\n")
+    c = F.regexp_replace(c, r"(?U)[\s\x1F&&[^\n]]*\n[\s\x1F&&[^\n]]*", "\n")
+    return F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+
+
+def described(text: Column, description: Column) -> Column:
+    """The text with its description before it, unless it holds that already."""
+    return F.when(description.isNotNull() & ~F.contains(text, description), F.concat(F.lit("Description: "), description, F.lit("\n\n"), text)).otherwise(text)
+
+
+def is_pdf(url: Column, content_type: Column) -> Column:
+    """By the content type, else by the ending of the path; nulls count as empty."""
+    return F.contains(F.lower(F.coalesce(content_type, F.lit(""))), F.lit("application/pdf")) | F.lower(F.coalesce(url_path(url), F.lit(""))).endswith(".pdf")
+
+
+def is_citation(url: Column) -> Column:
+    """Whether a link can be cited: http or https, a host, and no line ends or angle brackets; null is not one."""
+    return F.coalesce(F.lower(url).rlike(r"^https?://[^/?#]") & ~url.rlike(r"[\r\n<>]"), F.lit(False))
+
+
+def is_output_name(c: Column) -> Column:
+    return F.coalesce(c.rlike(r"\A[A-Za-z0-9][A-Za-z0-9._-]*\z"), F.lit(False))
+
+
+def is_safe_path(c: Column) -> Column:
+    """A relative path without hidden, parent or empty parts that ends in .pdf in any case."""
+    return F.coalesce((F.length(c) > 0) & ~c.rlike(r"^/|(^|/)\.|//|[\r\n\x00]|/$") & F.lower(c).endswith(".pdf"), F.lit(False))
+
+
+def is_pdf_content(content: Column) -> Column:
+    """Whether the mark of a PDF is among the first 1024 bytes."""
+    return F.coalesce(F.instr(F.decode(F.substring(content, 1, 1024), "ISO-8859-1"), "%PDF-") > 0, F.lit(False))
+
+
+def failure_kind(content: Column) -> Column:
+    """Why a PDF gave no text, as far as its bytes alone tell; a null content could not be read."""
+    plain = F.decode(content, "ISO-8859-1")
+    return (
+        F.when(content.isNull(), "source_unavailable").when(F.octet_length(content) == 0, "empty_file").when(~is_pdf_content(content), "not_pdf").when(F.contains(plain, F.lit("/Encrypt")), "password_required")
+        .when(~plain.rlike(r"/Type\s*/Page\b"), "no_readable_pages").otherwise("readable_pdf_extraction_failed")
+    )
+
+
+def percent_decoded(c: Column) -> Column:
+    """Percent codes decoded, a plus as it stands; a text with a broken code stays as it is."""
+    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
 
 
-def html_title(html: Column) -> Column:
-    return F.regexp_extract(html, r"(?is)<title[^>]*>([^<]*)</title>", 1)
+def repaired_utf8(content: Column) -> tuple[Column, Column]:
+    """(text, whether it was repaired): bytes as UTF-8, with the replacement character for what is none."""
+    text = F.make_valid_utf8(content.cast("string"))
+    return text, ~F.is_valid_utf8(content.cast("string"))
 
 
-def html_text(html: Column) -> Column:
-    """Text of a page by patterns alone, entities as they stand."""
-    c = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<noscript\b.*?</noscript>|<template\b.*?</template>|<!--.*?-->", " ")
-    c = F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]*>", " "), r"[ \t\r\f\x0B]+", " ")
-    c = F.regexp_replace(F.regexp_replace(c, r" ?\n ?", "\n"), r"\n{3,}", "\n\n")
-    return F.regexp_replace(c, r"^[ \n]+|[ \n]+$", "")
+def collection_fields(path: Column, digest: Column, base: str) -> dict[str, Column]:
+    """The fields that a collection keeps of a document, by its path key."""
+    shown = percent_decoded(path)
+    return {"relative_path": shown, "filename": F.element_at(F.split(shown, "/"), -1), "source_url": F.concat(F.lit(base), path), "sha256": digest}
 
 
 def first_heading(c: Column, fallback: Column) -> Column:
@@ -114,16 +218,19 @@ def first_heading(c: Column, fallback: Column) -> Column:
 
 
 def human_size(c: Column) -> Column:
+    """A size with a unit and one decimal, a half to the even digit; bytes as they are."""
+    shown = lambda unit: F.format_string("%.1f", F.bround(c / unit, 1))
     return (
         F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B")))
-        .when(c < 1 << 20, F.concat(F.format_string("%.1f", c / 1024), F.lit(" KB")))
-        .when(c < 1 << 30, F.concat(F.format_string("%.1f", c / (1 << 20)), F.lit(" MB")))
-        .otherwise(F.concat(F.format_string("%.1f", c / (1 << 30)), F.lit(" GB")))
+        .when(c < 1 << 20, F.concat(shown(1 << 10), F.lit(" KB")))
+        .when(c < 1 << 30, F.concat(shown(1 << 20), F.lit(" MB")))
+        .otherwise(F.concat(shown(1 << 30), F.lit(" GB")))
     )
 
 
 def markdown_label(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"([\\\[\]])", r"\\$1"), r"[\r\n]+", " ")
+    """Escaped for the brackets of a Markdown link; each line end becomes one space."""
+    return F.translate(F.regexp_replace(c, r"([\\\[\]])", r"\\$1"), "\r\n", "  ")
 
 
 def unfenced(c: Column) -> Column:

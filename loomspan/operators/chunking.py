@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomspan.functions.text import token_count
 
@@ -23,7 +25,7 @@ def submitted_tokens(tokens: Column, billed: Column, size: int, overlap: int) ->
 
 
 def fixed_windows(docs: DataFrame, size: int, overlap: int) -> DataFrame:
-    """(doc_id, chunk, first_token, n_tokens, chunk_text) over words separated by spaces; windows end at the last word, blank ones are dropped."""
+    """(doc_id, chunk, first_token, n_tokens, chunk_text) over words separated by spaces; windows end at the last word, blank ones are dropped. A null text has none; repeated rows repeat theirs."""
     step = size - overlap
     words = docs.select("doc_id", F.split("text", " ").alias("w"))
     n = F.size("w")
@@ -34,37 +36,65 @@ def fixed_windows(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     return rows.where(F.length(F.regexp_replace("chunk_text", r"(?U)\s", "")) > 0)
 
 
-def fold(tokens: list[int], most: int, overlap: int) -> list[tuple[int, int]]:
-    """[start, end) of chunks: full before a message that does not fit; the next begins with the shortest tail of `overlap` tokens, at least one message."""
-    out: list[tuple[int, int]] = []
-    begin = held = 0
-    for i, n in enumerate(tokens):
-        if i > begin and held + n > most:
-            out.append((begin, i))
-            back, start = 0, i
-            while start > begin:
-                start -= 1
-                back += tokens[start]
+def open_chunks(messages: Iterator[tuple], most: int, overlap: int) -> Iterator[tuple[int, int, int, list]]:
+    """(start, end, tokens, contents) of chunks of (tokens, content) messages: full before a message that does not fit.
+
+    The next chunk begins with the shortest tail of `overlap` tokens, at least one message; only the open chunk is held.
+    """
+    held: list[tuple] = []
+    total = begin = 0
+    for i, message in enumerate(messages):
+        if held and total + message[0] > most:
+            yield begin, i, total, [c for _, c in held]
+            back, keep = 0, 0
+            while keep < len(held):
+                keep += 1
+                back += held[-keep][0]
                 if back >= overlap:
                     break
-            begin, held = start, back
-        held += n
-    if tokens:
-        out.append((begin, len(tokens)))
-    return out
+            held, total, begin = held[len(held) - keep :], back, i - keep
+        held.append(message)
+        total += message[0]
+    if held:
+        yield begin, begin + len(held), total, [c for _, c in held]
 
 
-def message_chunks(messages: DataFrame, most: int, overlap: int) -> DataFrame:
-    """(conv_id, chunk, first_message, end_message, n_tokens, chunk_text): greedy chunks of each conversation in order of its turns."""
-    counted = messages.select("conv_id", "turn", "text", token_count(F.col("text")).cast("long").alias("n"))
+def fold(tokens: list[int], most: int, overlap: int) -> list[tuple[int, int]]:
+    """[start, end) of the chunks of messages of so many tokens."""
+    return [(a, b) for a, b, _, _ in open_chunks(((n, None) for n in tokens), most, overlap)]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("turn", kind="stable")
-        texts, n = pdf.text.tolist(), pdf.n.tolist()
-        rows = [(pdf.conv_id.iloc[0], k, a, b, sum(n[a:b]), "\n".join(texts[a:b])) for k, (a, b) in enumerate(fold(n, most, overlap))]
-        return pd.DataFrame(rows, columns=["conv_id", "chunk", "first_message", "end_message", "n_tokens", "chunk_text"])
 
-    return counted.groupBy("conv_id").applyInPandas(run, "conv_id long, chunk long, first_message long, end_message long, n_tokens long, chunk_text string")
+CHUNKS = ["conv_id", "chunk", "first_message", "end_message", "n_tokens", "chunk_text"]
+
+
+def message_chunks(messages: DataFrame, most: int, overlap: int) -> DataFrame:
+    """(conv_id, chunk, first_message, end_message, n_tokens, chunk_text): greedy chunks of each conversation in order of its turns.
+
+    A null text is an empty message; messages of one turn come by their text, a null turn
+    first; messages without a conversation are one. Conversations stream through sorted
+    partitions, of which only the open chunk is held.
+    """
+    text = F.coalesce("text", F.lit(""))
+    counted = messages.select("conv_id", "turn", text.alias("text"), token_count(text).cast("long").alias("n"))
+    kind = messages.schema["conv_id"].dataType
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for conv, group in itertools.groupby(rows(batches), key=lambda r: r[0]):
+            for k, (a, b, n, texts) in enumerate(open_chunks((r[1:] for r in group), most, overlap)):
+                out.append((conv, k, a, b, n, "\n".join(texts)))
+                if len(out) == 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], CHUNKS)
+                    out = []
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], CHUNKS)
+
+    types = [to_arrow_type(kind), *[pa.int64()] * 4, pa.string()]
+    ordered = counted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "text")
+    return ordered.mapInArrow(run, f"conv_id {kind.simpleString()}, chunk long, first_message long, end_message long, n_tokens long, chunk_text string")
 
 
 def parse_lines(logs: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from loomspan.adapters import models
 from loomspan.functions import calendar as cal
 from loomspan.functions import text as tx
 from loomspan import scratch
-from loomspan.operators import citations, digests, indexing, manifests, uploads
-from loomspan.plans.registry import _BINARY, _SCHOLARLY, query, table
+from loomspan.operators import citations, digests, indexing, manifests, metrics, uploads
+from loomspan.plans.registry import _BINARY, _MIXED, _SCHOLARLY, mixed_links, query, table
 
 _PATH = "source || '/' || doc_id || CASE WHEN doc_id % 23 = 0 THEN '.txt' ELSE '.md' END"
 _PHASE = "CASE doc_id % 6 WHEN 0 THEN 'ready' WHEN 1 THEN 'uploading' WHEN 2 THEN 'uploaded' WHEN 3 THEN 'updating' WHEN 4 THEN 'failed' ELSE 'ready' END"
@@ -54,13 +54,14 @@ def name_reconcile(spark, d):
     return manifests.reconcile(docs.where("doc_id % 3 = 0"), remote, "doc_id")
 
 
-@query(f"""WITH c AS (SELECT ({_BINARY}) AS is_binary, ({_SCHOLARLY}) AS scholarly, html IS NULL OR length(html) < 200 AS failed FROM pages)
- SELECT CASE WHEN is_binary THEN 'binary' WHEN failed THEN 'error' ELSE 'html' END AS kind, count(*) AS n, count(*) FILTER (WHERE scholarly) AS papers FROM c GROUP BY 1""")
+@query(f"""WITH c AS (SELECT CASE WHEN {_BINARY} THEN 'binary' WHEN page_id % 13 = 0 THEN 'skipped' WHEN suffix(lower(url), '.pdf') THEN 'pdf' ELSE 'html' END AS kind, ({_SCHOLARLY}) AS scholarly, page_id % 7 = 0 AS failed, length(html) AS tokens FROM {_MIXED})
+ SELECT count(*) FILTER (WHERE scholarly) AS papers, count(*) FILTER (WHERE kind = 'pdf') AS pdfs, count(*) FILTER (WHERE failed) AS failed, count(*) FILTER (WHERE NOT failed AND kind <> 'pdf') AS ok,
+ CAST(coalesce(sum(tokens) FILTER (WHERE NOT failed AND kind <> 'pdf'), 0) AS BIGINT) AS text_tokens FROM c WHERE kind NOT IN ('binary', 'skipped')""")
 def link_stats(spark, d):
     u = F.col("url")
-    kind = F.when(tx.is_binary(u), "binary").when(F.col("html").isNull() | (F.length("html") < 200), "error").otherwise("html")
-    found = table(spark, d, "pages").select(kind.alias("kind"), tx.is_scholarly(u).alias("scholarly"))
-    return found.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("scholarly").alias("papers"))
+    kind = F.when(tx.is_binary(u), "binary").when(F.col("page_id") % 13 == 0, "skipped").when(tx.is_pdf(u, F.lit(None).cast("string")), "pdf").otherwise("html")
+    error = F.when(F.col("page_id") % 7 == 0, "HTTP 500")
+    return metrics.link_counts(mixed_links(spark, d).select(kind.alias("kind"), error.alias("error"), tx.is_scholarly(u).alias("scholarly"), F.length("html").cast("long").alias("tokens")))
 
 
 @query("""WITH o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, o_totalprice > 100000 AS hit FROM orders), g AS (SELECT day, bool_or(hit) AS hit FROM o GROUP BY day)
@@ -77,8 +78,7 @@ def catalog_calendar(spark, d):
 def rebuild_counts(spark, d):
     done = table(spark, d, "labels").select("doc_id", F.lit(True).alias("fresh"))
     docs = table(spark, d, "documents").join(done, "doc_id", "left")
-    state = F.when(F.length(F.trim("text")) < 50, "unusable").when(F.col("doc_id") % 7 == 0, "forced").when(F.col("fresh").isNull(), "stale").otherwise("reused")
-    return docs.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+    return docs.withColumn("forced", F.col("doc_id") % 7 == 0).groupBy(metrics.rebuild_states().alias("state")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH e AS (SELECT *, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase'), w AS (SELECT CAST(date_trunc('week', day) AS DATE) AS monday, day FROM (SELECT DISTINCT day FROM e))

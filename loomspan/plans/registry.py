@@ -53,10 +53,10 @@ def knn_l2(spark, d):
 
 
 @query(f"""SELECT query_id, vec_id, rank, round(x, 5) + 0.0 AS distance FROM (SELECT q.vec_id AS query_id, e.vec_id AS vec_id, {_DIST} AS x,
- row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id < 16) WHERE rank <= 5""")
+ row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 5""")
 def knn_cosine_batch(spark, d):
     vectors = table(spark, d, "embeddings")
-    queries = [(r.vec_id, list(r.embedding)) for r in vectors.where("vec_id < 16").orderBy("vec_id").collect()]  # the stated query set
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")  # the stated query set
     return retrieval.batch_top_k(vectors, queries, 5).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), (F.round("distance", 5) + F.lit(0.0)).alias("distance"))
 
 
@@ -66,20 +66,33 @@ _PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 
 @query(f"""WITH a AS (SELECT page_id, {_NETLOC} AS netloc, {_PATH} AS path FROM pages),
  b AS (SELECT *, regexp_extract(regexp_replace(path, '/+$', ''), '([^/]*)$', 1) AS tail FROM a)
- SELECT page_id, netloc, path, regexp_replace(regexp_replace(CASE WHEN length(tail) > 0 THEN tail ELSE netloc END, '\\.[A-Za-z0-9]{{1,5}}$', ''), '[-_]', ' ', 'g') AS title FROM b""")
+ SELECT page_id, netloc, path, coalesce(nullif(trim(regexp_replace(regexp_replace(CASE WHEN length(tail) > 0 THEN tail ELSE netloc END, '\\.[A-Za-z0-9]{{1,5}}$', ''), '[-_]', ' ', 'g')), ''), netloc) AS title FROM b""")
 def url_parts(spark, d):
     u = F.col("url")
     return table(spark, d, "pages").select("page_id", tx.netloc(u).alias("netloc"), tx.url_path(u).alias("path"), tx.title_from_url(u).alias("title"))
 
 
-_SCHOLARLY = " OR ".join(["suffix(lower(url), '.pdf')", *(f"contains(lower(url), '{h}')" for h in tx.SCHOLARLY_HINTS)])
-_BINARY = " OR ".join(f"suffix(lower({_PATH}), '{e}')" for e in tx.BINARY_ENDINGS)
+# Fixed values, written out for SQL apart from the code's.
+_SCHOLARLY = r"""regexp_matches(lower(url), '\.pdf$|arxiv\.org|biorxiv\.org|medrxiv\.org|chemrxiv\.org|osf\.io|doi\.org|nature\.com|science\.org|sciencedirect\.com|cell\.com|pnas\.org|ncbi\.nlm\.nih\.gov|pubmed|pmc|wiley\.com|springer|link\.springer\.com|frontiersin\.org|journals\.plos\.org|plos\.org|mdpi\.com|biomedcentral\.com|elifesciences\.org|jamanetwork\.com|thelancet\.com|nejm\.org|oup\.com|academic\.oup\.com|tandfonline\.com|researchgate\.net|semanticscholar\.org|ssrn\.com|eprint\.iacr\.org|acm\.org|ieee\.org|ieeexplore|aeb|acs\.org|rsc\.org|ntrs\.nasa\.gov|europepmc\.org')"""
+_BINARY = rf"""regexp_matches(lower({_PATH}), '\.(png|jpg|jpeg|gif|webp|svg|bmp|ico|mp4|webm|mov|avi|mkv|mp3|wav|ogg|zip|tar|gz|xz|bz2|7z|rar|exe|dmg|iso|bin)$')"""
+#: Links of the pages, of which some lead to known scholarly and binary places.
+_MIXED = """(SELECT page_id, CASE page_id % 11 WHEN 1 THEN 'https://osf.io/x' || page_id WHEN 2 THEN url || '/clip.WEBM' WHEN 3 THEN 'http://www.cell.com/a/' || page_id WHEN 4 THEN 'http://x.org/data.7z?v=1'
+ WHEN 5 THEN 'http://x.org/Paper.PDF' WHEN 6 THEN 'http://x.org/a?f=b.png' ELSE url END AS url, html FROM pages)"""
 
 
-@query(f"""SELECT page_id, ({_SCHOLARLY}) AS scholarly, ({_BINARY}) AS is_binary, (lower({_NETLOC}) = 'example.net' OR suffix(lower({_NETLOC}), '.example.net')) AS skipped FROM pages""")
+def mixed_links(spark, d) -> DataFrame:
+    k, u = F.col("page_id") % 11, F.col("url")
+    link = (
+        F.when(k == 1, F.concat(F.lit("https://osf.io/x"), F.col("page_id").cast("string"))).when(k == 2, F.concat(u, F.lit("/clip.WEBM"))).when(k == 3, F.concat(F.lit("http://www.cell.com/a/"), F.col("page_id").cast("string")))
+        .when(k == 4, "http://x.org/data.7z?v=1").when(k == 5, "http://x.org/Paper.PDF").when(k == 6, "http://x.org/a?f=b.png").otherwise(u)
+    )
+    return table(spark, d, "pages").select("page_id", link.alias("url"), "html")
+
+
+@query(f"""SELECT page_id, ({_SCHOLARLY}) AS scholarly, ({_BINARY}) AS is_binary, (lower({_NETLOC}) = 'example.net' OR suffix(lower({_NETLOC}), '.example.net')) AS skipped FROM {_MIXED}""")
 def url_class(spark, d):
     u = F.col("url")
-    return table(spark, d, "pages").select("page_id", tx.is_scholarly(u).alias("scholarly"), tx.is_binary(u).alias("is_binary"), tx.on_host(u, "example.net").alias("skipped"))
+    return mixed_links(spark, d).select("page_id", tx.is_scholarly(u).alias("scholarly"), tx.is_binary(u).alias("is_binary"), tx.on_host(u, "example.net").alias("skipped"))
 
 
 @query("""WITH t AS (SELECT page_id, 'see (' || url || '), or ' || url || '. Also <' || url || '>' AS text, url FROM pages)
@@ -90,15 +103,31 @@ def url_extract(spark, d):
     return found.select("page_id", F.size("x").alias("n_links"), F.element_at("x", 1).alias("first_link"))
 
 
-@query("SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1) AS title FROM pages")
+#: Character references of the tables' pages in SQL, the ampersand's last.
+def _plain(c: str) -> str:
+    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("eacute", "é"), ("nbsp", " ")):
+        c = f"replace({c}, '&{name};', '{char}')"
+    return f"regexp_replace({c}, '&amp;?', '&', 'g')"
+
+
+_META = """<meta property="og:title" content=""><meta content='Cited &eacute;t&eacute; &amp; more' name="Citation_Title"><meta name="dc.title" content="D"><meta name="description" content=" ">"""
+_META += """<meta property="og:description" content="It's a page">"""
+_GAP = r"[ \t\x0B\f\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+@query(rf"""WITH a AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '<title> </title>{_META.replace("'", "''")}' WHEN 1 THEN '<p>no title</p>' WHEN 2 THEN '<TITLE lang=x> a <b>b</b> &lt;c&gt;' || chr(10) || '</TITLE>' || html ELSE html END AS h FROM pages),
+ b AS (SELECT page_id, h, trim(regexp_replace(regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', '', 'g'), ' ' || chr(10)) AS t FROM a)
+ SELECT page_id, {_plain("CASE WHEN page_id % 4 = 0 THEN 'Cited &eacute;t&eacute; &amp; more' ELSE t END")} AS title, CASE WHEN page_id % 4 = 0 THEN 'It''s a page' END AS description FROM b""")
 def html_title(spark, d):
-    return table(spark, d, "pages").select("page_id", tx.html_title(F.col("html")).alias("title"))
+    k = F.col("page_id") % 4
+    page = F.when(k == 0, "<title> </title>" + _META).when(k == 1, "<p>no title</p>").when(k == 2, F.concat(F.lit("<TITLE lang=x> a <b>b</b> &lt;c&gt;\n</TITLE>"), "html")).otherwise(F.col("html"))
+    return table(spark, d, "pages").select("page_id", tx.html_title(page).alias("title"), tx.html_description(page).alias("description"))
 
 
-@query(r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<noscript\b.*?</noscript>|<template\b.*?</template>|<!--.*?-->', ' ', 'g') AS c FROM pages),
- b AS (SELECT page_id, regexp_replace(regexp_replace(c, '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\f\x0B]+', ' ', 'g') AS c FROM a),
- e AS (SELECT page_id, regexp_replace(regexp_replace(c, ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS c FROM b)
- SELECT page_id, regexp_replace(c, '^[ \n]+|[ \n]+$', '', 'g') AS body FROM e""")
+@query(rf"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<noscript\b[^>]*>.*?</noscript>|<template\b[^>]*>.*?</template>', ' ', 'g') AS c FROM pages),
+ b AS (SELECT page_id, regexp_replace({_plain("regexp_replace(c, '<[^>]+>', ' ', 'g')")}, '[ \t\r\f\x0B]+', ' ', 'g') AS c FROM a),
+ e AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(c, '[\x{{1C}}-\x{{1E}}\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g'), '{_GAP}*\n{_GAP}*', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS c FROM b)
+ SELECT page_id, regexp_replace(c, '^({_GAP}|\n)+|({_GAP}|\n)+$', '', 'g') AS body FROM e""")
 def html_text(spark, d):
     return table(spark, d, "pages").select("page_id", tx.html_text(F.col("html")).alias("body"))
 

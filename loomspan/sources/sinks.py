@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +54,70 @@ def current_table(spark: SparkSession, root: str) -> DataFrame | None:
         return None
     version = spark.read.option("wholetext", "true").text(pointer).first()[0]
     return spark.read.parquet(f"{root}/{version}")
+
+
+def append_keys(keys: DataFrame, path: str) -> None:
+    """Add keys to those that are done; a run that dies adds all of a task's keys or none."""
+    keys.write.mode("append").parquet(path)
+
+
+def done(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The keys that are done, each once; none before the first were added."""
+    hadoop, fs = _files(spark, path)
+    return spark.read.schema(schema).parquet(path).distinct() if fs.exists(hadoop) else spark.createDataFrame([], schema)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a file beside its place and rename it there, over an older one if there is one."""
+    draft, fs = _files(spark, f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+    stream = fs.create(draft, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    target, _ = _files(spark, path)
+    fs.delete(target, False)
+    if not fs.rename(draft, target):
+        raise OSError(f"cannot write {path}")
+
+
+def publish(spark: SparkSession, root: str, outputs: DataFrame, render: Callable[[str, str], str], send: Callable[[str, str, str], None], remote: str) -> DataFrame:
+    """Write the outputs (name, content) that are new or changed as Markdown and a page, send both, and record what was sent; gives the names sent.
+
+    The outputs are documents for people, some thousands at most. What was sent before a
+    failure is recorded, so that a repeated run sends only the rest; unchanged content is neither written nor sent.
+    """
+    schema = "remote string, name string, sha256 string"
+    held = current_table(spark, f"{root}/published")
+    held = spark.createDataFrame([], schema) if held is None else held
+    known = {(r.remote, r.name): r.sha256 for r in held.collect()}
+    sent: list[tuple[str, str, str]] = []
+    try:
+        for row in outputs.orderBy("name").toLocalIterator():
+            digest = hashlib.sha256(row.content.encode()).hexdigest()
+            if known.get((remote, row.name)) == digest:
+                continue
+            write_text(spark, f"{root}/{row.name}.md", row.content)
+            write_text(spark, f"{root}/{row.name}.html", render(row.name, row.content))
+            send(remote, row.name, row.content)
+            sent.append((remote, row.name, digest))
+    finally:
+        if sent:
+            fresh = spark.createDataFrame(sent, schema)
+            replace_table(held.join(fresh.select("remote", "name"), ["remote", "name"], "left_anti").unionByName(fresh), f"{root}/published")
+    return spark.createDataFrame([(n,) for _, n, _ in sent], "name string")
+
+
+def save_result(spark: SparkSession, root: str, name: str, result: dict) -> list[str]:
+    """Write a result (question, passages, answer, complete) as JSON, its answer and its context as Markdown; gives the paths.
+
+    One that is not complete gets names that end in `.partial`, which `publish` never sees; a complete one leaves them be.
+    """
+    if not isinstance(result.get("question"), str) or not isinstance(result.get("passages"), list):
+        raise ValueError("a result has a question and passages")
+    mark = "" if result.get("complete", True) else ".partial"
+    blocks = [f"[{i}] {p['metadata'].get('pdf_path', '')}\n{p['content']}" for i, p in enumerate(result["passages"], 1)]
+    files = {f"{name}{mark}.json": json.dumps(result, ensure_ascii=False, indent=1), f"{name}-context{mark}.md": "\n\n".join(blocks)}
+    if result.get("answer"):
+        files[f"{name}{mark}.md"] = result["answer"]
+    for file, text in files.items():
+        write_text(spark, f"{root}/{file}", text)
+    return [f"{root}/{file}" for file in files]

@@ -21,6 +21,12 @@ def latest_by_key(batch: DataFrame, keys: list[str], order: str) -> DataFrame:
     return batch.withColumn("__n", n).where("__n = 1").drop("__n")
 
 
+def _as_source(path: str) -> str:
+    """The path for a stream, which takes folders and patterns: a pattern that only the path itself fits, and not what is beside it under a longer name."""
+    head, _, last = path.rstrip("/").rpartition("/")
+    return f"{head}/[{last[0]}]{last[1:]}" if last and last[0] not in "[{*?" else path
+
+
 def state_totals(spark: SparkSession, path: str) -> DataFrame:
     """(state, n, last_event, total) of an event table read as a stream to its end.
 
@@ -34,8 +40,7 @@ def state_totals(spark: SparkSession, path: str) -> DataFrame:
         sums = batch.groupBy(F.col("event_type").alias("state")).agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"), F.sum("value").alias("total"))
         sums.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    folder, _, name = path.rpartition("/")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{folder}/{name[:-8]}*")
+    stream = spark.readStream.schema(schema).parquet(_as_source(path))
     watch_manifest(stream, merge, f"{out}-checkpoint").awaitTermination()
     parts = spark.read.schema("state string, n long, last_event long, total double, epoch int").parquet(out)
     return parts.groupBy("state").agg(F.sum("n").alias("n"), F.max("last_event").alias("last_event"), F.round(F.sum("total"), 4).alias("total"))
@@ -48,3 +53,14 @@ def watch_papers(source: DataFrame, root: str, model, checkpoint: str, seconds:
         indexing.index(latest_by_key(batch, ["paper"], "sha256"), root, model)
 
     return watch_manifest(source, merge, checkpoint, seconds)
+
+
+def report_progress(source: DataFrame, out: str, checkpoint: str, seconds: int | None = None):
+    """Append a JSON line for each micro-batch of state changes (state): how many of each state it brought. One that runs twice writes its line again under its own epoch."""
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        counts = batch.groupBy("state").agg(F.count("*").alias("n"))
+        line = counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("state", "n")))).alias("states"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+        line.coalesce(1).write.mode("overwrite").json(f"{out}/epoch={epoch}")
+
+    return watch_manifest(source, merge, checkpoint, seconds)
