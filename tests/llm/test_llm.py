@@ -291,6 +291,64 @@ def test_sparse_sites_shrink(spark):
     assert sites["bad"].host_posterior < 0.15 < sites["one"].host_posterior < sites["one"].prior
 
 
+def test_sites_by_brute_force(spark):
+    """Posteriors, leave-one-out scores and decisions against plain arithmetic; site and label flip decisions."""
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(400):
+        host, path = rng.choice([("good", "a"), ("good", "b"), ("bad", "a"), ("bad", "a"), ("odd", rng.choice("abc"))])
+        level = {"good": 0.8, "bad": 0.2, "odd": 0.5}[host] + (0.15 if path == "b" else 0)
+        rows.append((i if i % 17 else None, host, path, min(0.999, max(0.001, rng.gauss(level, 0.15)))))
+        if i % 6 == 0:
+            labels.append((i, int(rng.random() < level), int(rng.random() < 0.1)))
+    rows += [(1000, "good", "a", 0.45), (1001, "bad", "a", 0.55), (1002, "lone", "z", 0.6), rows[5], rows[5]]
+    labels += [(6, 0, 0), (None, 1, 0), (12, None, 1), (99999, 1, 1)]
+    scored = spark.createDataFrame(rows, "doc_id long, host string, path string, evidence double")
+    told = quality.with_labels(scored, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = Counter((r.doc_id, r.host, r.path, round(r.evidence, 9), round(r.score, 6), r.accepted) for r in quality.combine(told, quality.site_posteriors(told)).collect())
+    truth = {}
+    for d, q, t in labels:
+        if None not in (d, q, t):
+            old = truth.get(d, (0, 0))
+            truth[d] = (max(old[0], q), max(old[1], t))
+    own = [float(truth[d][0] > 0 and truth[d][1] <= 0) if d in truth else e for d, _, _, e in rows]
+    by = {}
+    for (d, h, p, e), o in zip(rows, own, strict=True):
+        by.setdefault(h, {}).setdefault(p, []).append(o)
+    flat = [(h, p, v) for h, x in by.items() for p, v in x.items()]
+    hosts = {h: [o for v in x.values() for o in v] for h, x in by.items()}
+    n, total, squares, k, pk = len(own), sum(own), sum(o * o for o in own), len(hosts), len(flat)
+    b, n2, pb = sum(sum(v) ** 2 / len(v) for v in hosts.values()), sum(len(v) ** 2 for v in hosts.values()), sum(sum(v) ** 2 / len(v) for _, _, v in flat)
+    spread = (b - total**2 / n - (k - 1) * (squares - b) / max(n - k, 1)) / max(n - n2 / n, 1)
+    deeper = (pb - b - (pk - k) * (squares - pb) / max(n - pk, 1)) / max(n * (1 - k / pk), 1)
+    prior = total / n
+    k1, k2 = (min(1e6, max(1.0, prior * (1 - prior) / max(v, 1e-9) - 1)) for v in (spread, deeper))
+    logit = lambda p: np.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    want, decisions = Counter(), {}
+    for (d, h, p, e), o in zip(rows, own, strict=True):
+        host = (sum(hosts[h]) - o + k1 * prior) / (len(hosts[h]) - 1 + k1)
+        path = (sum(by[h][p]) - o + k2 * host) / (len(by[h][p]) - 1 + k2)
+        score = 1 / (1 + np.exp(-(logit(e) + logit(path) - logit(prior))))
+        want[(d, h, p, round(e, 9), round(float(score), 6), bool(score >= 0.5))] += 1
+        decisions[d] = bool(score >= 0.5)
+    assert got == want
+    assert decisions[1000] and not decisions[1001]  # the sites flip both: the evidence alone says 0.45 and 0.55
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    row = quality.accuracy(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).first()
+    assert row.n > 50 and row.right / row.n > max(0.9, row.base)
+
+
+def test_training_takes_one_row_of_each_id(spark):
+    texts = [(i, f"{'good' if i % 2 else 'bad'} words {i} here") for i in range(60)]
+    docs, again = (spark.createDataFrame(rows, "doc_id long, text string") for rows in (texts, texts + [texts[3]] * 50))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    one, two = quality.train(docs, labels), quality.train(again, labels)
+    assert one[0].words == two[0].words and (one[0].bins == two[0].bins).all() and b"good" in one[0].words
+
+
 # 8
 
 
