@@ -174,8 +174,17 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
-def read_gif(data: bytes) -> Iterator[Frame]:
-    """Frames in order, each composed as a viewer would show it."""
+#: Pixels that a canvas may have at most, unless the caller says otherwise: a header alone can ask for billions.
+MOST_PIXELS = 1 << 24
+
+
+def _bounded(wide: int, high: int, most: int) -> None:
+    if wide * high > most:
+        raise ValueError(f"a canvas of {wide} x {high} is beyond {most} pixels")
+
+
+def read_gif(data: bytes, most_pixels: int = MOST_PIXELS) -> Iterator[Frame]:
+    """Frames in order, each composed as a viewer would show it; a canvas or frame of more pixels than allowed is an error."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF header")
     wide, high = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little")
@@ -185,6 +194,7 @@ def read_gif(data: bytes) -> Iterator[Frame]:
         n = 3 << ((flags & 7) + 1)
         shared = np.frombuffer(data, np.uint8, n, at).reshape(-1, 3)
         at += n
+    _bounded(wide, high, most_pixels)
     canvas = np.zeros((high, wide, 3), np.uint8)
     delay = disposal = 0
     clear: int | None = None
@@ -203,6 +213,7 @@ def read_gif(data: bytes) -> Iterator[Frame]:
             raise ValueError(f"block {kind:#x}")
         left, top, w, h = (int.from_bytes(data[at + i : at + i + 2], "little") for i in (1, 3, 5, 7))
         flags, at = data[at + 9], at + 10
+        _bounded(max(left + w, canvas.shape[1]), max(top + h, canvas.shape[0]), most_pixels)
         palette = shared
         if flags & 0x80:
             n = 3 << ((flags & 7) + 1)
@@ -260,11 +271,11 @@ def drawn(frame: Frame) -> bytes:
 FRAMES = "frame int, start_ms long, delay_ms long, width int, height int, disposal int, histogram array<long>"
 
 
-def gif_frames(df: DataFrame, key: str, column: str) -> DataFrame:
+def gif_frames(df: DataFrame, key: str, column: str, most_pixels: int = MOST_PIXELS) -> DataFrame:
     """A row for each frame of each GIF of a binary column: time, canvas, colour histogram.
 
     Null and empty values have no frames. A damaged file gives the frames before the
-    damage and then one row that has only `error`.
+    damage and then one row that has only `error`; so does one whose canvas has more than `most_pixels`.
     """
     kind = df.schema[key].dataType.simpleString()
     given = df.select(key, column)
@@ -277,7 +288,7 @@ def gif_frames(df: DataFrame, key: str, column: str) -> DataFrame:
             for i, data in enumerate(utf8(batch.column(1))):
                 start, n = 0, 0
                 try:
-                    for n, f in enumerate(read_gif(data) if data else ()):
+                    for n, f in enumerate(read_gif(data, most_pixels) if data else ()):
                         rows.append((n, start, f.delay_ms, f.canvas.shape[1], f.canvas.shape[0], f.disposal, histogram(f.canvas), None))
                         at.append(i)
                         start += f.delay_ms

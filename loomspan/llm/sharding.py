@@ -1,8 +1,9 @@
 """Sharding by size-tiered compaction under a versioned manifest.
 
 Arrivals are appended as small immutable Parquet shards. Shards of similar size form
-tiers; when a tier has enough of them, they are merged into files of the target size,
-all merges of a round in one job. Each append or round ends with one new manifest, a
+tiers; when a tier has enough of them, they are merged into files of up to the target size,
+each group by a task of its own that reads its files and shuffles nothing; larger files
+are split. Merged files stay until no retained version names them. Each append or round ends with one new manifest, a
 file that appears by a rename which fails if the version exists; readers take the
 highest version and so see a whole state, whatever was lost or left half-written.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -25,6 +27,8 @@ TARGET = 64 << 20
 RATIO, FAN_IN = 4, 4
 SMALLEST = 64 << 10
 ARRIVALS = 4
+#: Times the target that a shard may have before it is split; groups of shards that one job merges; versions that stay readable.
+SLACK, JOB, RETAIN = 1.5, 256, 10
 
 
 @dataclass(frozen=True)
@@ -99,40 +103,68 @@ class Store:
         context.rename(draft, self.jvm.Path(f"{self.root}/manifests/v{version:012d}.json"), options)
         return version
 
-    def _written(self, folder: str, df: DataFrame) -> list[Shard]:
-        df.write.option("compression", "zstd").parquet(folder)
+    def _written(self, folder: str, df: DataFrame, rows: int | None = None) -> list[Shard]:
+        """Write rows, at most `rows` to a file, and tell of the files that have any."""
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", rows or 0).parquet(folder)
         files = self.spark.read.schema(df.schema).parquet(folder).groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
         return [Shard(r.path, r.rows, r.bytes) for r in files.agg(F.count("*").alias("rows")).orderBy("path").collect()]
 
     def append(self, df: DataFrame) -> int:
-        """Add an arrival as shards of its own, one for each of its tasks; an empty arrival changes nothing."""
+        """Add an arrival as shards of its own, at least one for each of its tasks that has rows; an empty arrival changes nothing."""
         version, shards = self.read()
         new = self._written(f"{self.root}/data/{uuid.uuid4().hex}", df)
         return self.commit(version, shards + new) if new else version
 
-    def compact(self, schema: T.StructType, target: int = TARGET, fan_in: int = FAN_IN, rounds: int = 20) -> int:
-        """Merge until no tier has enough similar shards; each round is one job and one version."""
+    def _rewritten(self, schema: T.StructType, groups: list[list[Shard]], rows: int | None = None) -> list[Shard]:
+        """Each group's rows in files of its own, of at most `rows` rows: one task reads the group's files and writes, nothing is shuffled."""
+        made: list[Shard] = []
+        for i in range(0, len(groups), JOB):  # so many groups to a job
+            parts = [self.spark.read.schema(schema).parquet(*(s.path for s in g)).coalesce(1) for g in groups[i : i + JOB]]
+            while len(parts) > 1:  # pairwise, so that the plan is not deep
+                parts = [a.union(parts[k + 1]) if k + 1 < len(parts) else a for k, a in enumerate(parts) if k % 2 == 0]
+            made += self._written(f"{self.root}/data/{uuid.uuid4().hex}", parts[0], rows)
+        return made
+
+    def compact(self, schema: T.StructType, target: int = TARGET, fan_in: int = FAN_IN) -> int:
+        """Split shards beyond the target, then merge until no tier has enough similar shards; each round is one version. It ends, since each merge leaves fewer shards."""
         version, shards = self.read()
-        for _ in range(rounds):
-            groups = plan_merges(shards, target, fan_in)
-            if not groups:
-                break
-            files = [(s.path, i) for i, g in enumerate(groups) for s in g]
-            plan = self.spark.createDataFrame(files, "__path string, __group int")
-            rows = self.spark.read.schema(schema).parquet(*(p for p, _ in files)).withColumn("__path", F.col("_metadata.file_path"))
-            merged = rows.join(plan, "__path").repartitionById(len(groups), F.col("__group")).drop("__path", "__group")
-            made = self._written(f"{self.root}/data/{uuid.uuid4().hex}", merged)
-            gone = {p for p, _ in files}
+        if large := [s for s in shards if s.bytes > SLACK * target and s.rows > 1]:
+            made: list[Shard] = []
+            by_parts: dict[int, list[Shard]] = {}
+            for s in large:  # equal numbers of rows for files of like size
+                by_parts.setdefault(max(1, int(s.rows / math.ceil(s.bytes / target))).bit_length(), []).append(s)
+            for some in by_parts.values():
+                made += self._rewritten(schema, [[s] for s in some], max(1, min(math.ceil(s.rows / math.ceil(s.bytes / target)) for s in some)))
+            gone = {s.path for s in large}
+            shards = [s for s in shards if s.path not in gone] + made
+            version = self.commit(version, shards)
+        while groups := plan_merges(shards, target, fan_in):
+            made = self._rewritten(schema, groups)
+            gone = {s.path for g in groups for s in g}
             shards = [s for s in shards if s.path not in gone] + made
             version = self.commit(version, shards)
-            self.vacuum(gone)
         return version
 
-    def vacuum(self, paths: set[str]) -> None:
-        """Delete shard files that the newest manifest no longer names."""
-        named = {s.path for s in self.read()[1]}
-        for p in paths - named:
-            self.fs.delete(self.jvm.Path(p), False)
+    def vacuum(self, retain: int = RETAIN, age_seconds: float = 86_400.0) -> list[str]:
+        """Drop the manifests before the last `retain`, then delete the data files that no manifest names any more; gives the files' paths.
+
+        Files that no manifest has named yet, of writers at work or crashed, are deleted once they are older than
+        the age. Readers of a retained version are never disturbed.
+        """
+        old = self.versions()[: -max(1, retain)]
+        for v in old:
+            self.fs.delete(self.jvm.Path(f"{self.root}/manifests/v{v:012d}.json"), False)
+        named = {s.path for v in self.versions() for s in self.read(v)[1]}
+        limit, gone = time.time() * 1000 - age_seconds * 1000, []
+        data = self.jvm.Path(f"{self.root}/data")
+        found = self.fs.listFiles(data, True) if self.fs.exists(data) else None
+        while found is not None and found.hasNext():
+            file = found.next()
+            path = file.getPath().toString()
+            if path.endswith(".parquet") and file.getModificationTime() < limit and not {path, path.replace("file:/", "file:///", 1)} & named:
+                self.fs.delete(file.getPath(), False)
+                gone.append(path)
+        return gone
 
     def table(self, schema: T.StructType, version: int | None = None) -> DataFrame:
         """All rows of a version with their shard's place in the manifest (`shard`), rows, bytes and tier."""

@@ -5,7 +5,8 @@ nodes hold sums. The vocabulary never merges across pre-tokens, and the split fr
 pre-token's start depends on nothing to its left. So after an edit only the leaves that
 it touches are split and counted again, with the leaf before them as context and as far
 to the right as it takes until an old leaf boundary is met; then sums change on their
-paths to the root alone.
+paths to the root alone. Trees are kept as a table, by the characters and tokens of their
+leaves, and a batch of edits turns that table into the next one.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loomspan import scratch
 from loomspan.llm.text import slices
 
 LEAF = 64
@@ -74,6 +77,14 @@ class TokenTree:
         chars, tokens = self._leaves(pieces, max(1, -(-len(pieces) // leaf)))
         self._build(chars, tokens)
 
+    @classmethod
+    def stored(cls, text: str, chars: list[int], tokens: list[int], counter: Counter, leaf: int = LEAF) -> TokenTree:
+        """The tree that was stored by its leaves; nothing is split or counted."""
+        tree = cls.__new__(cls)
+        tree.text, tree.counter, tree.leaf = text, counter, leaf
+        tree._build(np.array(chars, np.int64), np.array(tokens, np.int64))
+        return tree
+
     def _leaves(self, pieces: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
         """Characters and tokens of `n` leaves of nearly equal numbers of pre-tokens."""
         if not pieces:
@@ -155,34 +166,82 @@ class TokenTree:
         return n, stop - at
 
 
-def sample_edits(text: str) -> list[tuple[int, int, str]]:
-    """The edits of the registered query: a masked stretch at a third, a note at two thirds, a cut end."""
-    n = len(text)
-    return [(n // 3, min(n, n // 3 + 12), " [masked] "), (2 * n // 3, 2 * n // 3, " (see note)\n"), (max(0, n - 5), n, "")]
+#: A stored tree: the text, and the characters and tokens of its leaves; inner sums follow from these.
+TREE = "text string, leaf_chars array<int>, leaf_tokens array<int>, n_tokens long"
+EDITS = "array<struct<seq:int,start:long,end:long,new:string>>"
 
 
-def count_with_edits(docs: DataFrame, edits=sample_edits, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, n_leaves, edited_tokens, recounted_leaves, recounted_chars, edited_chars of every document.
+def build_trees(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFrame:
+    """(doc_id, text, leaf_chars, leaf_tokens, n_tokens): the tree of every document, to be written as a table.
 
-    `edits` gives a text's edits in order, each in the coordinates that the ones before
-    leave. A null text counts as empty, with no tokens. Repeated rows are counted
-    alike; other columns are left out.
+    A null text counts as empty, with no tokens. Repeated rows have trees of their own; other columns are left out.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["n_tokens", "n_leaves", "edited_tokens", "recounted_leaves", "recounted_chars", "edited_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_for(path)
         for batch in slices(batches):
-            rows = []
-            for text in batch.column(1).to_pylist():
-                tree = TokenTree(text or "", counter)
-                before, leaves = tree.tokens, tree.n_leaves
-                again = [tree.edit(*e) for e in edits(text or "")]
-                rows.append((before, leaves, tree.tokens, sum(a for a, _ in again), sum(b for _, b in again), len(tree.text)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[j] for r in rows], pa.int64()) for j in range(6))], ["doc_id", *names])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
+            trees = [TokenTree(t or "", counter, leaf) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_stored(trees)], ["doc_id", "text", "leaf_chars", "leaf_tokens", "n_tokens"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {TREE}")
+
+
+def _stored(trees: list[TokenTree]) -> list[pa.Array]:
+    leaves = [t.levels[0] for t in trees]
+    return [pa.array([t.text for t in trees], pa.string()), *(pa.array([x[i].astype(np.int32) for x in leaves], pa.list_(pa.int32())) for i in (0, 1)), pa.array([t.tokens for t in trees], pa.int64())]
+
+
+def edit_trees(trees: DataFrame, edits: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFrame:
+    """The stored trees after a batch of edits, with what was counted again: TREE's columns, recounted_leaves, recounted_chars, n_leaves_before, tokens_before.
+
+    edits: doc_id, seq, start, end, new; a document's edits apply in order of seq, each in
+    the coordinates that the ones before leave, and to every tree of its id. Repeated
+    edits of one seq count once. A document without edits, or without an id, keeps its
+    tree; nothing of it is split or counted. Positions beyond a text mean its end, a null
+    one its start, a null text is an empty one. Of a document's edits all are held together, of a
+    table none.
+    """
+    kind = trees.schema["doc_id"].dataType.simpleString()
+    one = edits.where("doc_id IS NOT NULL").select("doc_id", F.col("seq").cast("int"), F.col("start").cast("long"), F.col("end").cast("long"), "new").dropDuplicates(["doc_id", "seq"])
+    grouped = one.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "new"))).alias("edits"))
+    told = trees.join(grouped, "doc_id", "left")
+    names = ["doc_id", "text", "leaf_chars", "leaf_tokens", "n_tokens", "recounted_leaves", "recounted_chars", "n_leaves_before", "tokens_before"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = counter_for(path)
+        for batch in slices(batches):
+            done, facts = [], []
+            for text, chars, tokens, todo in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                tree = TokenTree.stored(text or "", chars, tokens, counter, leaf)
+                before = tree.n_leaves, tree.tokens
+                again = [tree.edit(e["start"] or 0, e["end"] or 0, e["new"] or "") for e in todo or ()]
+                done.append(tree)
+                facts.append((sum(a for a, _ in again), sum(b for _, b in again), *before))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_stored(done), *(pa.array([f[j] for f in facts], pa.int64()) for j in range(4))], names)
+
+    rows = told.select("doc_id", "text", "leaf_chars", "leaf_tokens", "edits")
+    return rows.mapInArrow(run, f"doc_id {kind}, {TREE}, recounted_leaves long, recounted_chars long, n_leaves_before long, tokens_before long")
+
+
+def sample_edits(trees: DataFrame) -> DataFrame:
+    """(doc_id, seq, start, end, new): the edits of the registered query - a masked stretch at a third, a note at two thirds, a cut end."""
+    n = F.length("text").cast("long")
+    third, note = F.expr("cast(length(text) div 3 as long)"), F.expr("cast(2 * length(text) div 3 as long)")
+    masked = F.struct(F.lit(0).alias("seq"), third.alias("start"), F.least(n, third + 12).alias("end"), F.lit(" [masked] ").alias("new"))
+    noted = F.struct(F.lit(1).alias("seq"), note.alias("start"), note.alias("end"), F.lit(" (see note)\n").alias("new"))
+    cut = F.struct(F.lit(2).alias("seq"), (n + (22 - (F.least(n, third + 12) - third)) - 5).alias("start"), (n + 22).alias("end"), F.lit("").alias("new"))
+    return trees.select("doc_id", F.explode(F.array(masked, noted, cut)).alias("e")).select("doc_id", "e.*")
+
+
+def count_with_edits(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, n_leaves, edited_tokens, recounted_leaves, recounted_chars, edited_chars of every document: its tree, written, and what the sample edits make of it."""
+    trees = scratch.materialize(build_trees(docs, path), "trees")
+    edited = edit_trees(trees, sample_edits(trees), path)
+    return edited.select(
+        "doc_id", F.col("tokens_before").alias("n_tokens"), F.col("n_leaves_before").alias("n_leaves"), F.col("n_tokens").alias("edited_tokens"), "recounted_leaves", "recounted_chars",
+        F.length("text").cast("long").alias("edited_chars"),
+    )
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

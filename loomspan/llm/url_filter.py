@@ -2,7 +2,7 @@
 
 Strict and soft terms count only where neither neighbour is a letter or digit of
 ASCII. One strict term rejects a URL; so do soft terms whose distinct weights sum to
-the limit. Host and path rules come first; they are plain Catalyst expressions.
+the limit, which no single one has. Host and path rules come first; they are plain Catalyst expressions.
 """
 
 from __future__ import annotations
@@ -16,13 +16,21 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.text import LOWER, UPPER
 
-STRICT = ("adult-x", "casino", "casinos", "escort", "escorts", "porn", "pornhub", "spam-farm", "viagra", "xxx")
+#: Terms that reject a URL alone.
+STRICT = (
+    "bestiality", "blackjack", "camgirl", "camgirls", "casino", "casinos", "cialis", "escort", "escorts", "erotica", "fetish", "hardcore", "hentai", "levitra", "milf", "nsfw", "onlinecasino",
+    "porn", "porno", "pornhub", "pornography", "roulette", "sexcam", "sportsbook", "viagra", "warez", "xhamster", "xnxx", "xvideos", "xxx",
+)
+#: Terms that together reject a URL, by what they weigh: 1 where plain pages have them too, 2 where few do.
 SOFT = {
-    "ads": 1, "adult": 1, "bet": 1, "bets": 1, "betting": 1, "bonus": 1, "cheap": 1, "deals": 1, "farm": 1, "free": 1,
-    "jackpot": 1, "loan": 1, "loans": 1, "pharma": 1, "pills": 1, "poker": 1, "sex": 1, "slots": 1, "spam": 1, "track": 1,
-    "tracker": 1, "win": 1,
+    "adult": 2, "ads": 2, "affiliate": 1, "bet": 2, "bets": 2, "betting": 2, "bingo": 2, "bonus": 1, "buy": 1, "cash": 1, "cheap": 1, "clickbait": 2, "coupon": 1, "coupons": 1, "crack": 1, "cracked": 2,
+    "credit": 1, "dating": 2, "deal": 1, "deals": 1, "diet": 1, "discount": 1, "download": 1, "earn": 1, "farm": 1, "forex": 2, "free": 1, "gambling": 2, "girls": 1, "hack": 1, "hot": 1, "jackpot": 2,
+    "keygen": 2, "kinky": 2, "loan": 1, "loans": 2, "lottery": 2, "lotto": 2, "mature": 1, "money": 1, "naked": 2, "nude": 2, "nudes": 2, "offer": 1, "payday": 2, "pharma": 1, "pharmacy": 1, "pills": 2,
+    "poker": 2, "popup": 1, "promo": 1, "replica": 1, "rx": 1, "serial": 1, "sex": 2, "sexy": 2, "singles": 1, "slot": 1, "slots": 2, "spam": 2, "spin": 1, "steroids": 2, "teen": 1, "torrent": 1, "torrents": 2,
+    "track": 1, "tracker": 1, "vip": 1, "wager": 2, "webcam": 1, "weightloss": 2, "win": 1, "winner": 1, "x": 1,
 }
-SOFT_LIMIT = 2
+#: The weight at which distinct soft terms reject a URL; no soft term has it alone.
+SOFT_LIMIT = 3
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 _ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from loomspan import scratch
 from loomspan.llm import class_lm, components, decontaminate, gif, html_extract, jaccard_join, packing, quality, registry, sharding, token_counts, url_filter
@@ -226,6 +227,42 @@ def test_store(spark):
     assert empty.read() == (0, []) and empty.table(docs.schema).count() == 0
 
 
+def test_versions_survive_compaction_and_vacuum(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.sha2(F.col("id").cast("string"), 512)).alias("text")).repartition(6)
+    store = sharding.Store(spark, scratch.fresh_path(spark, "test-store"))
+    states = {}
+    for k in range(5):
+        states[store.append(docs.where(f"doc_id % 5 = {k}"))] = {i for i in range(6000) if i % 5 <= k}
+        version = store.compact(docs.schema, target=90_000)
+        states[version] = {i for i in range(6000) if i % 5 <= k}
+    assert len(states) > 6
+    for v, ids in states.items():  # also those whose files were merged since
+        assert sorted(r.doc_id for r in store.table(docs.schema, v).select("doc_id").collect()) == sorted(ids)
+    shards = store.read()[1]
+    assert not sharding.plan_merges(shards, 90_000, sharding.FAN_IN) and all(s.bytes <= 1.6 * 90_000 for s in shards)
+    tiers = Counter(s.tier() for s in shards if 2 * s.bytes < 90_000)
+    assert all(n < sharding.FAN_IN for n in tiers.values())
+    assert sum(s.rows for s in shards) == 6000 and {(r.shard_rows, r.shard_bytes, r.tier) for r in store.table(docs.schema).collect()} == {(s.rows, s.bytes, s.tier()) for s in shards}
+    docs.limit(10).write.parquet(f"{store.root}/data/orphan")  # a writer that died before its commit
+    assert store.vacuum(retain=2) == []
+    gone = store.vacuum(retain=2, age_seconds=-60)
+    assert any("orphan" in p for p in gone) and len(store.versions()) == 2
+    for v in store.versions():
+        assert store.table(docs.schema, v).count() == len(states[v])
+    with pytest.raises(Exception, match="(?i)not.exist|not found"):
+        store.read(1)
+
+
+def test_large_arrivals_are_split(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("text")).coalesce(1)
+    store = sharding.Store(spark, scratch.fresh_path(spark, "test-store"))
+    store.append(docs)
+    assert len(store.read()[1]) == 1
+    store.compact(docs.schema, target=50_000)
+    shards = store.read()[1]
+    assert len(shards) >= 4 and max(s.bytes for s in shards) <= 75_000 and store.table(docs.schema).count() == 4000
+
+
 def test_merge_plan():
     shards = [sharding.Shard(f"p{i}", 1, 1000) for i in range(9)] + [sharding.Shard("big", 1, 90_000)]
     groups = sharding.plan_merges(shards, 100_000, 4)
@@ -237,11 +274,15 @@ def test_merge_plan():
 
 def test_urls(spark):
     urls = [None, "", "no scheme", "HTTP://A.Example.ORG/es/x?q#f", "x://example.org/en/1", "http://my.casino.net/", "http://casinos1.net/x", "http://free-bets.net", "http://free.net/free", "http://example.com/fr/casino", "a://b?c://d"]
+    urls += ["http://x.org/a-" + "b" * 200_000 + "/casino", "http://free-bets.net", "http://spam-farm.net/", "http://adult-x.net", "http://cheap-pills.net", "http://free-free.net/free", "http://farm-free.net/"]
     df = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)], "page_id long, url string, host string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df).collect()}
     assert got[0] == got[1] == got[2] == ("", "", None, "allow")
     assert got[3] == ("a.example.org", "/es/x", "example.org/es/", "block") and got[4][2:] == ("example.org/en/1", "block")
     assert [got[i][3] for i in (5, 6, 7, 8, 9)] == ["block", "allow", "block", "allow", "allow"]
+    assert [got[i][3] for i in range(11, 18)] == ["allow", *["block"] * 4, "allow", "allow"]  # org/ is allowed whatever its path; one soft term counts once
+    assert max(url_filter.SOFT.values()) < url_filter.SOFT_LIMIT and len(set(url_filter.SOFT.values())) > 1 and not url_filter.SOFT.keys() & set(url_filter.STRICT)
+    assert Counter(r.page_id for r in url_filter.judge_urls(df.unionByName(df)).collect()) == Counter({i: 2 for i in range(len(urls))})
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
@@ -262,6 +303,45 @@ def test_edits_equal_full_counts():
                 assert tree.tokens == counter.whole(tree.text) and int(tree.levels[0][0].sum()) == len(tree.text)
 
 
+def test_stored_trees_and_batches_of_edits(spark):
+    """Two batches of random edits on stored trees: counts are those of the edited texts; what has no edits is not counted again."""
+    rng, counter = random.Random(9), token_counts.counter_for(None)
+    docs = odd_docs(spark, [" ".join(rng.choices(["alpha", "12", "it's", "\n", "é"], k=rng.choice([0, 5, 300, 3000]))) for _ in range(20)])
+    trees = scratch.materialize(token_counts.build_trees(docs, leaf=8), "trees")
+    texts = Counter((r.doc_id, r.text or "") for r in docs.collect())
+    assert texts == Counter((r.doc_id, r.text) for r in trees.collect()) and all(r.n_tokens == counter.whole(r.text) for r in trees.collect())
+    for _ in range(2):
+        edits = [(d, s, rng.randint(0, 2000), rng.randint(0, 2000), rng.choice(["", " new words", None, "x"])) for d in range(0, 28, 2) for s in range(rng.randint(1, 4))]
+        table = spark.createDataFrame([*edits, edits[0], (None, 0, 0, 1, "z"), (777, 0, 0, 1, "z")], "doc_id long, seq int, start long, end long, new string")
+        after = Counter()
+        for (d, text), n in texts.items():
+            for _, _, a, b, new in sorted((e for e in edits if e[0] == d), key=lambda e: e[1]):
+                a, b = min(a, len(text)), min(b, len(text))
+                text = text[:a] + (new or "") + text[max(a, b) :]
+            after[(d, text)] += n
+        trees = scratch.materialize(token_counts.edit_trees(trees, table, leaf=8), "trees")
+        rows = trees.collect()
+        assert Counter((r.doc_id, r.text) for r in rows) == after and all(r.n_tokens == counter.whole(r.text) for r in rows)
+        assert all((r.recounted_leaves > 0) == (r.doc_id in {e[0] for e in edits}) for r in rows)
+        assert all(sum(r.leaf_chars) == len(r.text) and sum(r.leaf_tokens) == r.n_tokens for r in rows)
+        texts = after
+
+
+def test_sample_edits_of_odd_rows(spark):
+    counter = token_counts.counter_for(None)
+    want = Counter()
+    for r in odd_docs(spark).collect():
+        text = r.text or ""
+        n = len(text)
+        new = text
+        if r.doc_id is not None:
+            new = new[: n // 3] + " [masked] " + new[min(n, n // 3 + 12) :]
+            new = new[: 2 * n // 3] + " (see note)\n" + new[2 * n // 3 :]
+            new = new[: max(0, len(new) - 5)]
+        want[(r.doc_id, counter.whole(text), counter.whole(new), len(new))] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.edited_tokens, r.edited_chars) for r in token_counts.count_with_edits(odd_docs(spark)).collect()) == want
+
+
 def test_edit_is_local(spark):
     tree = token_counts.TokenTree("some words in a row " * 5000, token_counts.counter_for(None))
     leaves, chars = tree.edit(50_000, 50_010, "other")
@@ -533,6 +613,15 @@ def test_gif_disposal_and_transparency(spark):
     assert not [r for r in rows if r.id == 2] and [r.error is not None for r in rows if r.id == 3] == [True]
 
 
+def test_hostile_gif_is_an_error(spark):
+    huge = b"GIF89a\xff\xff\xff\xff\x00\x00\x00" + b"\x3b"
+    late = small_gif([(1, None, 0, 0, 3, 2, [1] * 6)])[:-1] + bytes([0x2C, 255, 255, 255, 255, 255, 255, 255, 255, 0, 2, 0, 0x3B])
+    df = spark.createDataFrame([(1, bytearray(huge)), (2, bytearray(late)), (3, bytearray(small_gif([(1, None, 0, 0, 3, 2, [1] * 6)])))], "id long, media binary")
+    rows = gif.gif_frames(df, "id", "media").collect()
+    assert {(r.id, r.frame, "pixels" in (r.error or "")) for r in rows} == {(1, None, True), (2, 0, False), (2, None, True), (3, 0, False)}
+    assert [r.error is None for r in gif.gif_frames(df.where("id = 3"), "id", "media", most_pixels=5).collect()] == [False]
+
+
 def test_stored_texts(spark):
     docs = odd_docs(spark)
     got = gif.store_texts(docs).collect()
