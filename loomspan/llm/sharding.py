@@ -29,6 +29,8 @@ SMALLEST = 64 << 10
 ARRIVALS = 4
 #: Times the target that a shard may have before it is split; groups of shards that one job merges; versions that stay readable.
 SLACK, JOB, RETAIN = 1.5, 256, 10
+#: Shards whose facts are broadcast to their rows; more are joined by a shuffle.
+FACTS = 200_000
 
 
 @dataclass(frozen=True)
@@ -173,6 +175,7 @@ class Store:
         if not shards:
             return self.spark.createDataFrame([], schema).join(facts.drop("__path"), F.lit(True)).withColumn("version", F.lit(0).cast("long"))
         rows = self.spark.read.schema(schema).parquet(*(s.path for s in shards)).withColumn("__path", F.col("_metadata.file_path"))
+        facts = F.broadcast(facts) if len(shards) <= FACTS else facts  # some hundred bytes a shard
         return rows.join(facts, "__path").drop("__path").withColumn("version", F.lit(version).cast("long"))
 
 

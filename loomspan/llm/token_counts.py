@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan import scratch
@@ -192,20 +192,25 @@ def _stored(trees: list[TokenTree]) -> list[pa.Array]:
     return [pa.array([t.text for t in trees], pa.string()), *(pa.array([x[i].astype(np.int32) for x in leaves], pa.list_(pa.int32())) for i in (0, 1)), pa.array([t.tokens for t in trees], pa.int64())]
 
 
-def edit_trees(trees: DataFrame, edits: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFrame:
+def _with_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
+    one = edits.where("doc_id IS NOT NULL").select("doc_id", F.col("seq").cast("int"), F.col("start").cast("long"), F.col("end").cast("long"), "new").dropDuplicates(["doc_id", "seq"])
+    grouped = one.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "new"))).alias("edits"))
+    return trees.join(grouped, "doc_id", "left")
+
+
+def edit_trees(trees: DataFrame, edits: DataFrame | Column, path: str | None = None, leaf: int = LEAF) -> DataFrame:
     """The stored trees after a batch of edits, with what was counted again: TREE's columns, recounted_leaves, recounted_chars, n_leaves_before, tokens_before.
 
-    edits: doc_id, seq, start, end, new; a document's edits apply in order of seq, each in
+    edits: a table doc_id, seq, start, end, new, which is joined by id, or a column of the trees of type EDITS, which
+    needs no join and so moves no text; a document's edits apply in order of seq, each in
     the coordinates that the ones before leave, and to every tree of its id. Repeated
-    edits of one seq count once. A document without edits, or without an id, keeps its
-    tree; nothing of it is split or counted. Positions beyond a text mean its end, a null
+    edits of one seq in a table count once. A document without edits keeps its tree, and so
+    does one without an id if a table has them; nothing of it is split or counted. Positions beyond a text mean its end, a null
     one its start, a null text is an empty one. Of a document's edits all are held together, of a
     table none.
     """
     kind = trees.schema["doc_id"].dataType.simpleString()
-    one = edits.where("doc_id IS NOT NULL").select("doc_id", F.col("seq").cast("int"), F.col("start").cast("long"), F.col("end").cast("long"), "new").dropDuplicates(["doc_id", "seq"])
-    grouped = one.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "new"))).alias("edits"))
-    told = trees.join(grouped, "doc_id", "left")
+    told = trees.withColumn("edits", F.array_sort(edits)) if isinstance(edits, Column) else _with_edits(trees, edits)
     names = ["doc_id", "text", "leaf_chars", "leaf_tokens", "n_tokens", "recounted_leaves", "recounted_chars", "n_leaves_before", "tokens_before"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,20 +229,20 @@ def edit_trees(trees: DataFrame, edits: DataFrame, path: str | None = None, leaf
     return rows.mapInArrow(run, f"doc_id {kind}, {TREE}, recounted_leaves long, recounted_chars long, n_leaves_before long, tokens_before long")
 
 
-def sample_edits(trees: DataFrame) -> DataFrame:
-    """(doc_id, seq, start, end, new): the edits of the registered query - a masked stretch at a third, a note at two thirds, a cut end."""
+def sample_edits() -> Column:
+    """The edits of the registered query, as a column of trees: a masked stretch at a third, a note at two thirds, a cut end."""
     n = F.length("text").cast("long")
     third, note = F.expr("cast(length(text) div 3 as long)"), F.expr("cast(2 * length(text) div 3 as long)")
     masked = F.struct(F.lit(0).alias("seq"), third.alias("start"), F.least(n, third + 12).alias("end"), F.lit(" [masked] ").alias("new"))
     noted = F.struct(F.lit(1).alias("seq"), note.alias("start"), note.alias("end"), F.lit(" (see note)\n").alias("new"))
     cut = F.struct(F.lit(2).alias("seq"), (n + (22 - (F.least(n, third + 12) - third)) - 5).alias("start"), (n + 22).alias("end"), F.lit("").alias("new"))
-    return trees.select("doc_id", F.explode(F.array(masked, noted, cut)).alias("e")).select("doc_id", "e.*")
+    return F.array(masked, noted, cut)
 
 
 def count_with_edits(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, n_leaves, edited_tokens, recounted_leaves, recounted_chars, edited_chars of every document: its tree, written, and what the sample edits make of it."""
     trees = scratch.materialize(build_trees(docs, path), "trees")
-    edited = edit_trees(trees, sample_edits(trees), path)
+    edited = edit_trees(trees, sample_edits(), path)
     return edited.select(
         "doc_id", F.col("tokens_before").alias("n_tokens"), F.col("n_leaves_before").alias("n_leaves"), F.col("n_tokens").alias("edited_tokens"), "recounted_leaves", "recounted_chars",
         F.length("text").cast("long").alias("edited_chars"),

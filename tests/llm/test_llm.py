@@ -333,11 +333,9 @@ def test_sample_edits_of_odd_rows(spark):
     for r in odd_docs(spark).collect():
         text = r.text or ""
         n = len(text)
-        new = text
-        if r.doc_id is not None:
-            new = new[: n // 3] + " [masked] " + new[min(n, n // 3 + 12) :]
-            new = new[: 2 * n // 3] + " (see note)\n" + new[2 * n // 3 :]
-            new = new[: max(0, len(new) - 5)]
+        new = text[: n // 3] + " [masked] " + text[min(n, n // 3 + 12) :]
+        new = new[: 2 * n // 3] + " (see note)\n" + new[2 * n // 3 :]
+        new = new[: max(0, len(new) - 5)]
         want[(r.doc_id, counter.whole(text), counter.whole(new), len(new))] += 1
     assert Counter((r.doc_id, r.n_tokens, r.edited_tokens, r.edited_chars) for r in token_counts.count_with_edits(odd_docs(spark)).collect()) == want
 
