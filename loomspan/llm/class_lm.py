@@ -1,16 +1,20 @@
 """Language-model scoring with a Brown class-based bigram model.
 
 Exchange clustering assigns items to classes so as to maximise the likelihood of class
-bigrams. Its items are the most frequent words, each for itself, and shapes (endings) that
-stand for all other words. Then each other of the `TOP` most frequent words is exchanged
-by its own bigrams against these fixed classes; only words beyond have the class of
-their ending, so every word has a class. A text's probability is the
-product of class transitions (Witten-Bell smoothed) and word emissions (absolute
-discounting; the discounted mass of a class is that of its unseen words).
-
-Counts cover all training texts. Only tables of bounded size reach the driver and the
-tasks: at most the `TOP` most frequent words, the bigrams of at most `WORDS + SHAPES + 2`
-items, and those of classes. The bigrams of words with classes and the counts of all other words stay distributed and are joined to their texts.
+bigrams. Every frequent word is an item, and shapes (endings) are the items that all other
+words share, so every word has a class. The exchange starts on the items' core, the most
+frequent words and the shapes, one item at a time on its dense counts. Then all items are
+exchanged in rounds over the whole corpus: an item's sparse counts with the classes before
+and after it are summed in tasks, and each item of the round's half moves to its best class;
+a round that makes training texts less likely is taken back and ends the rounds (distributed exchange, as by
+Uszkoreit and Brants, 2008). Words too rare to be told apart by their own bigrams keep the
+class of their ending. A text's probability is the product of class transitions (Witten-Bell
+smoothed) and word emissions (absolute discounting; the discounted mass of a class is that of its unseen words).
+
+Counts cover all training texts. Texts are encoded once, as item numbers in a written table,
+from which all rounds and the scores are computed. Only tables of bounded size reach the
+driver and the tasks: at most the `TOP` most frequent words and their classes, the bigrams
+of at most `WORDS + SHAPES + 2` items, and those of classes. Sparse counts and the counts of all other words stay distributed.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,10 @@ TOP = 150_000
 WORDS = 600
 SHAPES = 400
 CLASSES = 40
-ROUNDS = 6
+#: Rounds over the core at most, and rounds over all items at most, each of which may move one half of them.
+ROUNDS, SWEEPS = 6, 4
+#: Times that a word outside the core must occur to be exchanged by its own bigrams.
+LEAST = 3
 FOLDS = 10
 ALPHA = 0.1
 #: The end of a text; no word can be it, since words have no spaces.
@@ -60,7 +68,7 @@ def held_out(key) -> bool:
 
 
 class Items:
-    """Item numbers of words: the first are words, then shapes, then other shapes, then the end."""
+    """Item numbers: frequent words by frequency, then shapes, then all other shapes as one, then the end of a text."""
 
     def __init__(self, words: list[bytes], shapes: list[bytes]):
         self.words = {w: i for i, w in enumerate(words)}
@@ -116,38 +124,65 @@ def most_frequent(counts: DataFrame, top: int) -> tuple[list[tuple[bytes, int]],
     return sorted(found, key=lambda x: (-x[1], x[0])), sum(int(r.n) for r in bins), sum(int(r.kinds) for r in bins)
 
 
-def count_bigrams(docs: DataFrame, items: Items) -> DataFrame:
-    """(a, b, n) of neighbouring items over all training texts; each text starts after an end."""
-    n = items.n
+ENCODED = "held_out boolean, row long, ids binary, words array<binary>, times array<int>, shapes array<int>"
+
+
+def encode(docs: DataFrame, items: Items) -> DataFrame:
+    """(doc_id, held_out, row, ids, words, times, shapes): texts as little-endian 32-bit item numbers, the end's last, and the words that are no item of their own with how often they come and the items that they count as."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    handle = docs.sparkSession.sparkContext.broadcast(items)
+    fields = [("held_out", pa.bool_()), ("row", pa.int64()), ("ids", pa.binary()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int32())), ("shapes", pa.list_(pa.int32()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: np.ndarray = np.zeros(n * n, np.int64)  # at most WORDS + SHAPES + 2 squared
-        cache: dict[bytes, int] = dict(items.words)
+        items = handle.value
+        get, serial = items.words.get, TaskContext.get().partitionId() << 36
         for batch in slices(batches):
-            line = [items.end]
+            rows = []
             for key, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                if not held_out(key):
-                    line.extend(numbers(words_of(text), cache, items.of))
-                    line.append(items.end)
-            ids = np.array(line, np.int64)
-            total += np.bincount(ids[:-1] * n + ids[1:], minlength=n * n)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at // n), pa.array(at % n), pa.array(total[at])], ["a", "b", "n"])
+                words = words_of(text)
+                ids = list(map(get, words))
+                rare: Counter = Counter()
+                shape: dict[bytes, int] = {}
+                if None in ids:
+                    for i, x in enumerate(ids):
+                        if x is None:
+                            word = words[i]
+                            rare[word] += 1
+                            if word not in shape:
+                                shape[word] = items.of(word)
+                            ids[i] = shape[word]
+                ids.append(items.end)
+                rows.append((held_out(key), serial, np.array(ids, "<i4").tobytes(), list(rare), list(rare.values()), [shape[w] for w in rare]))
+                serial += 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[j] for r in rows], t) for j, (_, t) in enumerate(fields))], ["doc_id", *(n for n, _ in fields)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {ENCODED}")
 
 
-def numbers(words: list[bytes], cache: dict[bytes, int], of, most: int = 300_000) -> list[int]:
-    """of(word) for each word, through a bounded cache."""
-    out = list(map(cache.get, words))
-    if None in out:
-        keep = len(cache) < most
-        for i, x in enumerate(out):
-            if x is None:
-                out[i] = x = of(words[i])
-                if keep:
-                    cache[words[i]] = x
-    return out
+def lines(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[np.ndarray]:
+    """Item numbers of slices of encoded texts one after the other, each text after an end."""
+    for batch in slices(batches, "ids", 8 << 20):
+        yield np.concatenate([np.array([end], np.int32), np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<i4")])
+
+
+def count_pairs(encoded: DataFrame, groups: np.ndarray) -> np.ndarray:
+    """Bigrams of groups of items, groups[item], over all training texts; the end is the last item."""
+    k, end = int(groups.max()) + 1, len(groups) - 1
+    handle = encoded.sparkSession.sparkContext.broadcast(groups)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)  # at most WORDS + SHAPES + 2 squared
+        for line in lines(batches, end):
+            c = handle.value[line]
+            total += np.bincount(c[:-1] * k + c[1:], minlength=k * k)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at // k), pa.array(at % k), pa.array(total[at])], ["a", "b", "n"])
+
+    table = np.zeros((k, k))
+    rows = encoded.where("NOT held_out").select("ids").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    for row in rows.toLocalIterator():  # a row for each pair of groups
+        table[row.a, row.b] = row.n
+    return table
 
 
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
@@ -219,73 +254,57 @@ def transitions(table: np.ndarray) -> np.ndarray:
     return np.log10((table + kinds * share) / (table.sum(1, keepdims=True) + kinds))
 
 
-def class_table(bigrams: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Bigrams of classes from those of items."""
-    k = int(of.max()) + 1
-    table = np.zeros((k, k))
-    np.add.at(table, (of[:, None].repeat(len(of), 1), of[None, :].repeat(len(of), 0)), bigrams)
-    return table
+def likelihood(table: np.ndarray) -> float:
+    """The part of the training texts' log likelihood that classes decide, from their bigrams."""
+
+    def f(x: np.ndarray) -> float:
+        return float((x * np.log(np.maximum(x, 1))).sum())
 
+    return f(table) - f(table.sum(0)) - f(table.sum(1))
 
-def exchange_words(docs: DataFrame, frequent: list[tuple[bytes, int]], items: Items, of: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """A class for each frequent word: that of its item, or for words that are no item the best by exchange.
 
-    Each such word leaves the class of its ending and joins the class of most likelihood
-    for its own bigrams; the classes stay fixed meanwhile. Empty classes take no word.
-    The driver gets a number for each word.
+def exchange_round(encoded: DataFrame, of: np.ndarray, table: np.ndarray, movable: np.ndarray) -> np.ndarray:
+    """The classes after each movable item has joined the class of most likelihood for its own bigrams, the others' classes as they were.
+
+    The items' counts with classes are summed in tasks, then by item; the driver gets a number for each that moves.
+    Empty classes and the end's take no item.
     """
-    k, first = len(table), len(items.words)
-    start = np.array([of[items.of(w)] for w, _ in frequent], np.int64)
-    if len(frequent) <= first:
-        return start
-    words = [w for w, _ in frequent]
-    handle = docs.sparkSession.sparkContext.broadcast((words, start, items, of))
+    k, end = len(table), len(of) - 1
+    handle = encoded.sparkSession.sparkContext.broadcast((of, movable))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, start, items, of = handle.value
-        place = {w: i for i, w in enumerate(words)}
+        of, movable = handle.value
         keys: list[np.ndarray] = []
-        cache: dict[bytes, int] = {}
 
         def out() -> pa.RecordBatch:
             key, n = np.unique(np.concatenate([np.empty(0, np.int64), *keys]), return_counts=True)
             keys.clear()
-            return pa.RecordBatch.from_arrays([pa.array(key // (2 * k)), pa.array(key % (2 * k)), pa.array(n)], ["w", "context", "n"])
-
-        for batch in slices(batches):
-            line, classes = [-1], []
-            for key, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                if not held_out(key):
-                    found = words_of(text)
-                    at = [place.get(w, -2) for w in found]
-                    if -2 in at:
-                        classes.extend(numbers([w for w, i in zip(found, at, strict=True) if i < 0], cache, lambda w: int(of[items.of(w)])))
-                    line.extend(at)
-                    line.append(-1)
-            w = np.array(line, np.int64)
-            c = np.where(w >= 0, start[w], of[items.end])
-            c[w == -2] = classes
-            at = np.flatnonzero(w >= first)
-            keys.extend((w[at] * 2 * k + c[at + 1], w[at] * 2 * k + k + c[at - 1]))
-            if sum(map(len, keys)) > 2_000_000:
+            return pa.RecordBatch.from_arrays([pa.array(key // (2 * k)), pa.array((key % (2 * k)).astype(np.int32)), pa.array(n)], ["w", "context", "n"])
+
+        for line in lines(batches, end):
+            c = of[line]
+            at = np.flatnonzero(movable[line[1:-1]]) + 1  # never the ends at both sides
+            w = line[at].astype(np.int64) * (2 * k)
+            keys.extend((w + c[at + 1], w + k + c[at - 1]))
+            if sum(map(len, keys)) > 4_000_000:
                 yield out()
         yield out()
 
     def f(x: np.ndarray) -> np.ndarray:
         return x * np.log(np.maximum(x, 1))
 
-    cells = np.concatenate([table.T, table])  # the cells of a context, by the word's class
-    margins = np.stack([table.sum(1), table.sum(0)])  # of words before others, of words after others
+    cells = np.concatenate([table.T, table])  # the cells of a context, by the item's class
+    margins = np.stack([table.sum(1), table.sum(0)])  # of items before others, of items after others
     full = margins.sum(0) > 0
-    full[of[items.end]] = False
+    full[of[end]] = False
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [np.stack([b.column(i).to_numpy() for i in range(3)]) for b in batches if b.num_rows]
+        got = [np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(3)]) for b in batches if b.num_rows]
         if not got:
             return
         w, context, n = np.concatenate(got, axis=1)
         word, at = np.unique(w, return_inverse=True)
-        old = handle.value[1][word]
+        old = handle.value[0][word]
         gain = np.zeros((len(word), k))
 
         def add(to: np.ndarray, cell: np.ndarray, n: np.ndarray, sign: int) -> None:
@@ -306,58 +325,31 @@ def exchange_words(docs: DataFrame, frequent: list[tuple[bytes, int]], items: It
         stay = gain[np.arange(len(word)), old]
         gain[:, ~full] = -np.inf
         new = gain.argmax(1)
-        new = np.where(gain.max(1) > stay + 1e-9, new, old)
-        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(new)], ["w", "c"])
+        moves = gain.max(1) > stay + 1e-9
+        yield pa.RecordBatch.from_arrays([pa.array(word[moves]), pa.array(new[moves])], ["w", "c"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(contexts, "w long, context long, n long").groupBy("w", "context").agg(F.sum("n").alias("n"))
+    rows = encoded.where("NOT held_out").select("ids").mapInArrow(contexts, "w long, context int, n long").groupBy("w", "context").agg(F.sum("n").alias("n"))
     found = rows.repartition("w").mapInArrow(choose, "w long, c long").toArrow()
-    start[found.column("w").to_numpy()] = found.column("c").to_numpy()
-    return start
-
-
-def class_bigrams(docs: DataFrame, own: dict[bytes, int], items: Items, of: np.ndarray) -> np.ndarray:
-    """Bigrams of classes over all training texts, where words in `own` have a class of their own."""
-    k = int(of.max()) + 1
-    handle = docs.sparkSession.sparkContext.broadcast((own, items, of))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, items, of = handle.value
-        total, cache, end = np.zeros(k * k, np.int64), dict(own), int(of[items.end])
-        for batch in slices(batches):
-            line = [end]
-            for key, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                if not held_out(key):
-                    line.extend(numbers(words_of(text), cache, lambda w: int(of[items.of(w)])))
-                    line.append(end)
-            ids = np.array(line, np.int64)
-            total += np.bincount(ids[:-1] * k + ids[1:], minlength=k * k)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at // k), pa.array(at % k), pa.array(total[at])], ["a", "b", "n"])
-
-    table = np.zeros((k, k))
-    for row in docs.select("doc_id", "text").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # a row for each pair of classes
-        table[row.a, row.b] = row.n
-    return table
+    out = of.copy()
+    out[found.column("w").to_numpy()] = found.column("c").to_numpy()
+    return out
 
 
-def class_totals(counts: DataFrame, items: Items, of: np.ndarray, own: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+def class_totals(counts: DataFrame, items: Items, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of each class, and its kinds of words that occur at all, once and twice."""
-
-    handle = counts.sparkSession.sparkContext.broadcast((own, items, of))
+    k = int(of.max()) + 1
+    handle = counts.sparkSession.sparkContext.broadcast((items, of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, items, of = handle.value
-        k = int(of.max()) + 1
+        items, of = handle.value
         total = np.zeros((k, 4), np.int64)
         for batch in batches:
-            found = [(w, own.get(w)) for w in batch.column(0).to_pylist()]
-            classes = np.array([c if c is not None else of[items.end if w == END else items.of(w)] for w, c in found], np.int64)
+            classes = of[np.array([items.end if w == END else items.of(w) for w in batch.column(0).to_pylist()], np.int64)]
             n = batch.column(1).to_numpy(zero_copy_only=False)
             for j, x in enumerate((n, np.ones_like(n), n == 1, n == 2)):
                 total[:, j] += np.bincount(classes, x, k).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), *(pa.array(total[:, j]) for j in range(4))], ["c", "n", "kinds", "once", "twice"])
 
-    k = int(of.max()) + 1
     totals = np.zeros((k, 4))
     sums = counts.mapInArrow(run, "c long, n long, kinds long, once long, twice long").groupBy("c").agg(*(F.sum(x).alias(x) for x in ("n", "kinds", "once", "twice")))
     for row in sums.collect():  # a row for each class
@@ -365,86 +357,121 @@ def class_totals(counts: DataFrame, items: Items, of: np.ndarray, own: dict[byte
     return totals[:, 0], totals[:, 1:]
 
 
-def score_texts(docs: DataFrame, top: int = TOP, words: int = WORDS, shapes: int = SHAPES, classes: int = CLASSES) -> DataFrame:
-    """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
+@dataclass
+class Model:
+    """What scoring needs, all of bounded size: items with their classes, transitions, emissions of the frequent words, and what the corpus has in all."""
 
-    Null and empty texts have one token, the end. Repeated rows are scored, and learned
-    from, as often as they come. Other columns are left out. With no training text all
-    counts are 0 and every token has probability 1 in the base and in the model.
-    """
-    spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    items: Items
+    counts: np.ndarray  # of the frequent words, then of the end
+    of: np.ndarray  # the class of each item
+    steps: np.ndarray  # log10 P(class | class before)
+    discount: np.ndarray  # by class
+    spare: np.ndarray  # the tokens' worth of a class's unseen words
+    mass: np.ndarray  # what all emissions of a class are divided by
+    train_tokens: int
+    kinds: int
+    likelihoods: list[float] = field(default_factory=list)  # of the training texts, after the core and after each round
+
+
+def learn(docs: DataFrame, top: int = TOP, words: int = WORDS, shapes: int = SHAPES, classes: int = CLASSES, sweeps: int = SWEEPS, least: int = LEAST) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, the written counts (word, n) of all training words, and the written encoded texts."""
     counts = scratch.materialize(count_words(docs), "words")
     frequent, n_train, kinds = most_frequent(counts, top)
     ends = counts.where(F.col("word") == F.lit(END)).first()
     by_shape: Counter = Counter()
     for w, n in frequent[words:]:
         by_shape[shape_of(w)] += n
-    items = Items([w for w, _ in frequent[:words]], [s for s, _ in sorted(by_shape.items(), key=lambda x: (-x[1], x[0]))[:shapes]])
-    bigrams = np.zeros((items.n, items.n))
-    for row in count_bigrams(docs, items).toLocalIterator():
-        bigrams[row.a, row.b] = row.n
-    of = exchange(bigrams, classes)
-    group_of = exchange_words(docs, frequent, items, of, class_table(bigrams, of))
-    own = dict(zip((w for w, _ in frequent), group_of.tolist(), strict=True))
-    steps = transitions(class_bigrams(docs, own, items, of))
-    tokens, sorts = class_totals(counts, items, of, own)
-    del own
+    items = Items([w for w, _ in frequent], [s for s, _ in sorted(by_shape.items(), key=lambda x: (-x[1], x[0]))[:shapes]])
+    encoded = scratch.materialize(encode(docs, items), "encoded")
+    core = min(words, len(frequent))
+    # the core: its words for themselves, all other words by their shapes
+    groups = np.empty(items.n, np.int64)
+    groups[:core] = np.arange(core)
+    groups[core : len(frequent)] = [items.shapes.get(shape_of(w), items.rest) - len(frequent) + core for w, _ in frequent[core:]]
+    groups[len(frequent) :] = np.arange(items.n - len(frequent)) + core
+    of = exchange(count_pairs(encoded, groups), classes)[groups]
+    table = count_pairs(encoded, of)
+    history = [likelihood(table)]
+    n = np.array([n for _, n in frequent] + [int(ends.n) if ends else 0], np.float64)
+    movable = np.ones(items.n, bool)
+    movable[items.end] = False
+    movable[core : len(frequent)] = n[core:-1] >= least
+    own = groups.copy()  # words too rare to move go with their shapes
+    own[: len(frequent)][movable[: len(frequent)]] = -1
+    for sweep in range(sweeps):
+        half = movable & (np.arange(items.n) % 2 == sweep % 2)
+        if not half.any():
+            continue
+        moved = exchange_round(encoded, of, table, half)
+        shape_class = moved[len(frequent) :]
+        led = own[: len(frequent)] >= 0
+        moved[: len(frequent)][led] = shape_class[own[: len(frequent)][led] - core]
+        after = count_pairs(encoded, moved)
+        if (moved == of).all() or likelihood(after) <= history[-1]:
+            break
+        of, table = moved, after
+        history.append(likelihood(table))
+    tokens, sorts = class_totals(counts, items, of)
     discount = np.clip(sorts[:, 1] / np.maximum(1, sorts[:, 1] + 2 * sorts[:, 2]), 0.1, 0.9)
-    spare = np.maximum(discount * np.maximum(sorts[:, 0], 1), 0.5)  # the tokens' worth of a class's unseen words
-    whole_mass = tokens - discount * sorts[:, 0] + spare
-    base_of = float(np.log10(n_train + ALPHA * (kinds + 1))) if n_train else 0.0
-    model = spark.sparkContext.broadcast((frequent, group_of, items, of, steps, discount, spare, whole_mass, int(ends.n) if ends else 0))
+    spare = np.maximum(discount * np.maximum(sorts[:, 0], 1), 0.5)
+    return Model(items, n, of, transitions(table), discount, spare, tokens - discount * sorts[:, 0] + spare, n_train, kinds, history), counts, encoded
 
-    def emit(n: np.ndarray, c: np.ndarray, discount, spare, mass) -> np.ndarray:
-        return np.log10(np.where(n > 0, n - discount[c], spare[c]) / mass[c])
 
-    fields = [("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("row", pa.int64())]
-    rare = [("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int32())), ("classes", pa.list_(pa.int32()))]
+def score_texts(docs: DataFrame, top: int = TOP, words: int = WORDS, shapes: int = SHAPES, classes: int = CLASSES, sweeps: int = SWEEPS, least: int = LEAST) -> DataFrame:
+    """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
+
+    Null and empty texts have one token, the end. Repeated rows are scored, and learned
+    from, as often as they come. Other columns are left out. With no training text all
+    counts are 0 and every token has probability 1 in the base and in the model.
+    """
+    return score_with(*learn(docs, top, words, shapes, classes, sweeps, least))
+
+
+def score_with(model: Model, counts: DataFrame, encoded: DataFrame) -> DataFrame:
+    """The scores of encoded texts by a model; counts are those that it was learned from."""
+    spark, n_train = encoded.sparkSession, model.train_tokens
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    base_of = float(np.log10(n_train + ALPHA * (model.kinds + 1))) if n_train else 0.0
+    frequent = len(model.counts) - 1
+    known = np.zeros(model.items.n, bool)
+    known[:frequent], known[model.items.end] = model.counts[:-1] > 0, model.counts[-1] > 0
+    base, said = np.zeros(model.items.n), np.zeros(model.items.n)
+    if n_train:
+        at = [*range(frequent), model.items.end]
+        c = model.of[at]
+        base[at] = np.log10(model.counts + ALPHA) - base_of
+        said[at] = np.log10(np.where(model.counts > 0, model.counts - model.discount[c], model.spare[c]) / model.mass[c])
+    handle = spark.sparkContext.broadcast((known, base, said, model.of, model.steps))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, group_of, items, of, steps, discount, spare, mass, n_end = model.value
-        place = {w: i for i, (w, _) in enumerate(frequent)}
-        n = np.array([n for _, n in frequent] + [n_end], np.float64)
-        known, group = n > 0, np.append(group_of, of[items.end])
-        base, said = np.log10(n + ALPHA) - base_of if n_train else np.zeros(len(n)), emit(n, group, discount, spare, mass) if n_train else np.zeros(len(n))
-        first, serial, end = of[items.end], TaskContext.get().partitionId() << 36, len(frequent)
-        for batch in slices(batches):
+        known, base, said, of, steps = handle.value
+        first = of[-1]
+        for batch in slices(batches, "ids", 8 << 20):
             rows = []
-            for key, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                words = words_of(text)
-                ids = np.array([place.get(w, -1) for w in words] + [end], np.int64)
-                seen = ids >= 0
-                at = ids[seen]
-                c = np.where(seen, group[ids], 0)
-                more: Counter = Counter()
-                if not seen.all():
-                    missing = np.flatnonzero(~seen)
-                    for i in missing.tolist():
-                        more[words[i]] += 1
-                    kind_of = {w: int(of[items.of(w)]) for w in more}
-                    c[missing] = [kind_of[words[i]] for i in missing.tolist()]
+            for raw in batch.column("ids").to_pylist():
+                ids = np.frombuffer(raw, "<i4")
+                c = of[ids]
                 moved = steps[np.concatenate(([first], c[:-1])), c].sum() if n_train else 0.0
-                rows.append((held_out(key), len(ids), int(known[at].sum()), float(base[at].sum()), float(moved + said[at].sum()), serial, list(more), list(more.values()), [kind_of[w] for w in more] if more else []))
-                serial += 1
-            columns = [pa.array([r[j] for r in rows], t) for j, (_, t) in enumerate([*fields, *rare])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *(x for x, _ in [*fields, *rare])])
-
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, row long, words array<binary>, times array<int>, classes array<int>"
-    partial = scratch.materialize(docs.select("doc_id", "text").mapInArrow(run, schema), "partial")  # row numbers stay as they are
-    each = partial.select("row", F.explode(F.arrays_zip("words", "times", "classes")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"), F.col("x.classes").alias("c"))
-    each = each.join(counts.where(F.col("n") < frequent[-1][1]) if frequent else counts, "word", "left")
-    constants = F.broadcast(spark.createDataFrame([(i, float(discount[i]), float(spare[i]), float(whole_mass[i])) for i in range(len(discount))], "c int, discount double, spare double, mass double"))
-    each = each.join(constants, "c")
+                rows.append((len(ids), int(known[ids].sum()), float(base[ids].sum()), float(moved + said[ids].sum())))
+            columns = [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("row"), *columns], ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "score"])
+
+    partial = encoded.select("doc_id", "held_out", "row", "ids").mapInArrow(run, f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, score double")
+    each = encoded.select("row", F.explode(F.arrays_zip("words", "times", "shapes")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"), F.col("x.shapes").alias("item"))
+    rare = counts.where(F.col("n") < float(model.counts[:-1].min())) if frequent else counts
+    each = each.join(rare, "word", "left")
+    shaped = range(frequent, model.items.end)  # at most SHAPES + 1
+    constants = [(i, float(model.discount[c]), float(model.spare[c]), float(model.mass[c])) for i, c in ((i, int(model.of[i])) for i in shaped)]
+    each = each.join(F.broadcast(spark.createDataFrame(constants, "item int, discount double, spare double, mass double")), "item")
     n = F.coalesce("n", F.lit(0))
-    said = F.log10(F.when(n > 0, n - F.col("discount")).otherwise(F.col("spare")) / F.col("mass"))
+    emitted = F.log10(F.when(n > 0, n - F.col("discount")).otherwise(F.col("spare")) / F.col("mass"))
     zero = F.lit(0.0)
     rest = each.groupBy("row").agg(
         F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_known"),
         F.sum(F.col("times") * (F.log10(n + F.lit(ALPHA)) - F.lit(base_of)) if n_train else zero).alias("more_base"),
-        F.sum(F.col("times") * said if n_train else zero).alias("more_score"),
+        F.sum(F.col("times") * emitted if n_train else zero).alias("more_score"),
     )
-    out = partial.drop("words", "times", "classes").join(rest, "row", "left")
+    out = partial.join(rest, "row", "left")
     score = F.col("score") + F.coalesce("more_score", zero)
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),

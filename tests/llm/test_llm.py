@@ -198,6 +198,63 @@ def test_words_of_one_ending_have_classes_of_their_own(spark):
     assert got[out[0]] > got[out[1]] + 2
 
 
+@pytest.mark.parametrize("sweeps", [0, 3])
+def test_score_by_brute_force(spark, sweeps):
+    """Scores from their definition: classes of the model, everything else counted anew from the texts."""
+    rng = random.Random(8)
+    vocabulary = [f"{rng.choice(['run', 'walk', 'Tree', 'é', '12'])}{i}{rng.choice(['ing', 's', '!', ''])}" for i in range(120)]
+    docs = odd_docs(spark, [" ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(120)], k=rng.choice([0, 3, 30, 200]))) for _ in range(80)])
+    model, counts, encoded = class_lm.learn(docs, top=40, words=10, shapes=5, classes=6, sweeps=sweeps, least=2)
+    got = Counter((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in class_lm.score_with(model, counts, encoded).collect())
+    assert len(model.items.words) > 10 and len(model.likelihoods) <= sweeps + 1 and model.likelihoods == sorted(model.likelihoods)
+    rows = [(r.doc_id, class_lm.words_of((r.text or "").encode()) + [class_lm.END]) for r in docs.collect()]
+    item = lambda w: model.items.end if w == class_lm.END else model.items.of(w)
+    group = lambda w: int(model.of[item(w)])
+    train = [w for d, w in rows if not class_lm.held_out(d)]
+    seen = Counter(x for w in train for x in w)
+    pairs = Counter((a, b) for w in train for a, b in zip([group(class_lm.END), *map(group, w)], map(group, w), strict=False))
+    k, total, n = len(model.steps), Counter(), sum(seen.values())
+    kinds, once, twice = Counter(), Counter(), Counter()
+    for x, c in seen.items():
+        total[group(x)] += c
+        kinds[group(x)] += 1
+        once[group(x)] += c == 1
+        twice[group(x)] += c == 2
+    into, whole = Counter(), sum(pairs.values())
+    for (_, b), c in pairs.items():
+        into[b] += c
+
+    def step(a, b):
+        follow = max(1, sum((a, x) in pairs for x in range(k)))
+        share = (into[b] + 0.5) / (whole + 0.5 * k)
+        return np.log10((pairs[(a, b)] + follow * share) / (sum(pairs[(a, x)] for x in range(k)) + follow))
+
+    def emit(x):
+        g = group(x)
+        d = min(0.9, max(0.1, once[g] / max(1, once[g] + 2 * twice[g])))
+        spare = max(d * max(kinds[g], 1), 0.5)
+        return np.log10((seen[x] - d if seen[x] else spare) / (total[g] - d * kinds[g] + spare))
+
+    want = Counter()
+    for d, w in rows:
+        score = sum(step(a, b) for a, b in zip([group(class_lm.END), *map(group, w)], map(group, w), strict=False)) + sum(map(emit, w))
+        base = sum(np.log10((seen[x] + 0.1) / (n + 0.1 * (len(seen) + 1))) for x in w)
+        want[(d, sum(seen[x] > 0 for x in w), round(float(base), 6), round(float(score), 6))] += 1
+    assert got == want
+
+
+def test_every_frequent_word_is_exchanged(spark):
+    """Rounds over the whole vocabulary make training texts likelier, and held-out texts of known words too."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    score = {}
+    for sweeps in (0, 4):
+        model, counts, encoded = class_lm.learn(docs, sweeps=sweeps)
+        known = class_lm.score_with(model, counts, encoded).where("held_out AND n_known = n_tokens").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+        score[sweeps] = known[0] / known[2]
+        assert score[sweeps] > known[1] / known[2]
+    assert (model.counts[:-1] >= class_lm.LEAST).sum() > 10_000 and len(model.likelihoods) > 2 and score[4] > score[0] + 0.05
+
+
 def test_exchange_finds_classes():
     rng = np.random.default_rng(0)
     big = np.zeros((9, 9))
