@@ -1,12 +1,17 @@
 """Near-duplicate join: exact Jaccard links between shingle sets by PartEnum signatures.
 
-Sets of like size share a band. In a band the domain of shingles is cut into partitions
-by hash, and a set's signatures are its contents in some of the partitions: sets of
-Jaccard similarity 0.75 differ in so few shingles that they must agree in at least one
-of those that both enumerate. Which and how many partitions a set enumerates follows
-from the bound on differences for its own size, in one order that all sets share;
-partitions that hold nothing but very frequent shingles come last, which keeps
-passages common to many documents out of the signatures and loses no pair.
+Sets of like size share a band. In a band the domain of shingles is cut by hash into
+partitions, and each of these into three second-level partitions. From a partition a set
+enumerates the subsets of two of its three second-level partitions: a signature is the
+set's contents in both. Sets of Jaccard similarity 0.75 differ in so few shingles that
+they must agree in so many subsets: a partition without a difference gives three equal
+signatures, one with a single difference still gives one. Very frequent shingles are
+left out of the domain, which can only lessen the differences, and keeps passages
+common to many documents out of the signatures. A set enumerates partitions in one
+order that all sets share, until those that must agree with any partner and are not
+empty reach the surplus. A set that does not get there with all of its partitions - a small one, or
+one that consists of frequent shingles - also has its single shingles as signatures, as many as a
+partner may lack and the surplus, the frequent ones last; two such sets meet by these.
 
 Sets that share enough signatures are candidates. They are not paired all with all:
 each set goes to the cluster of the head with which it shares most signatures. In a
@@ -32,9 +37,9 @@ from loomspan.llm.text import mix, shingle_hashes, slices, trim, utf8
 
 WORDS = 5
 #: Links have 7 * intersection >= 3 * (sum of sizes), which is a Jaccard similarity of 0.75 or more.
-#: From this band on, a partition holds about one shingle or two; below, each shingle is a partition.
-FINE = 64
-#: Very frequent shingles that are put last in the order: at least so many documents, at most so many shingles.
+#: From this band (exponent of its least size) on, sets enumerate subsets of partitions; smaller ones have single shingles alone.
+SUBSETS = 4
+#: Very frequent shingles: at least so many documents, at most so many shingles. Fewer of them cost time, not links.
 FREQUENT, FREQUENT_MOST = 300, 100_000
 #: Rows of a written table that may be broadcast; larger ones are joined by shuffles.
 BROADCAST_ROWS = 300_000
@@ -87,13 +92,15 @@ def bands(size: int) -> list[int]:
     return [own, own + 1] if 4 * size >= 3 << (own + 1) else [own]
 
 
-def differences(size: int, band: int, fine: bool) -> int:
-    """How many of a set's partitions can at most be lost to a partner that takes part in the band."""
-    most = min((2 << band) - 1, 4 * size // 3)  # the largest partner
-    if fine:  # own shingles that the partner lacks
-        least = max(-(-3 * size // 4), 1 << band if band >= size.bit_length() else 0)
-        return size + (-3 * (size + least) // 7)
-    return (size + most) // 7
+def differences(size: int, band: int) -> int:
+    """How many shingles a set and a partner of the band can at most have apart, on both sides together."""
+    return (size + min((2 << band) - 1, 4 * size // 3)) // 7
+
+
+def missing(size: int, band: int) -> int:
+    """How many of a set's shingles a partner of the band can at most lack."""
+    least = max(-(-3 * size // 4), 1 << band if band >= size.bit_length() else 0)
+    return size + (-3 * (size + least) // 7)
 
 
 def surplus(band: int) -> int:
@@ -101,21 +108,46 @@ def surplus(band: int) -> int:
     return 1 if band < 3 else 2 if band < 4 else 4 if band < 5 else 6 if band < 7 else 16
 
 
-def parts(h: np.ndarray, band: int, fine: bool, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a set's non-empty partitions, and which of them have frequent shingles alone."""
-    seed = np.uint64((band * 2 + fine) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+def partitions(band: int) -> int:
+    """First-level partitions of a band: enough for the largest set, and an eighth more for empty subsets."""
+    return (2 * ((2 << band) - 1) // 7 + surplus(band)) * 9 // 16 + 2
+
+
+def subsets(h: np.ndarray, size: int, band: int) -> tuple[np.ndarray, bool]:
+    """Signatures of the subsets of two of three second-level partitions, and whether they reach the surplus with every partner.
+
+    h: the set's shingles without the frequent ones, sorted; size: that of the whole set. Over n partitions with d
+    differences at least 2n - d subsets agree, since a partition gives three without a difference, one with one, and
+    less than none is never counted; the set's own empty subsets are taken off.
+    """
+    n = partitions(band)
+    at = ((h >> np.uint64(32)) * np.uint64(3 * n)) >> np.uint64(32)
+    content, held = np.zeros(3 * n, np.uint64), np.zeros(3 * n, bool)
+    with np.errstate(over="ignore"):
+        if len(h):
+            starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            content[at[starts]] = np.add.reduceat(mix(h ^ np.uint64(band + 1)), starts)
+            held[at[starts]] = True
+        content, held = content.reshape(n, 3), held.reshape(n, 3)
+        place = np.arange(3 * n, dtype=np.uint64).reshape(n, 3) + np.uint64(band << 40)
+        made = mix(content.sum(1, dtype=np.uint64)[:, None] - content + mix(place))  # each leaves one of the three out
+    full = np.stack([held[:, 1] | held[:, 2], held[:, 0] | held[:, 2], held[:, 0] | held[:, 1]], axis=1)
+    sure = 2 * np.arange(1, n + 1) - differences(size, band) - np.cumsum(3 - full.sum(1)) >= surplus(band)
+    strong = bool(sure.any())
+    used = int(np.argmax(sure)) + 1 if strong else n
+    return made[:used][full[:used]], strong
+
+
+def singles(h: np.ndarray, often: np.ndarray, band: int) -> np.ndarray:
+    """Single shingles as signatures: as many as a partner of the band may lack and the surplus, the frequent ones last."""
+    seed = np.uint64((band * 2 + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    n = missing(len(h), band) + surplus(band)
+    plain = h[~often]
     with np.errstate(over="ignore"):
-        if fine:
-            content = mix(h + seed)
-        else:
-            p = h >> np.uint64(64 - band)
-            starts = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
-            content = mix(np.add.reduceat(mix(h ^ seed), starts) + seed)
-            common = np.logical_and.reduceat(common, starts)
-    return content, common
+        return mix((plain[:n] if len(plain) >= n else np.concatenate((plain, h[often][: n - len(plain)]))) + seed)
 
 
-def signatures(h: np.ndarray, fine_bands: frozenset = frozenset(), frequent: np.ndarray | None = None) -> np.ndarray:
+def signatures(h: np.ndarray, frequent: np.ndarray | None = None) -> np.ndarray:
     """All signatures that a set enumerates."""
     often = np.zeros(len(h), bool)
     if frequent is not None and len(frequent):
@@ -124,30 +156,17 @@ def signatures(h: np.ndarray, fine_bands: frozenset = frozenset(), frequent: np.
         often = frequent[at] == h
     out = []
     for band in bands(len(h)):
-        fine = 1 << band < FINE or band in fine_bands
-        content, common = parts(h, band, fine, often)
-        n = differences(len(h), band, fine) + surplus(band)
-        plain = content[~common]
-        out.append(plain[:n] if len(plain) >= n else np.concatenate((plain, content[common][: n - len(plain)])))
+        strong = False
+        if band >= SUBSETS:
+            made, strong = subsets(h[~often], len(h), band)
+            out.append(made)
+        if not strong:
+            out.append(singles(h, often, band))
     return np.concatenate(out)
 
 
-def weak_bands(h: np.ndarray) -> list[int]:
-    """Bands in which too few of a set's partitions are non-empty for the guarantee; there every shingle becomes a partition.
-
-    Among single shingles the surplus always remains: a set loses at most a quarter of them.
-    """
-    out = []
-    for band in bands(len(h)):
-        if 1 << band >= FINE:
-            p = h >> np.uint64(64 - band)
-            if 1 + int((p[1:] != p[:-1]).sum()) < differences(len(h), band, False) + surplus(band):
-                out.append(band)
-    return out
-
-
 def profiles(docs: DataFrame) -> DataFrame:
-    """A row for each document (size, digests, sketch), and rows that count frequent shingles and weak bands."""
+    """A row for each document (size, digests, sketch), and rows that count frequent shingles."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,16 +177,15 @@ def profiles(docs: DataFrame) -> DataFrame:
             distinct = {i: h for i, h in zip(ids, sets, strict=True) if len(h)}
             value, count = np.unique(np.concatenate(list(distinct.values())), return_counts=True) if distinct else (np.empty(0, np.uint64), np.empty(0, np.int64))
             often = count >= 3
-            weak = sorted({b for h in sets if len(h) >= 32 for b in weak_bands(h)})
-            m, k = int(often.sum()), len(weak)
+            m = int(often.sum())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.concat_arrays([batch.column(0).cast(batch.schema.field(0).type), pa.nulls(m + k, batch.schema.field(0).type)]),
-                    pa.array([0] * n + [1] * m + [2] * k, pa.int32()),
-                    pa.array([len(h) for h in sets] + count[often].tolist() + [0] * k, pa.int64()),
-                    pa.array([i for i, _ in ids] + value[often].view(np.int64).tolist() + weak, pa.int64()),
-                    pa.array([c for _, c in ids] + [None] * (m + k), pa.int64()),
-                    pa.array([sketch(h) if len(h) else None for h in sets] + [None] * (m + k), pa.binary()),
+                    pa.concat_arrays([batch.column(0).cast(batch.schema.field(0).type), pa.nulls(m, batch.schema.field(0).type)]),
+                    pa.array([0] * n + [1] * m, pa.int32()),
+                    pa.array([len(h) for h in sets] + count[often].tolist(), pa.int64()),
+                    pa.array([i for i, _ in ids] + value[often].view(np.int64).tolist(), pa.int64()),
+                    pa.array([c for _, c in ids] + [None] * m, pa.int64()),
+                    pa.array([sketch(h) if len(h) else None for h in sets] + [None] * m, pa.binary()),
                 ],
                 ["doc_id", "kind", "n", "sid", "check", "sketch"],
             )
@@ -175,7 +193,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, kind int, n long, sid long, check long, sketch binary")
 
 
-def signature_rows(docs: DataFrame, fine_bands: frozenset, frequent: np.ndarray) -> DataFrame:
+def signature_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(token, sid), each set once for each task."""
     spark = docs.sparkSession
     handle = spark.sparkContext.broadcast(frequent)  # at most FREQUENT_MOST numbers
@@ -193,7 +211,7 @@ def signature_rows(docs: DataFrame, fine_bands: frozenset, frequent: np.ndarray)
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(sid)
-                made = signatures(h, fine_bands, handle.value)
+                made = signatures(h, handle.value)
                 tokens.append(made)
                 owners.append(np.full(len(made), sid, np.int64))
             if tokens:
@@ -469,7 +487,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     often = profile.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("c")).where(F.col("c") >= FREQUENT)
     often = often.orderBy(F.desc("c"), "sid").limit(FREQUENT_MOST).select("sid").toArrow().column("sid").to_numpy()
     frequent = np.sort(often.astype(np.int64).view(np.uint64))
-    fine_bands = frozenset(r.sid for r in profile.where("kind = 2").select("sid").distinct().collect())  # at most a band for each bit
     rows = profile.where("kind = 0")
     classes = rows.where("n > 0").groupBy("sid").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("check").alias("low"), F.max("check").alias("high")
@@ -477,7 +494,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = scratch.materialize(classes, "classes")
     if not classes.where("low <> high").isEmpty():
         raise RuntimeError("two shingle sets share a digest")
-    buckets = scratch.materialize(shared(signature_rows(docs, fine_bands, frequent)), "buckets")
+    buckets = scratch.materialize(shared(signature_rows(docs, frequent)), "buckets")
     sizes = classes.select("sid", "n")
     buckets = prune(buckets, sizes)
     degrees = buckets.groupBy("sid").agg(F.count("*").alias("c"))

@@ -543,21 +543,51 @@ def test_no_near_duplicates_in_an_empty_table(spark):
 
 
 def test_linked_sets_share_signatures():
+    """Partners at the very limit share the surplus, however the frequent shingles lie; plain sets do so by subsets alone."""
     rng = np.random.default_rng(5)
-    for size in [*range(1, 60), 63, 64, 96, 127, 128, 200, 255, 256, 400, 900]:
-        for _ in range(6):
+    by_subsets = 0
+    for size in [*range(1, 60), 63, 64, 95, 96, 127, 128, 191, 192, 200, 255, 256, 400, 900, 3000]:
+        for _ in range(8):
             common = int(np.ceil(6 * size / 7))
             pool = np.unique(rng.integers(0, 2**63, 3 * size + 8, dtype=np.uint64) * np.uint64(2))
             rng.shuffle(pool)
             a, b = np.sort(pool[:size]), np.sort(np.concatenate([pool[:common], pool[size : 2 * size - common]]))
-            fine = frozenset([*jaccard_join.weak_bands(a), *jaccard_join.weak_bands(b)])
             for x, y in ((a, b), (a, np.sort(pool[: -(-3 * size // 4)]))):
                 both = len(np.intersect1d(x, y))
                 if jaccard_join.linked(len(x), len(y), both):
-                    shared = np.intersect1d(jaccard_join.signatures(x, fine, a[:3]), jaccard_join.signatures(y, fine, a[:3]))
+                    band = max(len(x), len(y)).bit_length() - 1
                     need = min(jaccard_join.surplus(min(len(x), len(y)).bit_length() - 1), len(x))
-                    assert len(shared) >= need, size
+                    for part in (0, 3, size // 3, size * 4 // 5, size):
+                        often = np.sort(rng.permutation(pool[: 2 * size])[: 2 * part])
+                        shared = np.intersect1d(jaccard_join.signatures(x, often), jaccard_join.signatures(y, often))
+                        assert len(shared) >= need, (size, part)
+                    if band >= jaccard_join.SUBSETS:
+                        (s, one), (t, two) = jaccard_join.subsets(x, len(x), band), jaccard_join.subsets(y, len(y), band)
+                        if one or two:
+                            by_subsets += 1
+                            assert len(np.intersect1d(s, t)) >= jaccard_join.surplus(band)
                     assert jaccard_join.at_most(jaccard_join.sketch(x), jaccard_join.sketch(y)) >= both
+    assert by_subsets > 400
+
+
+def test_signatures_are_subsets_of_two_of_three_partitions():
+    """Each signature is the contents of exactly two second-level partitions of one partition: what lies elsewhere does not matter."""
+    rng = np.random.default_rng(6)
+    h = np.unique(rng.integers(0, 2**64, 200, dtype=np.uint64))
+    n = jaccard_join.partitions(7)
+    made, strong = jaccard_join.subsets(h, len(h), 7)
+    place = ((h >> np.uint64(32)) * np.uint64(3 * n) >> np.uint64(32)).astype(int)
+    assert strong and len(made) == len(set(made.tolist()))
+    left = set(made.tolist())
+    for i in range(n):
+        for out in range(3):
+            two = [3 * i + j for j in range(3) if j != out]
+            if set(place.tolist()) >= {3 * i, 3 * i + 1, 3 * i + 2}:
+                alone, _ = jaccard_join.subsets(h[np.isin(place, two)], len(h), 7)
+                assert len(left & set(alone.tolist())) <= 1  # the one that leaves the third out, if the set gets so far
+    for gone in range(0, len(h), 9):
+        lost = left - set(jaccard_join.subsets(np.delete(h, gone), len(h), 7)[0].tolist())
+        assert len(lost) <= 2
 
 
 def test_shingles():
