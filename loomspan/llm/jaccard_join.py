@@ -41,8 +41,8 @@ WORDS = 5
 SUBSETS = 4
 #: Very frequent shingles: at least so many documents, at most so many shingles. Fewer of them cost time, not links.
 FREQUENT, FREQUENT_MOST = 300, 100_000
-#: Rows of a written table that may be broadcast; larger ones are joined by shuffles.
-BROADCAST_ROWS = 300_000
+#: Bytes that a written table may have to be broadcast; larger ones are joined by shuffles.
+BROADCAST_BYTES = 16 << 20
 #: Bytes of shingles in a block of a cluster.
 BLOCK = 4 << 20
 #: Largest bitmap of candidates, in bits.
@@ -54,8 +54,10 @@ def linked(a: int, b: int, both: int) -> bool:
 
 
 def small(table: DataFrame) -> DataFrame:
-    """The written table, to be broadcast if its count allows."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    """The written table of numbers, to be broadcast if its rows and columns allow; one with other columns is not."""
+    if any(f.dataType.simpleString() not in ("bigint", "int") for f in table.schema):
+        return table
+    return F.broadcast(table) if table.count() * (16 + 8 * len(table.columns)) <= BROADCAST_BYTES else table
 
 
 def set_ids(h: np.ndarray) -> tuple[int, int]:
