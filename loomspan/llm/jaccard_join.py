@@ -43,6 +43,8 @@ SUBSETS = 4
 FREQUENT, FREQUENT_MOST = 300, 100_000
 #: Bytes that a written table may have to be broadcast; larger ones are joined by shuffles.
 BROADCAST_BYTES = 16 << 20
+#: Rows from which on a bucket's rows are not brought together to choose its head.
+LARGE = 256
 #: Bytes of shingles in a block of a cluster.
 BLOCK = 4 << 20
 #: Largest bitmap of candidates, in bits.
@@ -352,7 +354,14 @@ def best_heads(buckets: DataFrame, sized: DataFrame) -> DataFrame:
         trim()
 
     voting = buckets.join(small(sized), "sid").where("n < 96 OR token & 3 = 0").select("token", "sid", "n", "rank")
-    pairs = voting.repartition("token").mapInArrow(run, "sid long, b long, c long")
+    voting = scratch.materialize(voting, "voting")
+    # large buckets' heads are found by partial sums and sent to their rows, wherever these are; only the others are brought together
+    top = voting.groupBy("token").agg(F.count("*").alias("rows"), F.max(F.struct("rank", "sid", "n")).alias("top")).where(F.col("rows") > LARGE)
+    top = scratch.materialize(top.select("token", F.col("top.sid").alias("b"), F.col("top.n").alias("most")), "large")
+    fits = (F.col("sid") != F.col("b")) & (4 * F.least("n", "most") >= 3 * F.greatest("n", "most"))
+    large = voting.join(small(top), "token").where(fits).select("sid", "b", F.lit(1).cast("long").alias("c"))
+    rest = voting.join(small(top.select("token")), "token", "left_anti")
+    pairs = rest.repartition("token").mapInArrow(run, "sid long, b long, c long").unionByName(large)
     pairs = pairs.groupBy("sid", "b").agg(F.sum("c").alias("c"))
     return pairs.groupBy("sid").agg(F.max_by("b", F.struct("c", "b")).alias("head"))
 
@@ -404,21 +413,11 @@ def cluster_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def mixed_rows(rows: DataFrame) -> DataFrame:
-    """Rows (token, sid, n, comp, head) of the buckets that hold several components and several clusters."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _gathered(batches, 5)
-        table = table[:, np.argsort(table[0], kind="stable")]
-        if table.shape[1]:
-            starts, ends = _bucket_edges(table[0])
-            several = np.ones(len(starts), bool)
-            for x in (table[3], table[4]):
-                several &= np.minimum.reduceat(x, starts) != np.maximum.reduceat(x, starts)
-            table = table[:, np.repeat(several, ends - starts)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in table], ["token", "sid", "n", "comp", "head"])
-        trim()
-
-    return rows.select("token", "sid", "n", "comp", "head").repartition("token").mapInArrow(run, "token long, sid long, n long, comp long, head long")
+    """Rows (token, sid, n, comp, head) of the buckets that hold several components and several clusters, told by partial sums."""
+    rows = scratch.materialize(rows.select("token", "sid", "n", "comp", "head"), "members")
+    ends = rows.groupBy("token").agg(*(f(x).alias(f"{f.__name__}_{x}") for x in ("comp", "head") for f in (F.min, F.max)))
+    mixed = scratch.materialize(ends.where("min_comp <> max_comp AND min_head <> max_head").select("token"), "mixed")
+    return rows.join(small(mixed), "token", "left_semi")
 
 
 def cross_pairs(rows: DataFrame) -> DataFrame:

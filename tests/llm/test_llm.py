@@ -508,9 +508,10 @@ def brute(docs):
     return sorted((repr(d), len(s), repr(least.get(root(i)))) for i, (d, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize("block", [jaccard_join.BLOCK, 20_000])
-def test_near_duplicates_by_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, large", [(jaccard_join.BLOCK, jaccard_join.LARGE), (20_000, 2)])
+def test_near_duplicates_by_brute_force(spark, monkeypatch, block, large):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "LARGE", large)
     random.seed(4)
     words = [f"v{i}" for i in range(400)]
     texts = []
