@@ -423,26 +423,30 @@ def mixed_rows(rows: DataFrame) -> DataFrame:
 def cross_pairs(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of one bucket but different components and clusters whose sizes and sketches allow a link.
 
-    rows: token, sid, n, comp, head, sketch. Each task sorts its share of the buckets
-    and looks at a pair once.
+    rows: token, sid, n, comp, head, sketch. A bucket beyond LARGE rows is cut into blocks by hash, and
+    every two of them meet in a group of their own, so that no task has a whole one. Each
+    task sorts its share of the groups and looks at a pair once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, sketches = [], []
         for b in batches:
-            table.append(np.stack([b.column(i).to_numpy() for i in range(5)]))
-            sketches.extend(b.column(5).to_pylist())
+            table.append(np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(8)]))
+            sketches.extend(b.column(8).to_pylist())
         if not table:
             return
-        token, sid, n, comp, head = np.concatenate(table, axis=1)
-        order = np.lexsort((sid, token))
-        token, sid, n, comp, head = token[order], sid[order], n[order], comp[order], head[order]
+        token, sid, n, comp, head, block, low, high = np.concatenate(table, axis=1)
+        order = np.lexsort((sid, high, low, token))
+        token, sid, n, comp, head, block, low, high = (x[order] for x in (token, sid, n, comp, head, block, low, high))
+        edges = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True])))
         looked: set[tuple[int, int]] = set()
         out: list[tuple[int, int]] = []
-        for s, e in zip(*_bucket_edges(token), strict=True):
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
             for i in range(s, e):
                 others = np.arange(i + 1, e)
                 others = others[(comp[others] != comp[i]) & (head[others] != head[i]) & (4 * np.minimum(n[others], n[i]) >= 3 * np.maximum(n[others], n[i]))]
+                if low[i] != high[i]:
+                    others = others[block[others] != block[i]]  # a block's own pairs are another group's
                 for j in others.tolist():
                     pair = int(sid[i]), int(sid[j])
                     if pair not in looked:
@@ -451,9 +455,15 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
                             out.append(pair)
             if len(looked) > 1_000_000:
                 looked.clear()
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], ["a", "b"])
 
-    return rows.select("token", "sid", "n", "comp", "head", "sketch").repartition("token").mapInArrow(run, "a long, b long")
+    rows = rows.select("token", "sid", "n", "comp", "head", "sketch")
+    large = rows.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > LARGE)
+    large = scratch.materialize(large.select("token", F.ceil(F.col("rows") / LARGE).cast("int").alias("blocks")), "large")
+    cut = rows.join(small(large), "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.expr("cast(pmod(xxhash64(sid), blocks) as int)"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select("token", "sid", "n", "comp", "head", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "sketch")
+    return cut.repartition("token", "low", "high").mapInArrow(run, "a long, b long")
 
 
 def _with_heads(members: DataFrame) -> DataFrame:
@@ -510,8 +520,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comps = connected(links)
     # clusters keep the names under which the second pass compared them: sets of two clusters have not met, even if their heads are linked by now
     member = _with_components(member.drop("comp"), comps, rename=False)
-    mixed = scratch.materialize(mixed_rows(buckets.join(small(scratch.materialize(member, "members")), "sid")), "mixed")
-    pairs = scratch.materialize(cross_pairs(mixed.join(classes.select("sid", "sketch"), "sid")).distinct(), "pairs")
+    mixed = mixed_rows(buckets.join(small(scratch.materialize(member, "members")), "sid"))
+    mixed = scratch.materialize(mixed.join(classes.select("sid", "sketch"), "sid"), "mixed")
+    pairs = scratch.materialize(cross_pairs(mixed).distinct(), "pairs")
     found = scratch.materialize(verify(pairs, sets), "found")
     if not found.isEmpty():
         comps = connected(links.unionByName(found))
