@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -67,15 +67,15 @@ def fold(tokens: list[int], most: int, overlap: int) -> list[tuple[int, int]]:
 CHUNKS = ["conv_id", "chunk", "first_message", "end_message", "n_tokens", "chunk_text"]
 
 
-def message_chunks(messages: DataFrame, most: int, overlap: int) -> DataFrame:
+def message_chunks(messages: DataFrame, most: int, overlap: int, tokens: Callable[[Column], Column] = token_count) -> DataFrame:
     """(conv_id, chunk, first_message, end_message, n_tokens, chunk_text): greedy chunks of each conversation in order of its turns.
 
     A null text is an empty message; messages of one turn come by their text, a null turn
-    first; messages without a conversation are one. Conversations stream through sorted
+    first; messages without a conversation are one. `tokens` counts a text's tokens, by a pattern unless another is given. Conversations stream through sorted
     partitions, of which only the open chunk is held.
     """
     text = F.coalesce("text", F.lit(""))
-    counted = messages.select("conv_id", "turn", text.alias("text"), token_count(text).cast("long").alias("n"))
+    counted = messages.select("conv_id", "turn", text.alias("text"), tokens(text).cast("long").alias("n"))
     kind = messages.schema["conv_id"].dataType
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -118,3 +118,8 @@ def chunked(batches: Iterator, size: int) -> Iterator[list]:
             held = []
     if held:
         yield held
+
+
+def enriched(chunks: DataFrame, enrich: Callable[[Column], Column] = lambda text: text, text: str = "text") -> DataFrame:
+    """Chunks with `enriched_text`, what the hook makes of their text: the text itself unless a hook is given."""
+    return chunks.withColumn("enriched_text", enrich(F.col(text)))

@@ -27,11 +27,11 @@ def _span(kind: Column, label: Column) -> tuple[Column, Column]:
 
 
 def items(digests: DataFrame) -> DataFrame:
-    """(kind, label, href, size, start, end, title) of digests (kind, label, text); rows whose label is no such period are left out."""
+    """(kind, label, href, size, start, end, title [, mtime]) of digests (kind, label, text [, mtime]); rows whose label is no such period are left out."""
     first, last = _span(F.col("kind"), F.col("label"))
     text = F.coalesce("text", F.lit(""))
     href = F.concat("kind", F.lit("-"), "label", F.lit(".html"))
-    found = digests.select("kind", "label", href.alias("href"), F.octet_length(text).cast("long").alias("size"), first.alias("start"), last.alias("end"), title(text, F.col("label")).alias("title"))
+    found = digests.select("kind", "label", href.alias("href"), F.octet_length(text).cast("long").alias("size"), first.alias("start"), last.alias("end"), title(text, F.col("label")).alias("title"), *(["mtime"] if "mtime" in digests.columns else []))
     return found.where("start IS NOT NULL")
 
 
@@ -47,7 +47,7 @@ def script_json(value: Column) -> Column:
 
 def payload(found: DataFrame, gone: DataFrame) -> DataFrame:
     """One row with the page's data as JSON. Its size is that of the calendar: three rows a day at most, however large the corpus."""
-    names = ["kind", "label", "href", "size", "start", "end", "title"]
+    names = ["kind", "label", "href", "size", "start", "end", "title", *(["mtime"] if "mtime" in found.columns else [])]  # sorted by kind, then label
     kept = found.agg(F.array_sort(F.collect_list(F.struct(*names))).alias("items"))
     lost = gone.agg(F.array_sort(F.collect_list(F.struct("kind", "label"))).alias("missing"))
     return kept.crossJoin(lost).select(script_json(F.struct("items", "missing")).alias("payload"))  # one row each

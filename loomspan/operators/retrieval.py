@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -189,7 +190,19 @@ def keyword_index(docs: DataFrame, root: str, buckets: int = 64) -> None:
     """
     held = docs.select("doc_id", words_of(F.col("text")).alias("w"))
     held.select("doc_id", F.size("w").alias("n")).write.parquet(f"{root}/lengths")
-    runs = held.select("doc_id", F.size("w").alias("n"), F.explode(F.array_sort("w")).alias("term")).groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                counts = [Counter(words) for words in part.column(1).to_pylist()]
+                at = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+                sizes = np.array([sum(c.values()) for c in counts], np.int32)
+                columns = [part.column(0).take(pa.array(at)), pa.array(sizes[at]), pa.array([t for c in counts for t in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "term", "tf"])
+
+    runs = held.mapInArrow(run, f"doc_id {kind}, n int, term string, tf long")
     placed = runs.withColumn("bucket", F.expr(f"cast(pmod(xxhash64(term), {buckets}) as int)"))
     # a frequent term's postings are spread over several files of its bucket
     placed = placed.repartition("bucket", F.expr("cast(pmod(xxhash64(doc_id), 8) as int)")).sortWithinPartitions("bucket", "term")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.operators import manifests
+
 MOST_BYTES = 100 * 1000 * 1000
 
 
@@ -49,3 +51,37 @@ def settle(manifest: DataFrame, outcomes: DataFrame) -> DataFrame:
 def retained(manifest: DataFrame, inputs: DataFrame) -> DataFrame:
     """(path, size_bytes) of files that were sent and are no longer among the inputs."""
     return manifest.where("file_id IS NOT NULL").join(inputs.select("path").distinct(), "path", "left_anti").select("path", "size_bytes")
+
+
+#: The gates of an upload, in the order in which they are asked.
+GATES = ("arguments", "report", "dry run", "approval", "converted", "inventory", "budget", "keys", "inputs")
+
+
+def gate(problems: DataFrame, expected: DataFrame, local: DataFrame, cost: float, budget: float | None, approved: bool, dry_run: bool, chunk: int, overlap: int, has_keys: bool = True) -> str | None:
+    """The first gate that keeps an upload from starting, or None where all are open.
+
+    problems: conversions that are not usable (reason not null); expected, local: path and
+    size of what has to be there. A cost that reaches the budget closes it. Later gates cost nothing if an earlier one is shut.
+    """
+    if not 0 <= overlap < chunk:
+        return "arguments"
+    if dry_run:
+        return "dry run"
+    if not approved:
+        return "approval"
+    if not problems.where("reason IS NOT NULL").isEmpty():
+        return "converted"
+    if not manifests.inventory_problems(expected, local, "path").isEmpty():
+        return "inventory"
+    if budget is not None and cost >= budget:
+        return "budget"
+    return None if has_keys else "keys"
+
+
+def run_summary(outcomes: DataFrame) -> DataFrame:
+    """One row (ok, unchanged, failed, pending, success) of a run's outcomes (action, error): it succeeds if nothing failed or has to be reconciled."""
+    out = outcomes.agg(
+        F.count_if((F.col("action") == "send") & F.col("error").isNull()).alias("ok"), F.count_if(F.col("action") == "unchanged").alias("unchanged"),
+        F.count_if(F.col("error").isNotNull()).alias("failed"), F.count_if(F.col("action") == "reconcile").alias("pending"),
+    )
+    return out.select("*", ((F.col("failed") == 0) & (F.col("pending") == 0)).alias("success"))

@@ -10,7 +10,7 @@ from loomspan.adapters import fetching, models
 from loomspan.functions import calendar as cal
 from loomspan.functions import markup
 from loomspan.functions import text as tx
-from loomspan.operators import context, manifests, metrics, prompts, retrieval
+from loomspan.operators import context, manifests, metrics, prompts, retrieval, uploads
 from loomspan.plans.registry import _BM25, _DIST, _MIXED, _TERMS, _bm25, _vector, mixed_links, query, table
 
 # searches
@@ -428,3 +428,29 @@ def catalog_search_dates(spark, d):
     start = F.concat(F.lit("2024-0"), (F.col("doc_id") % 9 + 1).cast("string"))
     items = table(spark, d, "documents").select(F.col("lang").alias("kind"), F.col("source").alias("label"), F.col("text").alias("title"), start.alias("start"), F.lit("2025").alias("end"), "n_chars")
     return context.catalog_search(items, "2024-07 2025", sort="n_chars").select("kind", "label", "start", "end")
+
+
+@query("""WITH f AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'empty_file' WHEN 1 THEN 'not_pdf' ELSE 'readable_pdf_extraction_failed' END AS kind, doc_id % 3 = 0 AS moved FROM documents WHERE doc_id % 2 = 0 OR doc_id % 4 = 1)
+ SELECT CASE WHEN moved THEN 'source_changed_since_failure' ELSE kind END AS kind, count(*) AS n FROM f GROUP BY 1""")
+def failure_report(spark, d):
+    """Failed conversions by what their files are now; those that changed since are told apart."""
+    docs = table(spark, d, "documents").where("doc_id % 2 = 0 OR doc_id % 4 = 1")
+    content = F.when(F.col("doc_id") % 4 == 0, "").when(F.col("doc_id") % 4 == 1, "text").otherwise("%PDF-1.4 /Type /Page ").cast("binary")
+    files = docs.select("doc_id", content.alias("content"))
+    failed = files.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "old").otherwise(F.sha2("content", 256)).alias("sha256"))
+    kind = F.when(F.sha2("content", 256) != F.col("sha256"), "source_changed_since_failure").otherwise(tx.failure_kind(F.col("content")))
+    return failed.join(files, "doc_id", "left").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT coalesce(CAST(sum(n_chars) FILTER (WHERE doc_id % 10 > 2) AS BIGINT), 0) AS ready, coalesce(CAST(sum(n_chars) FILTER (WHERE doc_id % 10 <= 2 AND doc_id % 3 = 0) AS BIGINT), 0) AS kept, count(*) FILTER (WHERE doc_id % 10 <= 2) AS problems FROM documents)
+ SELECT ready, kept AS retained, problems, round((ready + kept) / 1073741824.0 * 3.75, 9) AS cost, 'partial collection only' AS scope FROM r""")
+def cost_report(spark, d):
+    """What the ready texts and those kept remotely cost in 30 days, and whether that is the whole collection."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"))
+    ready = docs.where("doc_id % 10 > 2")
+    remote = docs.where("doc_id % 3 = 0").select("path", F.col("size").cast("long").alias("size_bytes"), F.lit("f").alias("file_id"))
+    kept = uploads.retained(remote, ready).agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("retained"))
+    gone = manifests.pending(docs, ready, ["path"]).agg(F.count("*").alias("problems"))
+    out = ready.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("ready")).crossJoin(kept).crossJoin(gone)  # one row each
+    scope = F.when(F.col("problems") == 0, "full source inventory").otherwise("partial collection only")
+    return out.select("ready", "retained", "problems", F.round(metrics.storage_cost(F.col("ready") + F.col("retained"), 30, 0), 9).alias("cost"), scope.alias("scope"))

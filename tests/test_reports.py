@@ -11,11 +11,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan import cli, scratch
-from loomspan.adapters import fetching, models
+from loomspan.adapters import conversion, fetching, models
 from loomspan.functions import calendar as cal
 from loomspan.functions import markup
 from loomspan.functions import text as tx
-from loomspan.operators import chunking, context, manifests, metrics, prompts, retrieval
+from loomspan.operators import chunking, context, index_page, manifests, metrics, prompts, retrieval, uploads
 from loomspan.sources import files, sinks
 from loomspan.streaming import watch
 
@@ -394,3 +394,48 @@ def test_commands(spark, tmp_path, capsys):
     assert [json.loads(x)["label"] for f in (tmp_path / "weekly").glob("*.json") for x in f.read_text().splitlines()] == ["2024-W01"]
     run("index-page", tmp_path / "digests", tmp_path / "index.html")
     assert "Day 2024-01-02" in (tmp_path / "index.html").read_text()
+
+
+def test_conversion(spark):
+    files = spark.createDataFrame([(p, bytearray(c)) for p, c in (("a", b"text a"), ("b", b"crash"), ("c", b"bad"), ("d", b" "), ("e", b"done"))], "path string, content binary")
+
+    def plain(content):
+        if content == b"crash":
+            raise conversion.ConverterCrash("signal 11")
+        if content == b"bad":
+            raise ValueError("no pages")
+        return content.decode()
+
+    done = files.where("path = 'e'").select("path", F.sha2("content", 256).alias("sha256"))
+    got = {r.path: (r.status, r.error, r.text) for r in conversion.convert(files, done, plain, lambda c: "by the old way").collect()}
+    assert got == {"a": ("ready", None, "text a"), "b": ("ready", None, "by the old way"), "c": ("failed", "no pages", None), "d": ("failed", "no text", None)}
+    assert {r.path: r.error for r in conversion.convert(files, done, plain).collect()}["b"] == "signal 11"
+    manifest = spark.createDataFrame([("a", "h1", "old", 1), ("b", "h2", "old", 2)], "path string, text_sha256 string, text string, n int")
+    repairs = spark.createDataFrame([("a", "h1", "new"), ("b", "h0", "new")], "path string, read_sha256 string, text string")
+    assert {(r.path, r.text, r.n) for r in conversion.repaired(manifest, repairs).collect()} == {("a", "new", 1), ("b", "old", 2)}
+
+    def fails():
+        raise OSError("no network")
+
+    assert conversion.update_checkout(lambda: None, fails, False) == "cloned" and conversion.update_checkout(fails, fails, True) == "stale" and conversion.update_checkout(fails, lambda: None, True) == "pulled"
+
+
+def test_upload_gates(spark):
+    fine = spark.createDataFrame([("a", None)], "path string, reason string")
+    bad = spark.createDataFrame([("a", "too large")], "path string, reason string")
+    files = spark.createDataFrame([("a", 5)], "path string, size long")
+    ask = lambda p=fine, local=files, cost=1.0, budget=2.0, ok=True, dry=False, overlap=2, keys=True: uploads.gate(p, files, local, cost, budget, ok, dry, 10, overlap, keys)
+    assert ask() is None and ask(overlap=10) == "arguments" and ask(dry=True, ok=False) == "dry run" and ask(ok=False) == "approval"
+    assert ask(bad) == "converted" and ask(local=files.limit(0)) == "inventory" and ask(cost=2.0) == "budget" and ask(budget=None) is None and ask(keys=False) == "keys"
+    rows = [("send", None), ("send", "x"), ("unchanged", None), ("reconcile", None)]
+    assert tuple(uploads.run_summary(spark.createDataFrame(rows, "action string, error string")).first()) == (1, 1, 1, 1, False)
+
+
+def test_hooks(spark):
+    chunks = spark.createDataFrame([("a",), (None,)], "text string")
+    assert [r.enriched_text for r in chunking.enriched(chunks).collect()] == ["a", None] and [r.enriched_text for r in chunking.enriched(chunks, F.upper).collect()] == ["A", None]
+    rows = spark.createDataFrame([(1, 1, "abcd"), (1, 2, "ef")], "conv_id long, turn long, text string")
+    assert [r.n_tokens for r in chunking.message_chunks(rows, 5, 1, F.length).orderBy("chunk").collect()] == [4, 6]
+    found = index_page.items(spark.createDataFrame([("daily", "2024-01-02", "# A </b>", 7), ("daily", "2024-01-01", "", 8)], "kind string, label string, text string, mtime long"))
+    told = index_page.payload(found, spark.createDataFrame([], "kind string, label string")).first().payload
+    assert [x["mtime"] for x in json.loads(told.replace("<\\/", "</"))["items"]] == [8, 7] and "</" not in told
