@@ -353,9 +353,9 @@ def catalog_stats(spark, d):
     return table(spark, d, "documents").groupBy(F.col("lang").alias("kind")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("largest"), F.count_if(F.col("n_chars") < 50).alias("short"))
 
 
-@query("""SELECT lang AS kind, source AS label, substr(text, 1, 40) AS title, n_chars FROM documents WHERE lang = 'de' AND contains(lower(lang || ' ' || source || ' ' || substr(text, 1, 40)), 'src1')""")
+@query("""SELECT lang AS kind, source AS label, text AS title, n_chars FROM documents WHERE lang = 'de' AND contains(lower(lang || ' ' || source || ' ' || text), 'src1')""")
 def catalog_search(spark, d):
-    items = table(spark, d, "documents").select(F.col("lang").alias("kind"), F.col("source").alias("label"), F.substring("text", 1, 40).alias("title"), "n_chars")
+    items = table(spark, d, "documents").select(F.col("lang").alias("kind"), F.col("source").alias("label"), F.col("text").alias("title"), "n_chars")
     return context.catalog_search(items, "SRC1", "de", "n_chars", True)
 
 
@@ -382,6 +382,7 @@ def keyword_bm25(spark, d):
  q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), v AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY {_DIST}, vec_id) AS rank FROM embeddings e, q QUALIFY rank <= 50)
  SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM k UNION ALL SELECT * FROM v) GROUP BY doc_id ORDER BY round(sum(1.0 / (60 + rank)), 9) DESC, doc_id LIMIT 20""")
 def hybrid_rrf(spark, d):
+    """The best 20 by reciprocal ranks; as in a hosted hybrid search, the first 50 of each list are fused."""
     from pyspark.sql import Window
 
     def ranked(df: DataFrame, *order) -> DataFrame:

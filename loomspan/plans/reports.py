@@ -72,11 +72,11 @@ def retrieval_zip(rows: DataFrame) -> DataFrame:
     return manifests.zipped(rows, ["page_id"], ["id", "text"]).select("page_id", "rank", "id", F.length("text").cast("long").alias("n"))
 
 
-@query("""WITH m AS (SELECT conv_id, turn, conv_id % 40 AS file_id FROM conversations), f AS (SELECT doc_id AS file_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'given-' || doc_id END AS filename, 'name-' || doc_id AS name, source FROM documents WHERE doc_id < 30)
+@query("""WITH m AS (SELECT conv_id, turn, conv_id * 11 AS file_id FROM conversations), f AS (SELECT doc_id AS file_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'given-' || doc_id END AS filename, 'name-' || doc_id AS name, source FROM documents)
  SELECT conv_id, turn, m.file_id, coalesce(filename, name) AS filename, source FROM m LEFT JOIN f USING (file_id)""")
 def lookup_join(spark, d):
-    matches = table(spark, d, "conversations").select("conv_id", "turn", (F.col("conv_id") % 40).alias("file_id"))
-    documents = table(spark, d, "documents").where("doc_id < 30").select(
+    matches = table(spark, d, "conversations").select("conv_id", "turn", (F.col("conv_id") * 11).alias("file_id"))
+    documents = table(spark, d, "documents").select(
         F.col("doc_id").alias("file_id"), F.expr("IF(doc_id % 3 = 0, NULL, concat('given-', doc_id))").alias("filename"), F.concat(F.lit("name-"), F.col("doc_id").cast("string")).alias("name"), "source"
     )
     return manifests.lookup(matches, documents, "file_id").select("conv_id", "turn", "file_id", "filename", "source")
