@@ -722,6 +722,23 @@ def test_stored_texts(spark):
 # pipeline
 
 
+def test_stages_keep_clashing_columns_and_odd_rows(spark):
+    """The stages' filters give back the rows that they keep as they are, whatever the columns are called, and empty tables empty."""
+    names = ["host", "path", "evidence", "own", "key", "row", "score", "accepted", "spans", "items", "n_words", "fold", "component"]
+    docs = odd_docs(spark, [f"good clean prose number {i} with many plain words in it" for i in range(20)])
+    docs = docs.select("*", *(F.lit(f"own {n}").alias(n) for n in names))
+    labels = spark.createDataFrame([(8 + i, int(i % 5 > 0), 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(1, "number 3 with many plain words in it"), (2, None)], "item_id long, text string")
+    given = Counter(map(key_of, docs.collect()))
+    for keep in (lambda d: quality.keep_accepted(d, labels), jaccard_join.keep_one, lambda d: decontaminate.without_windows(d, benchmark)):
+        kept = keep(docs)
+        assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()
+        assert not Counter(map(key_of, kept.collect())) - given
+        assert keep(docs.limit(0)).count() == 0
+    clean = decontaminate.without_windows(docs, benchmark)
+    assert given - Counter(map(key_of, clean.collect())) == Counter({key_of(r): 1 for r in docs.where("text LIKE '%number 3 with%'").collect()})
+
+
 def key_of(row):
     return repr(tuple(row))
 
