@@ -23,9 +23,13 @@ def upsert(manifest: DataFrame, changes: DataFrame, keys: list[str]) -> DataFram
 
 
 def record_failures(manifest: DataFrame, failures: DataFrame, key: str) -> DataFrame:
-    """Set state, error and updated of failed keys; revision and offset survive, new keys get nulls."""
-    f = failures.select(key, F.col("error").alias("__error"), F.col("updated").alias("__updated"))
-    both = manifest.join(f, key, "full")
+    """Set state, error and updated of failed keys; revision and offset survive, new keys get nulls.
+
+    Of a key that failed repeatedly its latest failure counts, of equally late ones that
+    with the greatest error. Failures without a key or a time are left out.
+    """
+    f = failures.where(F.col(key).isNotNull() & F.col("updated").isNotNull()).groupBy(key).agg(F.max(F.struct("updated", "error")).alias("__f"))
+    both = manifest.join(f.select(key, F.col("__f.error").alias("__error"), F.col("__f.updated").alias("__updated")), key, "full")
     failed = F.col("__updated").isNotNull()
     return both.select(
         key, *(c for c in manifest.columns if c not in (key, "state", "error", "updated")),
@@ -43,7 +47,8 @@ def stale(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     """(key, n_children, stale): a parent is stale if it is missing or older than a child."""
     # a null time of a child counts for nothing, one of a parent as missing; children without a key are a group of their own that has no parent
     newest = children.groupBy(key).agg(F.max("mtime").alias("child_mtime"), F.count("*").alias("n_children"))
-    both = newest.join(parents.select(key, F.col("mtime").alias("parent_mtime")), key, "left")
+    # a parent that is repeated counts by its newest row
+    both = newest.join(parents.groupBy(key).agg(F.max("mtime").alias("parent_mtime")), key, "left")
     return both.select(key, "n_children", (F.col("parent_mtime").isNull() | (F.col("child_mtime") > F.col("parent_mtime"))).alias("stale"))
 
 
@@ -62,24 +67,31 @@ def transfer_state(expected: DataFrame, actual: DataFrame, key: str) -> DataFram
 
 
 def inventory_problems(expected: DataFrame, local: DataFrame, key: str) -> DataFrame:
-    """Expected files that are not there, or of another size."""
-    both = expected.join(local.select(key, F.col("size").alias("has")), key, "left")
-    return both.where("has IS NULL OR size <> has").select(key, F.when(F.col("has").isNull(), "missing").otherwise("size").alias("problem"))
+    """(key, problem) of expected files that are not there, of another size, or of a size that is not known on either side.
+
+    A row for each expected row and each local row of its key; a null key is nowhere.
+    """
+    both = expected.join(local.select(key, F.col("size").alias("has"), F.lit(True).alias("there")), key, "left")
+    problem = F.when(F.col("there").isNull(), "missing").when(F.col("has").isNull() | F.col("size").isNull(), "unknown size").when(F.col("size") != F.col("has"), "size")
+    return both.select(key, problem.alias("problem")).where("problem IS NOT NULL")
 
 
 def reconcile(waiting: DataFrame, remote: DataFrame, key: str) -> DataFrame:
-    """Waiting uploads that exactly one remote file has the name of."""
+    """(key, file_id) of waiting uploads that exactly one remote file has the name of; null names match nothing, a repeated key counts all its matches."""
     found = waiting.join(remote, "name").groupBy(key).agg(F.count("*").alias("n"), F.min("file_id").alias("file_id"))
     return found.where("n = 1").select(key, "file_id")
 
 
 def audit(expected: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """(key, expected, found, problem) by key: missing, orphan, duplicate or out-of-range passages, wrong counts."""
-    counts = stored.groupBy(key).agg(F.count("*").alias("found"), F.countDistinct("chunk").alias("kinds"), F.max("chunk").alias("top"))
+    """(key, expected, found, problem) by key: missing, orphan, out-of-range (null ones too) or duplicate passages, wrong counts.
+
+    One row for each expected key; a null total is that of a key nobody expects. For the passages themselves see `passage_audit`.
+    """
+    counts = stored.groupBy(key).agg(F.count("*").alias("found"), F.countDistinct("chunk").alias("kinds"), F.max("chunk").alias("top"), F.min("chunk").alias("low"), F.count("chunk").alias("numbered"))
     both = expected.select(key, "total").join(counts, key, "full")
     problem = (
-        F.when(F.col("total").isNull(), "orphan").when(F.col("found").isNull() & (F.col("total") > 0), "missing").when(F.col("found") > F.col("kinds"), "duplicate")
-        .when(F.col("top") >= F.col("total"), "out of range").when(F.coalesce("found", F.lit(0)) != F.col("total"), "count").otherwise("ok")
+        F.when(F.col("total").isNull(), "orphan").when(F.col("found").isNull() & (F.col("total") > 0), "missing").when((F.col("low") < 0) | (F.col("numbered") < F.col("found")), "out of range")
+        .when(F.col("found") > F.col("kinds"), "duplicate").when(F.col("top") >= F.col("total"), "out of range").when(F.coalesce("found", F.lit(0)) != F.col("total"), "count").otherwise("ok")
     )
     return both.select(key, F.coalesce("total", F.lit(0)).cast("long").alias("expected"), F.coalesce("found", F.lit(0)).alias("found"), problem.alias("problem"))
 

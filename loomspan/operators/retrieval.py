@@ -28,12 +28,21 @@ def valid_vector(v: Column, dimensions: int) -> Column:
 
 
 def distances(vectors: DataFrame, query: list[float], metric: str = "cosine") -> DataFrame:
-    """Vectors with their distance to one query, an array literal: no join at all."""
+    """Usable vectors with their distance to one query, an array literal: no join at all.
+
+    Vectors that are null, of another length, not finite or without a direction have no
+    distance and are left out, by both metrics; repeated rows stay. A query of that kind
+    finds nothing.
+    """
     q = F.array(*(F.lit(float(x)) for x in query))
+    usable = vectors.where(F.coalesce(valid_vector(F.col("embedding"), len(query)), F.lit(False)))
+    length = float(np.sqrt(np.dot(query, query))) if len(query) else 0.0
+    if not np.isfinite(length) or not length:
+        return usable.limit(0).withColumn("distance", F.lit(0.0))
     if metric == "l2":
-        return vectors.withColumn("distance", squared_l2(F.col("embedding"), q))
-    norm = F.sqrt(dot(F.col("embedding"), F.col("embedding"))) * float(np.sqrt(np.dot(query, query)))
-    return vectors.withColumn("distance", 1 - dot(F.col("embedding"), q) / norm)
+        return usable.withColumn("distance", squared_l2(F.col("embedding"), q))
+    norm = F.sqrt(dot(F.col("embedding"), F.col("embedding"))) * length
+    return usable.withColumn("distance", 1 - F.try_divide(dot(F.col("embedding"), q), norm))
 
 
 _NAME, _TEXT, _NUMBER = r"[A-Za-z_][A-Za-z0-9_]*", r'"(?:[^"\\]|\\.)*"', r"-?[0-9]+(?:\.[0-9]+)?"
@@ -99,10 +108,13 @@ def retrieve(candidates: DataFrame, k: int = 8, per_paper: int = 2, overfetch: i
     """Nearest k with at most `per_paper` of each paper: over-fetch, drop stale revisions, cap, limit.
 
     candidates: vec_id, paper, distance [, revision]; current: paper, revision. Ties go by
-    vec_id. The over-fetched rows are few, so they are what is broadcast to `current`, however large that is.
+    vec_id; rows without a distance are no candidates, those without a paper are one paper.
+    The over-fetched rows are few: with `current` they are written once, so that the vectors
+    are scanned once, and they are what is broadcast, however large `current` is.
     """
-    near = candidates.orderBy("distance", "vec_id").limit(overfetch * k)
+    near = candidates.where(F.col("distance").isNotNull() & ~F.isnan("distance")).orderBy("distance", "vec_id").limit(overfetch * k)
     if current is not None:
+        near = scratch.materialize(near, "near")
         keys = F.broadcast(near.select("paper", "revision").distinct())  # at most overfetch * k rows
         there = current.select("paper", "revision").join(keys, ["paper", "revision"], "left_semi").distinct()
         near = near.join(there, ["paper", "revision"], "left_semi")
@@ -165,7 +177,7 @@ def _scores(counted: DataFrame, total: DataFrame, n_terms: int, k1: float, b: fl
     for i in range(n_terms):
         tf, df = F.col(f"t{i}"), F.col(f"df{i}")
         idf = F.log(1 + (F.col("total") - df + 0.5) / (df + 0.5))
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n") / F.col("mean")))
+        score = score + F.coalesce(F.try_divide(idf * tf * (k1 + 1), tf + k1 * (1 - b + b * F.try_divide("n", "mean"))), F.lit(0.0))
     return both.select("doc_id", score.alias("score")).where("score > 0")
 
 

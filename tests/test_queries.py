@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
-from loomspan.plans import catalogue, publishing, registry, reports  # noqa: F401
+from loomspan.plans import catalogue, indexes, publishing, registry, reports  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
