@@ -88,7 +88,7 @@ def index(papers: DataFrame, root: str, model: Embedder, recipe: str = "175/20")
     size, overlap = (int(x) for x in recipe.split("/"))
     good = fresh.where(problem.isNull())
     pieces = passages(good, size, overlap).withColumn("id", F.concat_ws(":", F.sha2(F.col("paper").cast("binary"), 256), "revision", F.col("chunk").cast("string")))
-    _embedded(pieces, model).write.parquet(f"{root}/passages/run={run}")
+    embedded(pieces, model).write.parquet(f"{root}/passages/run={run}")
     written = spark.read.schema(f"{PASSAGES}, id string, embedding array<float>").parquet(f"{root}/passages/run={run}")
     totals = written.groupBy("paper").agg(F.count("*").alias("__total"))
     done = fresh.select("paper", "revision", problem.alias("__problem")).join(totals, "paper", "left")
@@ -107,9 +107,9 @@ def index(papers: DataFrame, root: str, model: Embedder, recipe: str = "175/20")
     )
 
 
-def _embedded(pieces: DataFrame, model: Embedder) -> DataFrame:
+def embedded(pieces: DataFrame, model: Embedder, batch: int = ROWS) -> DataFrame:
     """Passages with their vectors, in one pass: the other columns travel as one key beside the text."""
     kept = F.struct("paper", "revision", "chunk", "char_start", "char_end", "id")
-    out = embed(pieces.select(F.to_json(kept).alias("chunk_id"), "document"), model, text="document", carry=True)
+    out = embed(pieces.select(F.to_json(kept).alias("chunk_id"), "document"), model, batch, text="document", carry=True)
     row = F.from_json("chunk_id", "paper string, revision string, chunk long, char_start long, char_end long, id string")
     return out.select(row.alias("r"), "document", "embedding").select("r.paper", "r.revision", "r.chunk", "r.char_start", "r.char_end", "document", "r.id", "embedding")

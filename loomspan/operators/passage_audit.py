@@ -35,6 +35,11 @@ def papers_of(sources: DataFrame, revision: Column) -> DataFrame:
     return told.where("paper IS NOT NULL").dropDuplicates(["paper"])
 
 
+def _whole(c: Column) -> Column:
+    """A number as one that positions in a text can have."""
+    return F.greatest(F.least(c, F.lit((1 << 31) - 1)), F.lit(-(1 << 31) + 1)).cast("int")
+
+
 def _pieces(numbered: DataFrame, papers: DataFrame) -> DataFrame:
     """(paper, block, low, piece): what of each text a block of passages spans, with what lies between it and the block before."""
     spans = numbered.where("block >= 0").groupBy("paper", "block").agg(F.min("char_start").alias("a"), F.max("char_end").alias("b"), F.max_by("char_end", "chunk").alias("edge"))
@@ -42,7 +47,7 @@ def _pieces(numbered: DataFrame, papers: DataFrame) -> DataFrame:
     spans = spans.join(before, ["paper", "block"], "left").withColumn("low", F.greatest(F.least("a", "edge_before"), F.lit(0)))
     each = spans.groupBy("paper").agg(F.collect_list(F.struct("block", "low", "b", "edge_before")).alias("spans"))  # a row for BLOCK passages
     texts = papers.select("paper", "text").join(each, "paper")
-    cut = F.transform("spans", lambda s: F.struct(s["block"].alias("block"), s["low"].alias("low"), s["edge_before"].alias("edge_before"), F.substring(F.col("text"), (s["low"] + 1).cast("int"), F.greatest(s["b"] - s["low"], F.lit(0)).cast("int")).alias("piece")))
+    cut = F.transform("spans", lambda s: F.struct(s["block"].alias("block"), s["low"].alias("low"), s["edge_before"].alias("edge_before"), F.substring(F.col("text"), _whole(s["low"] + 1), _whole(F.greatest(s["b"] - s["low"], F.lit(0)))).alias("piece")))
     return texts.select("paper", F.explode(cut).alias("x")).select("paper", "x.block", "x.low", "x.edge_before", "x.piece")
 
 
@@ -68,7 +73,7 @@ def passages(stored: DataFrame, papers: DataFrame, records: DataFrame, key: Colu
     last = F.when(F.col("block") >= 0, F.coalesce(F.lag("char_end").over(ordered), F.col("edge_before"), F.when(F.col("block") == 0, 0)))
     start_before = F.when(F.col("block") >= 0, F.lag("char_start").over(ordered))
     told = told.withColumn("__nth", F.row_number().over(same_id)).withColumn("__last", last).withColumn("__start", start_before)
-    at = lambda a, b: F.col("piece").substr((a - F.col("low") + 1).cast("int"), (b - a).cast("int"))
+    at = lambda a, b: F.col("piece").substr(_whole(a - F.col("low") + 1), _whole(b - a))
     right_text = (F.col("char_end") <= F.col("__length")) & (at(F.col("char_start"), F.col("char_end")) == F.col("document"))
     between = F.when(F.col("__last") < F.col("char_start"), at(F.col("__last"), F.col("char_start")))
     good = {

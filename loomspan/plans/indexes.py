@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan import scratch
-from loomspan.operators import ann, passage_audit, retrieval
-from loomspan.plans.catalogue import _BAD
+from loomspan.adapters import models
+from loomspan.operators import ann, ledger, passage_audit, resumable, retrieval
+from loomspan.plans.catalogue import _BAD, _TOKENS
 from loomspan.plans.registry import query, table
+from loomspan.sources import keyed
 
 
 def _index(spark, d) -> tuple[DataFrame, DataFrame, str]:
@@ -106,3 +108,49 @@ def passage_audit_report(spark, d):
         out = told if out is None else out.unionByName(told)
     first = F.when(F.size("errors") > 0, F.split(F.element_at("errors", 1), r" \| ", 2)[0]).otherwise("")
     return out.select("run", "papers", "skipped", "expected", "passages", "gaps", "n_errors", "stable", F.size("errors").cast("long").alias("listed"), first.alias("first_error"), "all_ready", "all_eligible")
+
+
+# stores
+
+
+@query("""SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'newest' ELSE 'old' END AS origin, list_sum(embedding) IS NOT NULL AS whole FROM embeddings WHERE (vec_id % 5 <> 4 OR vec_id % 3 = 0) AND vec_id % 7 <> 6""")
+def keyed_upsert(spark, d):
+    """Vectors in a keyed table: an upsert that names ids repeatedly, and one that deletes some."""
+    where = scratch.fresh_path(spark, "keyed")
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    keyed.upsert(vectors.where("vec_id % 5 <> 4").withColumn("origin", F.lit("old")), where, ["vec_id"])
+    fresh = vectors.where("vec_id % 3 = 0").select("*", F.explode(F.array(F.lit("new"), F.lit("newest"))).alias("origin"))
+    keyed.upsert(fresh, where, ["vec_id"], order=F.length("origin"))
+    keyed.upsert(vectors.where("vec_id % 7 = 6").withColumn("origin", F.lit("gone")), where, ["vec_id"], deleted=F.lit(True))
+    return keyed.read(spark, where, "vec_id long, embedding array<float>, origin string").select("vec_id", "origin", F.col("embedding").isNotNull().alias("whole"))
+
+
+_KIND = "CASE l_linenumber WHEN 1 THEN 'reserve' WHEN 2 THEN 'settle' WHEN 3 THEN 'refund' WHEN 4 THEN 'fail' ELSE 'note' END"
+
+
+@query(f"""WITH e AS (SELECT CAST(l_orderkey AS VARCHAR) AS id, {_KIND} AS kind, CAST(l_quantity AS DOUBLE) AS amount, l_partkey AS tokens FROM lineitem WHERE l_orderkey % 4 < l_linenumber + 1)
+ SELECT id, coalesce(max(amount) FILTER (WHERE kind = 'reserve'), 0) AS reserved, CASE WHEN bool_or(kind = 'settle') THEN max(amount) FILTER (WHERE kind = 'settle') WHEN bool_or(kind = 'refund') THEN 0 END AS cost,
+ max(tokens) AS tokens, CASE WHEN bool_or(kind = 'settle') THEN 'received' WHEN bool_or(kind = 'refund') THEN 'refunded' WHEN bool_or(kind = 'fail') THEN 'failed' ELSE 'reserved' END AS state FROM e GROUP BY id""")
+def ledger_fold(spark, d):
+    """A log of reservations, settlements, refunds and failures folded by reservation; some have no beginning, some no end."""
+    lines = table(spark, d, "lineitem").where("l_orderkey % 4 < l_linenumber + 1")
+    events = lines.select(F.col("l_orderkey").cast("string").alias("id"), F.expr(_KIND).alias("kind"), F.col("l_quantity").cast("double").alias("amount"), F.col("l_partkey").cast("long").alias("tokens"))
+    return ledger.fold(events)
+
+
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN coalesce(text, '') || ' more' ELSE coalesce(text, '') END AS t, doc_id % 17 = 3 AS tampered FROM documents),
+ n AS (SELECT *, {_TOKENS} AS n, {_BAD} AS x FROM d), e AS (SELECT *, CASE WHEN tampered THEN 'changed since conversion' WHEN x >= 32 AND x > 0.01 * length(t) THEN 'unreadable' WHEN n = 0 THEN 'no text to embed' END AS error FROM n),
+ s AS (SELECT *, CAST(CASE WHEN error IS NULL THEN 1 + ceil(greatest(0, n - 175) / 155.0) ELSE 0 END AS BIGINT) AS total FROM e)
+ SELECT CAST(doc_id AS VARCHAR) AS paper, CASE WHEN error IS NULL THEN 'ready' ELSE 'failed' END AS state, coalesce(error, '') AS error, total, total AS next_chunk, CAST(ceil(total / 40.0) AS BIGINT) AS rounds, total AS stored FROM s""")
+def index_resumed(spark, d):
+    """An index that stops after its first round of 40 passages a paper, finds a tenth of its papers changed, and goes on."""
+    root = scratch.fresh_path(spark, "resumed")
+    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("paper"), F.coalesce("text", F.lit("")).alias("text"))
+    digest = F.when(F.col("doc_id") % 17 == 3, F.lit("other")).otherwise(F.sha2(F.col("text").cast("binary"), 256))
+    model = models.HashEmbedder(8)
+    resumable.index(docs.withColumn("sha256", digest), root, model, batch=40, rounds=1)
+    changed = docs.withColumn("text", F.expr("IF(doc_id % 10 = 0, concat(text, ' more'), text)"))
+    resumable.index(changed.withColumn("sha256", digest), root, model, batch=40)
+    stored = resumable.current_passages(spark, root).groupBy("paper").agg(F.countDistinct("chunk").alias("stored"))
+    held = resumable.progress(spark, root).join(stored, "paper", "left")
+    return held.select("paper", "state", F.coalesce("error", F.lit("")).alias("error"), "total", "next_chunk", F.size("rounds").cast("long").alias("rounds"), F.coalesce("stored", F.lit(0)).cast("long").alias("stored"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import uuid
 from collections.abc import Callable
 
@@ -31,16 +32,57 @@ def replace_table(df: DataFrame, root: str) -> str:
     spark, version = df.sparkSession, uuid.uuid4().hex
     df.write.parquet(f"{root}/{version}")
     number = _latest(spark, root)[0] + 1
-    temporary, fs = _files(spark, f"{root}/.{version}")
-    stream = fs.create(temporary, False)
-    stream.write(bytearray(version, "ascii"))
-    stream.close()
-    target, _ = _files(spark, f"{root}/{POINTER}.{number:012d}")
-    if fs.exists(target) or not fs.rename(temporary, target):
+    if not claim(spark, f"{root}/{POINTER}.{number:012d}", version):
         raise FileExistsError(f"version {number} was committed by another writer")
     return version
 
 
+def claim(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a file, whole from the first, if there is none; of several writers exactly one is told so.
+
+    Where Spark's own rename could replace a file (a local or mounted folder), a hard link
+    decides; elsewhere a rename, which fails if its target is there.
+    """
+    folder, _, name = path.rpartition("/")
+    draft, fs = _files(spark, f"{folder}/.{name}.{uuid.uuid4().hex}")
+    fs.mkdirs(draft.getParent())
+    if fs.getScheme() == "file":
+        own = draft.toUri().getPath()
+        with open(own, "w", encoding="utf-8") as f:
+            f.write(text)
+        try:
+            os.link(own, f"{os.path.dirname(own)}/{name}")
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(own)
+    stream = fs.create(draft, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    target, _ = _files(spark, path)
+    if not fs.exists(target) and fs.rename(draft, target):
+        return True
+    fs.delete(draft, False)
+    return False
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text, read by the driver."""
+    place, fs = _files(spark, path)
+    stream = fs.open(place)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def numbered(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """The numbers of the files `name.<number>` in a folder, ascending."""
+    pattern, fs = _files(spark, f"{folder}/{name}.*")
+    return sorted(int(str(s.getPath().getName()).rsplit(".", 1)[1]) for s in fs.globStatus(pattern) or [])
+
+
 def _latest(spark: SparkSession, root: str) -> tuple[int, str | None]:
     pattern, fs = _files(spark, f"{root}/{POINTER}.*")
     found = sorted(str(s.getPath().toString()) for s in fs.globStatus(pattern) or [])
@@ -121,3 +163,18 @@ def save_result(spark: SparkSession, root: str, name: str, result: dict) -> list
     for file, text in files.items():
         write_text(spark, f"{root}/{file}", text)
     return [f"{root}/{file}" for file in files]
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """What a folder holds, by name; nothing if there is no such folder."""
+    pattern, fs = _files(spark, f"{folder}/*")
+    return sorted(str(s.getPath().getName()) for s in fs.globStatus(pattern) or [])
+
+
+def existing(spark: SparkSession, paths: list[str]) -> list[bool]:
+    """Whether there is something at each of some paths."""
+    out = []
+    for path in paths:
+        place, fs = _files(spark, path)
+        out.append(bool(fs.exists(place)))
+    return out
