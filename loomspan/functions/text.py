@@ -212,11 +212,6 @@ def collection_fields(path: Column, digest: Column, base: str) -> dict[str, Colu
     return {"relative_path": shown, "filename": F.element_at(F.split(shown, "/"), -1), "source_url": F.concat(F.lit(base), path), "sha256": digest}
 
 
-def first_heading(c: Column, fallback: Column) -> Column:
-    found = strip(F.regexp_extract(c, r"(?m)^[ \t]*#+[ \t]*([^\n]*)$", 1))
-    return F.when(F.length(found) > 0, found).otherwise(fallback)
-
-
 def human_size(c: Column) -> Column:
     """A size with a unit and one decimal, a half to the even digit; bytes as they are."""
     shown = lambda unit: F.format_string("%.1f", F.bround(c / unit, 1))
@@ -233,10 +228,17 @@ def markdown_label(c: Column) -> Column:
     return F.translate(F.regexp_replace(c, r"([\\\[\]])", r"\\$1"), "\r\n", "  ")
 
 
+# A whole document in one fence, after a first line or not; a fence that opens one, and one that ends it.
+WRAPPED = r"(?s)\A(?:[^\n]*\n\n?)?```(?:markdown|md)?\s*\n(.*)\n```\z"
+OPENING, CLOSING = r"\A```[a-zA-Z]*\s*\n", r"\n```\z"
+
+
 def unfenced(c: Column) -> Column:
-    """A document without the code fence that wraps it whole."""
-    inner = F.regexp_extract(strip(c), r"(?s)^(?:[^\n`]*\n)?```[a-z]*\n(.*?)\n?```$", 1)
-    return F.when(inner.startswith("#"), inner).otherwise(F.regexp_replace(F.regexp_replace(strip(c), r"^```[a-z]*\n", ""), r"\n```$", ""))
+    """A document without the code fence that wraps it whole, or that only its beginning has; fences inside stay. Null stays null."""
+    c = strip(c)
+    inner = strip(F.regexp_extract(c, WRAPPED, 1))
+    cut = strip(F.regexp_replace(F.regexp_replace(c, OPENING, ""), CLOSING, ""))
+    return F.when(inner.startswith("#"), inner).when(c.startswith("```"), cut).otherwise(c)
 
 
 def path_key(path: Column) -> Column:

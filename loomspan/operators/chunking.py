@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from loomspan.functions import tokens
 from loomspan.functions.text import token_count
 
 
@@ -30,12 +31,38 @@ def fixed_windows(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     words = docs.select("doc_id", F.split("text", " ").alias("w"))
     n = F.size("w")
     last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
-    rows = words.select("doc_id", "w", F.posexplode(F.sequence(F.lit(0), last)).alias("chunk", "i"))
-    part = F.slice("w", F.col("i") * step + 1, size)
-    rows = rows.select("doc_id", "chunk", (F.col("i") * step).alias("first_token"), F.size(part).alias("n_tokens"), F.array_join(part, " ").alias("chunk_text"))
+    # a window is cut before the rows are made, so that no row carries the other words
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * step).alias("first_token"), F.slice("w", i * step + 1, size).alias("w")))
+    rows = words.select("doc_id", F.posexplode(cut).alias("chunk", "x"))
+    rows = rows.select("doc_id", "chunk", "x.first_token", F.size("x.w").alias("n_tokens"), F.array_join("x.w", " ").alias("chunk_text"))
     return rows.where(F.length(F.regexp_replace("chunk_text", r"(?U)\s", "")) > 0)
 
 
+def token_windows(docs: DataFrame, size: int, overlap: int, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(doc_id, chunk, first_token, n_tokens, char_start, char_end, chunk_text) over the tokens of a vocabulary file.
+
+    A window's text is cut at its tokens' characters, so a character that two windows'
+    tokens share is in both. Blank windows are dropped before they are numbered. A null
+    text has none, repeated rows repeat theirs, other columns are left out.
+    """
+    kind = docs.schema["doc_id"].dataType
+    names = ["doc_id", "chunk", "first_token", "n_tokens", "char_start", "char_end", "chunk_text"]
+    types = [to_arrow_type(kind), pa.int32(), *[pa.int64()] * 4, pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = tokens.tokenizer_for(path, pattern)
+        for batch in batches:
+            rows = (
+                (key, i, first, n, a, b, text[a:b])
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+                for i, (first, n, a, b) in enumerate(tokens.windows(text or "", tokenizer.spans(text or ""), size, overlap))
+            )
+            for some in chunked(rows, 1000):
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], t) for i, t in enumerate(types)], names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, chunk int, first_token long, n_tokens long, char_start long, char_end long, chunk_text string")
+
+
 def open_chunks(messages: Iterator[tuple], most: int, overlap: int) -> Iterator[tuple[int, int, int, list]]:
     """(start, end, tokens, contents) of chunks of (tokens, content) messages: full before a message that does not fit.
 
@@ -67,15 +94,15 @@ def fold(tokens: list[int], most: int, overlap: int) -> list[tuple[int, int]]:
 CHUNKS = ["conv_id", "chunk", "first_message", "end_message", "n_tokens", "chunk_text"]
 
 
-def message_chunks(messages: DataFrame, most: int, overlap: int, tokens: Callable[[Column], Column] = token_count) -> DataFrame:
+def message_chunks(messages: DataFrame, most: int, overlap: int, count: Callable[[Column], Column] = token_count) -> DataFrame:
     """(conv_id, chunk, first_message, end_message, n_tokens, chunk_text): greedy chunks of each conversation in order of its turns.
 
     A null text is an empty message; messages of one turn come by their text, a null turn
-    first; messages without a conversation are one. `tokens` counts a text's tokens, by a pattern unless another is given. Conversations stream through sorted
+    first; messages without a conversation are one. `count` counts a text's tokens, by a pattern unless another is given, say `functions.tokens.count`. Conversations stream through sorted
     partitions, of which only the open chunk is held.
     """
     text = F.coalesce("text", F.lit(""))
-    counted = messages.select("conv_id", "turn", text.alias("text"), tokens(text).cast("long").alias("n"))
+    counted = messages.select("conv_id", "turn", text.alias("text"), count(text).cast("long").alias("n"))
     kind = messages.schema["conv_id"].dataType
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

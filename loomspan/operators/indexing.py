@@ -9,7 +9,7 @@ run that is repeated finds its papers done, and a changed paper costs only its o
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -17,38 +17,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.adapters.models import Embedder, embed
+from loomspan.functions import tokens
 from loomspan.functions.text import revision, unreadable
 from loomspan.sources import sinks
 
 TOKEN = regex.compile(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\x0b\f\r]")
 ROWS = 1000
+Spans = Callable[[str], list[tuple[int, int]]]
 MANIFEST = "paper string, revision string, run string, total long, state string, error string"
 PASSAGES = "paper string, revision string, chunk long, char_start long, char_end long, document string"
 
 
-def offsets(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
-    """[start, end) in characters of windows of `size` tokens that share `overlap` with the one before; the last ends with the text's last token."""
-    if not 0 <= overlap < size:
-        raise ValueError("0 <= overlap < size")
-    spans = [m.span() for m in TOKEN.finditer(text)]
-    first = 0
-    while first < len(spans):
-        last = min(first + size, len(spans))
-        yield spans[first][0], spans[last - 1][1]
-        if last == len(spans):
-            return
-        first += size - overlap
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """[start, end) of words and marks, the default tokens."""
+    return [m.span() for m in TOKEN.finditer(text)]
 
 
-def passages(papers: DataFrame, size: int = 175, overlap: int = 20) -> DataFrame:
-    """(paper, revision, chunk, char_start, char_end, document) of papers (paper, revision, text); a text without tokens has none."""
+def offsets(text: str, size: int, overlap: int, spans: Spans = word_spans) -> Iterator[tuple[int, int]]:
+    """[start, end) in characters of windows of `size` tokens that share `overlap` with the one before; the last ends with the text's last token, blank ones are left out."""
+    for _, _, a, b in tokens.windows(text, spans(text), size, overlap):
+        yield a, b
+
+
+def passages(papers: DataFrame, size: int = 175, overlap: int = 20, spans: Spans = word_spans) -> DataFrame:
+    """(paper, revision, chunk, char_start, char_end, document) of papers (paper, revision, text); a text without tokens has none.
+
+    `spans` tells where a text's tokens stand: words and marks, or those of a vocabulary, as `tokens.tokenizer_for(path).spans`, made in the task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["paper", "revision", "chunk", "char_start", "char_end", "document"]
         for batch in batches:
             held: list[tuple] = []
             for paper, rev, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for n, (a, b) in enumerate(offsets(text or "", size, overlap)):
+                for n, (a, b) in enumerate(offsets(text or "", size, overlap, spans)):
                     held.append((paper, rev, n, a, b, text[a:b]))
                     if len(held) == ROWS:
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], names)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from loomspan import scratch
 from loomspan.adapters import models
-from loomspan.operators import ann, ledger, passage_audit, resumable, retrieval
+from loomspan.functions import markdown
+from loomspan.operators import ann, chunking, ledger, passage_audit, resumable, retrieval
 from loomspan.plans.catalogue import _BAD, _TOKENS
 from loomspan.plans.registry import query, table
 from loomspan.sources import keyed
@@ -154,3 +155,18 @@ def index_resumed(spark, d):
     stored = resumable.current_passages(spark, root).groupBy("paper").agg(F.countDistinct("chunk").alias("stored"))
     held = resumable.progress(spark, root).join(stored, "paper", "left")
     return held.select("paper", "state", F.coalesce("error", F.lit("")).alias("error"), "total", "next_chunk", F.size("rounds").cast("long").alias("rounds"), F.coalesce("stored", F.lit(0)).cast("long").alias("stored"))
+
+
+# texts
+
+
+@query()
+def token_windows(spark, d):
+    """Windows of 175 tokens of the vocabulary file; SQL has no byte-pair tokens."""
+    return chunking.token_windows(table(spark, d, "documents"), 175, 20)
+
+
+@query()
+def page_markdown(spark, d):
+    """Every page as Markdown; SQL cannot say it."""
+    return table(spark, d, "pages").select("page_id", markdown.markdown_of(F.col("html"), F.col("url")).alias("markdown"))
