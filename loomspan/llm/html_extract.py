@@ -1,11 +1,12 @@
 """Main text of web pages: parser events, text-to-tag ratios, Gaussian smoothing, threshold clusters.
 
-The standard library's parser streams its events into block lines. Each line has the
-ratio of its characters to its tags, on which its tags' and links' meaning is a weight: 0 for
-known boilerplate. The ratios are smoothed along the page and cut at their spread, and
-neighbouring lines above the cut form clusters. A line is returned if it is in a cluster
-or if it keeps a ratio in the article, else in the smallest container, of the clusters;
-nothing but the smoothed ratios and the place of the clusters decides.
+The standard library's parser streams its events into block lines; what is no text of a
+page (scripts, hidden elements, controls, inline adverts) is not read at all. Each line
+has the ratio of its characters to its tags, up to `MOST`, times a weight between `SOFT`
+and 1, which says what its tags and links mean; no weight is 0. The ratios are smoothed
+along the lines of an article, and lines are returned where the smoothed ratio reaches
+the threshold. Where a page names no article, the clusters of lines above the spread of
+the smoothed ratios find its container, and what is outside it is weighed down likewise.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup"
     " hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
-#: Elements whose content is never main text.
-DROPPED = frozenset("applet aside audio button canvas datalist dialog footer form head iframe input map math menu nav noembed noframes noscript object script select style svg template textarea title video".split())
+#: Elements whose content is no text of the page, and those that hold menus, notices and the like, or forms.
+NEVER = frozenset("applet audio button canvas datalist head iframe map math noembed noframes noscript object script select style svg template textarea title video".split())
+AROUND = frozenset("aside dialog footer menu nav search".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
 #: Words of class and id values that name boilerplate.
 NAMES = frozenset(
@@ -38,22 +40,25 @@ REMARKS = frozenset("comment comments discussion disqus replies reply respond re
 CLOSES = {"p": frozenset(("p",)), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th"))}
 LIMITS = frozenset("article aside blockquote body div dl footer form header main nav ol section table td th ul".split())
 BODY = frozenset(("html", "body", "article", "main"))
+#: Words beside those, and beside `header`, that leave a name as it is.
+BESIDE = frozenset("area bar block bottom box button buttons container content fixed global group icon icons inner item items left link links list main message outer page panel posts right row section site small sticky top wrap wrapper".split())
 SIGMA, RADIUS = 1.0, 2
-#: Share of a line's ratio that is left to text that is all links, and to lines outside the articles of a page that has some.
-LINKED, OUTSIDE = 0.02, 0.02
-#: How many times its own ratio a line can have by its neighbours'.
-LIFT = 10.0
-#: Characters for each tag that a line must keep, smoothed, to follow the clusters of its container where there is no article.
-LOW = 1.0
+#: The least weight, that of known boilerplate; that of text that is all links and of lines outside the article or container.
+SOFT, LINKED, OUTSIDE = 1 / 400, 1 / 50, 1 / 200
+#: Characters a tag beyond which a line is no more likely text; how many times its own ratio a line can have by its neighbours'.
+MOST, LIFT = 100.0, 3.0
+#: Smoothed characters a tag that main text has.
+CUT = 1.0
 
 _word = re.compile(r"[^a-z0-9]+")
 
 
 class Line:
-    __slots__ = ("text", "chars", "tags", "linked", "node", "dropped", "article")
+    __slots__ = ("text", "chars", "tags", "linked", "node", "soft", "form", "article", "named")
 
-    def __init__(self, text: str, tags: int, linked: int, node: int, dropped: bool, article: int):
-        self.text, self.chars, self.tags, self.linked, self.node, self.dropped, self.article = text, len(text), tags, linked, node, dropped, article
+    def __init__(self, text: str, tags: int, linked: int, node: int, soft: bool, form: bool, article: tuple[int, bool]):
+        self.text, self.chars, self.tags, self.linked, self.node, self.soft, self.form, self.article = text, len(text), tags, linked, node, soft, form, article[0]
+        self.named = article[1]  # by an article, not a main alone
 
 
 class Blocks(HTMLParser):
@@ -61,50 +66,61 @@ class Blocks(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, str]] = []  # name, container, why it is dropped
+        self.open: list[tuple[str, int, str]] = []  # name, container, what it holds: "" text, never, soft, remarks or form
         self.parents = [-1]
         self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = self.linked = self.anchors = self.drops = 0
+        self.tags = self.linked = self.anchors = self.skip = self.soft = self.forms = 0  # the last four: open elements of a kind
         self.articles: list[tuple[int, bool]] = []  # for each open article or main: the outermost article around it, else the outermost main, and whether it is an article
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append(Line(text, self.tags, self.linked, self.open[-1][1] if self.open else 0, self.drops > 0, self.articles[-1][0] if self.articles else 0))
+            self.lines.append(Line(text, self.tags, self.linked, self.open[-1][1] if self.open else 0, self.soft > 0, self.forms > 0, self.articles[-1] if self.articles else (0, False)))
             self.tags = 0
         self.parts.clear()
         self.linked = 0
 
-    def _why(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
-        if tag in DROPPED or tag == "header" and not self.articles:
-            return tag
+    def _what(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
+        if tag in NEVER:
+            return "never"
+        found = "form" if tag == "form" else "soft" if tag in AROUND or tag == "header" and not self.articles else ""
         for key, value in attrs:
-            if key == "hidden":
-                return "hidden"
+            if key == "hidden" or key == "style" and value and "display:none" in value.replace(" ", "").lower():
+                return "never"
             if key == "role" and (value or "").lower() in ROLES:
-                return "role"
+                found = "soft"
             if key in ("class", "id") and value and tag not in ("html", "body"):
-                words = set(_word.split(value.lower()))
-                if words & REMARKS:
-                    return "remarks"
-                if tag not in BODY and (words & NAMES or "header" in words and not self.articles):
-                    return "named"
-            if key == "style" and value and "display:none" in value.replace(" ", "").lower():
-                return "hidden"
-        return ""
+                for name in value.lower().split():
+                    words = set(_word.split(name)) - {""}
+                    if words & REMARKS and words <= REMARKS | BESIDE:
+                        return "remarks"
+                    marks = NAMES if self.articles else NAMES | {"header"}
+                    if tag not in BODY and words & marks and words <= marks | BESIDE:
+                        found = "soft"
+        return "never" if found == "soft" and tag not in BLOCKS else found  # in a line: an advert, a button to share
+
+    def _cut(self, tag: str) -> None:
+        """Count a tag, which ends the line if it is a block's; what is not read has no lines."""
+        if not self.skip:
+            self.tags += 1
+            if tag in BLOCKS and tag not in NEVER:
+                self.flush()
+
+    def _count(self, what: str, n: int) -> None:
+        self.skip += n * (what == "never")
+        self.soft += n * (what in ("soft", "remarks"))
+        self.forms += n * (what == "form")
 
     def _pop(self) -> None:
-        tag, _, why = self.open.pop()
-        self.drops -= bool(why)
+        tag, _, what = self.open.pop()
+        self._count(what, -1)
         self.anchors -= tag == "a"
         if tag in ("article", "main"):
             self.articles.pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.tags += 1
-        if tag in BLOCKS:
-            self.flush()
+        self._cut(tag)
         if tag in VOID:
             self.parts.append(" ")
             return
@@ -116,16 +132,16 @@ class Blocks(HTMLParser):
                     break
                 if self.open[i][0] in LIMITS:
                     break
-        why = self._why(tag, attrs)
-        if tag in ("article", "main") and not why and self.drops and not self.articles and not any(w in ("remarks", "hidden") for *_, w in self.open):
-            while self.drops:  # what should have been closed before the article
+        what = self._what(tag, attrs)
+        if tag in ("article", "main") and not what and self.soft and not self.articles and not self.skip and not any(w == "remarks" for *_, w in self.open):
+            while self.soft:  # what should have been closed before the article
                 self._pop()
         node = self.open[-1][1] if self.open else 0
         if tag in LIMITS:
             self.parents.append(node)
             node = len(self.parents) - 1
-        self.open.append((tag, node, why))
-        self.drops += bool(why)
+        self.open.append((tag, node, what))
+        self._count(what, 1)
         self.anchors += tag == "a"
         if tag in ("article", "main"):
             around = self.articles[-1] if self.articles else None
@@ -137,9 +153,7 @@ class Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        self.tags += 1
-        if tag in BLOCKS:
-            self.flush()
+        self._cut(tag)
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 while len(self.open) > i:
@@ -149,7 +163,7 @@ class Blocks(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if self.drops and self.open[-1][0] in ("script", "style"):
+        if self.skip:
             return
         self.parts.append(data)
         if self.anchors:
@@ -169,70 +183,78 @@ def block_lines(html: str) -> tuple[list[Line], list[int]]:
     return parser.lines, parser.parents
 
 
-def ratios_of(lines: list[Line]) -> np.ndarray:
-    """Characters by tags of each line, weighed down by what its tags say: nothing for known boilerplate, little for links and for what is outside an article."""
-    articles = any(x.article and not x.dropped for x in lines)
-    out = np.zeros(len(lines))
+def ratios_of(lines: list[Line], forms: bool = False) -> np.ndarray:
+    """Characters by tags of each line, up to MOST, times its weight: what its element means, what of it is links, where it stands; `forms` lets forms hold text."""
+    articles, named = any(x.article and not x.soft for x in lines), any(x.named and not x.soft for x in lines)
+    out = np.empty(len(lines))
     for i, x in enumerate(lines):
-        if not x.dropped:
-            weight = max(LINKED, 1 - x.linked / x.chars)
-            out[i] = weight * (OUTSIDE if articles and not x.article else 1.0) * x.chars / max(1, x.tags)
+        weight = 1.0 if x.article else max(LINKED, 1 - x.linked / x.chars)
+        if articles and not x.article or named and not x.named:
+            weight = min(weight, OUTSIDE)
+        if x.soft or x.form and not forms:
+            weight = SOFT
+        out[i] = weight * min(x.chars / max(1, x.tags), MOST)
     return out
 
 
-def smooth(ratios: np.ndarray, sigma: float = SIGMA, radius: int = RADIUS) -> np.ndarray:
-    """Gaussian smoothing over the lines that have a ratio; lines of ratio 0 stay 0 and no line is lifted above LIFT times its own ratio."""
+def smooth(ratios: np.ndarray, places: np.ndarray, sigma: float = SIGMA, radius: int = RADIUS) -> np.ndarray:
+    """Gaussian smoothing along the lines of each place (an article, or the rest); no line is lifted above LIFT times its own ratio, or sinks below a LIFTth of it."""
     kernel = np.exp(-(np.arange(-radius, radius + 1) ** 2) / (2 * sigma**2))
-    there = (ratios > 0).astype(float)
-    full, share = (np.convolve(x, kernel)[radius : radius + len(ratios)] for x in (ratios, there))
-    return np.where(ratios > 0, np.minimum(full / np.maximum(share, 1e-300), LIFT * ratios), 0.0)
+    out = np.empty(len(ratios))
+    for place in np.unique(places):
+        at = np.flatnonzero(places == place)
+        full, share = (np.convolve(x, kernel)[radius : radius + len(at)] for x in (ratios[at], np.ones(len(at))))
+        out[at] = np.clip(full / share, ratios[at] / LIFT, ratios[at] * LIFT)
+    return out
 
 
-def clusters_of(smoothed: np.ndarray, places: list[int]) -> list[list[int]]:
-    """Runs of lines at or above the cut, the spread of the smoothed ratios; lines without a ratio do not part a run, another article does."""
+def clusters_of(smoothed: np.ndarray) -> list[list[int]]:
+    """Runs of lines at or above the spread of the smoothed ratios."""
     cut = min(float(np.std(smoothed)), float(smoothed.max(initial=0)))
     out: list[list[int]] = []
-    last = -1  # the last line that has a ratio
-    for i in np.flatnonzero(smoothed > 0).tolist():
-        if smoothed[i] >= cut:
-            if out and out[-1][-1] == last and places[last] == places[i]:
-                out[-1].append(i)
-            else:
-                out.append([i])
-        last = i
+    for i in np.flatnonzero(smoothed >= cut).tolist():
+        if out and out[-1][-1] == i - 1:
+            out[-1].append(i)
+        else:
+            out.append([i])
     return out
 
 
+def within_container(lines: list[Line], parents: list[int], clusters: list[list[int]]) -> np.ndarray:
+    """Which lines stand in the smallest container that holds all of the clusters."""
+    held = [0] * len(parents)
+    for c in clusters:
+        for i in c:
+            held[lines[i].node] += 1
+    for node in range(len(parents) - 1, 0, -1):
+        held[parents[node]] += held[node]
+    region = max(n for n in range(len(parents)) if held[n] == held[0])
+    within = [False] * len(parents)
+    for node in range(len(parents)):
+        within[node] = node == region or node > 0 and within[parents[node]]
+    return np.array([within[x.node] for x in lines])
+
+
 def content_lines(lines: list[Line], parents: list[int]) -> list[Line]:
-    """The lines that the clusters choose, in page order.
+    """The lines whose smoothed ratio reaches the threshold, in page order.
 
-    A cluster within an article brings all lines of that article that have a smoothed
-    ratio. Without an article the clusters bring the lines of their common container
-    that keep a ratio of LOW; beside articles a cluster brings its own lines alone.
+    Without an article the container of the clusters stands for it. A page that has such
+    lines in forms alone has its text there. Where no line that may be text is as long
+    for its tags as the threshold asks, the longest is taken.
     """
     if not lines:
         return []
-    smoothed = smooth(ratios_of(lines))
-    places = [x.article for x in lines]
-    clusters = clusters_of(smoothed, places)
-    chosen = {places[c[0]] for c in clusters}
-    take = np.zeros(len(lines), bool)
-    for c in clusters:
-        take[c] = True
-    if articles := chosen - {0}:
-        take |= (smoothed > 0) & np.array([p in articles for p in places])
-    elif clusters:
-        held = [0] * len(parents)
-        for i in np.flatnonzero(take):
-            held[lines[i].node] += 1
-        for node in range(len(parents) - 1, 0, -1):
-            held[parents[node]] += held[node]
-        region = max(n for n in range(len(parents)) if held[n] == held[0])
-        within = [False] * len(parents)
-        for node in range(len(parents)):
-            within[node] = node == region or node > 0 and within[parents[node]]
-        take |= (smoothed >= LOW) & np.array([within[x.node] for x in lines])
-    return [x for x, t in zip(lines, take, strict=True) if t]
+    places = np.array([x.article for x in lines])
+    for forms in (False, True):
+        smoothed = smooth(ratios_of(lines, forms), places)
+        if not places.any():
+            inside = within_container(lines, parents, clusters_of(smoothed))
+            smoothed = np.where(inside, smoothed, smoothed * OUTSIDE)
+        if (smoothed >= CUT).any():
+            return [x for x, r in zip(lines, smoothed, strict=True) if r >= CUT]
+    free = np.array([not x.soft for x in lines])
+    top = smoothed[free].max(initial=0)
+    return [x for x, r, f in zip(lines, smoothed, free, strict=True) if f and r >= top]
 
 
 def main_text(html: str | None) -> str:

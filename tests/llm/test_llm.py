@@ -142,24 +142,53 @@ def test_main_text_of_made_pages(spark):
 
 
 def test_ratios_decide(monkeypatch):
-    """With other smoothed ratios nearly every page reads otherwise: nothing beside them drops a line."""
+    """With the weights of the tags as they are, other ratios of characters to tags make other texts, and no weight is 0."""
     rng = random.Random(12)
     pages = [made_page(rng, box) for box in ("article", "div") for _ in range(40)]
-    numbers = np.random.default_rng(1)
-    smooth = html_extract.smooth
-    for other in (lambda r: numbers.random(len(r)), lambda r: np.ones(len(r)), lambda r: smooth(r)[::-1]):
-        monkeypatch.setattr(html_extract, "smooth", other)
+    numbers, given = np.random.default_rng(1), html_extract.ratios_of
+    for other in (lambda r: numbers.random(len(r)), lambda r: 1 / r):
+
+        def changed(lines, forms=False, other=other):
+            plain = np.array([min(x.chars / max(1, x.tags), html_extract.MOST) for x in lines])
+            weights = given(lines, forms) / plain
+            assert (weights >= html_extract.SOFT - 1e-12).all() and (weights <= 1).all()
+            return weights * other(plain)
+
+        monkeypatch.setattr(html_extract, "ratios_of", changed)
         assert sum(html_extract.main_text(html) != want for html, want in pages) > 70
 
 
 def test_smoothing_lifts_short_lines(monkeypatch):
     long = "<p>" + "some long body text here. " * 20 + "</p>"
-    page = f"<body><div>{long}{long}<p><i><b></b></i><span></span><u></u>Yes</p>{long}<p><i></i><i></i>12 {long}</div>"
+    page = f"<body><div>{long}{long}<p><i><b></b></i><span></span>Yes</p>{long}<p><i></i><i></i>12 {long}</div>"
     assert html_extract.main_text(page).split("\n")[2] == "Yes"
-    monkeypatch.setattr(html_extract, "smooth", lambda ratios: ratios)
+    monkeypatch.setattr(html_extract, "smooth", lambda ratios, places: ratios)
     assert "Yes" not in html_extract.main_text(page).split("\n")
 
 
+LONG = "Some long text of the page, with commas, words and a stop at its end. " * 4
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><form action=/x><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></form></body>",
+        f"<body><article><h1>Head</h1><p>{LONG}</p><section id=related-work><p>{LONG}</p></section></article></body>",
+        f"<body><article><h1>Head</h1><div class=share-price-table><p>{LONG}</p></div><p>{LONG}</p></article></body>",
+        f"<body><div><div class=article-header><h1>Head</h1></div><p>{LONG}</p><p>{LONG}</p></div></body>",
+        f"<body><nav><a href=/>Home</a></nav><form><label>Mail</label><input></form><article><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></article></body>",
+    ],
+)
+def test_text_in_odd_places_stays(page):
+    assert html_extract.main_text(page).split("\n") == ["Head", LONG.strip(), LONG.strip()]
+
+
+@pytest.mark.parametrize("junk", ["<button>Go</button>", "<textarea>Go</textarea>", "<noscript>Go</noscript>", "<iframe>Go</iframe>", "<template>Go</template>", "<svg><text>Go</text></svg>", "<span class=ad>Go</span>", "<span hidden>Go</span>", "<a class=share href=/>Go</a>", "<span style='display: none'>Go</span>", "<select><option>Go</select>", "<script>Go</script>"])
+def test_what_is_no_text_inside_a_line(junk):
+    for box in ("article", "div"):
+        assert html_extract.main_text(f"<body><{box}><p>{LONG}{junk} end</p><p>{LONG}</p></{box}></body>").split("\n") == [f"{LONG}end", LONG.strip()]
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", None), (None, None, "<p>x y"), (2, "u", "")], "page_id long, url string, html string")
     assert sorted((r.text, r.n_chars) for r in html_extract.extract_pages(df).collect()) == [("", 0), ("", 0), ("x y", 3)]
