@@ -1,14 +1,16 @@
-"""Queries on the index: approximate search, audits of passages, resumed runs, keyed stores, ledgers."""
+"""Queries on the index: approximate search, audits of passages, resumed runs, keyed stores, ledgers, cascades of digests."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan import scratch
 from loomspan.adapters import models
 from loomspan.functions import markdown
-from loomspan.operators import ann, chunking, ledger, passage_audit, resumable, retrieval
+from loomspan.operators import ann, cascade, chunking, ledger, passage_audit, resumable, retrieval
 from loomspan.plans.catalogue import _BAD, _TOKENS
 from loomspan.plans.registry import query, table
 from loomspan.sources import keyed
@@ -170,3 +172,30 @@ def token_windows(spark, d):
 def page_markdown(spark, d):
     """Every page as Markdown; SQL cannot say it."""
     return table(spark, d, "pages").select("page_id", markdown.markdown_of(F.col("html"), F.col("url")).alias("markdown"))
+
+
+# digests
+
+
+def _hashed(prompt: str) -> str:
+    """A stand-in whose text follows from all that it was asked."""
+    return "Digest " + hashlib.sha256(prompt.encode()).hexdigest()
+
+
+@query("""WITH p AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), w AS (SELECT DISTINCT CAST(date_trunc('week', day) AS DATE) AS a FROM p), c AS (SELECT DISTINCT CAST(date_trunc('week', day) AS DATE) AS a FROM p WHERE day(day) = 15),
+ m AS (SELECT DISTINCT a, unnest([strftime(a, '%Y-%m'), strftime(a + 6, '%Y-%m')]) AS month FROM w), x AS (SELECT DISTINCT month FROM m SEMI JOIN c USING (a)),
+ n AS (SELECT (SELECT count(*) FROM w) AS w, (SELECT count(*) FROM c) AS c, (SELECT count(DISTINCT month) FROM m) AS m, (SELECT count(*) FROM x) AS x)
+ SELECT run, kind, state, n FROM (SELECT 1 AS run, 'weekly' AS kind, 'generated' AS state, w AS n FROM n UNION ALL SELECT 1, 'monthly', 'generated', m FROM n UNION ALL SELECT 2, 'weekly', 'generated', c FROM n UNION ALL SELECT 2, 'weekly', 'reused', w - c FROM n
+ UNION ALL SELECT 2, 'monthly', 'generated', x FROM n UNION ALL SELECT 2, 'monthly', 'reused', m - x FROM n UNION ALL SELECT 3, 'weekly', 'reused', w FROM n UNION ALL SELECT 3, 'monthly', 'reused', m FROM n) WHERE n > 0""")
+def digest_cascade(spark, d):
+    """Digests of all days' weeks and months, again after every 15th changed, and once more: each run writes only what follows from a change."""
+    root = scratch.fresh_path(spark, "cascade")
+    days = table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.concat(F.count("*").cast("string"), F.lit(" events")).alias("text"))
+    days = scratch.materialize(days, "days")
+    later = days.withColumn("text", F.when(F.dayofmonth("day") == 15, F.concat("text", F.lit(", changed"))).otherwise(F.col("text")))
+    parts, out = cascade.calendar_parts(days), None
+    for number, texts in enumerate((days, later, later), 1):
+        told = cascade.run(texts.select(F.col("day").cast("string").alias("label"), "text"), parts, root, _hashed)
+        counts = scratch.materialize(told.groupBy("kind", "state").agg(F.count("*").alias("n")), "counts").withColumn("run", F.lit(number))
+        out = counts if out is None else out.unionByName(counts)
+    return out.select("run", "kind", "state", "n")
