@@ -211,6 +211,11 @@ def edit_trees(trees: DataFrame, edits: DataFrame | Column, path: str | None = N
     """
     kind = trees.schema["doc_id"].dataType.simpleString()
     told = trees.withColumn("edits", F.array_sort(edits)) if isinstance(edits, Column) else _with_edits(trees, edits)
+    return _edited(told, kind, path, leaf)
+
+
+def _edited(told: DataFrame, kind: str, path: str | None, leaf: int) -> DataFrame:
+    """The trees (doc_id, text, leaf_chars, leaf_tokens, edits) after their edits."""
     names = ["doc_id", "text", "leaf_chars", "leaf_tokens", "n_tokens", "recounted_leaves", "recounted_chars", "n_leaves_before", "tokens_before"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,8 +234,41 @@ def edit_trees(trees: DataFrame, edits: DataFrame | Column, path: str | None = N
     return rows.mapInArrow(run, f"doc_id {kind}, {TREE}, recounted_leaves long, recounted_chars long, n_leaves_before long, tokens_before long")
 
 
+def base_of(text: Column) -> Column:
+    """What an edit names as the text that it was made for; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def leaf_table(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFrame:
+    """(doc_id, base, leaf_chars, leaf_tokens, n_tokens): the trees of documents without their texts, which stay where they are."""
+    trees = build_trees(docs, path, leaf)
+    return trees.select("doc_id", base_of(F.col("text")).alias("base"), "leaf_chars", "leaf_tokens", "n_tokens")
+
+
+def edit_documents(docs: DataFrame, leaves: DataFrame, edits: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFrame:
+    """TREE's columns and what was counted again, as `edit_trees` tells, of every document after a table of edits.
+
+    leaves: what `leaf_table` gives for the documents; edits: doc_id, base, seq, start, end,
+    new. Edits and leaves meet by keys alone, a row for each text of an id, and only then
+    the texts join them, once; a null id is an id like any other. Edits of other texts of
+    an id, or of other ids, apply to nothing, repeated ones of one seq once.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    # a null id must not be lost in the join: it has a flag of its own
+    keyed = lambda df, *more: df.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast(kind)).alias("id"), "base", *more)
+    one = F.min(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "new"))
+    each = keyed(edits, F.col("seq").cast("int").alias("seq"), "start", "end", "new").groupBy("none", "id", "base", "seq").agg(one.alias("e"))
+    todo = each.groupBy("none", "id", "base").agg(F.array_sort(F.collect_list(F.struct("seq", "e.start", "e.end", "e.new"))).alias("edits"))
+    trees = keyed(leaves, "leaf_chars", "leaf_tokens").groupBy("none", "id", "base").agg(F.first("leaf_chars").alias("leaf_chars"), F.first("leaf_tokens").alias("leaf_tokens"))
+    both = trees.join(todo, ["none", "id", "base"], "left")
+    text = F.coalesce("text", F.lit(""))
+    texts = keyed(docs.select("doc_id", text.alias("text"), base_of(F.col("text")).alias("base")), "text", "doc_id")
+    told = texts.join(both.hint("shuffle_hash"), ["none", "id", "base"], "left")
+    return _edited(told, kind, path, leaf)
+
+
 def sample_edits() -> Column:
-    """The edits of the registered query, as a column of trees: a masked stretch at a third, a note at two thirds, a cut end."""
+    """The edits of the registered query for a text: a masked stretch at a third, a note at two thirds, a cut end."""
     n = F.length("text").cast("long")
     third, note = F.expr("cast(length(text) div 3 as long)"), F.expr("cast(2 * length(text) div 3 as long)")
     masked = F.struct(F.lit(0).alias("seq"), third.alias("start"), F.least(n, third + 12).alias("end"), F.lit(" [masked] ").alias("new"))
@@ -239,10 +277,17 @@ def sample_edits() -> Column:
     return F.array(masked, noted, cut)
 
 
+def sample_feed(docs: DataFrame) -> DataFrame:
+    """(doc_id, base, seq, start, end, new): the sample edits of all documents as a feed of edits would hold them."""
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return texts.select("doc_id", base_of(F.col("text")).alias("base"), F.explode(sample_edits()).alias("e")).select("doc_id", "base", "e.*")
+
+
 def count_with_edits(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, n_leaves, edited_tokens, recounted_leaves, recounted_chars, edited_chars of every document: its tree, written, and what the sample edits make of it."""
-    trees = scratch.materialize(build_trees(docs, path), "trees")
-    edited = edit_trees(trees, sample_edits(), path)
+    """doc_id, n_tokens, n_leaves, edited_tokens, recounted_leaves, recounted_chars, edited_chars of every document: its tree, written, and what a written table of edits makes of it."""
+    leaves = scratch.materialize(leaf_table(docs, path), "leaves")
+    edits = scratch.materialize(sample_feed(docs), "edits")
+    edited = edit_documents(docs, leaves, edits, path)
     return edited.select(
         "doc_id", F.col("tokens_before").alias("n_tokens"), F.col("n_leaves_before").alias("n_leaves"), F.col("n_tokens").alias("edited_tokens"), "recounted_leaves", "recounted_chars",
         F.length("text").cast("long").alias("edited_chars"),

@@ -426,6 +426,24 @@ def test_sample_edits_of_odd_rows(spark):
     assert Counter((r.doc_id, r.n_tokens, r.edited_tokens, r.edited_chars) for r in token_counts.count_with_edits(odd_docs(spark)).collect()) == want
 
 
+def test_a_table_of_edits_joins_by_keys(spark):
+    """Edits of some texts, of other texts of an id, of no text, repeated ones and null ids."""
+    counter = token_counts.counter_for(None)
+    rows = [(1, "alpha beta " * 40), (1, "alpha beta " * 40), (1, "other text"), (2, None), (2, ""), (None, "no id at all"), (3, "kept as it is")]
+    docs = spark.createDataFrame([(k, t, "x", 0) for k, t in rows], "doc_id long, text string, id string, none int").repartition(3)
+    leaves = scratch.materialize(token_counts.leaf_table(docs, leaf=8), "leaves")
+    based = docs.select("doc_id", "text", token_counts.base_of(F.col("text")).alias("base")).distinct()
+    edits = based.where("text LIKE 'alpha%' OR text IS NULL OR doc_id IS NULL").select("doc_id", "base", F.lit(1).alias("seq"), F.lit(2).alias("start"), F.lit(5).alias("end"), F.lit("new").alias("new"))
+    edits = edits.unionByName(edits).unionByName(spark.createDataFrame([(1, 12345, 1, 0, 9, "z"), (9, 1, 1, 0, 9, "z")], edits.schema))
+    got = token_counts.edit_documents(docs, leaves, edits, leaf=8).collect()
+    cut = lambda t: t[:2] + "new" + t[5:]
+    want = Counter((k, cut(t or "") if (t or "").startswith("alpha") or k is None or not t else t) for k, t in rows)
+    assert Counter((r.doc_id, r.text) for r in got) == want
+    assert all(r.n_tokens == counter.whole(r.text) and sum(r.leaf_chars) == len(r.text) for r in got)
+    assert {r.doc_id for r in got if not r.recounted_leaves} == {1, 3}
+    assert token_counts.edit_documents(docs, leaves, edits.limit(0), leaf=8).where("recounted_leaves > 0").count() == 0
+
+
 def test_edit_is_local(spark):
     tree = token_counts.TokenTree("some words in a row " * 5000, token_counts.counter_for(None))
     leaves, chars = tree.edit(50_000, 50_010, "other")
