@@ -116,13 +116,14 @@ def labels_of(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = WORDS) -> tuple[Model, Model]:
-    """Models of quality and of toxicity from at most `sample` labelled documents, one row for each.
+    """Models of quality and of toxicity from at most `sample` labelled documents, one row for each; ids may be of any type that both tables share.
 
     The driver gets their statistics and, for the `most` most telling words, whether they
     occur; words are counted in tasks, so neither long texts nor repeated ids make that more.
     """
     chosen = labels_of(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality", "toxic")
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -132,9 +133,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
                 stats.append(measures(text, w))
                 words.append(sorted(set(w)))
             ones = [pa.array((batch.column(i).to_numpy(zero_copy_only=False) > 0).astype(np.int64)) for i in (2, 3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(stats, pa.list_(pa.float64())), pa.array(words, pa.list_(pa.binary())), *ones], ["doc_id", "stats", "words", "quality", "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stats, pa.list_(pa.float64())), pa.array(words, pa.list_(pa.binary())), *ones], ["doc_id", "stats", "words", "quality", "toxic"])
 
-    made = rows.mapInArrow(features, "doc_id long, stats array<double>, words array<binary>, quality long, toxic long")
+    made = rows.mapInArrow(features, f"doc_id {kind}, stats array<double>, words array<binary>, quality long, toxic long")
     # of several rows of one id any one: the least by its content, found before the shuffle where it can be
     one = made.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("stats", "words"), "stats", "words", "quality", "toxic")).alias("r"))
     one = scratch.materialize(one.select("doc_id", "r.stats", "r.words", "r.quality", "r.toxic"), "features")
@@ -153,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
             at = [pa.array([[p[w] for w in words if w in p] for words in sets], pa.list_(pa.int32())) for p in places]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *at, batch.column(3), batch.column(4)], ["doc_id", "stats", "a", "b", "quality", "toxic"])
 
-    got = one.mapInArrow(presence, "doc_id long, stats array<double>, a array<int>, b array<int>, quality long, toxic long").orderBy("doc_id").toArrow()
+    got = one.mapInArrow(presence, f"doc_id {kind}, stats array<double>, a array<int>, b array<int>, quality long, toxic long").orderBy("doc_id").toArrow()
     stats = np.array(got.column("stats").to_pylist(), float).reshape(got.num_rows, MEASURES)
     models = []
     for column, label, words in (("a", "quality", picked[0]), ("b", "toxic", picked[1])):

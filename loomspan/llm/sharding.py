@@ -168,23 +168,30 @@ class Store:
                 gone.append(path)
         return gone
 
-    def table(self, schema: T.StructType, version: int | None = None) -> DataFrame:
-        """All rows of a version with their shard's place in the manifest (`shard`), rows, bytes and tier."""
+    def table(self, schema: T.StructType, version: int | None = None, facts: str = "__shard") -> DataFrame:
+        """All rows of a version with their own columns, and one more, named by `facts`, that tells of their shard: its place in the manifest, rows, bytes, tier, version.
+
+        Only that one name must not be among the documents' columns.
+        """
+        if facts in schema.fieldNames():
+            raise ValueError(f"the documents have a column {facts!r}; name another one for the facts")
         version, shards = self.read(version)
-        facts = self.spark.createDataFrame([(s.path, i, s.rows, s.bytes, s.tier()) for i, s in enumerate(shards)], "__path string, shard int, shard_rows long, shard_bytes long, tier int")
+        kind = "place int, rows long, bytes long, tier int, version long"
+        told = self.spark.createDataFrame([(s.path, (i, s.rows, s.bytes, s.tier(), version)) for i, s in enumerate(shards)], f"path string, facts struct<{kind.replace(' ', ':').replace(',:', ',')}>")
         if not shards:
-            return self.spark.createDataFrame([], schema).join(facts.drop("__path"), F.lit(True)).withColumn("version", F.lit(0).cast("long"))
-        rows = self.spark.read.schema(schema).parquet(*(s.path for s in shards)).withColumn("__path", F.col("_metadata.file_path"))
-        facts = F.broadcast(facts) if len(shards) <= FACTS else facts  # some hundred bytes a shard
-        return rows.join(facts, "__path").drop("__path").withColumn("version", F.lit(version).cast("long"))
+            empty = T.StructType([*schema.fields, T.StructField(facts, told.schema["facts"].dataType)])
+            return self.spark.createDataFrame([], empty)
+        rows = self.spark.read.schema(schema).parquet(*(s.path for s in shards))
+        rows = rows.select(F.struct(*(F.col(f"`{c}`") for c in schema.fieldNames())).alias("row"), F.col("_metadata.file_path").alias("path"))
+        told = F.broadcast(told) if len(shards) <= FACTS else told  # some hundred bytes a shard
+        return rows.join(told, "path").select("row.*", F.col("facts").alias(facts))
 
 
 def shard_documents(docs: DataFrame, root: str, arrivals: int = ARRIVALS, target: int = TARGET) -> Store:
     """Append the documents as arrivals, compacting after each; every column and row, repeated ones too, is kept as it is.
 
     The arrivals are told apart by a hash of the id (null ids go to one of them). An
-    empty table leaves an empty store. Column names that begin with two underscores and
-    `path` or `group` are reserved.
+    empty table leaves an empty store. No column name is reserved.
     """
     store = Store(docs.sparkSession, root)
     for k in range(arrivals):
@@ -198,7 +205,8 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     store = shard_documents(docs, scratch.fresh_path(spark, "shards"))
     kept = store.table(docs.schema)
-    return kept.select("doc_id", "shard", "shard_rows", "shard_bytes", "tier", "version", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    facts = {"shard": "place", "shard_rows": "rows", "shard_bytes": "bytes", "tier": "tier", "version": "version"}
+    return kept.select("doc_id", *(F.col(f"__shard.{c}").alias(n) for n, c in facts.items()), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 SQL: dict[str, str] = {}

@@ -328,7 +328,7 @@ def test_versions_survive_compaction_and_vacuum(spark):
     assert not sharding.plan_merges(shards, 90_000, sharding.FAN_IN) and all(s.bytes <= 1.6 * 90_000 for s in shards)
     tiers = Counter(s.tier() for s in shards if 2 * s.bytes < 90_000)
     assert all(n < sharding.FAN_IN for n in tiers.values())
-    assert sum(s.rows for s in shards) == 6000 and {(r.shard_rows, r.shard_bytes, r.tier) for r in store.table(docs.schema).collect()} == {(s.rows, s.bytes, s.tier()) for s in shards}
+    assert sum(s.rows for s in shards) == 6000 and {(r[0].rows, r[0].bytes, r[0].tier) for r in store.table(docs.schema).select('__shard').collect()} == {(s.rows, s.bytes, s.tier()) for s in shards}
     docs.limit(10).write.parquet(f"{store.root}/data/orphan")  # a writer that died before its commit
     assert store.vacuum(retain=2) == []
     gone = store.vacuum(retain=2, age_seconds=-60)
@@ -355,6 +355,16 @@ def test_merge_plan():
     assert [len(g) for g in groups] == [9] and not sharding.plan_merges(shards[:3], 100_000, 4)
 
 
+def test_shards_of_clashing_names(spark, tmp_path):
+    """Columns named as the facts, their fields or the reader's own are the documents' own."""
+    docs = spark.createDataFrame([(i, f"t{i}", i + 1, "p", 0.5, "v", i) for i in range(40)], "doc_id long, text string, shard long, path string, tier double, version string, `rows` long")
+    store = sharding.shard_documents(docs, f"file://{tmp_path}/s")
+    got = store.table(docs.schema)
+    assert got.columns == [*docs.columns, "__shard"] and sorted(map(tuple, got.drop("__shard").collect())) == sorted(map(tuple, docs.collect()))
+    with pytest.raises(ValueError, match="name another"):
+        store.table(docs.schema, facts="tier")
+
+
 # 5
 
 
@@ -455,6 +465,14 @@ def test_edit_is_local(spark):
 # 7
 
 
+def test_quality_of_text_ids(spark):
+    rows = [(f"id{i}", f"good clean prose number {i} with some plain words" if i % 2 else "buy buy http://x 1234 !!!! $$$", "en", "s") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")
+    labels = spark.createDataFrame([(f"id{i}", i % 2, 0) for i in range(40)], "doc_id string, quality int, toxic int")
+    got = {r.doc_id: r.accepted for r in quality.classify(docs, labels).collect()}
+    assert len(got) == 60 and sum(got[f"id{i}"] == bool(i % 2) for i in range(60)) > 50
+
+
 def test_quality(spark):
     texts = [f"good clean prose number {i} with many plain words in it" for i in range(40)] + [f"you idiot scum number {i} with many plain words in it" for i in range(40)]
     docs = odd_docs(spark, texts)
