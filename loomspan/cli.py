@@ -68,6 +68,55 @@ def _parser() -> argparse.ArgumentParser:
     page = commands.add_parser("index-page", help="write the page that lists all digests")
     page.add_argument("digests")
     page.add_argument("output")
+    resume = commands.add_parser("resume", help="index the papers of a table (paper, text, sha256) in rounds, going on where the last run stopped")
+    resume.add_argument("papers")
+    resume.add_argument("root")
+    resume.add_argument("--recipe", default="175/20")
+    resume.add_argument("--batch", type=int, default=1000)
+    resume.add_argument("--rounds", type=int)
+    commands.add_parser("progress", help="print how far each paper of a resumed index is").add_argument("root")
+    checked = commands.add_parser("audit-passages", help="compare every stored passage of a resumed index with the text that it was cut from")
+    checked.add_argument("papers")
+    checked.add_argument("root")
+    checked.add_argument("--recipe", default="175/20")
+    vectors = commands.add_parser("vector-index", help="write an approximate index of a table of vectors (vec_id, embedding)")
+    vectors.add_argument("vectors")
+    vectors.add_argument("root")
+    nearest = commands.add_parser("vector-search", help="print the nearest vectors of one that a table holds")
+    nearest.add_argument("root")
+    nearest.add_argument("vectors")
+    nearest.add_argument("vec_id", type=int)
+    nearest.add_argument("--top-k", type=int, default=8)
+    nearest.add_argument("--probes", type=int)
+    pages = commands.add_parser("markdown", help="write pages (page_id, url, html) as Markdown")
+    pages.add_argument("pages")
+    pages.add_argument("output")
+    pages.add_argument("--most", type=int)
+    counted = commands.add_parser("tokens", help="print how many tokens and windows the texts of a table have, and what embedding them costs")
+    counted.add_argument("texts")
+    counted.add_argument("--size", type=int, default=175)
+    counted.add_argument("--overlap", type=int, default=20)
+    counted.add_argument("--price", type=float, default=0.01, help="money for a million tokens")
+    fetch = commands.add_parser("fetch", help="fetch the logs of some days by a reader (module:function) and write them as Parquet")
+    fetch.add_argument("reader")
+    fetch.add_argument("path")
+    fetch.add_argument("first")
+    fetch.add_argument("last")
+    fetch.add_argument("output")
+    remote = commands.add_parser("remote", help="list a remote folder by a reader (module:function)")
+    remote.add_argument("reader")
+    remote.add_argument("path")
+    remote.add_argument("--prefixes", nargs="*", default=[])
+    commands.add_parser("ledger", help="print what is spent and what is still reserved").add_argument("root")
+    cascade = commands.add_parser("cascade", help="build weekly and monthly digests from daily ones, only what follows from a change")
+    cascade.add_argument("digests")
+    cascade.add_argument("root")
+    cascade.add_argument("--force", action="store_true")
+    tidy = commands.add_parser("vacuum", help="delete the versions of a keyed table that are not retained")
+    tidy.add_argument("root")
+    tidy.add_argument("--keep", type=int, default=2)
+    follow = commands.add_parser("watch-lines", help="print what a follower of a streaming query wrote")
+    follow.add_argument("root")
     return parser
 
 
@@ -139,6 +188,61 @@ def reports(spark, asked: argparse.Namespace) -> None:
         sinks.write_text(spark, asked.output, index_page.page(index_page.payload(held, gone).first().payload))
 
 
+def stores(spark, asked: argparse.Namespace) -> bool:
+    """The commands on resumed indexes, vectors, pages, sources and ledgers; whether it was one of them."""
+    from loomspan.adapters import models
+    from loomspan.functions import markdown, tokens
+    from loomspan.functions.text import revision
+    from loomspan.operators import ann, cascade, chunking, ledger, passage_audit, resumable
+    from loomspan.sources import files, keyed, remote
+    from loomspan.streaming import progress
+
+    def resume() -> None:
+        print(json.dumps({"rounds": resumable.index(spark.read.parquet(asked.papers), asked.root, models.HashEmbedder(), asked.recipe, asked.batch, asked.rounds)}))
+
+    def audit() -> None:
+        no_link = F.lit(None).cast("string")
+        sources = spark.read.parquet(asked.papers).select("paper", "text", "sha256", no_link.alias("link"))
+        papers = passage_audit.papers_of(sources, revision(asked.recipe, F.coalesce("sha256", F.lit(""))))
+        records = resumable.progress(spark, asked.root)
+        stored = resumable.current_passages(spark, asked.root).select("id", "paper", "revision", "chunk", "char_start", "char_end", "document", no_link.alias("link"))
+        audited = passage_audit.passages(stored, papers, records)
+        _print(passage_audit.report(audited, passage_audit.checkpoints(audited, papers, records), records, resumable.progress(spark, asked.root)))
+
+    def nearest() -> None:
+        query = spark.read.parquet(asked.vectors).where(F.col("vec_id") == asked.vec_id).select(F.col("vec_id").alias("query_id"), "embedding").limit(1)
+        _print(ann.search(spark, asked.root, query, asked.top_k, asked.probes).orderBy("rank"))
+
+    def counted() -> None:
+        n = spark.read.parquet(asked.texts).select(tokens.count(F.col("text")).alias("n"))
+        windows = chunking.window_count(F.col("n"), asked.size, asked.overlap)
+        told = n.agg(F.count("*").alias("texts"), F.sum("n").alias("tokens"), F.sum(windows).alias("windows"), F.sum(chunking.submitted_tokens(F.col("n"), F.col("n"), asked.size, asked.overlap)).alias("submitted"))
+        _print(told.withColumn("cost", F.col("submitted") / 1e6 * asked.price))
+
+    def fetch() -> None:
+        remote.register(spark)
+        spark.read.format("daylogs").options(reader=asked.reader, path=asked.path, first=asked.first, last=asked.last).load().write.parquet(asked.output)
+
+    def cascaded() -> None:
+        held = files.digests(spark, asked.digests, only_usable=True).where("kind = 'daily'")
+        _print(cascade.run(held.select("label", "text"), cascade.calendar_parts(held.select(F.col("start").alias("day"))), asked.root, models.echo, force=asked.force).orderBy("kind", "label"))
+
+    def paged() -> None:
+        found = spark.read.parquet(asked.pages)
+        found.select("page_id", markdown.markdown_of(F.col("html"), F.col("url"), asked.most).alias("markdown")).write.parquet(asked.output)
+
+    known = {
+        "resume": resume, "progress": lambda: _print(resumable.progress(spark, asked.root).select("paper", "state", "next_chunk", "total", "error").orderBy("paper")), "audit-passages": audit,
+        "vector-index": lambda: ann.build(spark.read.parquet(asked.vectors), asked.root), "vector-search": nearest, "markdown": paged, "tokens": counted, "fetch": fetch,
+        "remote": lambda: _print(remote.inventory(spark, asked.reader, asked.path, asked.prefixes).orderBy("path")), "ledger": lambda: _print(ledger.usage(ledger.fold(ledger.Ledger(spark, asked.root, 1.0).events()))),
+        "cascade": cascaded, "vacuum": lambda: print(json.dumps({"dropped": keyed.vacuum(spark, asked.root, asked.keep)})), "watch-lines": lambda: _print(progress.lines(spark, asked.root).orderBy("number")),
+    }
+    if asked.command not in known:
+        return False
+    known[asked.command]()
+    return True
+
+
 def preprocess(spark, logs: str, output: str, most: int, overlap: int) -> None:
     from loomspan.operators import chunking
     from loomspan.sources import files, sinks
@@ -151,7 +255,7 @@ def preprocess(spark, logs: str, output: str, most: int, overlap: int) -> None:
 
 
 def main(argv: list[str] | None = None) -> int:
-    from loomspan.plans import catalogue, publishing, registry, reports  # noqa: F401  all register queries
+    from loomspan.plans import catalogue, indexes, publishing, registry, reports  # noqa: F401  all register queries
 
     asked = _parser().parse_args(argv)
     if asked.command == "queries":
@@ -166,7 +270,7 @@ def main(argv: list[str] | None = None) -> int:
         preprocess(spark, asked.logs, asked.output, asked.max_tokens, asked.overlap)
     elif asked.command == "search":
         _print(found(spark, asked.tables, asked.words, asked.top_k, asked.mode, asked.filter, asked.vector))
-    else:
+    elif not stores(spark, asked):
         reports(spark, asked)
     return 0
 

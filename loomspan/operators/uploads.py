@@ -57,14 +57,17 @@ def retained(manifest: DataFrame, inputs: DataFrame) -> DataFrame:
 GATES = ("arguments", "report", "dry run", "approval", "converted", "inventory", "budget", "keys", "inputs")
 
 
-def gate(problems: DataFrame, expected: DataFrame, local: DataFrame, cost: float, budget: float | None, approved: bool, dry_run: bool, chunk: int, overlap: int, has_keys: bool = True) -> str | None:
+def gate(problems: DataFrame, expected: DataFrame, local: DataFrame, cost: float, budget: float | None, approved: bool, dry_run: bool, chunk: int, overlap: int, has_keys: bool = True, report_only: bool = False, inputs: DataFrame | None = None) -> str | None:
     """The first gate that keeps an upload from starting, or None where all are open.
 
     problems: conversions that are not usable (reason not null); expected, local: path and
-    size of what has to be there. A cost that reaches the budget closes it. Later gates cost nothing if an earlier one is shut.
+    size of what has to be there. A cost that reaches the budget closes it. `report_only` asks for
+    the report of costs and no more; `inputs`, where they are given, must hold a row. Later gates cost nothing if an earlier one is shut.
     """
     if not 0 <= overlap < chunk:
         return "arguments"
+    if report_only:
+        return "report"
     if dry_run:
         return "dry run"
     if not approved:
@@ -75,7 +78,9 @@ def gate(problems: DataFrame, expected: DataFrame, local: DataFrame, cost: float
         return "inventory"
     if budget is not None and cost >= budget:
         return "budget"
-    return None if has_keys else "keys"
+    if not has_keys:
+        return "keys"
+    return "inputs" if inputs is not None and inputs.isEmpty() else None
 
 
 def run_summary(outcomes: DataFrame) -> DataFrame:
