@@ -38,18 +38,20 @@ from loomspan.llm.text import slices
 
 MAGIC = b"LSTOK1\n\0"
 #: Ids of a block, blocks coded side by side, ids of a file (a longer document has a file to itself).
-BLOCK, LANES, FILE_IDS = 4096, 2048, 1 << 23
+BLOCK, LANES, FILE_IDS = 2048, 4096, 1 << 23
 #: Where the counts of a block's own ids are taken anew.
-PLACES = (128, 512, 1024, 2048)
+PLACES = (128, 512, 1024)
 #: Slots of a block's tables of contexts, as powers of two; the sum of a file's counts.
-BITS_ONE, BITS_TWO, WHOLE = 11, 12, 1 << 16
+BITS_ONE, BITS_TWO, WHOLE = 9, 10, 1 << 16
+#: Cells of the tables in which counts of blocks are looked up.
+TABLE = 1 << 20
 #: What a coded part adds to its weight; rows of weights beyond `MOST` are halved, which is looked at every `LOOK` steps.
 STEP, MOST, LOOK = 24, 50_000, 128
 #: The coder's digits, the least span after a step, and the span at first: all numbers are whole and below 2**53, so floats hold them.
 _DIGIT, _LEAST, _TOP = 2.0**16, 2.0**32, 2.0**48
 _M1, _M2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 _SHIFT_ONE, _SHIFT_TWO, _ID, _TRUST = np.uint32(32 - BITS_ONE), np.uint32(32 - BITS_TWO), np.uint32(2), np.uint32(3)
-_16, _48, _LOW = np.uint64(16), np.uint64(48), np.uint64(0xFFFF)
+_16, _32, _48, _LOW = np.uint64(16), np.uint64(32), np.uint64(48), np.uint64(0xFFFF)
 
 
 def _packed(parts: np.ndarray) -> np.ndarray:
@@ -125,6 +127,18 @@ def counts_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return distinct, shares
 
 
+def _counted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows sorted, where the run of equal ids around each place begins, where it ends)."""
+    history = np.sort(rows, axis=1, kind="stable")
+    start = rows.shape[1]
+    place = np.arange(start, dtype=np.int16)
+    changes = history[:, 1:] != history[:, :-1]
+    first, after = np.zeros(history.shape, np.int16), np.full(history.shape, start, np.int16)
+    np.maximum.accumulate(np.where(changes, place[1:], 0), axis=1, out=first[:, 1:])
+    after[:, :-1] = np.minimum.accumulate(np.where(changes, place[1:], start)[:, ::-1], axis=1)[:, ::-1]
+    return history, first, after
+
+
 def encode_blocks(ids: np.ndarray, distinct: np.ndarray, shares: np.ndarray) -> list[bytes]:
     """The code of each block of `ids` (unsigned 16-bit), for at most `LANES` blocks."""
     lanes = -(-len(ids) // BLOCK)
@@ -146,7 +160,7 @@ def encode_blocks(ids: np.ndarray, distinct: np.ndarray, shares: np.ndarray) ->
 
     def shift(at: np.ndarray, low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, ...]:
         digit = np.floor(low * (1 / _LEAST))
-        out[at] = digit
+        out[at] = digit.astype(np.uint32)  # cast first: an assignment casts one by one
         small = span < _LEAST
         return small, at + small, np.where(small, (low - digit * _LEAST) * _DIGIT, low), np.where(small, span * _DIGIT, span)
 
@@ -157,12 +171,18 @@ def encode_blocks(ids: np.ndarray, distinct: np.ndarray, shares: np.ndarray) ->
         now = rows[:n, start:stop]
         within = in_file[now]  # what is below, and the size less 1, in 16 bits each
         new = np.full(now.shape, 3, np.uint8)
-        for i in range(n if start else 0):
-            counts = np.bincount(rows[i, :start], minlength=len(distinct))
-            there = counts[now[i]] > 0
-            in_block = ((np.cumsum(counts) - counts) | (np.maximum(counts, 1) - 1 << 16)).astype(np.uint32)
-            np.copyto(within[i], in_block[now[i]], where=there)
-            new[i] -= there
+        if start:
+            history, first, after = _counted(rows[:n, :start])
+            packed = first.astype(np.uint32) | ((after - first).astype(np.uint32) << 16)
+            chunk = max(1, TABLE // len(distinct))
+            for i in range(0, n, chunk):  # a table of the ranks of the file for some blocks
+                lines = np.arange(min(chunk, n - i))[:, None] * len(distinct)
+                table = np.zeros(lines.size * len(distinct), np.uint32)
+                table[lines + history[i : i + chunk]] = packed[i : i + chunk]
+                cells = table.take(lines + now[i : i + chunk])
+                there = cells > 0
+                np.copyto(within[i : i + chunk], cells - 0x10000, where=there)
+                new[i : i + chunk] -= there
         within, new = np.ascontiguousarray(within.T), np.ascontiguousarray(new.T)
         whole = np.array([1, 1, max(start, 1), WHOLE], np.float64)
         all_one, all_two = model.slots(steps[start + 1 : stop + 1, :n], steps[start:stop, :n])
@@ -207,10 +227,11 @@ def decode_blocks(codes: list[bytes], lengths: list[int], distinct: np.ndarray,
     """The ids of blocks, of which the last alone may be shorter than `BLOCK`."""
     lanes, last = len(codes), lengths[-1]
     width = max(map(len, codes)) // 2 + 4
-    given = np.zeros((lanes, width))
+    given = np.zeros((lanes, width), np.uint16)
     for i, c in enumerate(codes):
         given[i, : len(c) // 2] = np.frombuffer(c, "<u2")
-    value = (given[:, 0] * _DIGIT + given[:, 1]) * _DIGIT + given[:, 2]
+    head = given[:, :3].astype(np.float64)
+    value = (head[:, 0] * _DIGIT + head[:, 1]) * _DIGIT + head[:, 2]
     flat_given = given.ravel()
     at = np.arange(lanes, dtype=np.int64) * width + 3
     edge = np.arange(1, lanes + 1, dtype=np.int64) * width - 1
@@ -233,24 +254,18 @@ def decode_blocks(codes: list[bytes], lengths: list[int], distinct: np.ndarray,
         if not n:
             break
         if start:
-            history = np.sort(steps[2 : start + 2, :n].T.astype(np.uint16), axis=1, kind="stable")
-            place = np.arange(start, dtype=np.int16)
-            changes = history[:, 1:] != history[:, :-1]
-            first, after = np.zeros(history.shape, np.int16), np.full(history.shape, start, np.int16)
-            np.maximum.accumulate(np.where(changes, place[1:], 0), axis=1, out=first[:, 1:])
-            after[:, :-1] = np.minimum.accumulate(np.where(changes, place[1:], start)[:, ::-1], axis=1)[:, ::-1]
-            history, first, after = history.ravel(), first.ravel(), after.ravel()
+            history, first, after = (x.ravel() for x in _counted(steps[2 : start + 2, :n].T.astype(np.uint16)))
         for t in range(start, stop):
             n = lanes if t < last else lanes - 1
             if not n:
                 break
             model.predict(*model.slots(steps[t + 1][:n], steps[t][:n]))
             unit = np.floor(span[:n] / model.total)
-            slot = np.minimum(np.floor(value[:n] / unit), model.total - 1).astype(np.uint64)
+            slot = np.floor(value[:n] / unit)
             parts = model.parts
             part = (slot >= (parts & _LOW)).astype(np.int64)
             part += slot >= ((parts >> _16) & _LOW)
-            part += slot >= ((parts >> np.uint64(32)) & _LOW)
+            part += slot >= ((parts >> _32) & _LOW)
             under, share = model.bounds(part)
             rest, wide = value[:n] - unit * under, unit * share
             x = np.where(part == 0, model.id_two, model.id_one)
