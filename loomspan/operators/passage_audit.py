@@ -58,7 +58,7 @@ def passages(stored: DataFrame, papers: DataFrame, records: DataFrame, key: Colu
     `papers_of` gives; records: paper, total. An id is `key:revision:chunk`, where `key` is
     the sha256 of the paper unless another is given. `gap` says that there is text between
     a passage and the one before that neither holds, or that it begins no later than the
-    one before. Null chunks and offsets are wrong numbers and wrong texts; rows repeat as
+    one of the number before. Null chunks and offsets are wrong numbers and wrong texts; rows repeat as
     they come, and all of an id's rows but one are duplicates.
     """
     key = F.sha2(F.col("paper").cast("binary"), 256) if key is None else key
@@ -71,7 +71,7 @@ def passages(stored: DataFrame, papers: DataFrame, records: DataFrame, key: Colu
     same_id = Window.partitionBy("id").orderBy("paper", "chunk", "char_start", "char_end")
     ordered = Window.partitionBy("paper", "block").orderBy("chunk", "char_start", "id")
     last = F.when(F.col("block") >= 0, F.coalesce(F.lag("char_end").over(ordered), F.col("edge_before"), F.when(F.col("block") == 0, 0)))
-    start_before = F.when(F.col("block") >= 0, F.lag("char_start").over(ordered))
+    start_before = F.when((F.col("block") >= 0) & (F.lag("chunk").over(ordered) < F.col("chunk")), F.lag("char_start").over(ordered))
     told = told.withColumn("__nth", F.row_number().over(same_id)).withColumn("__last", last).withColumn("__start", start_before)
     at = lambda a, b: F.col("piece").substr(_whole(a - F.col("low") + 1), _whole(b - a))
     right_text = (F.col("char_end") <= F.col("__length")) & (at(F.col("char_start"), F.col("char_end")) == F.col("document"))

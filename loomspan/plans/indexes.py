@@ -73,10 +73,10 @@ def _audit_sql(k: str) -> str:
  s0 AS (SELECT CASE WHEN k = 9 AND i = 0 THEN 'gone-' || paper ELSE paper END AS paper, paper AS own, rev AS right_rev, CASE WHEN k = 6 AND i = 0 THEN 'old' ELSE rev END AS revision, CASE WHEN k = 2 AND i = 0 THEN -1 WHEN k = 3 AND i = 0 THEN NULL ELSE i END AS chunk,
   a, CASE WHEN k = 7 AND i = n - 1 THEN b + 5 ELSE b END AS b, substr(t, a + 1, b - a) || CASE WHEN k = 1 AND i = 0 THEN '~' ELSE '' END AS document, k = 5 AND i = 0 AS bad_link, k = 4 AND i = 0 AS doubled FROM w),
  s AS (SELECT * FROM s0 UNION ALL SELECT * FROM s0 WHERE doubled),
- o AS (SELECT s.*, row_number() OVER (PARTITION BY own, chunk ORDER BY s.paper) AS nth, lag(a) OVER (PARTITION BY s.paper, coalesce(chunk, -1) >= 0 ORDER BY chunk) AS a0, lag(b, 1, 0) OVER (PARTITION BY s.paper, coalesce(chunk, -1) >= 0 ORDER BY chunk) AS b0 FROM s),
+ o AS (SELECT s.*, row_number() OVER (PARTITION BY own, chunk ORDER BY s.paper) AS nth, lag(a) OVER (PARTITION BY s.paper, coalesce(chunk, -1) >= 0 ORDER BY chunk) AS a0, lag(chunk) OVER (PARTITION BY s.paper, coalesce(chunk, -1) >= 0 ORDER BY chunk) AS c0, lag(b, 1, 0) OVER (PARTITION BY s.paper, coalesce(chunk, -1) >= 0 ORDER BY chunk) AS b0 FROM s),
  q AS (SELECT o.paper, o.chunk, CASE WHEN p.paper IS NULL THEN 'unknown paper' WHEN skipped THEN 'unreadable paper' WHEN revision <> rev THEN 'identity' WHEN nth > 1 THEN 'duplicate' WHEN chunk IS NULL OR chunk < 0 OR chunk >= total THEN 'number'
    WHEN b > len OR substr(t, a + 1, b - a) <> document THEN 'text' WHEN bad_link THEN 'link' END AS problem,
-  coalesce(chunk, -1) >= 0 AND (coalesce(a <= a0, false) OR (p.paper IS NOT NULL AND a > b0 AND regexp_matches(substr(t, b0 + 1, a - b0), '[^\s\p{{Z}}]'))) AS gap FROM o LEFT JOIN p ON o.paper = p.paper),
+  coalesce(chunk, -1) >= 0 AND (coalesce(a <= a0 AND chunk > c0, false) OR (p.paper IS NOT NULL AND a > b0 AND regexp_matches(substr(t, b0 + 1, a - b0), '[^\s\p{{Z}}]'))) AS gap FROM o LEFT JOIN p ON o.paper = p.paper),
  c AS (SELECT p.paper, p.skipped, CASE WHEN skipped THEN 0 ELSE total END AS total, CASE WHEN k = 12 THEN 'changed since conversion' WHEN skipped THEN CASE WHEN stored > 0 THEN 'unreadable but stored' END WHEN k IN (11, 13) OR total < 1 THEN 'checkpoint'
    WHEN coalesce(found, 0) <> total THEN 'count' WHEN gaps > 0 THEN 'gap' END AS problem FROM p LEFT JOIN (SELECT paper, count(*) AS stored, count(*) FILTER (WHERE problem IS NULL) AS found, count(*) FILTER (WHERE gap) AS gaps FROM q GROUP BY paper) g ON g.paper = p.paper
   UNION ALL SELECT DISTINCT paper, false, 0, 'unknown paper' FROM q WHERE problem = 'unknown paper')"""
