@@ -7,14 +7,15 @@ frequent words and the shapes, one item at a time on its dense counts. Then all
 exchanged in rounds over the whole corpus: an item's sparse counts with the classes before
 and after it are summed in tasks, and each item of the round's half moves to its best class;
 a round that makes training texts less likely is taken back and ends the rounds (distributed exchange, as by
-Uszkoreit and Brants, 2008). Words too rare to be told apart by their own bigrams keep the
-class of their ending. A text's probability is the product of class transitions (Witten-Bell
+Uszkoreit and Brants, 2008). Words beyond the items, however many, are exchanged once more,
+against the items' classes, and their classes stay a table that texts meet by a join. Words too
+rare to be told apart by their own bigrams keep the class of their ending. A text's probability is the product of class transitions (Witten-Bell
 smoothed) and word emissions (absolute discounting; the discounted mass of a class is that of its unseen words).
 
 Counts cover all training texts. Texts are encoded once, as item numbers in a written table,
-from which all rounds and the scores are computed. Only tables of bounded size reach the
+from which all rounds are computed, and then once as classes, from which the scores are. Only tables of bounded size reach the
 driver and the tasks: at most the `TOP` most frequent words and their classes, the bigrams
-of at most `WORDS + SHAPES + 2` items, and those of classes. Sparse counts and the counts of all other words stay distributed.
+of at most `WORDS + SHAPES + 2` items, and those of classes. Sparse counts, and the counts and classes of all other words, stay distributed.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from loomspan import scratch
 from loomspan.llm.text import FOLD, slices, utf8
 
+#: Words that are items, which tasks hold; the others' classes are joined.
 TOP = 150_000
 WORDS = 600
 SHAPES = 400
@@ -124,14 +126,16 @@ def most_frequent(counts: DataFrame, top: int) -> tuple[list[tuple[bytes, int]],
     return sorted(found, key=lambda x: (-x[1], x[0])), sum(int(r.n) for r in bins), sum(int(r.kinds) for r in bins)
 
 
-ENCODED = "held_out boolean, row long, ids binary, words array<binary>, times array<int>, shapes array<int>"
+ENCODED = "held_out boolean, row long, ids binary, words array<binary>, times array<int>, shapes array<int>, places binary, which binary"
+#: A class in a written text.
+SMALL = "<u2"
 
 
 def encode(docs: DataFrame, items: Items) -> DataFrame:
-    """(doc_id, held_out, row, ids, words, times, shapes): texts as little-endian 32-bit item numbers, the end's last, and the words that are no item of their own with how often they come and the items that they count as."""
+    """(doc_id, held_out, row, ids, words, times, shapes, places, which): texts as little-endian 32-bit item numbers, the end's last, and the words that are no item of their own with how often they come and the items that they count as; places of such words in the text, and which each is."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     handle = docs.sparkSession.sparkContext.broadcast(items)
-    fields = [("held_out", pa.bool_()), ("row", pa.int64()), ("ids", pa.binary()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int32())), ("shapes", pa.list_(pa.int32()))]
+    fields = [("held_out", pa.bool_()), ("row", pa.int64()), ("ids", pa.binary()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int32())), ("shapes", pa.list_(pa.int32())), ("places", pa.binary()), ("which", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = handle.value
@@ -143,36 +147,40 @@ def encode(docs: DataFrame, items: Items) -> DataFrame:
                 ids = list(map(get, words))
                 rare: Counter = Counter()
                 shape: dict[bytes, int] = {}
+                number: dict[bytes, int] = {}
+                places, which = [], []
                 if None in ids:
                     for i, x in enumerate(ids):
                         if x is None:
                             word = words[i]
                             rare[word] += 1
                             if word not in shape:
-                                shape[word] = items.of(word)
+                                shape[word], number[word] = items.of(word), len(number)
                             ids[i] = shape[word]
+                            places.append(i)
+                            which.append(number[word])
                 ids.append(items.end)
-                rows.append((held_out(key), serial, np.array(ids, "<i4").tobytes(), list(rare), list(rare.values()), [shape[w] for w in rare]))
+                rows.append((held_out(key), serial, np.array(ids, "<i4").tobytes(), list(rare), list(rare.values()), [shape[w] for w in rare], np.array(places, "<i4").tobytes(), np.array(which, "<i4").tobytes()))
                 serial += 1
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[j] for r in rows], t) for j, (_, t) in enumerate(fields))], ["doc_id", *(n for n, _ in fields)])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {ENCODED}")
 
 
-def lines(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[np.ndarray]:
-    """Item numbers of slices of encoded texts one after the other, each text after an end."""
+def lines(batches: Iterator[pa.RecordBatch], end: int, kind: str = "<i4") -> Iterator[np.ndarray]:
+    """Item numbers, or classes, of slices of encoded texts one after the other, each text after an end."""
     for batch in slices(batches, "ids", 8 << 20):
-        yield np.concatenate([np.array([end], np.int32), np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<i4")])
+        yield np.concatenate([np.array([end], np.int32), np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind)])
 
 
-def count_pairs(encoded: DataFrame, groups: np.ndarray) -> np.ndarray:
+def count_pairs(encoded: DataFrame, groups: np.ndarray, kind: str = "<i4") -> np.ndarray:
     """Bigrams of groups of items, groups[item], over all training texts; the end is the last item."""
     k, end = int(groups.max()) + 1, len(groups) - 1
     handle = encoded.sparkSession.sparkContext.broadcast(groups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k * k, np.int64)  # at most WORDS + SHAPES + 2 squared
-        for line in lines(batches, end):
+        for line in lines(batches, end, kind):
             c = handle.value[line]
             total += np.bincount(c[:-1] * k + c[1:], minlength=k * k)
         at = np.flatnonzero(total)
@@ -263,6 +271,43 @@ def likelihood(table: np.ndarray) -> float:
     return f(table) - f(table.sum(0)) - f(table.sum(1))
 
 
+def best_classes(at: np.ndarray, context: np.ndarray, n: np.ndarray, old: np.ndarray, table: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of most likelihood for each of len(old) words, and whether it is likelier than the old one.
+
+    Word at[i] comes n[i] times in context[i]: before a class (0 to k - 1) or after it (k to 2k - 1).
+    Empty classes and the end's take no word.
+    """
+    k = len(table)
+
+    def f(x: np.ndarray) -> np.ndarray:
+        return x * np.log(np.maximum(x, 1))
+
+    cells = np.concatenate([table.T, table])  # the cells of a context, by the word's class
+    margins = np.stack([table.sum(1), table.sum(0)])  # of words before others, of words after others
+    full = margins.sum(0) > 0
+    full[end] = False
+    gain = np.zeros((len(old), k))
+
+    def add(to: np.ndarray, cell: np.ndarray, n: np.ndarray, sign: int) -> None:
+        change = f(cell + n[:, None]) - f(cell)
+        i = np.arange(len(to))
+        here = cell[i, old[to]]
+        change[i, old[to]] = f(here) - f(here - n)  # its own counts are in its old class already
+        np.add.at(gain, to, sign * change)
+
+    for s in range(0, len(at), 50_000):
+        part = slice(s, s + 50_000)
+        add(at[part], cells[context[part]], n[part].astype(float), 1)
+    for side in (0, 1):
+        total = np.bincount(at, np.where(context // k == side, n, 0), len(old))
+        for s in range(0, len(old), 50_000):
+            to = np.arange(s, min(len(old), s + 50_000))
+            add(to, np.repeat(margins[side][None], len(to), 0), total[to], -1)
+    stay = gain[np.arange(len(old)), old]
+    gain[:, ~full] = -np.inf
+    return gain.argmax(1), gain.max(1) > stay + 1e-9
+
+
 def exchange_round(encoded: DataFrame, of: np.ndarray, table: np.ndarray, movable: np.ndarray) -> np.ndarray:
     """The classes after each movable item has joined the class of most likelihood for its own bigrams, the others' classes as they were.
 
@@ -290,42 +335,13 @@ def exchange_round(encoded: DataFrame, of: np.ndarray, table: np.ndarray, movabl
                 yield out()
         yield out()
 
-    def f(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1))
-
-    cells = np.concatenate([table.T, table])  # the cells of a context, by the item's class
-    margins = np.stack([table.sum(1), table.sum(0)])  # of items before others, of items after others
-    full = margins.sum(0) > 0
-    full[of[end]] = False
-
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(3)]) for b in batches if b.num_rows]
         if not got:
             return
         w, context, n = np.concatenate(got, axis=1)
         word, at = np.unique(w, return_inverse=True)
-        old = handle.value[0][word]
-        gain = np.zeros((len(word), k))
-
-        def add(to: np.ndarray, cell: np.ndarray, n: np.ndarray, sign: int) -> None:
-            change = f(cell + n[:, None]) - f(cell)
-            i = np.arange(len(to))
-            here = cell[i, old[to]]
-            change[i, old[to]] = f(here) - f(here - n)  # its own counts are in its old class already
-            np.add.at(gain, to, sign * change)
-
-        for s in range(0, len(w), 50_000):
-            part = slice(s, s + 50_000)
-            add(at[part], cells[context[part]], n[part].astype(float), 1)
-        for side in (0, 1):
-            total = np.bincount(at, np.where(context // k == side, n, 0), len(word))
-            for s in range(0, len(word), 50_000):
-                to = np.arange(s, min(len(word), s + 50_000))
-                add(to, np.repeat(margins[side][None], len(to), 0), total[to], -1)
-        stay = gain[np.arange(len(word)), old]
-        gain[:, ~full] = -np.inf
-        new = gain.argmax(1)
-        moves = gain.max(1) > stay + 1e-9
+        new, moves = best_classes(at, context, n, handle.value[0][word], table, int(of[end]))
         yield pa.RecordBatch.from_arrays([pa.array(word[moves]), pa.array(new[moves])], ["w", "c"])
 
     rows = encoded.where("NOT held_out").select("ids").mapInArrow(contexts, "w long, context int, n long").groupBy("w", "context").agg(F.sum("n").alias("n"))
@@ -335,25 +351,77 @@ def exchange_round(encoded: DataFrame, of: np.ndarray, table: np.ndarray, movabl
     return out
 
 
-def class_totals(counts: DataFrame, items: Items, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of each class, and its kinds of words that occur at all, once and twice."""
-    k = int(of.max()) + 1
-    handle = counts.sparkSession.sparkContext.broadcast((items, of))
+def classes_of_others(encoded: DataFrame, rare: DataFrame, items: Items, of: np.ndarray, table: np.ndarray, least: int) -> DataFrame:
+    """(word, class) of the words that are no items but come `least` times: the class of most likelihood for their own bigrams, all other words' classes as they were.
+
+    The words' contexts are counted in tasks, then by word; no word has more than two for each class. The result is written.
+    """
+    k, end = len(table), len(of) - 1
+    handle = encoded.sparkSession.sparkContext.broadcast((of, items.shapes, items.rest))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = handle.value[0]
+        counts: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            words, context = [w for w, _ in counts], [c for _, c in counts]
+            made = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(context, pa.int32()), pa.array(counts.values(), pa.int64())], ["word", "context", "n"])
+            counts.clear()
+            return made
+
+        for batch in slices(batches, "ids", 8 << 20):
+            for ids, words, places, which in zip(*(batch.column(x).to_pylist() for x in ("ids", "words", "places", "which")), strict=True):
+                c = np.concatenate([of[np.frombuffer(ids, "<i4")], of[end:]])  # the last is the end before the text's first word, at -1
+                at = np.frombuffer(places, "<i4")
+                for j, after, before in zip(np.frombuffer(which, "<i4").tolist(), c[at + 1].tolist(), (c[at - 1] + k).tolist(), strict=True):
+                    counts[words[j], after] += 1
+                    counts[words[j], before] += 1
+            if len(counts) > 400_000:
+                yield out()
+        yield out()
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, shapes, rest = handle.value
+        for batch in batches:
+            words, lists = batch.column("word").to_pylist(), batch.column("contexts")
+            if not words:
+                continue
+            old = of[np.array([shapes.get(shape_of(w), rest) for w in words])]
+            at = np.repeat(np.arange(len(words)), np.array(lists.value_lengths()))
+            context, n = (lists.flatten().field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("context", "n"))
+            new, moves = best_classes(at, context, n, old, table, int(of[end]))
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(np.where(moves, new, old).astype(np.int32))], ["word", "class"])
+
+    rows = encoded.where("NOT held_out AND size(words) > 0").select("ids", "words", "places", "which").mapInArrow(contexts, "word binary, context int, n long")
+    # one shuffle by the word serves both groupings and the join
+    lists = rows.repartition("word").groupBy("word", "context").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("context", "n")).alias("contexts"))
+    told = lists.join(rare.where(F.col("n") >= least).select("word"), "word", "left_semi")
+    return scratch.materialize(told.mapInArrow(choose, "word binary, class int"), "classes")
+
+
+def class_totals(rare: DataFrame, items: Items, of: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each class, and its kinds of words that occur at all, once and twice.
+
+    n: of the words that are items, then of the end; rare: (word, n, class) of all other words, null where the class is the ending's.
+    """
+    k, end = int(of.max()) + 1, len(of) - 1
+    handle = rare.sparkSession.sparkContext.broadcast((of, items.shapes, items.rest))
+
+    def sums(classes: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(classes, x, k) for x in (n, n > 0, n == 1, n == 2)], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, of = handle.value
-        total = np.zeros((k, 4), np.int64)
+        of, shapes, rest = handle.value
+        total = np.zeros((k, 4))
         for batch in batches:
-            classes = of[np.array([items.end if w == END else items.of(w) for w in batch.column(0).to_pylist()], np.int64)]
-            n = batch.column(1).to_numpy(zero_copy_only=False)
-            for j, x in enumerate((n, np.ones_like(n), n == 1, n == 2)):
-                total[:, j] += np.bincount(classes, x, k).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), *(pa.array(total[:, j]) for j in range(4))], ["c", "n", "kinds", "once", "twice"])
-
-    totals = np.zeros((k, 4))
-    sums = counts.mapInArrow(run, "c long, n long, kinds long, once long, twice long").groupBy("c").agg(*(F.sum(x).alias(x) for x in ("n", "kinds", "once", "twice")))
-    for row in sums.collect():  # a row for each class
-        totals[row.c] = row.n, row.kinds, row.once, row.twice
+            classes = [of[shapes.get(shape_of(w), rest)] if c is None else c for w, c in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            total += sums(np.array(classes, np.int64), batch.column(1).to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), *(pa.array(total[:, j].astype(np.int64)) for j in range(4))], ["c", "n", "kinds", "once", "twice"])
+
+    totals = sums(of[[*range(len(n) - 1), end]], n)
+    found = rare.select("word", "n", "class").mapInArrow(run, "c long, n long, kinds long, once long, twice long").groupBy("c").agg(*(F.sum(x).alias(x) for x in ("n", "kinds", "once", "twice")))
+    for row in found.collect():  # a row for each class
+        totals[row.c] += row.n, row.kinds, row.once, row.twice
     return totals[:, 0], totals[:, 1:]
 
 
@@ -370,11 +438,14 @@ class Model:
     mass: np.ndarray  # what all emissions of a class are divided by
     train_tokens: int
     kinds: int
-    likelihoods: list[float] = field(default_factory=list)  # of the training texts, after the core and after each round
+    likelihoods: list[float] = field(default_factory=list)  # of the training texts, after the core, each round, and the words that are no items
 
 
 def learn(docs: DataFrame, top: int = TOP, words: int = WORDS, shapes: int = SHAPES, classes: int = CLASSES, sweeps: int = SWEEPS, least: int = LEAST) -> tuple[Model, DataFrame, DataFrame]:
-    """The model, the written counts (word, n) of all training words, and the written encoded texts."""
+    """The model, (word, n, class) of the training words that are no items, and the texts as classes, written.
+
+    A class is null where it is the ending's. Classes of such words that make the training texts less likely are taken back.
+    """
     counts = scratch.materialize(count_words(docs), "words")
     frequent, n_train, kinds = most_frequent(counts, top)
     ends = counts.where(F.col("word") == F.lit(END)).first()
@@ -411,10 +482,29 @@ def learn(docs: DataFrame, top: int = TOP, words: int = WORDS, shapes: int = SHA
             break
         of, table = moved, after
         history.append(likelihood(table))
-    tokens, sorts = class_totals(counts, items, of)
+    rare = counts.where(F.col("word") != F.lit(END))
+    if frequent:
+        rare = rare.where(F.col("n") < frequent[-1][1])
+    ending = rare.withColumn("class", F.lit(None).cast("int"))
+    others = [ending]
+    if sweeps and (not frequent or frequent[-1][1] > least):  # there may be words that come often enough
+        others.insert(0, scratch.materialize(rare.join(classes_of_others(encoded, rare, items, of, table, least), "word", "left"), "rare"))
+    for words_left in others:
+        model = emissions(items, n, of, *class_totals(words_left, items, of, n), n_train, kinds)
+        texts = scratch.materialize(as_classes(model, words_left, encoded), "texts")
+        table = count_pairs(texts, np.arange(len(table)), SMALL)
+        if words_left is ending or likelihood(table) >= history[-1]:
+            break
+    model.steps = transitions(table)
+    model.likelihoods = history if words_left is ending else [*history, likelihood(table)]
+    return model, words_left, texts
+
+
+def emissions(items: Items, n: np.ndarray, of: np.ndarray, tokens: np.ndarray, sorts: np.ndarray, n_train: int, kinds: int) -> Model:
+    """A model without transitions: absolute discounting within each class."""
     discount = np.clip(sorts[:, 1] / np.maximum(1, sorts[:, 1] + 2 * sorts[:, 2]), 0.1, 0.9)
     spare = np.maximum(discount * np.maximum(sorts[:, 0], 1), 0.5)
-    return Model(items, n, of, transitions(table), discount, spare, tokens - discount * sorts[:, 0] + spare, n_train, kinds, history), counts, encoded
+    return Model(items, n, of, np.zeros((0, 0)), discount, spare, tokens - discount * sorts[:, 0] + spare, n_train, kinds)
 
 
 def score_texts(docs: DataFrame, top: int = TOP, words: int = WORDS, shapes: int = SHAPES, classes: int = CLASSES, sweeps: int = SWEEPS, least: int = LEAST) -> DataFrame:
@@ -424,58 +514,94 @@ def score_texts(docs: DataFrame, top: int = TOP, words: int = WORDS, shapes: int
     from, as often as they come. Other columns are left out. With no training text all
     counts are 0 and every token has probability 1 in the base and in the model.
     """
-    return score_with(*learn(docs, top, words, shapes, classes, sweeps, least))
+    model, _, texts = learn(docs, top, words, shapes, classes, sweeps, least)
+    return score_with(model, texts)
+
 
+def as_classes(model: Model, rare: DataFrame, encoded: DataFrame) -> DataFrame:
+    """(doc_id, held_out, ids, n_tokens, n_known, base, said): texts as classes, with the sums over their tokens that do not depend on what comes before.
 
-def score_with(model: Model, counts: DataFrame, encoded: DataFrame) -> DataFrame:
-    """The scores of encoded texts by a model; counts are those that it was learned from."""
-    spark, n_train = encoded.sparkSession, model.train_tokens
+    rare: (word, n, class) of the training words that are no items. They meet the texts' words by a join, and the texts by their rows.
+    """
+    spark, n_train, end = encoded.sparkSession, model.train_tokens, model.items.end
     kind = encoded.schema["doc_id"].dataType.simpleString()
     base_of = float(np.log10(n_train + ALPHA * (model.kinds + 1))) if n_train else 0.0
     frequent = len(model.counts) - 1
     known = np.zeros(model.items.n, bool)
-    known[:frequent], known[model.items.end] = model.counts[:-1] > 0, model.counts[-1] > 0
+    known[:frequent], known[end] = model.counts[:-1] > 0, model.counts[-1] > 0
     base, said = np.zeros(model.items.n), np.zeros(model.items.n)
     if n_train:
-        at = [*range(frequent), model.items.end]
+        at = [*range(frequent), end]
         c = model.of[at]
         base[at] = np.log10(model.counts + ALPHA) - base_of
         said[at] = np.log10(np.where(model.counts > 0, model.counts - model.discount[c], model.spare[c]) / model.mass[c])
-    handle = spark.sparkContext.broadcast((known, base, said, model.of, model.steps))
+    handle = spark.sparkContext.broadcast((known, base, said, model.of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, base, said, of, steps = handle.value
-        first = of[-1]
+        known, base, said, of = handle.value
         for batch in slices(batches, "ids", 8 << 20):
             rows = []
             for raw in batch.column("ids").to_pylist():
                 ids = np.frombuffer(raw, "<i4")
-                c = of[ids]
-                moved = steps[np.concatenate(([first], c[:-1])), c].sum() if n_train else 0.0
-                rows.append((len(ids), int(known[ids].sum()), float(base[ids].sum()), float(moved + said[ids].sum())))
-            columns = [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("row"), *columns], ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "score"])
-
-    partial = encoded.select("doc_id", "held_out", "row", "ids").mapInArrow(run, f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, score double")
-    each = encoded.select("row", F.explode(F.arrays_zip("words", "times", "shapes")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"), F.col("x.shapes").alias("item"))
-    rare = counts.where(F.col("n") < float(model.counts[:-1].min())) if frequent else counts
-    each = each.join(rare, "word", "left")
-    shaped = range(frequent, model.items.end)  # at most SHAPES + 1
-    constants = [(i, float(model.discount[c]), float(model.spare[c]), float(model.mass[c])) for i, c in ((i, int(model.of[i])) for i in shaped)]
-    each = each.join(F.broadcast(spark.createDataFrame(constants, "item int, discount double, spare double, mass double")), "item")
-    n = F.coalesce("n", F.lit(0))
+                rows.append((of[ids].astype(SMALL).tobytes(), len(ids), int(known[ids].sum()), float(base[ids].sum()), float(said[ids].sum())))
+            columns = [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+            kept = ["doc_id", "held_out", "row", "places", "which"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), *columns], [*kept, "ids", "n_tokens", "n_known", "base", "said"])
+
+    partial = encoded.select("doc_id", "held_out", "row", "ids", "places", "which").mapInArrow(run, f"doc_id {kind}, held_out boolean, row long, places binary, which binary, ids binary, n_tokens long, n_known long, base double, said double")
+    each = encoded.select("row", F.posexplode(F.arrays_zip("words", "times", "shapes")).alias("j", "x")).select("row", "j", F.col("x.words").alias("word"), F.col("x.times").alias("times"), F.col("x.shapes").alias("item"))
+    shaped = [(i, int(model.of[i])) for i in range(frequent, end)]  # at most SHAPES + 1
+    constants = [(c, float(model.discount[c]), float(model.spare[c]), float(model.mass[c])) for c in range(len(model.mass))]
+    each = each.join(rare, "word", "left").join(F.broadcast(spark.createDataFrame(shaped, "item int, ending int")), "item")
+    each = each.withColumn("class", F.coalesce("class", "ending")).join(F.broadcast(spark.createDataFrame(constants, "class int, discount double, spare double, mass double")), "class")
+    n, zero = F.coalesce("n", F.lit(0)), F.lit(0.0)
     emitted = F.log10(F.when(n > 0, n - F.col("discount")).otherwise(F.col("spare")) / F.col("mass"))
-    zero = F.lit(0.0)
     rest = each.groupBy("row").agg(
         F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_known"),
         F.sum(F.col("times") * (F.log10(n + F.lit(ALPHA)) - F.lit(base_of)) if n_train else zero).alias("more_base"),
-        F.sum(F.col("times") * emitted if n_train else zero).alias("more_score"),
+        F.sum(F.col("times") * emitted if n_train else zero).alias("more_said"),
+        F.transform(F.array_sort(F.collect_list(F.struct("j", "class"))), lambda x: x["class"]).alias("classes"),  # as many as one text has
     )
-    out = partial.join(rest, "row", "left")
-    score = F.col("score") + F.coalesce("more_score", zero)
+    both = partial.join(rest, "row", "left").select(
+        "doc_id", "held_out", "ids", "places", "which", "classes", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        (F.col("base") + F.coalesce("more_base", zero)).alias("base"), (F.col("said") + F.coalesce("more_said", zero)).alias("said"),
+    )
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = ["doc_id", "held_out", "n_tokens", "n_known", "base", "said"]
+        for batch in slices(batches, "ids", 8 << 20):
+            out = []
+            for ids, places, which, classes in zip(*(batch.column(x).to_pylist() for x in ("ids", "places", "which", "classes")), strict=True):
+                if classes:
+                    c = np.frombuffer(ids, SMALL).copy()
+                    c[np.frombuffer(places, "<i4")] = np.array(classes, SMALL)[np.frombuffer(which, "<i4")]
+                    ids = c.tobytes()
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(out, pa.binary())], [*kept, "ids"])
+
+    return both.mapInArrow(place, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, said double, ids binary")
+
+
+def score_with(model: Model, texts: DataFrame) -> DataFrame:
+    """The scores of texts as classes of a model."""
+    n_train, first = model.train_tokens, int(model.of[-1])
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    handle = texts.sparkSession.sparkContext.broadcast(model.steps)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps, kept = handle.value, ["doc_id", "held_out", "n_tokens", "n_known", "base", "said"]
+        for batch in slices(batches, "ids", 8 << 20):
+            moved = []
+            for raw in batch.column("ids").to_pylist():
+                c = np.frombuffer(raw, SMALL).astype(np.int64)
+                moved.append(float(steps[np.concatenate(([first], c[:-1])), c].sum()) if n_train else 0.0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(moved, pa.float64())], [*kept, "moved"])
+
+    out = texts.select("doc_id", "held_out", "n_tokens", "n_known", "base", "said", "ids").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, said double, moved double")
+    score = F.col("said") + F.col("moved")
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), F.col("base").alias("base_score"),
+        score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
     )
 
 

@@ -227,18 +227,20 @@ def test_words_of_one_ending_have_classes_of_their_own(spark):
     assert got[out[0]] > got[out[1]] + 2
 
 
-@pytest.mark.parametrize("sweeps", [0, 3])
-def test_score_by_brute_force(spark, sweeps):
-    """Scores from their definition: classes of the model, everything else counted anew from the texts."""
+@pytest.mark.parametrize(("sweeps", "top"), [(0, 40), (3, 40), (3, 12)])
+def test_score_by_brute_force(spark, sweeps, top):
+    """Scores from their definition: classes of the model, of items and of other words, everything else counted anew from the texts."""
     rng = random.Random(8)
     vocabulary = [f"{rng.choice(['run', 'walk', 'Tree', 'é', '12'])}{i}{rng.choice(['ing', 's', '!', ''])}" for i in range(120)]
     docs = odd_docs(spark, [" ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(120)], k=rng.choice([0, 3, 30, 200]))) for _ in range(80)])
-    model, counts, encoded = class_lm.learn(docs, top=40, words=10, shapes=5, classes=6, sweeps=sweeps, least=2)
-    got = Counter((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in class_lm.score_with(model, counts, encoded).collect())
-    assert len(model.items.words) > 10 and len(model.likelihoods) <= sweeps + 1 and model.likelihoods == sorted(model.likelihoods)
+    model, rare, texts = class_lm.learn(docs, top=top, words=10, shapes=5, classes=6, sweeps=sweeps, least=2)
+    got = Counter((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in class_lm.score_with(model, texts).collect())
+    assert len(model.items.words) <= top and len(model.likelihoods) <= sweeps + 2 and model.likelihoods == sorted(model.likelihoods)
+    told = {bytes(r.word): r["class"] for r in rare.collect() if r["class"] is not None}
+    assert bool(told) == bool(sweeps) and not told.keys() & model.items.words.keys()
     rows = [(r.doc_id, class_lm.words_of((r.text or "").encode()) + [class_lm.END]) for r in docs.collect()]
     item = lambda w: model.items.end if w == class_lm.END else model.items.of(w)
-    group = lambda w: int(model.of[item(w)])
+    group = lambda w: told.get(w, int(model.of[item(w)]))
     train = [w for d, w in rows if not class_lm.held_out(d)]
     seen = Counter(x for w in train for x in w)
     pairs = Counter((a, b) for w in train for a, b in zip([group(class_lm.END), *map(group, w)], map(group, w), strict=False))
@@ -277,13 +279,26 @@ def test_every_frequent_word_is_exchanged(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     score = {}
     for sweeps in (0, 4):
-        model, counts, encoded = class_lm.learn(docs, sweeps=sweeps)
-        known = class_lm.score_with(model, counts, encoded).where("held_out AND n_known = n_tokens").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+        model, _, texts = class_lm.learn(docs, sweeps=sweeps)
+        known = class_lm.score_with(model, texts).where("held_out AND n_known = n_tokens").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
         score[sweeps] = known[0] / known[2]
         assert score[sweeps] > known[1] / known[2]
     assert (model.counts[:-1] >= class_lm.LEAST).sum() > 10_000 and len(model.likelihoods) > 2 and score[4] > score[0] + 0.05
 
 
+def test_words_beyond_the_items_have_classes_of_their_own(spark):
+    """Of one ending, and none of them an item: what comes before and after them tells them apart."""
+    train = [i for i in range(400) if not class_lm.held_out(i)]
+    out = [i for i in range(400) if class_lm.held_out(i)][:2]
+    rows = [(d, f"p q p q p a{d % 40}zz q b{d % 40}zz p") for d in train] + [(out[0], "p a3zz q b3zz p"), (out[1], "p b3zz q a3zz p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, rare, texts = class_lm.learn(docs, top=2, words=2, shapes=3, classes=5)
+    told = {bytes(r.word): (r.n, r["class"]) for r in rare.collect()}
+    assert set(model.items.words) == {b"p", b"q"} and len(told) == 80
+    assert {c is not None for n, c in told.values() if n >= class_lm.LEAST} == {True}
+    assert class_lm.score_with(model, texts).count() == len(rows)
+
+
 def test_exchange_finds_classes():
     rng = np.random.default_rng(0)
     big = np.zeros((9, 9))
