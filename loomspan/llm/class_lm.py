@@ -354,7 +354,7 @@ def exchange_round(encoded: DataFrame, of: np.ndarray, table: np.ndarray, movabl
 def classes_of_others(encoded: DataFrame, rare: DataFrame, items: Items, of: np.ndarray, table: np.ndarray, least: int) -> DataFrame:
     """(word, class) of the words that are no items but come `least` times: the class of most likelihood for their own bigrams, all other words' classes as they were.
 
-    The words' contexts are counted in tasks, then by word; no word has more than two for each class. The result is written.
+    The words' pairs of classes around them are counted in tasks, then by word; no word has more than classes squared. The result is written.
     """
     k, end = len(table), len(of) - 1
     handle = encoded.sparkSession.sparkContext.broadcast((of, items.shapes, items.rest))
@@ -364,8 +364,8 @@ def classes_of_others(encoded: DataFrame, rare: DataFrame, items: Items, of: np.
         counts: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            words, context = [w for w, _ in counts], [c for _, c in counts]
-            made = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(context, pa.int32()), pa.array(counts.values(), pa.int64())], ["word", "context", "n"])
+            words, pairs = [w for w, _ in counts], [x for _, x in counts]
+            made = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(pairs, pa.int64()), pa.array(counts.values(), pa.int64())], ["word", "pair", "n"])
             counts.clear()
             return made
 
@@ -373,9 +373,7 @@ def classes_of_others(encoded: DataFrame, rare: DataFrame, items: Items, of: np.
             for ids, words, places, which in zip(*(batch.column(x).to_pylist() for x in ("ids", "words", "places", "which")), strict=True):
                 c = np.concatenate([of[np.frombuffer(ids, "<i4")], of[end:]])  # the last is the end before the text's first word, at -1
                 at = np.frombuffer(places, "<i4")
-                for j, after, before in zip(np.frombuffer(which, "<i4").tolist(), c[at + 1].tolist(), (c[at - 1] + k).tolist(), strict=True):
-                    counts[words[j], after] += 1
-                    counts[words[j], before] += 1
+                counts.update(zip(map(words.__getitem__, np.frombuffer(which, "<i4").tolist()), (c[at - 1] * k + c[at + 1]).tolist(), strict=True))
             if len(counts) > 400_000:
                 yield out()
         yield out()
@@ -383,18 +381,20 @@ def classes_of_others(encoded: DataFrame, rare: DataFrame, items: Items, of: np.
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, shapes, rest = handle.value
         for batch in batches:
-            words, lists = batch.column("word").to_pylist(), batch.column("contexts")
+            words, lists = batch.column("word").to_pylist(), batch.column("pairs")
             if not words:
                 continue
             old = of[np.array([shapes.get(shape_of(w), rest) for w in words])]
             at = np.repeat(np.arange(len(words)), np.array(lists.value_lengths()))
-            context, n = (lists.flatten().field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("context", "n"))
-            new, moves = best_classes(at, context, n, old, table, int(of[end]))
+            pair, n = (lists.flatten().field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("pair", "n"))
+            both = np.concatenate([at * (2 * k) + pair % k, at * (2 * k) + k + pair // k])  # before a class, and after one
+            key, place = np.unique(both, return_inverse=True)
+            new, moves = best_classes(key // (2 * k), key % (2 * k), np.bincount(place, np.concatenate([n, n])), old, table, int(of[end]))
             yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(np.where(moves, new, old).astype(np.int32))], ["word", "class"])
 
-    rows = encoded.where("NOT held_out AND size(words) > 0").select("ids", "words", "places", "which").mapInArrow(contexts, "word binary, context int, n long")
+    rows = encoded.where("NOT held_out AND size(words) > 0").select("ids", "words", "places", "which").mapInArrow(contexts, "word binary, pair long, n long")
     # one shuffle by the word serves both groupings and the join
-    lists = rows.repartition("word").groupBy("word", "context").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("context", "n")).alias("contexts"))
+    lists = rows.repartition("word").groupBy("word", "pair").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("pair", "n")).alias("pairs"))
     told = lists.join(rare.where(F.col("n") >= least).select("word"), "word", "left_semi")
     return scratch.materialize(told.mapInArrow(choose, "word binary, class int"), "classes")
 
