@@ -24,6 +24,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -140,27 +141,20 @@ def encode(docs: DataFrame, items: Items) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = handle.value
         get, serial = items.words.get, TaskContext.get().partitionId() << 36
+        end = np.array([items.end], "<i4").tobytes()
         for batch in slices(batches):
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 words = words_of(text)
-                ids = list(map(get, words))
-                rare: Counter = Counter()
-                shape: dict[bytes, int] = {}
-                number: dict[bytes, int] = {}
-                places, which = [], []
-                if None in ids:
-                    for i, x in enumerate(ids):
-                        if x is None:
-                            word = words[i]
-                            rare[word] += 1
-                            if word not in shape:
-                                shape[word], number[word] = items.of(word), len(number)
-                            ids[i] = shape[word]
-                            places.append(i)
-                            which.append(number[word])
-                ids.append(items.end)
-                rows.append((held_out(key), serial, np.array(ids, "<i4").tobytes(), list(rare), list(rare.values()), [shape[w] for w in rare], np.array(places, "<i4").tobytes(), np.array(which, "<i4").tobytes()))
+                ids = np.fromiter(map(get, words, repeat(-1)), "<i4", len(words))
+                places = np.flatnonzero(ids < 0).astype("<i4")
+                others = [words[i] for i in places.tolist()]
+                rare = Counter(others)
+                number = dict(zip(rare, range(len(rare)), strict=True))
+                which = np.fromiter(map(number.__getitem__, others), "<i4", len(others))
+                shape = [items.of(w) for w in rare]
+                ids[places] = np.array(shape, "<i4")[which]
+                rows.append((held_out(key), serial, ids.tobytes() + end, list(rare), list(rare.values()), shape, places.tobytes(), which.tobytes()))
                 serial += 1
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[j] for r in rows], t) for j, (_, t) in enumerate(fields))], ["doc_id", *(n for n, _ in fields)])
 
