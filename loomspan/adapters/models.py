@@ -45,8 +45,8 @@ class HashEmbedder:
 
 
 def echo(prompt: str) -> str:
-    """A completion that repeats the end of its prompt."""
-    return "Summary: " + prompt[-400:].strip()
+    """A completion that repeats the end of its prompt as it is, with a space or line break where the cut falls."""
+    return "Summary: " + prompt[-400:]
 
 
 def checked_vectors(vectors: Sequence[Sequence[float]], count: int, dimensions: int) -> list[list[float]]:
