@@ -165,5 +165,5 @@ def projections(spark, vectors: int, dimensions: tuple[int, ...], prices: tuple[
     """Grid of dimensions and prices: FP32 GiB, RAM range, cost of embedding."""
     dims = spark.createDataFrame([(d,) for d in dimensions], "dimensions int")
     rates = spark.createDataFrame([(p,) for p in prices], "price double")
-    gib = F.lit(vectors) * F.col("dimensions") * 4 / GIB
+    gib = F.lit(vectors).cast("long") * F.col("dimensions") * 4 / GIB  # bytes go beyond an int
     return dims.crossJoin(rates).select("dimensions", "price", gib.alias("fp32_gib"), (2 + 2 * gib).alias("ram_gib"), (F.lit(tokens) / 1e6 * F.col("price")).alias("cost_usd"))
