@@ -3,7 +3,8 @@
 Counts do not prove an index: identities, revisions, offsets, texts, links and complete
 sequences must agree. Texts never travel with every passage: passages are dealt into
 blocks of neighbours, a text is cut once into the piece that each block spans, and only
-pieces meet passages. Neighbours in different blocks meet by the blocks' edges, so no
+pieces meet passages, of which digests stand for the texts. What is compared with a piece
+is settled where the two meet, and no piece goes further. Neighbours in different blocks meet by the blocks' edges, so no
 paper's passages are ordered in one task.
 """
 
@@ -40,15 +41,25 @@ def _whole(c: Column) -> Column:
     return F.greatest(F.least(c, F.lit((1 << 31) - 1)), F.lit(-(1 << 31) + 1)).cast("int")
 
 
-def _pieces(numbered: DataFrame, papers: DataFrame) -> DataFrame:
-    """(paper, block, low, piece): what of each text a block of passages spans, with what lies between it and the block before."""
-    spans = numbered.where("block >= 0").groupBy("paper", "block").agg(F.min("char_start").alias("a"), F.max("char_end").alias("b"), F.max_by("char_end", "chunk").alias("edge"))
-    before = spans.select("paper", (F.col("block") + 1).alias("block"), F.col("edge").alias("edge_before"))
-    spans = spans.join(before, ["paper", "block"], "left").withColumn("low", F.greatest(F.least("a", "edge_before"), F.lit(0)))
+def _digest(text: Column) -> Column:
+    """What stands for a text where it would travel; null for null."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
+def _pieces(numbered: DataFrame, papers: DataFrame, records: DataFrame) -> DataFrame:
+    """For each block of passages of a known paper what is known of the paper, and what of its text the block spans, with what lies between it and the block before."""
+    spans = numbered.groupBy("paper", "block").agg(F.min("char_start").alias("a"), F.max("char_end").alias("b"), F.max_by("char_end", "chunk").alias("edge"))
+    order = Window.partitionBy("paper").orderBy("block")
+    next_to = (F.col("block") > 0) & (F.lag("block").over(order) == F.col("block") - 1)
+    spans = spans.withColumn("edge_before", F.when(next_to, F.lag("edge").over(order))).withColumn("low", F.greatest(F.least("a", "edge_before"), F.lit(0)))
     each = spans.groupBy("paper").agg(F.collect_list(F.struct("block", "low", "b", "edge_before")).alias("spans"))  # a row for BLOCK passages
-    texts = papers.select("paper", "text").join(each, "paper")
-    cut = F.transform("spans", lambda s: F.struct(s["block"].alias("block"), s["low"].alias("low"), s["edge_before"].alias("edge_before"), F.substring(F.col("text"), _whole(s["low"] + 1), _whole(F.greatest(s["b"] - s["low"], F.lit(0)))).alias("piece")))
-    return texts.select("paper", F.explode(cut).alias("x")).select("paper", "x.block", "x.low", "x.edge_before", "x.piece")
+    totals = records.select("paper", F.col("total").alias("__total")).dropDuplicates(["paper"])
+    texts = papers.select("paper", F.col("revision").alias("__revision"), F.col("link").alias("__link"), "skipped", "text").join(each, "paper").join(totals, "paper", "left")
+    piece = lambda s: F.when(s["block"] >= 0, F.substring(F.col("text"), _whole(s["low"] + 1), _whole(F.greatest(s["b"] - s["low"], F.lit(0)))))
+    cut = F.transform("spans", lambda s: F.struct(s["block"].alias("block"), s["low"].alias("low"), s["edge_before"].alias("edge_before"), piece(s).alias("piece")))
+    facts = ["__revision", "__link", "skipped", "__total"]
+    out = texts.select("paper", *facts, F.length("text").cast("long").alias("__length"), F.explode(cut).alias("x"))
+    return out.select("paper", "x.block", "x.low", "x.edge_before", "x.piece", *facts, "__length", F.lit(True).alias("__known"))
 
 
 def passages(stored: DataFrame, papers: DataFrame, records: DataFrame, key: Column | None = None) -> DataFrame:
@@ -64,27 +75,32 @@ def passages(stored: DataFrame, papers: DataFrame, records: DataFrame, key: Colu
     key = F.sha2(F.col("paper").cast("binary"), 256) if key is None else key
     whole = (F.col("chunk") >= 0) & (F.col("char_start") >= 0) & (F.col("char_end") > F.col("char_start"))
     block = F.when(F.coalesce(whole, F.lit(False)), F.floor(F.col("chunk") / BLOCK)).otherwise(F.lit(-1)).cast("long")
-    numbered = stored.select("id", "paper", "revision", "chunk", "char_start", "char_end", "document", "link", block.alias("block"))
-    facts = papers.select("paper", F.col("revision").alias("__revision"), F.col("link").alias("__link"), "skipped", F.length("text").cast("long").alias("__length"), F.lit(True).alias("__known"))
-    told = numbered.join(facts, "paper", "left").join(records.select("paper", F.col("total").alias("__total")).dropDuplicates(["paper"]), "paper", "left")
-    told = told.join(_pieces(numbered, papers), ["paper", "block"], "left")
-    same_id = Window.partitionBy("id").orderBy("paper", "chunk", "char_start", "char_end")
+    numbered = stored.select("id", "paper", "revision", "chunk", "char_start", "char_end", _digest(F.col("document")).alias("digest"), "link", block.alias("block"))
     ordered = Window.partitionBy("paper", "block").orderBy("chunk", "char_start", "id")
-    last = F.when(F.col("block") >= 0, F.coalesce(F.lag("char_end").over(ordered), F.col("edge_before"), F.when(F.col("block") == 0, 0)))
     start_before = F.when((F.col("block") >= 0) & (F.lag("chunk").over(ordered) < F.col("chunk")), F.lag("char_start").over(ordered))
-    told = told.withColumn("__nth", F.row_number().over(same_id)).withColumn("__last", last).withColumn("__start", start_before)
+    told = numbered.withColumn("__end", F.lag("char_end").over(ordered)).withColumn("__start", start_before)
+    told = told.join(_pieces(numbered, papers, records), ["paper", "block"], "left")
+    last = F.when(F.col("block") >= 0, F.coalesce("__end", "edge_before", F.when(F.col("block") == 0, 0)))
     at = lambda a, b: F.col("piece").substr(_whole(a - F.col("low") + 1), _whole(b - a))
-    right_text = (F.col("char_end") <= F.col("__length")) & (at(F.col("char_start"), F.col("char_end")) == F.col("document"))
-    between = F.when(F.col("__last") < F.col("char_start"), at(F.col("__last"), F.col("char_start")))
+    right_text = (F.col("char_end") <= F.col("__length")) & (_digest(at(F.col("char_start"), F.col("char_end"))) == F.col("digest"))
+    between = F.when(last < F.col("char_start"), at(last, F.col("char_start")))
+    gap = F.coalesce(between.rlike(r"(?U)\S"), F.lit(False)) | F.coalesce(F.col("char_start") <= F.col("__start"), F.lit(False))
     good = {
         "unknown paper": F.col("__known"), "unreadable paper": ~F.col("skipped"),
         "identity": F.col("id").eqNullSafe(F.concat_ws(":", key, "__revision", F.col("chunk").cast("string"))) & (F.col("revision") == F.col("__revision")),
-        "duplicate": F.col("__nth") == 1, "number": (F.col("chunk") >= 0) & (F.col("chunk") < F.col("__total")),
+        "number": (F.col("chunk") >= 0) & (F.col("chunk") < F.col("__total")),
         "text": (F.col("block") >= 0) & right_text, "link": F.col("link").eqNullSafe(F.col("__link")),
     }
-    problem = F.coalesce(*(F.when(~F.coalesce(good[k], F.lit(False)), F.lit(k)) for k in KINDS))
-    gap = F.coalesce(between.rlike(r"(?U)\S"), F.lit(False)) | F.coalesce(F.col("char_start") <= F.col("__start"), F.lit(False))
-    return told.select("id", "paper", "chunk", problem.alias("problem"), gap.alias("gap"))
+    first = lambda kinds: F.coalesce(*(F.when(~F.coalesce(good[k], F.lit(False)), F.lit(k)) for k in kinds))
+    at_copies = KINDS.index("duplicate")
+    told = told.select("id", "paper", "chunk", "char_start", "char_end", first(KINDS[:at_copies]).alias("__before"), first(KINDS[at_copies + 1 :]).alias("__after"), gap.alias("gap"))
+    # rows of one id meet in the partition of the id's neighbours, of which an id names the block, so that what neighbours share is packed together
+    number = F.regexp_extract("id", r"(\d+)$", 1)
+    near = [F.regexp_replace("id", r"\d+$", "").alias("__stem"), F.coalesce(F.floor(number.try_cast("long") / BLOCK), F.lit(-1)).alias("__near")]
+    told = told.select("*", *near).repartition("__stem", "__near")
+    nth = F.row_number().over(Window.partitionBy("__stem", "__near", "id").orderBy("paper", "chunk", "char_start", "char_end"))
+    problem = F.coalesce("__before", F.when(F.col("__nth") > 1, F.lit("duplicate")), "__after")
+    return told.withColumn("__nth", nth).select("id", "paper", "chunk", problem.alias("problem"), "gap")
 
 
 def checkpoints(audited: DataFrame, papers: DataFrame, records: DataFrame) -> DataFrame:
