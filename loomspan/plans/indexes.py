@@ -62,7 +62,7 @@ def _audited(spark, d, harmed: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     ).drop("copy")
     total = F.col("n") + F.expr("IF(k = 10, 1, 0)")
     records = whole.select("paper", F.expr("IF(k = 13, 'old', rev)").alias("revision"), (total - F.expr("IF(k = 11, 1, 0)")).alias("next_chunk"), total.alias("total"), F.lit("ready").alias("state"))
-    return scratch.materialize(passage_audit.passages(stored, papers, records), "audited"), papers, records
+    return scratch.materialize(passage_audit.passages(stored, papers, records), "audited", free=True), papers, records
 
 
 def _audit_sql(k: str) -> str:

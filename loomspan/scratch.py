@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
 
@@ -39,10 +40,17 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/loomspan/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write `df` once as Parquet and read it back; empty results keep their schema."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.option("compression", codec).parquet(path)
+def materialize(df: DataFrame, label: str, codec: str = "zstd", free: bool = False) -> DataFrame:
+    """Write `df` once as Parquet and read it back; empty results keep their schema. With `free` the write's shuffle files go when it ends, not when the driver collects its garbage."""
+    path, conf = fresh_path(df.sparkSession, label), df.sparkSession.conf
+    before = conf.get(FREE, None)
+    if free:
+        conf.set(FREE, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        if free:
+            conf.unset(FREE) if before is None else conf.set(FREE, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
