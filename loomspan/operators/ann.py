@@ -33,7 +33,7 @@ SAMPLE, SAMPLE_A_LIST = 20_000, 256
 TRIALS = 300
 SEGMENTS, CODEWORDS, SPILL = 16, 256, 4
 #: Candidates that are compared exactly, for each that is wanted; queries that are searched for in one pass.
-RERANK, BLOCK = 12, 4096
+RERANK, BLOCK = 48, 4096
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
