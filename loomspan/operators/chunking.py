@@ -135,6 +135,13 @@ def parse_lines(logs: DataFrame) -> DataFrame:
     )
 
 
+def tiles(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut into at most so many rows."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def chunked(batches: Iterator, size: int) -> Iterator[list]:
     """Lists of at most `size` items, for adapters that take batches."""
     held: list = []

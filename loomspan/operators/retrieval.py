@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan import scratch
+from loomspan.operators.chunking import tiles
+
+#: Distances that a task of a batch search holds at once.
+TILE = 1 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -126,7 +130,8 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame | list[tuple[int, list[fl
     """(query_id, vec_id, distance, rank): the k nearest by cosine for each of a stated set of queries.
 
     queries: query_id, embedding, as a table or a list. They come in blocks of at most `block`; each block is one
-    pass with a matrix product for each batch, and then a rank over k rows a batch. Vectors
+    pass in which a task compares tiles of bounded size, whatever the block and the batch, and
+    keeps k rows for each query, and then a rank over k rows a task. Vectors
     that are null, of another length or without a direction are neither found nor asked for.
     """
     spark = vectors.sparkSession
@@ -142,6 +147,18 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame | list[tuple[int, list[fl
     return spark.createDataFrame([], "query_id long, vec_id long, distance double, rank int") if out is None else out
 
 
+def _least(d: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k least of each row of d, the lesser key first where they tie, and their keys."""
+    if d.shape[1] > k:
+        row, at = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])  # k of each row, and what ties with the last
+        order = np.lexsort((keys[row, at], d[row, at], row))
+        row, at = row[order], at[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        row, at = row[nth < k].reshape(-1, k), at[nth < k].reshape(-1, k)
+        return d[row, at], keys[row, at]
+    return d, keys
+
+
 def _nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], n: int, k: int) -> DataFrame:
     ids, matrix = np.array([i for i, _ in queries], np.int64), np.array([v for _, v in queries], np.float64).reshape(len(queries), n)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
@@ -149,15 +166,15 @@ def _nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], n: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = handle.value
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            if not len(keys) or not len(ids):
-                continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1)
+        if not len(ids):
+            return
+        best, names = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+        for part in tiles(batches, max(k, TILE // len(ids))):
+            keys = part.column(0).to_numpy()
+            x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1)
             d = 1 - matrix @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-            n = min(k, len(keys))
-            order = np.stack([np.lexsort((keys, row))[:n] for row in d])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(d, order, 1).ravel())], ["query_id", "vec_id", "distance"])
+            best, names = _least(np.concatenate((best, d), 1), np.concatenate((names, np.broadcast_to(keys, d.shape)), 1), k)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(names.ravel()), pa.array(best.ravel())], ["query_id", "vec_id", "distance"])
 
     usable = vectors.where(F.col("vec_id").isNotNull() & F.coalesce(valid_vector(F.col("embedding"), n), F.lit(False))) if n else vectors.limit(0)
     local = usable.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, distance double")
