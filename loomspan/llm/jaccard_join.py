@@ -47,6 +47,8 @@ BROADCAST_BYTES = 16 << 20
 LARGE = 256
 #: Bytes of shingles in a block of a cluster.
 BLOCK = 4 << 20
+#: Rows of tokens that a task sorts in memory: inputs of any size are dealt into as many shares as they need.
+SHARE = 4_000_000
 #: Largest bitmap of candidates, in bits.
 BITMAP = 1 << 27
 
@@ -224,11 +226,15 @@ def signature_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long, sid long")
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """Rows (token, sid) of the tokens that at least two different sets have, each row once.
+def dealt(rows: DataFrame, count: int, share: int) -> DataFrame:
+    """The rows by token in shares of at most about so many, of `count` in all: the number of shares follows the input, not a setting."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-count // share)), "token")
 
-    Each task sorts its share of the tokens; a share has as many rows as a shuffle
-    partition, whatever the buckets' sizes.
+
+def shared(rows: DataFrame, count: int) -> DataFrame:
+    """Rows (token, sid) of the tokens that at least two different sets have, each row once; `count`: how many rows there are at most.
+
+    Each task sorts its share of the tokens, which has a bounded number of rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +263,7 @@ def shared(rows: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(token[many]), pa.array(sid[many])], ["token", "sid"])
         trim()
 
-    return rows.select("token", "sid").repartition("token").mapInArrow(run, "token long, sid long")
+    return dealt(rows.select("token", "sid"), count, SHARE).mapInArrow(run, "token long, sid long")
 
 
 def prune(buckets: DataFrame, sizes: DataFrame, rounds: int = 1) -> DataFrame:
@@ -269,7 +275,7 @@ def prune(buckets: DataFrame, sizes: DataFrame, rounds: int = 1) -> DataFrame:
     for _ in range(rounds):
         enough = buckets.groupBy("sid").agg(F.count("*").alias("c")).join(sizes, "sid").where(F.col("c") >= need).select("sid")
         enough = scratch.materialize(enough, "enough")
-        buckets = scratch.materialize(shared(buckets.join(small(enough), "sid")), "buckets")
+        buckets = scratch.materialize(shared(buckets.join(small(enough), "sid"), buckets.count()), "buckets")
     return buckets
 
 
@@ -361,7 +367,7 @@ def best_heads(buckets: DataFrame, sized: DataFrame) -> DataFrame:
     fits = (F.col("sid") != F.col("b")) & (4 * F.least("n", "most") >= 3 * F.greatest("n", "most"))
     large = voting.join(small(top), "token").where(fits).select("sid", "b", F.lit(1).cast("long").alias("c"))
     rest = voting.join(small(top.select("token")), "token", "left_anti")
-    pairs = rest.repartition("token").mapInArrow(run, "sid long, b long, c long").unionByName(large)
+    pairs = dealt(rest, voting.count(), SHARE // 4).mapInArrow(run, "sid long, b long, c long").unionByName(large)
     pairs = pairs.groupBy("sid", "b").agg(F.sum("c").alias("c"))
     return pairs.groupBy("sid").agg(F.max_by("b", F.struct("c", "b")).alias("head"))
 
@@ -420,11 +426,11 @@ def mixed_rows(rows: DataFrame) -> DataFrame:
     return rows.join(small(mixed), "token", "left_semi")
 
 
-def cross_pairs(rows: DataFrame) -> DataFrame:
+def cross_pairs(rows: DataFrame, count: int) -> DataFrame:
     """Pairs (a, b) of one bucket but different components and clusters whose sizes and sketches allow a link.
 
-    rows: token, sid, n, comp, head, sketch. Each task sorts its share of the buckets
-    and looks at a pair once.
+    rows: token, sid, n, comp, head, sketch, `count` in all. Each task sorts its share of
+    the buckets and looks at a pair once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,7 +459,7 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
                 looked.clear()
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
-    return rows.select("token", "sid", "n", "comp", "head", "sketch").repartition("token").mapInArrow(run, "a long, b long")
+    return dealt(rows.select("token", "sid", "n", "comp", "head", "sketch"), count, SHARE // 16).mapInArrow(run, "a long, b long")
 
 
 def _with_heads(members: DataFrame) -> DataFrame:
@@ -495,7 +501,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = scratch.materialize(classes, "classes")
     if not classes.where("low <> high").isEmpty():
         raise RuntimeError("two shingle sets share a digest")
-    buckets = scratch.materialize(shared(signature_rows(docs, frequent)), "buckets")
+    most = 2 * (rows.agg(F.sum("n").alias("n")).first().n or 0)  # a set has fewer than twice as many signatures as shingles, small ones aside
+    buckets = scratch.materialize(shared(signature_rows(docs, frequent), most), "buckets")
     sizes = classes.select("sid", "n")
     buckets = prune(buckets, sizes)
     degrees = buckets.groupBy("sid").agg(F.count("*").alias("c"))
@@ -511,7 +518,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # clusters keep the names under which the second pass compared them: sets of two clusters have not met, even if their heads are linked by now
     member = _with_components(member.drop("comp"), comps, rename=False)
     mixed = scratch.materialize(mixed_rows(buckets.join(small(scratch.materialize(member, "members")), "sid")), "mixed")
-    pairs = scratch.materialize(cross_pairs(mixed.join(classes.select("sid", "sketch"), "sid")).distinct(), "pairs")
+    pairs = scratch.materialize(cross_pairs(mixed.join(classes.select("sid", "sketch"), "sid"), mixed.count()).distinct(), "pairs")
     found = scratch.materialize(verify(pairs, sets), "found")
     if not found.isEmpty():
         comps = connected(links.unionByName(found))
