@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomspan import scratch
 from loomspan.operators import metrics
-from loomspan.operators.chunking import chunked
+from loomspan.operators.chunking import chunked, tiles
 from loomspan.sources import sinks
 
 LEAST_ANSWER = 50
@@ -63,7 +63,7 @@ def embed(rows: DataFrame, model: Embedder, batch: int = 1000, key: str = "chunk
     kind = source.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = (p for b in batches for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        pairs = (p for b in tiles(batches, batch) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         for held in chunked(pairs, batch):
             vectors = checked_vectors(model([t or "" for _, t in held]), len(held), model.dimensions)
             texts = [pa.array([t for _, t in held], pa.string())] if carry else []

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from loomspan.adapters.models import Embedder, embed
 from loomspan.functions import tokens
 from loomspan.functions.text import revision, unreadable
+from loomspan.operators.chunking import tiles
 from loomspan.sources import sinks
 
 TOKEN = regex.compile(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\x0b\f\r]")
@@ -47,7 +48,7 @@ def passages(papers: DataFrame, size: int = 175, overlap: int = 20, spans: Spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["paper", "revision", "chunk", "char_start", "char_end", "document"]
-        for batch in batches:
+        for batch in tiles(batches, 64):  # texts become Python strings a few at a time
             held: list[tuple] = []
             for paper, rev, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for n, (a, b) in enumerate(offsets(text or "", size, overlap, spans)):
