@@ -1,23 +1,24 @@
-"""Token ids in compressed files: an adaptive context-mixing range coder over blocks.
+"""Token ids in compressed files: a context-mixing range coder over blocks.
 
-A block is `BLOCK` ids, coded on its own from a fresh model, with a checksum of its ids.
-The model predicts the next id by a mixture whose weights adapt to how far its parts may
-be trusted:
+A file tells its contexts' statistics in its header; a block is `BLOCK` ids, coded on its
+own with a checksum of its ids. The next id is predicted by two parts, whose weights adapt
+within each block to how far the first may be trusted:
 
-- order 2: the id that followed the last two ids before, and its confidence (0 to 3);
-- order 1: the id that followed the last id before, and its confidence;
-- order 0: the block's own ids up to the last of a few fixed places, as counted;
-- the file's ids as counted in its header, for ids that are new to the block.
+- the list of the longest known context: of order 2 (hashed), where the last two ids mostly
+  have few followers, else of order 1; it holds the followers that come more often there
+  than anywhere, with their shares;
+- order 0: all the file's ids, as counted.
 
-The two confidences, and whether both name one id, choose a row of four weights; the
-range coder codes the part of the mixture that predicts the id, in this order, and then,
-for the last two parts, the id within it. Blocks do not depend on one another, so the
-blocks of a file are coded side by side, one step for an id of each.
+How much of a context its list covers, and its order, choose a row of weights; rows are
+counted anew at fixed places of a block. The range coder codes the part that predicts the
+id, then the id within it. Blocks do not depend on one another, so the blocks of a file
+are coded side by side, one step for an id of each; what contexts say is looked up in the
+file's tables, which no step changes. A writer, who knows all ids, looks them up at once.
 
 A file image is: `MAGIC`, the header's length (unsigned 32-bit, little-endian), the header
 (JSON), the index of documents (an Arrow stream of keys and lengths), the counts, the
-blocks' sizes and checksums, the blocks. A row of a Parquet table holds an image, so that
-Spark's writers, and any store they reach, keep the files.
+lists, the blocks' sizes and checksums, the blocks. A row of a Parquet table holds an image,
+so that Spark's writers, and any store they reach, keep the files.
 """
 
 from __future__ import annotations
@@ -36,83 +37,30 @@ from loomspan import scratch
 from loomspan.llm.packing import END_ID, encoder_for, vocabulary_path
 from loomspan.llm.text import slices
 
-MAGIC = b"LSTOK1\n\0"
+MAGIC = b"LSTOK2\n\0"
 #: Ids of a block, blocks coded side by side, ids of a file (a longer document has a file to itself).
 BLOCK, LANES, FILE_IDS = 2048, 4096, 1 << 23
-#: Where the counts of a block's own ids are taken anew.
-PLACES = (128, 512, 1024)
-#: Slots of a block's tables of contexts, as powers of two; the sum of a file's counts.
-BITS_ONE, BITS_TWO, WHOLE = 9, 10, 1 << 16
-#: Cells of the tables in which counts of blocks are looked up.
-TABLE = 1 << 20
-#: What a coded part adds to its weight; rows of weights beyond `MOST` are halved, which is looked at every `LOOK` steps.
-STEP, MOST, LOOK = 24, 50_000, 128
+#: Where a block's weights are taken anew.
+PLACES = (128, *range(256, BLOCK, 256))
+#: The sum of a file's counts, and that of a list's shares, as powers of two; lists of a file.
+WHOLE_BITS, LIST_BITS, LISTS = 16, 10, 1 << 12
+WHOLE = 1 << WHOLE_BITS
+#: Times that a pair of context and follower must come; how many times more often than anywhere a follower of order 1 must come.
+SEEN, MORE = 6, 1.5
+#: Cells of the table in which a writer finds ids in lists, as a power of two; pairs that fall on one cell are left to order 0 but the most frequent.
+FIND_BITS = 19
+#: Rows of weights: without a list, then eight levels of order 1 and of order 2. What a row's first weight counts for; rows of more ids are halved.
+ROWS, PRIOR, MOST = 17, 24, 1 << 20
+#: The least weight of a part, of `WHOLE`.
+FLOOR = 1 << 10
 #: The coder's digits, the least span after a step, and the span at first: all numbers are whole and below 2**53, so floats hold them.
 _DIGIT, _LEAST, _TOP = 2.0**16, 2.0**32, 2.0**48
-_M1, _M2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
-_SHIFT_ONE, _SHIFT_TWO, _ID, _TRUST = np.uint32(32 - BITS_ONE), np.uint32(32 - BITS_TWO), np.uint32(2), np.uint32(3)
-_16, _32, _48, _LOW = np.uint64(16), np.uint64(32), np.uint64(48), np.uint64(0xFFFF)
+_M1, _M2, _16 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(16)
 
 
-def _packed(parts: np.ndarray) -> np.ndarray:
-    """Four cumulated weights of 16 bits in one number."""
-    return (parts.astype(np.uint64) << (np.arange(4, dtype=np.uint64) * _16)).sum(-1, dtype=np.uint64)
-
-
-def _first_weights() -> np.ndarray:
-    """Weights (order 2, order 1, order 0, new) of the 32 rows: by agreement, confidence of order 2, of order 1."""
-    two, one = np.array([1, 64, 192, 384])[:, None], np.array([1, 40, 80, 120])
-    rows = [np.stack(np.broadcast_arrays(two, 1 if agree else one, 96, 48), -1) + np.zeros((4, 4, 1), int) for agree in (0, 1)]
-    return _packed(np.stack(rows).cumsum(-1)).ravel()
-
-
-#: What is added to a row of cumulated weights for each part.
-_ADDED = _packed(np.triu(np.full((4, 4), STEP)))
-
-
-class _Model:
-    """The contexts and weights of many blocks at once."""
-
-    def __init__(self, lanes: int):
-        self.one = np.zeros(lanes << BITS_ONE, np.uint32)
-        self.two = np.zeros(lanes << BITS_TWO, np.uint32)
-        self.weights = np.tile(_first_weights(), lanes)
-        lane = np.arange(lanes, dtype=np.int64)
-        self.base_one, self.base_two, self.base_row = lane << BITS_ONE, lane << BITS_TWO, lane * 32
-
-    def slots(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the contexts of orders 1 and 2 stand; lanes along the last axis."""
-        mixed = last * _M1
-        n = last.shape[-1]
-        return (mixed >> _SHIFT_ONE) + self.base_one[:n], ((mixed + before * _M2) >> _SHIFT_TWO) + self.base_two[:n]
-
-    def predict(self, at_one: np.ndarray, at_two: np.ndarray) -> None:
-        self.at_one, self.at_two = at_one, at_two
-        one, two = self.one.take(at_one), self.two.take(at_two)
-        self.entry_one, self.entry_two = one, two
-        self.id_one, self.id_two = one >> _ID, two >> _ID
-        row = ((two & _TRUST) << _ID) | (one & _TRUST) | ((self.id_one == self.id_two).astype(np.uint32) << np.uint32(4))
-        self.row = row + self.base_row[: len(row)]
-        self.parts = self.weights.take(self.row)
-        self.total = (self.parts >> _48).astype(np.float64)
-
-    def bounds(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(below, size) of a part in its row of weights."""
-        shift = part.astype(np.uint64) << np.uint64(4)
-        upper, under = (self.parts >> shift) & _LOW, ((self.parts << _16) >> shift) & _LOW
-        return under.astype(np.float64), (upper - under).astype(np.float64)
-
-    def update(self, ids: np.ndarray, part: np.ndarray) -> None:
-        self.weights[self.row] = self.parts + _ADDED.take(part)
-        fresh = (ids << _ID) | np.uint32(1)
-        for table, at, entry, known in ((self.one, self.at_one, self.entry_one, self.id_one), (self.two, self.at_two, self.entry_two, self.id_two)):
-            table[at] = np.where(known == ids, np.minimum(entry + np.uint32(1), entry | _TRUST), np.where((entry & np.uint32(2)) > 0, entry - np.uint32(1), fresh))
-
-    def halve(self) -> None:
-        if len(full := np.flatnonzero((self.weights >> _48) > MOST)):
-            cumulated = (self.weights[full][:, None] >> (np.arange(4, dtype=np.uint64) * _16)) & _LOW
-            parts = np.diff(cumulated.astype(np.int64), axis=1, prepend=0)
-            self.weights[full] = _packed(((parts + 1) >> 1).cumsum(1))
+def _hashed(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The number below 2**16 of a context of order 2."""
+    return (last.astype(np.uint32) * _M1 + before.astype(np.uint32) * _M2) >> _16
 
 
 def counts_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,92 +75,166 @@ def counts_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return distinct, shares
 
 
-def _counted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows sorted, where the run of equal ids around each place begins, where it ends)."""
-    history = np.sort(rows, axis=1, kind="stable")
-    start = rows.shape[1]
-    place = np.arange(start, dtype=np.int16)
-    changes = history[:, 1:] != history[:, :-1]
-    first, after = np.zeros(history.shape, np.int16), np.full(history.shape, start, np.int16)
-    np.maximum.accumulate(np.where(changes, place[1:], 0), axis=1, out=first[:, 1:])
-    after[:, :-1] = np.minimum.accumulate(np.where(changes, place[1:], start)[:, ::-1], axis=1)[:, ::-1]
-    return history, first, after
+def _followers(contexts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(context, id, times of the pair, times of the context), by context and id; both below 2**16."""
+    pairs = np.sort((contexts << _16) | ids)
+    starts = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+    pairs, n = pairs[starts], np.diff(np.append(starts, len(pairs)))
+    context = (pairs >> _16).astype(np.int64)
+    return context, (pairs & 0xFFFF).astype(np.int64), n, np.bincount(contexts, minlength=WHOLE)[context]
+
+
+def _cells(lists: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, cell of the writer's table) of ids in lists."""
+    keys = (lists.astype(np.uint32) << _16) | ids.astype(np.uint32)
+    return keys, (keys * _M1) >> np.uint32(32 - FIND_BITS)
+
+
+def lists_of(ranks: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(context, level, entries) of each list, (id, share) of each entry; contexts of order 2 have 2**16 added. Ids are ranks."""
+    nothing = tuple(np.empty(0, np.int64) for _ in range(5))
+    if len(ranks) < 3:
+        return nothing
+    wide = ranks.astype(np.uint32)
+    c, x, n, of = _followers(wide[:-1], wide[1:])
+    keep = (n >= SEEN) & (n * WHOLE > MORE * of * shares[x])
+    found = [[a[keep] for a in (c, x, n, of)]]
+    c, x, n, of = _followers(_hashed(wide[1:-1], wide[:-2]), wide[2:])
+    keep = (n >= SEEN) & (n * 16 > of)
+    keep &= (np.bincount(c[keep], n[keep], WHOLE)[c] * 2 > of)
+    found.append([a[keep] for a in (c + WHOLE, x, n, of)])
+    c, x, n, of = (np.concatenate(a) for a in zip(*found, strict=True))
+
+    def only(keep: np.ndarray) -> None:
+        nonlocal c, x, n, of
+        c, x, n, of = c[keep], x[keep], n[keep], of[keep]
+
+    mass = np.bincount(c, n, 2 * WHOLE)
+    if np.count_nonzero(mass) > LISTS:
+        mass[np.argsort(mass, kind="stable")[:-LISTS]] = 0
+        only(mass[c] > 0)
+    only(n << LIST_BITS >= mass[c])
+    number = np.cumsum(np.diff(c, prepend=-1) > 0)
+    at, by_times = _cells(number, x)[1], np.argsort(n, kind="stable")
+    table = np.zeros(1 << FIND_BITS, np.int64)
+    table[at[by_times]] = by_times
+    only(table[at] == np.arange(len(at)))
+    if not len(c):
+        return nothing
+    starts = np.flatnonzero(np.diff(c, prepend=-1))
+    entries = np.diff(np.append(starts, len(c)))
+    mass = np.add.reduceat(n, starts)
+    share = np.maximum(1, n * np.repeat((1 << LIST_BITS) - entries, entries) // np.repeat(mass, entries))
+    largest = np.lexsort((n, c))[starts + entries - 1]
+    share[largest] += (1 << LIST_BITS) - np.add.reduceat(share, starts)
+    return c[starts], np.minimum(7, mass * 8 // of[starts]), entries, x, share
+
+
+class Tables:
+    """A file's statistics, as both sides look them up. Entries are first the ids of order 0, then those of the lists."""
+
+    def __init__(self, shares: np.ndarray, lists: tuple[np.ndarray, ...]):
+        context, level, entries, x, share = lists
+        n, many = len(shares), len(context)
+        number = np.arange(1, many + 1)
+        two = context >= WHOLE
+        self.one, self.two = np.zeros(max(n, 1), np.int64), np.zeros(WHOLE, np.int64)  # lists of order 2 have the larger numbers
+        self.one[context[~two]], self.two[context[two] - WHOLE] = number[~two], number[two]
+        self.row = np.concatenate(([0], 1 + level + 8 * two))
+        self.base = np.concatenate(([0], WHOLE + (number - 1 << LIST_BITS)))
+        self.cells = np.concatenate((np.repeat(np.arange(n), shares), np.repeat(np.arange(n, n + len(x)), share))).astype(np.int32)
+        below = np.cumsum(share) - share - np.repeat(np.arange(many) << LIST_BITS, entries)
+        scale = WHOLE_BITS - LIST_BITS
+        self.below = np.concatenate((np.cumsum(shares) - shares, below << scale)).astype(np.float64)
+        self.size = np.concatenate((shares, share << scale)).astype(np.float64)
+        self.ids = np.concatenate((np.arange(n), x))
+        self.entry_list = np.repeat(number, entries)
+
+    def finder(self) -> tuple[np.ndarray, np.ndarray]:
+        """(entry by cell, key by entry); the key of an entry of order 0 is that of no id in a list."""
+        n = len(self.ids) - len(self.entry_list)
+        keys, at = _cells(self.entry_list, self.ids[n:])
+        table = np.zeros(1 << FIND_BITS, np.int32)
+        table[at] = np.arange(n, len(self.ids))
+        return table, np.concatenate((np.full(n, 0xFFFFFFFF, np.uint32), keys))
+
+
+class _Weights:
+    """How often the list held the next id, by block and row."""
 
-
-def encode_blocks(ids: np.ndarray, distinct: np.ndarray, shares: np.ndarray) -> list[bytes]:
-    """The code of each block of `ids` (unsigned 16-bit), for at most `LANES` blocks."""
-    lanes = -(-len(ids) // BLOCK)
+    def __init__(self, lanes: int):
+        level = np.arange(ROWS - 1) % 8
+        self.first = np.tile(np.concatenate(([0], (2 * level + 1 << WHOLE_BITS) // 16)), lanes)
+        self.base = np.arange(lanes, dtype=np.int64) * ROWS
+        self.held, self.met = np.zeros(lanes * ROWS, np.int64), np.zeros(lanes * ROWS, np.int64)
+
+    def now(self) -> np.ndarray:
+        """The list's weight, of `WHOLE`."""
+        weight = np.clip((self.first * PRIOR + (self.held << WHOLE_BITS)) // (self.met + PRIOR), FLOOR, WHOLE - FLOOR)
+        weight[::ROWS] = 0
+        return weight.astype(np.float64)
+
+    def add(self, rows: np.ndarray, near: np.ndarray) -> None:
+        self.met += np.bincount(rows.ravel(), minlength=len(self.met))
+        self.held += np.bincount(rows[near], minlength=len(self.met))
+        if len(full := np.flatnonzero(self.met > MOST)):
+            self.held[full] >>= 1
+            self.met[full] >>= 1
+
+
+def encode_blocks(ranks: np.ndarray, tables: Tables) -> list[bytes]:
+    """The code of each block of `ranks` (of the file's distinct ids), for at most `LANES` blocks."""
+    lanes = -(-len(ranks) // BLOCK)
+    last = len(ranks) - (lanes - 1) * BLOCK
+    steps = np.zeros((BLOCK + 2, lanes), np.uint16)
     filled = np.zeros(lanes * BLOCK, np.uint16)
-    filled[: len(ids)] = ids
-    rank = np.zeros(1 << 16, np.uint16)
-    rank[distinct] = np.arange(len(distinct))
-    rows = rank[filled].reshape(lanes, BLOCK)
-    last = len(ids) - (lanes - 1) * BLOCK
-    width = 3 * BLOCK + 8
+    filled[: len(ranks)] = ranks
+    steps[2:] = filled.reshape(lanes, BLOCK).T
+    del filled
+    width = 2 * BLOCK + 8
     out = np.zeros(lanes * width, np.uint32)
     base = np.arange(lanes, dtype=np.int64) * width
     at = base.copy()
     low, span = np.zeros(lanes), np.full(lanes, _TOP - 1)
-    model = _Model(lanes)
-    in_file = ((np.cumsum(shares) - shares) | (shares - 1 << 16)).astype(np.uint32)
-    steps = np.zeros((BLOCK + 2, lanes), np.uint32)
-    steps[2:] = filled.reshape(lanes, BLOCK).T
+    weights, (find, keys) = _Weights(lanes), tables.finder()
 
     def shift(at: np.ndarray, low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, ...]:
         digit = np.floor(low * (1 / _LEAST))
         out[at] = digit.astype(np.uint32)  # cast first: an assignment casts one by one
         small = span < _LEAST
-        return small, at + small, np.where(small, (low - digit * _LEAST) * _DIGIT, low), np.where(small, span * _DIGIT, span)
+        return at + small, np.where(small, (low - digit * _LEAST) * _DIGIT, low), np.where(small, span * _DIGIT, span)
 
     for start, stop in zip((0, *PLACES), (*PLACES, BLOCK), strict=True):
-        n = lanes if start < last else lanes - 1
-        if not n:
-            break
-        now = rows[:n, start:stop]
-        within = in_file[now]  # what is below, and the size less 1, in 16 bits each
-        new = np.full(now.shape, 3, np.uint8)
-        if start:
-            history, first, after = _counted(rows[:n, :start])
-            packed = first.astype(np.uint32) | ((after - first).astype(np.uint32) << 16)
-            chunk = max(1, TABLE // len(distinct))
-            for i in range(0, n, chunk):  # a table of the ranks of the file for some blocks
-                lines = np.arange(min(chunk, n - i))[:, None] * len(distinct)
-                table = np.zeros(lines.size * len(distinct), np.uint32)
-                table[lines + history[i : i + chunk]] = packed[i : i + chunk]
-                cells = table.take(lines + now[i : i + chunk])
-                there = cells > 0
-                np.copyto(within[i : i + chunk], cells - 0x10000, where=there)
-                new[i : i + chunk] -= there
-        within, new = np.ascontiguousarray(within.T), np.ascontiguousarray(new.T)
-        whole = np.array([1, 1, max(start, 1), WHOLE], np.float64)
-        all_one, all_two = model.slots(steps[start + 1 : stop + 1, :n], steps[start:stop, :n])
+        now, before = steps[start + 2 : stop + 2], steps[start + 1 : stop + 1]
+        lists = np.maximum(tables.one.take(before), tables.two.take(_hashed(before, steps[start:stop])))
+        rows = tables.row.take(lists) + weights.base
+        wanted, cells = _cells(lists, now)
+        entries = find.take(cells)
+        near = keys.take(entries) == wanted
+        np.copyto(entries, now, where=~near)
+        own = weights.now().take(rows)
+        weights.add(rows, near)
+        del lists, rows, wanted, cells
         for t in range(start, stop):
             n = lanes if t < last else lanes - 1
             if not n:
                 break
-            k, x = t - start, steps[t + 2][:n]
-            model.predict(all_one[k][:n], all_two[k][:n])
-            right_two, right_one = model.id_two == x, model.id_one == x
-            guessed = right_two | right_one
-            part = np.where(guessed, ~right_two, new[k][:n])
-            under, share = model.bounds(part)
-            unit = np.floor(span[:n] / model.total)
-            lower, wide = low[:n] + unit * under, unit * share
-            inner = np.where(guessed, 0, within[k][:n])  # of a guess: nothing below, all of it
-            unit = np.floor(wide / whole.take(part))
-            lower += unit * (inner & 0xFFFF)
-            wide = unit * ((inner >> 16) + 1)
-            if len(over := np.flatnonzero(lower >= _TOP)):
+            k = t - start
+            unit = np.floor(span[:n] * (1 / WHOLE))
+            under, entry, right = unit * own[k, :n], entries[k, :n], near[k, :n]
+            lower = low[:n] + np.where(right, 0, under)
+            unit = np.floor(np.where(right, under, unit * WHOLE - under) * (1 / WHOLE))
+            lower += unit * tables.below.take(entry)
+            if lower.max() >= _TOP:
+                over = np.flatnonzero(lower >= _TOP)
                 out[at[over] - 1] += 1  # the carry; digits may pass 16 bits until the end
                 lower[over] -= _TOP
-            _, at[:n], low[:n], span[:n] = shift(at[:n], lower, wide)
-            if len(again := np.flatnonzero(span[:n] < _LEAST)):
-                _, at[again], low[again], span[again] = shift(at[again], low[again], span[again])
-            model.update(x, part)
-            if t % LOOK == LOOK - 1:
-                model.halve()
+            at[:n], low[:n], span[:n] = shift(at[:n], lower, unit * tables.size.take(entry))
+            if span[:n].min() < _LEAST:
+                again = np.flatnonzero(span[:n] < _LEAST)
+                at[again], low[again], span[again] = shift(at[again], low[again], span[again])
     for _ in range(3):
-        _, at, low, _ = shift(at, low, np.zeros(lanes))
+        at, low, _ = shift(at, low, np.zeros(lanes))
     digits = out.reshape(lanes, width)
     ends = at - base
     digits[np.arange(width) >= ends[:, None]] = 0  # digits that were tried beyond the end
@@ -223,8 +245,8 @@ def encode_blocks(ids: np.ndarray, distinct: np.ndarray, shares: np.ndarray) ->
     return [digits[i, :n].astype("<u2").tobytes() for i, n in enumerate(ends)]
 
 
-def decode_blocks(codes: list[bytes], lengths: list[int], distinct: np.ndarray, shares: np.ndarray) -> np.ndarray:
-    """The ids of blocks, of which the last alone may be shorter than `BLOCK`."""
+def decode_blocks(codes: list[bytes], lengths: list[int], tables: Tables) -> np.ndarray:
+    """The ranks of blocks' ids, of which the last alone may be shorter than `BLOCK`."""
     lanes, last = len(codes), lengths[-1]
     width = max(map(len, codes)) // 2 + 4
     given = np.zeros((lanes, width), np.uint16)
@@ -236,12 +258,9 @@ def decode_blocks(codes: list[bytes], lengths: list[int], distinct: np.ndarray,
     at = np.arange(lanes, dtype=np.int64) * width + 3
     edge = np.arange(1, lanes + 1, dtype=np.int64) * width - 1
     span = np.full(lanes, _TOP - 1)
-    model = _Model(lanes)
-    of_file = shares.astype(np.float64)
-    below_file = np.cumsum(of_file) - of_file
-    file_slots = np.repeat(np.arange(len(distinct)), shares)
-    wide_ids = distinct.astype(np.uint32)
-    steps = np.zeros((BLOCK + 2, lanes), np.uint32)
+    weights = _Weights(lanes)
+    steps = np.zeros((BLOCK + 2, lanes), np.uint16)
+    down = WHOLE_BITS - LIST_BITS
 
     def shift(at: np.ndarray, edge: np.ndarray, value: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, ...]:
         small = span < _LEAST
@@ -250,61 +269,67 @@ def decode_blocks(codes: list[bytes], lengths: list[int], distinct: np.ndarray,
         return np.minimum(at + small, edge), np.where(small, value * _DIGIT + digit, value), np.where(small, span * _DIGIT, span)
 
     for start, stop in zip((0, *PLACES), (*PLACES, BLOCK), strict=True):
-        n = lanes if start < last else lanes - 1
-        if not n:
-            break
-        if start:
-            history, first, after = (x.ravel() for x in _counted(steps[2 : start + 2, :n].T.astype(np.uint16)))
+        own = weights.now()
+        rows, near = np.tile(weights.base, (stop - start, 1)), np.zeros((stop - start, lanes), bool)
         for t in range(start, stop):
             n = lanes if t < last else lanes - 1
             if not n:
                 break
-            model.predict(*model.slots(steps[t + 1][:n], steps[t][:n]))
-            unit = np.floor(span[:n] / model.total)
-            slot = np.floor(value[:n] / unit)
-            parts = model.parts
-            part = (slot >= (parts & _LOW)).astype(np.int64)
-            part += slot >= ((parts >> _16) & _LOW)
-            part += slot >= ((parts >> _32) & _LOW)
-            under, share = model.bounds(part)
-            rest, wide = value[:n] - unit * under, unit * share
-            x = np.where(part == 0, model.id_two, model.id_one)
-            if start and len(own := np.flatnonzero(part == 2)):
-                unit = np.floor(wide[own] / start)
-                cell = own * start + np.minimum(np.floor(rest[own] / unit), start - 1).astype(np.int64)
-                x[own] = history[cell]
-                rest[own] -= unit * first[cell]
-                wide[own] = unit * (after[cell] - first[cell])
-            if len(new := np.flatnonzero(part == 3)):
-                unit = np.floor(wide[new] / WHOLE)
-                found = file_slots[np.minimum(np.floor(rest[new] / unit), WHOLE - 1).astype(np.int64)]
-                x[new] = wide_ids[found]
-                rest[new] -= unit * below_file[found]
-                wide[new] = unit * of_file[found]
-            at[:n], value[:n], span[:n] = shift(at[:n], edge[:n], rest, wide)
-            if len(again := np.flatnonzero(span[:n] < _LEAST)):
+            k = t - start
+            lists = np.maximum(tables.one.take(steps[t + 1, :n]), tables.two.take(_hashed(steps[t + 1, :n], steps[t, :n])))
+            row = rows[k, :n]
+            row += tables.row.take(lists)
+            unit = np.floor(span[:n] * (1 / WHOLE))
+            under = unit * own.take(row)
+            far = value[:n] >= under
+            np.logical_not(far, out=near[k, :n])
+            unit = np.floor(np.where(far, unit * WHOLE - under, under) * (1 / WHOLE))
+            rest = value[:n] - np.where(far, under, 0)
+            slot = np.minimum(rest / unit, WHOLE - 1).astype(np.int64)
+            entry = tables.cells.take(np.where(far, slot, (slot >> down) + tables.base.take(lists)))
+            rest -= unit * tables.below.take(entry)
+            at[:n], value[:n], span[:n] = shift(at[:n], edge[:n], rest, unit * tables.size.take(entry))
+            if span[:n].min() < _LEAST:
+                again = np.flatnonzero(span[:n] < _LEAST)
                 at[again], value[again], span[again] = shift(at[again], edge[again], value[again], span[again])
-            steps[t + 2][:n] = x
-            model.update(x, part)
-            if t % LOOK == LOOK - 1:
-                model.halve()
-    return np.ascontiguousarray(steps[2:].T).astype(np.uint16).ravel()[: (lanes - 1) * BLOCK + last]
+            steps[t + 2, :n] = tables.ids.take(entry)
+        weights.add(rows, near)
+    return np.ascontiguousarray(steps[2:].T).ravel()[: (lanes - 1) * BLOCK + last]
 
 
 def _checksums(ids: np.ndarray) -> np.ndarray:
     return np.array([zlib.crc32(ids[i : i + BLOCK].astype("<u4").tobytes()) for i in range(0, len(ids), BLOCK)], "<u4")
 
 
+def _packed(lists: tuple[np.ndarray, ...]) -> bytes:
+    return zlib.compress(np.array([len(lists[0]), len(lists[3])], "<u4").tobytes() + b"".join(a.astype("<u4" if a is lists[0] else "<u2").tobytes() for a in lists))
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, ...]:
+    raw = zlib.decompress(data)
+    many, entries = np.frombuffer(raw, "<u4", 2).tolist()
+    found, at = [], 8
+    for n, kind in ((many, "<u4"), (many, "<u2"), (many, "<u2"), (entries, "<u2"), (entries, "<u2")):
+        found.append(np.frombuffer(raw, kind, n, at).astype(np.int64))
+        at += n * int(kind[-1])
+    return tuple(found)
+
+
 def write_image(keys: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """The file of some documents' ids in order; `lengths` are the ids of each document."""
     distinct, shares = counts_of(ids)
-    blocks = [b for i in range(0, len(ids), LANES * BLOCK) for b in encode_blocks(ids[i : i + LANES * BLOCK], distinct, shares)]
+    rank = np.zeros(1 << 16, np.uint16)
+    rank[distinct] = np.arange(len(distinct))
+    ranks = rank[ids]
+    lists = lists_of(ranks, shares)
+    tables = Tables(shares, lists)
+    blocks = [b for i in range(0, len(ids), LANES * BLOCK) for b in encode_blocks(ranks[i : i + LANES * BLOCK], tables)]
     sink = pa.BufferOutputStream()
     index = pa.RecordBatch.from_arrays([keys, pa.array(lengths, pa.int64())], ["key", "n"])
     with pa.ipc.new_stream(sink, index.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
         stream.write_batch(index)
-    parts = [sink.getvalue().to_pybytes(), zlib.compress(distinct.astype("<u2").tobytes() + (shares - 1).astype("<u2").tobytes()), np.array([len(b) for b in blocks], "<u4").tobytes() + _checksums(ids).tobytes()]
-    header = json.dumps({"ids": len(ids), "documents": len(lengths), "block": BLOCK, "index": len(parts[0]), "counts": len(parts[1]), "directory": len(parts[2])}).encode()
+    parts = [sink.getvalue().to_pybytes(), zlib.compress(distinct.astype("<u2").tobytes() + (shares - 1).astype("<u2").tobytes()), _packed(lists), np.array([len(b) for b in blocks], "<u4").tobytes() + _checksums(ids).tobytes()]
+    header = json.dumps({"ids": len(ids), "documents": len(lengths), "block": BLOCK, "index": len(parts[0]), "counts": len(parts[1]), "lists": len(parts[2]), "directory": len(parts[3])}).encode()
     return b"".join([MAGIC, len(header).to_bytes(4, "little"), header, *parts, *blocks])
 
 
@@ -320,15 +345,15 @@ class Image:
         if self.header["block"] != BLOCK:
             raise ValueError(f"blocks of {self.header['block']} ids, not {BLOCK}")
         parts, at = [], at + size
-        for name in ("index", "counts", "directory"):
+        for name in ("index", "counts", "lists", "directory"):
             parts.append(data[at : at + self.header[name]])
             at += self.header[name]
         with pa.ipc.open_stream(parts[0]) as stream:
             index = stream.read_all().combine_chunks()
         self.keys, self.lengths = index.column("key"), index.column("n").to_numpy()
         self.distinct, shares = np.frombuffer(zlib.decompress(parts[1]), "<u2").reshape(2, -1)
-        self.shares = shares.astype(np.int64) + 1
-        sizes, self.sums = np.frombuffer(parts[2], "<u4").reshape(2, -1)
+        self.tables = Tables(shares.astype(np.int64) + 1, _unpacked(parts[2]))
+        sizes, self.sums = np.frombuffer(parts[3], "<u4").reshape(2, -1)
         self.ends = at + np.concatenate(([0], np.cumsum(sizes.astype(np.int64))))
         self.data = data
 
@@ -336,7 +361,7 @@ class Image:
         """The ids of some blocks, which need no others; damage is an error."""
         codes = [self.data[self.ends[i] : self.ends[i + 1]] for i in range(first, stop)]
         lengths = [min(BLOCK, self.header["ids"] - i * BLOCK) for i in range(first, stop)]
-        ids = decode_blocks(codes, lengths, self.distinct, self.shares)
+        ids = self.distinct[decode_blocks(codes, lengths, self.tables)]
         for i, found in enumerate(_checksums(ids).tolist(), first):
             if found != self.sums[i]:
                 raise ValueError(f"block {i} is damaged")
