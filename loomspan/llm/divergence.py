@@ -1,10 +1,10 @@
 """How far the sources of a language diverge, by sort-based streaming.
 
 Tasks count terms per (lang, term, source) over the documents they read, each document
-in one block, so what is shuffled is already summed. Sorted by (lang, term, source,
+in one block, so what is shuffled is already summed. Sorted by (term, lang, source,
 block), a scan of run lengths sums the blocks of each (lang, term, source), which no
 source or word can make hot: a key has a row per block at most. A second secondary sort
-by (lang, term, source) lets a scan of run lengths close each term: its document
+by (term, lang, source) lets a scan of run lengths close each term: its document
 frequency decides whether the language keeps it, and its run, one row with a count per
 source, is all that the comparison needs. That is a map over runs: each task sums the
 pairs of sources over its runs and keeps the best terms of its groups.
@@ -32,6 +32,8 @@ from loomspan.llm.text import LOWER, UPPER, slices, utf8
 LEAST, TOP = 10, 10
 #: Letters and everything beyond ASCII stay, A-Z as a-z; all other bytes part terms.
 TERMS = bytes(LOWER[UPPER.index(c)] if c in UPPER else c if c >= 0x80 or c in LOWER else 0x20 for c in range(256))
+#: The order of sorted runs. Spark compares the first bytes of the first column without looking at rows, and terms differ there as languages do not.
+SORTED = ["term", "lang", "source"]
 #: Entries that a task's counts may hold before they are sent.
 ENTRIES = 250_000
 #: Cells of the table of probabilities that a task fills at once; sources compared at once; sums of pairs that a task holds.
@@ -118,7 +120,7 @@ def summed_blocks(counts: DataFrame) -> DataFrame:
     A run may be longer than memory should hold, so its sums alone are carried on.
     """
     keys = ["lang", "term", "source"]
-    dealt = counts.repartition(*keys).sortWithinPartitions(*keys, "block")
+    dealt = counts.repartition(*keys).sortWithinPartitions(*SORTED, "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_run: pa.RecordBatch | None = None
@@ -147,7 +149,7 @@ def summed_blocks(counts: DataFrame) -> DataFrame:
 def kept_terms(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, term, sources, counts) of the terms in at least `least` documents of their language."""
     keys = ["lang", "term"]
-    dealt = summed_blocks(term_counts(docs)).repartition(*keys).sortWithinPartitions(*keys, "source")
+    dealt = summed_blocks(term_counts(docs)).repartition(*keys).sortWithinPartitions(*SORTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, starts in _runs(batches, keys):
