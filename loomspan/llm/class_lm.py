@@ -309,23 +309,24 @@ def exchange_round(encoded: DataFrame, of: np.ndarray, table: np.ndarray, movabl
     Empty classes and the end's take no item.
     """
     k, end = len(table), len(of) - 1
-    handle = encoded.sparkSession.sparkContext.broadcast((of, movable))
+    small = np.int32 if len(of) * 2 * k < 1 << 31 else np.int64  # keys that are sorted in half the time
+    handle = encoded.sparkSession.sparkContext.broadcast((of.astype(small), movable))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, movable = handle.value
         keys: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
-            key, n = np.unique(np.concatenate([np.empty(0, np.int64), *keys]), return_counts=True)
+            key, n = np.unique(np.concatenate([np.empty(0, small), *keys]), return_counts=True)
             keys.clear()
-            return pa.RecordBatch.from_arrays([pa.array(key // (2 * k)), pa.array((key % (2 * k)).astype(np.int32)), pa.array(n)], ["w", "context", "n"])
+            return pa.RecordBatch.from_arrays([pa.array((key // (2 * k)).astype(np.int64)), pa.array((key % (2 * k)).astype(np.int32)), pa.array(n)], ["w", "context", "n"])
 
         for line in lines(batches, end):
             c = of[line]
             at = np.flatnonzero(movable[line[1:-1]]) + 1  # never the ends at both sides
-            w = line[at].astype(np.int64) * (2 * k)
-            keys.extend((w + c[at + 1], w + k + c[at - 1]))
-            if sum(map(len, keys)) > 4_000_000:
+            w = line[at].astype(small) * small(2 * k)
+            keys.extend((w + c[at + 1], w + small(k) + c[at - 1]))
+            if sum(map(len, keys)) > 6_000_000:
                 yield out()
         yield out()
 
@@ -338,8 +339,10 @@ def exchange_round(encoded: DataFrame, of: np.ndarray, table: np.ndarray, movabl
         new, moves = best_classes(at, context, n, handle.value[0][word], table, int(of[end]))
         yield pa.RecordBatch.from_arrays([pa.array(word[moves]), pa.array(new[moves])], ["w", "c"])
 
-    rows = encoded.where("NOT held_out").select("ids").mapInArrow(contexts, "w long, context int, n long").groupBy("w", "context").agg(F.sum("n").alias("n"))
-    found = rows.repartition("w").mapInArrow(choose, "w long, c long").toArrow()
+    rows = encoded.where("NOT held_out").select("ids").mapInArrow(contexts, "w long, context int, n long")
+    # tasks have summed already; one shuffle by the item serves the sums and the choice
+    sums = rows.repartition("w").groupBy("w", "context").agg(F.sum("n").alias("n"))
+    found = sums.mapInArrow(choose, "w long, c long").toArrow()
     out = of.copy()
     out[found.column("w").to_numpy()] = found.column("c").to_numpy()
     return out
