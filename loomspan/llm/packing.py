@@ -68,6 +68,16 @@ def _sides() -> tuple[bytes, bytes]:
     return bytes(left), bytes(right)
 
 
+def _byte_names() -> dict[int, str]:
+    """The characters by which vocabularies of bytes name them."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTES = _byte_names()
+
+
 class _Words:
     """Words of at most 16 Latin-1 bytes and their ids, looked up many at once.
 
@@ -94,8 +104,8 @@ class _Words:
         """The numbers of words, -1 where they are not known."""
         with np.errstate(over="ignore"):
             at = ((low * self.FACTORS[0] + (high ^ (low >> np.uint64(29))) * self.FACTORS[1]) >> np.uint64(64 - self.bits)).astype(np.int64)
-        found = self.slots.take(at)
-        rest = np.flatnonzero((found >= 0) & ((self.low.take(found) != low) | (self.high.take(found) != high)))
+        found = self.slots.take(at, mode="clip")  # the default mode checks each index, for twice the time
+        rest = np.flatnonzero((found >= 0) & ((self.low.take(found, mode="clip") != low) | (self.high.take(found, mode="clip") != high)))
         while len(rest):
             at[rest] = (at[rest] + 1) & (len(self.slots) - 1)
             found[rest] = again = self.slots.take(at[rest])
@@ -147,6 +157,10 @@ class Encoder:
         probe = "aé,b'.é\n''s;it's5a.'t"
         self.parted = self.pattern is not None and not any(x in "|" + self.pattern.pattern for x in looks) and self.pattern.findall(probe) == ["a\u00e9", ",", "b", "'.", "\u00e9", "''", "s", ";", "it", "'s", "5", "a", ".'", "t"]
         self.words = _Words(self.kind, most)
+        self.model = self.tokenizer.model
+        letters = [c for c in map(chr, range(256)) if c.isalpha() and c == c.lower()]
+        probes = [*letters, *("a" + c for c in letters), "".join(letters)]
+        self.direct = self.parted and list(map(self._letters, probes)) == list(self._each(probes))
         self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _word_ends(self, path: str) -> tuple[np.ndarray | None, regex.Pattern | None]:
@@ -192,13 +206,13 @@ class Encoder:
         line = b" " + b" ".join(texts) + b" "
         left, right = (np.frombuffer(line.translate(t), np.uint8) for t in (_Words.LEFT, _Words.RIGHT))
         edges = left[:-1] & right[1:]
-        starts, ends = np.flatnonzero(edges & 7) + 1, np.flatnonzero(edges & 11) + 1
+        starts, ends = np.flatnonzero((edges & 7) != 0) + 1, np.flatnonzero((edges & 11) != 0) + 1
         lengths = ends - starts
         wide = np.frombuffer(line + bytes(24), np.uint8).astype(np.uint64)
         for size in (1, 2, 4):  # each place's next 8 bytes as a number
             wide = wide[:-size] | (wide[size:] << np.uint64(8 * size))
-        low = wide.take(starts) & _Words.KEPT.take(np.minimum(lengths, 8))
-        high = wide.take(starts + 8) & _Words.KEPT.take(np.clip(lengths - 8, 0, 8))
+        low = wide.take(starts, mode="clip") & _Words.KEPT.take(lengths, mode="clip")
+        high = wide.take(starts + 8, mode="clip") & _Words.KEPT.take(lengths - 8, mode="clip")
         del left, right, edges, wide
         long = lengths > 16
         found = self.words.find(low, high)
@@ -211,17 +225,25 @@ class Encoder:
             made = self._made([w.decode("latin-1") for w in number])
             slots = np.where(long[of], -1, self.words.at[of])
             found[missed] = self.words.add(low[of], high[of], slots.tolist(), made) + nth
-        sizes, words = self.words.size.take(found), self.words
+        sizes, words = self.words.size.take(found, mode="clip"), self.words
         upto = np.concatenate(([0], np.cumsum(sizes)))
-        ids = words.pool.take(np.repeat(words.start.take(found) - upto[:-1], sizes) + np.arange(upto[-1]))
+        ids = words.pool.take(np.repeat(words.start.take(found, mode="clip") - upto[:-1], sizes) + np.arange(upto[-1]), mode="clip")
         bounds = upto[np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)]))].tolist()
         for a, b in zip(bounds, bounds[1:], strict=False):
             yield ids[a:b]
 
     def _made(self, new: list[str]) -> list[bytes]:
-        """The ids of distinct words."""
-        made = dict(self._lines(new))
-        return [made[w] for w in new]
+        """The ids of distinct words. One of letters alone is one pre-token, which the library's model takes as it is."""
+        if not self.direct:
+            made = dict(self._lines(new))
+            return [made[w] for w in new]
+        made = dict(self._lines([w for w in new if not w.isalpha()]))
+        return [self._letters(w) if w.isalpha() else made[w] for w in new]
+
+    def _letters(self, word: str) -> bytes:
+        """The ids of a pre-token of lower-case Latin-1 letters."""
+        ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES))]
+        return np.array(ids, self.kind).tobytes() if self.wide else array("H", ids).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""

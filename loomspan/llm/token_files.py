@@ -55,6 +55,10 @@ ROWS, PRIOR, MOST = 17, 24, 1 << 20
 FLOOR = 1 << 10
 #: The coder's digits, the least span after a step, and the span at first: all numbers are whole and below 2**53, so floats hold them.
 _DIGIT, _LEAST, _TOP = 2.0**16, 2.0**32, 2.0**48
+#: The number of a file's first list; how many times wider a share of a list is than one of order 0.
+_FIRST, _WIDER = 1 << WHOLE_BITS - LIST_BITS, 1 << WHOLE_BITS - LIST_BITS
+#: Ids whose contexts a writer looks up at once, so that they stay in the processor's caches.
+AT_ONCE = 1 << 16
 _M1, _M2, _16 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(16)
 
 
@@ -131,29 +135,36 @@ def lists_of(ranks: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 class Tables:
-    """A file's statistics, as both sides look them up. Entries are first the ids of order 0, then those of the lists."""
+    """A file's statistics, as both sides look them up. Entries are first the ids of order 0, then those of the lists.
+
+    Lists are numbered from `_FIRST` on, so that the cells of a list begin at its number
+    times its shares, after those of order 0, which count as number 0.
+    """
 
     def __init__(self, shares: np.ndarray, lists: tuple[np.ndarray, ...]):
         context, level, entries, x, share = lists
         n, many = len(shares), len(context)
         number = np.arange(1, many + 1)
         two = context >= WHOLE
-        self.one, self.two = np.zeros(max(n, 1), np.int64), np.zeros(WHOLE, np.int64)  # lists of order 2 have the larger numbers
+        self.one, self.two = np.zeros(max(n, 1), np.uint16), np.zeros(WHOLE, np.uint16)  # lists of order 2 have the larger numbers
+        number += _FIRST - 1
         self.one[context[~two]], self.two[context[two] - WHOLE] = number[~two], number[two]
-        self.row = np.concatenate(([0], 1 + level + 8 * two))
-        self.base = np.concatenate(([0], WHOLE + (number - 1 << LIST_BITS)))
-        self.cells = np.concatenate((np.repeat(np.arange(n), shares), np.repeat(np.arange(n, n + len(x)), share))).astype(np.int32)
+        self.row = np.concatenate((np.zeros(_FIRST, np.int64), 1 + level + 8 * two))
+        starts = np.cumsum(entries) - entries
+        self.start = np.concatenate((np.zeros(_FIRST, np.int64), n + starts))
+        self.cells = np.concatenate((np.repeat(np.arange(n), shares), np.repeat(np.arange(len(x)) - np.repeat(starts, entries), share))).astype(np.uint16)  # an entry's place in its list
         below = np.cumsum(share) - share - np.repeat(np.arange(many) << LIST_BITS, entries)
-        scale = WHOLE_BITS - LIST_BITS
-        self.below = np.concatenate((np.cumsum(shares) - shares, below << scale)).astype(np.float64)
-        self.size = np.concatenate((shares, share << scale)).astype(np.float64)
-        self.ids = np.concatenate((np.arange(n), x))
-        self.entry_list = np.repeat(number, entries)
+        facts = np.zeros((n + len(x), 4), np.uint16)  # what is below an entry, what its size has beyond 1, its id
+        facts[:n, 0], facts[n:, 0] = np.cumsum(shares) - shares, below
+        facts[:n, 1], facts[n:, 1] = shares - 1, share - 1
+        facts[:n, 2], facts[n:, 2] = np.arange(n), x
+        self.facts = facts.view(np.int64).ravel()
+        self.ids, self.entry_list = facts[:, 2], np.repeat(number, entries)
 
     def finder(self) -> tuple[np.ndarray, np.ndarray]:
         """(entry by cell, key by entry); the key of an entry of order 0 is that of no id in a list."""
         n = len(self.ids) - len(self.entry_list)
-        keys, at = _cells(self.entry_list, self.ids[n:])
+        keys, at = _cells(self.entry_list - (_FIRST - 1), self.ids[n:])
         table = np.zeros(1 << FIND_BITS, np.int32)
         table[at] = np.arange(n, len(self.ids))
         return table, np.concatenate((np.full(n, 0xFFFFFFFF, np.uint32), keys))
@@ -172,11 +183,16 @@ class _Weights:
         """The list's weight, of `WHOLE`."""
         weight = np.clip((self.first * PRIOR + (self.held << WHOLE_BITS)) // (self.met + PRIOR), FLOOR, WHOLE - FLOOR)
         weight[::ROWS] = 0
-        return weight.astype(np.float64)
+        return weight.astype(np.uint16)
 
     def add(self, rows: np.ndarray, near: np.ndarray) -> None:
-        self.met += np.bincount(rows.ravel(), minlength=len(self.met))
-        self.held += np.bincount(rows[near], minlength=len(self.met))
+        many = len(self.met)
+        other, held = np.bincount((rows + near * many).ravel(), minlength=2 * many).reshape(2, many)
+        self.met += other + held
+        self.held += held
+
+    def settle(self) -> None:
+        """Both sides do so at the same places, whatever they add at once."""
         if len(full := np.flatnonzero(self.met > MOST)):
             self.held[full] >>= 1
             self.met[full] >>= 1
@@ -192,59 +208,79 @@ def encode_blocks(ranks: np.ndarray, tables: Tables) -> list[bytes]:
     steps[2:] = filled.reshape(lanes, BLOCK).T
     del filled
     width = 2 * BLOCK + 8
-    out = np.zeros(lanes * width, np.uint32)
-    base = np.arange(lanes, dtype=np.int64) * width
+    out = np.zeros(width * lanes, np.uint32)  # the blocks' digits side by side: at most times the blocks are at like places
+    base = np.arange(lanes, dtype=np.int64)
     at = base.copy()
     low, span = np.zeros(lanes), np.full(lanes, _TOP - 1)
     weights, (find, keys) = _Weights(lanes), tables.finder()
 
-    def shift(at: np.ndarray, low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, ...]:
-        digit = np.floor(low * (1 / _LEAST))
-        out[at] = digit.astype(np.uint32)  # cast first: an assignment casts one by one
-        small = span < _LEAST
-        return at + small, np.where(small, (low - digit * _LEAST) * _DIGIT, low), np.where(small, span * _DIGIT, span)
+    def shift(of: np.ndarray) -> None:
+        place, under = at.take(of, mode="clip"), low.take(of, mode="clip")
+        digit = np.floor(under * (1 / _LEAST))
+        out[place] = digit.astype(np.uint32)  # cast first: an assignment casts one by one
+        at[of] = place + lanes
+        low[of] = (under - digit * _LEAST) * _DIGIT
 
+    rows_at_once = max(1, AT_ONCE // lanes)
     for start, stop in zip((0, *PLACES), (*PLACES, BLOCK), strict=True):
-        now, before = steps[start + 2 : stop + 2], steps[start + 1 : stop + 1]
-        lists = np.maximum(tables.one.take(before), tables.two.take(_hashed(before, steps[start:stop])))
-        rows = tables.row.take(lists) + weights.base
-        wanted, cells = _cells(lists, now)
-        entries = find.take(cells)
-        near = keys.take(entries) == wanted
-        np.copyto(entries, now, where=~near)
-        own = weights.now().take(rows)
-        weights.add(rows, near)
-        del lists, rows, wanted, cells
-        for t in range(start, stop):
-            n = lanes if t < last else lanes - 1
-            if not n:
-                break
-            k = t - start
-            unit = np.floor(span[:n] * (1 / WHOLE))
-            under, entry, right = unit * own[k, :n], entries[k, :n], near[k, :n]
-            lower = low[:n] + np.where(right, 0, under)
-            unit = np.floor(np.where(right, under, unit * WHOLE - under) * (1 / WHOLE))
-            lower += unit * tables.below.take(entry)
-            if lower.max() >= _TOP:
-                over = np.flatnonzero(lower >= _TOP)
-                out[at[over] - 1] += 1  # the carry; digits may pass 16 bits until the end
-                lower[over] -= _TOP
-            at[:n], low[:n], span[:n] = shift(at[:n], lower, unit * tables.size.take(entry))
-            if span[:n].min() < _LEAST:
-                again = np.flatnonzero(span[:n] < _LEAST)
-                at[again], low[again], span[again] = shift(at[again], low[again], span[again])
+        weight = weights.now()
+        for first in range(start, stop, rows_at_once):
+            end = min(first + rows_at_once, stop)
+            now, before = steps[first + 2 : end + 2], steps[first + 1 : end + 1]
+            lists = np.maximum(tables.one.take(before, mode="clip"), tables.two.take(_hashed(before, steps[first:end]), mode="clip"))
+            rows = tables.row.take(lists, mode="clip") + weights.base
+            wanted, cells = _cells(lists - np.uint16(_FIRST - 1), now)  # of no list: a number beyond all
+            entries = find.take(cells, mode="clip")
+            near = keys.take(entries, mode="clip") == wanted
+            np.copyto(entries, now, where=~near)
+            own = weight.take(rows, mode="clip")
+            weights.add(rows, near)
+            far = np.logical_not(near).astype(np.float64)
+            wider = _WIDER - (_WIDER - 1) * far
+            facts = tables.facts.take(entries, mode="clip").view(np.uint16)
+            below, size = facts[:, ::4] * wider, (facts[:, 1::4] + 1.0) * wider
+            for t in range(first, end):
+                n = lanes if t < last else lanes - 1
+                if not n:
+                    break
+                k = t - first
+                part, away, lower, rest = span[:n], far[k, :n], low[:n], size[k, :n]
+                unit = np.floor(part * (1 / WHOLE))
+                under = unit * own[k, :n]
+                unit *= WHOLE
+                unit *= away
+                unit -= under
+                np.abs(unit, out=unit)  # the list's part, or what it leaves
+                unit *= 1 / WHOLE
+                np.floor(unit, out=unit)
+                under *= away
+                lower += under
+                lower += unit * below[k, :n]
+                np.multiply(unit, rest, out=part)
+                if lower.max() >= _TOP:
+                    over = np.flatnonzero(lower >= _TOP)
+                    out[at[over] - lanes] += 1  # the carry; digits may pass 16 bits until the end
+                    lower[over] -= _TOP
+                small = np.flatnonzero(part < _LEAST)
+                while len(small):
+                    shift(small)
+                    more = part.take(small, mode="clip") * _DIGIT
+                    part[small] = more
+                    small = small[more < _LEAST]
+        weights.settle()
     for _ in range(3):
-        at, low, _ = shift(at, low, np.zeros(lanes))
-    digits = out.reshape(lanes, width)
-    ends = at - base
-    digits[np.arange(width) >= ends[:, None]] = 0  # digits that were tried beyond the end
+        shift(base)
+    ends = at // lanes
+    digits = np.ascontiguousarray(out.reshape(width, lanes)[: ends.max()].T)
     while (digits >> 16).any():
         carry = digits >> 16
         digits &= 0xFFFF
         digits[:, :-1] += carry[:, 1:]
-    return [digits[i, :n].astype("<u2").tobytes() for i, n in enumerate(ends)]
+    digits = digits.astype("<u2")
+    return [digits[i, :n].tobytes() for i, n in enumerate(ends.tolist())]
 
 
+@np.errstate(all="ignore")  # numbers of a damaged block may grow beyond all bounds
 def decode_blocks(codes: list[bytes], lengths: list[int], tables: Tables) -> np.ndarray:
     """The ranks of blocks' ids, of which the last alone may be shorter than `BLOCK`."""
     lanes, last = len(codes), lengths[-1]
@@ -254,19 +290,13 @@ def decode_blocks(codes: list[bytes], lengths: list[int], tables: Tables) -> np.
         given[i, : len(c) // 2] = np.frombuffer(c, "<u2")
     head = given[:, :3].astype(np.float64)
     value = (head[:, 0] * _DIGIT + head[:, 1]) * _DIGIT + head[:, 2]
-    flat_given = given.ravel()
-    at = np.arange(lanes, dtype=np.int64) * width + 3
-    edge = np.arange(1, lanes + 1, dtype=np.int64) * width - 1
+    digits = given.T.ravel()  # side by side: at most times the blocks are at like places
+    del given
+    at = np.arange(lanes, dtype=np.int64) + 3 * lanes
     span = np.full(lanes, _TOP - 1)
     weights = _Weights(lanes)
-    steps = np.zeros((BLOCK + 2, lanes), np.uint16)
-    down = WHOLE_BITS - LIST_BITS
-
-    def shift(at: np.ndarray, edge: np.ndarray, value: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, ...]:
-        small = span < _LEAST
-        digit = flat_given.take(at)
-        # a damaged block must not read beyond its end
-        return np.minimum(at + small, edge), np.where(small, value * _DIGIT + digit, value), np.where(small, span * _DIGIT, span)
+    found = np.zeros((BLOCK, lanes), np.uint16)
+    latest, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.uint32)
 
     for start, stop in zip((0, *PLACES), (*PLACES, BLOCK), strict=True):
         own = weights.now()
@@ -276,25 +306,60 @@ def decode_blocks(codes: list[bytes], lengths: list[int], tables: Tables) -> np.
             if not n:
                 break
             k = t - start
-            lists = np.maximum(tables.one.take(steps[t + 1, :n]), tables.two.take(_hashed(steps[t + 1, :n], steps[t, :n])))
-            row = rows[k, :n]
-            row += tables.row.take(lists)
-            unit = np.floor(span[:n] * (1 / WHOLE))
-            under = unit * own.take(row)
-            far = value[:n] >= under
-            np.logical_not(far, out=near[k, :n])
-            unit = np.floor(np.where(far, unit * WHOLE - under, under) * (1 / WHOLE))
-            rest = value[:n] - np.where(far, under, 0)
-            slot = np.minimum(rest / unit, WHOLE - 1).astype(np.int64)
-            entry = tables.cells.take(np.where(far, slot, (slot >> down) + tables.base.take(lists)))
-            rest -= unit * tables.below.take(entry)
-            at[:n], value[:n], span[:n] = shift(at[:n], edge[:n], rest, unit * tables.size.take(entry))
-            if span[:n].min() < _LEAST:
-                again = np.flatnonzero(span[:n] < _LEAST)
-                at[again], value[again], span[again] = shift(at[again], edge[again], value[again], span[again])
-            steps[t + 2, :n] = tables.ids.take(entry)
+            rest, part, row, held = value[:n], span[:n], rows[k, :n], near[k, :n]
+            wide = latest[:n].astype(np.uint32)
+            hashed = wide * _M1
+            hashed += before[:n]
+            hashed >>= _16
+            before = wide * _M2
+            lists = np.maximum(tables.one.take(latest[:n], mode="clip"), tables.two.take(hashed, mode="clip")).astype(np.int64)
+            row += tables.row.take(lists, mode="clip")
+            unit = np.floor(part * (1 / WHOLE))
+            under = unit * own.take(row, mode="clip")
+            np.less(rest, under, out=held)
+            away = np.logical_not(held).astype(np.float64)
+            unit *= WHOLE
+            unit *= away
+            unit -= under
+            np.abs(unit, out=unit)  # the list's part, or what it leaves
+            unit *= 1 / WHOLE
+            np.floor(unit, out=unit)
+            under *= away
+            rest -= under
+            away *= 1 - _WIDER
+            away += _WIDER
+            unit *= away
+            lists *= held
+            # a damaged block must not read beyond the tables, nor beyond the digits: indexes are clipped
+            entry = tables.start.take(lists, mode="clip")
+            lists <<= LIST_BITS
+            lists += (rest / unit).astype(np.int64)
+            entry += tables.cells.take(lists, mode="clip")
+            facts = tables.facts.take(entry, mode="clip").view(np.uint16)
+            rest -= unit * facts[::4]
+            np.multiply(unit, facts[1::4], out=part)
+            part += unit
+            small = part < _LEAST
+            away = small.astype(np.float64)
+            more = rest * (_DIGIT - 1)
+            more += digits.take(at[:n], mode="clip")
+            more *= away
+            rest += more
+            away *= _DIGIT - 1
+            away += 1
+            part *= away
+            at[:n] += np.multiply(small, lanes)
+            if part.min() < _LEAST:
+                again = np.flatnonzero(part < _LEAST)
+                here = at.take(again)
+                value[again] = value.take(again) * _DIGIT + digits.take(here, mode="clip")
+                span[again] *= _DIGIT
+                at[again] = here + lanes
+            found[t, :n] = facts[2::4]
+            latest = found[t].astype(np.int64)
         weights.add(rows, near)
-    return np.ascontiguousarray(steps[2:].T).ravel()[: (lanes - 1) * BLOCK + last]
+        weights.settle()
+    return np.ascontiguousarray(found.T).ravel()[: (lanes - 1) * BLOCK + last]
 
 
 def _checksums(ids: np.ndarray) -> np.ndarray:
