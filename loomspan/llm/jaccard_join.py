@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan import scratch
@@ -49,6 +49,8 @@ LARGE = 256
 BLOCK = 4 << 20
 #: Rows of tokens that a task sorts in memory: inputs of any size are dealt into as many shares as they need.
 SHARE = 4_000_000
+#: Bytes of rows of buckets that a task compares in memory; pairs that it makes at once, and bytes of sketches compared at once.
+CROSS, PAIRS, TILE = 64 << 20, 1 << 18, 8 << 20
 #: Largest bitmap of candidates, in bits.
 BITMAP = 1 << 27
 
@@ -426,40 +428,79 @@ def mixed_rows(rows: DataFrame) -> DataFrame:
     return rows.join(small(mixed), "token", "left_semi")
 
 
-def cross_pairs(rows: DataFrame, count: int) -> DataFrame:
+def row_bytes() -> Column:
+    """Bytes that a row of `cross_pairs` takes at most: five numbers and the sketch of a set of n shingles."""
+    return F.greatest(F.lit(16), F.col("n")) + 40
+
+
+def _meeting(token: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of two rows of one bucket but different components, each pair of rows once, about PAIRS at a time; rows are sorted by token and component."""
+    starts, ends = _bucket_edges(token)
+    end = np.repeat(ends, ends - starts)
+    runs = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (comp[1:] != comp[:-1]), [True])))
+    after = np.repeat(runs[1:], np.diff(runs))  # a row's partners are those of its bucket that follow its component
+    count = end - after
+    before = np.concatenate(([0], np.cumsum(count)))
+    at = 0
+    while at < len(token):
+        to = max(at + 1, int(np.searchsorted(before, before[at] + PAIRS, side="right")) - 1)
+        left = np.repeat(np.arange(at, to), count[at:to])
+        yield left, after[left] + np.arange(len(left)) - (before[left] - before[at])
+        at = to
+
+
+def _bounded(sketches: list[np.ndarray], kind: np.ndarray, place: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """`at_most` of many pairs of sets at once; the sketch of set i is row `place[i]` of `sketches[kind[i]]`, and longer kinds come later."""
+    x, y = np.where(kind[x] <= kind[y], (x, y), (y, x))
+    most = np.zeros(len(x), np.int64)
+    both = kind[x] * len(sketches) + kind[y]
+    for value in np.unique(both):
+        one, two = sketches[value // len(sketches)], sketches[value % len(sketches)]
+        wanted = np.flatnonzero(both == value)
+        step = max(1, TILE // two.shape[1])
+        for part in (wanted[k : k + step] for k in range(0, len(wanted), step)):
+            a, b = one[place[x[part]]], two[place[y[part]]]
+            if a.shape[1] < b.shape[1]:
+                b = b.reshape(len(part), a.shape[1], -1).sum(2, dtype=np.int64)
+            most[part] = np.minimum(a, b).sum(1, dtype=np.int64)
+    return most
+
+
+def cross_pairs(rows: DataFrame, size: int) -> DataFrame:
     """Pairs (a, b) of one bucket but different components and clusters whose sizes and sketches allow a link.
 
-    rows: token, sid, n, comp, head, sketch, `count` in all. Each task sorts its share of
-    the buckets and looks at a pair once.
+    rows: token, sid, n, comp, head, sketch, of `size` bytes in all (`row_bytes`). Each task
+    sorts its share of the buckets, and makes and compares a bounded number of pairs at a
+    time, so its memory follows the rows and not the pairs; a pair may be given repeatedly.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, sketches = [], []
-        for b in batches:
-            table.append(np.stack([b.column(i).to_numpy() for i in range(5)]))
-            sketches.extend(b.column(5).to_pylist())
-        if not table:
-            return
-        token, sid, n, comp, head = np.concatenate(table, axis=1)
-        order = np.lexsort((sid, token))
-        token, sid, n, comp, head = token[order], sid[order], n[order], comp[order], head[order]
-        looked: set[tuple[int, int]] = set()
-        out: list[tuple[int, int]] = []
-        for s, e in zip(*_bucket_edges(token), strict=True):
-            for i in range(s, e):
-                others = np.arange(i + 1, e)
-                others = others[(comp[others] != comp[i]) & (head[others] != head[i]) & (4 * np.minimum(n[others], n[i]) >= 3 * np.maximum(n[others], n[i]))]
-                for j in others.tolist():
-                    pair = int(sid[i]), int(sid[j])
-                    if pair not in looked:
-                        looked.add(pair)
-                        if linked(int(n[i]), int(n[j]), at_most(sketches[order[i]], sketches[order[j]])):
-                            out.append(pair)
-            if len(looked) > 1_000_000:
-                looked.clear()
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
-
-    return dealt(rows.select("token", "sid", "n", "comp", "head", "sketch"), count, SHARE // 16).mapInArrow(run, "a long, b long")
+        table = pa.Table.from_batches(batches, pa.schema([(c, pa.int64()) for c in ("token", "sid", "n", "comp", "head")] + [("sketch", pa.binary())]))
+        token, sid, n, comp, head = (table.column(i).to_numpy() for i in range(5))
+        sids, first, known = np.unique(sid, return_index=True, return_inverse=True)
+        held = table.column(5).combine_chunks().take(pa.array(first))  # one for each set
+        del table
+        length, kind = np.unique(np.array([len(x.as_buffer()) for x in held], np.int64), return_inverse=True)
+        place = np.empty(len(sids), np.int64)
+        sketches = []
+        for k in range(len(length)):
+            of = np.flatnonzero(kind == k)
+            place[of] = np.arange(len(of))
+            sketches.append(np.frombuffer(b"".join(held.take(pa.array(of)).to_pylist()), np.uint8).reshape(len(of), -1))
+        del held
+        order = np.lexsort((comp, token))
+        token, n, comp, head, known = token[order], n[order], comp[order], head[order], known[order]
+        for i, j in _meeting(token, comp) if len(token) else ():
+            keep = (head[i] != head[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))
+            i, j = i[keep], j[keep]
+            pair, at = np.unique(np.minimum(known[i], known[j]) * len(sids) + np.maximum(known[i], known[j]), return_index=True)
+            one, two = pair // len(sids), pair % len(sids)
+            keep = 7 * _bounded(sketches, kind, place, one, two) >= 3 * (n[i] + n[j])[at]
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(sids[one[keep]]), pa.array(sids[two[keep]])], ["a", "b"])
+        trim()
+
+    return dealt(rows.select("token", "sid", "n", "comp", "head", "sketch"), size, CROSS).mapInArrow(run, "a long, b long")
 
 
 def _with_heads(members: DataFrame) -> DataFrame:
@@ -518,7 +559,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # clusters keep the names under which the second pass compared them: sets of two clusters have not met, even if their heads are linked by now
     member = _with_components(member.drop("comp"), comps, rename=False)
     mixed = scratch.materialize(mixed_rows(buckets.join(small(scratch.materialize(member, "members")), "sid")), "mixed")
-    pairs = scratch.materialize(cross_pairs(mixed.join(classes.select("sid", "sketch"), "sid"), mixed.count()).distinct(), "pairs")
+    size = mixed.agg(F.sum(row_bytes()).alias("n")).first().n or 0
+    pairs = scratch.materialize(cross_pairs(mixed.join(classes.select("sid", "sketch"), "sid"), size).distinct(), "pairs")
     found = scratch.materialize(verify(pairs, sets), "found")
     if not found.isEmpty():
         comps = connected(links.unionByName(found))
