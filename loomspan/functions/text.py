@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import re
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -123,6 +125,17 @@ def unescaped(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: html.unescape(t) if t and "&" in t else t, na_action="ignore")
 
 
+# Fixed value: references that end as they should, and the ampersand's, which may lack its semicolon.
+_CLOSED = re.compile(r"&amp;?|&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+@F.pandas_udf(T.StringType())
+def unescaped_closed(texts: pd.Series) -> pd.Series:
+    """As `unescaped`, but a name without its semicolon stays as it is, as where a text was cut; only an ampersand's may lack it."""
+    one = lambda m: html.unescape(m[0]) if m[0][1] == "#" or m[0] == "&amp" or m[0][1:] in html5 else m[0]
+    return texts.map(lambda t: _CLOSED.sub(one, t) if t and "&" in t else t, na_action="ignore")
+
+
 def meta_contents(page: Column, names: tuple[str, ...]) -> Column:
     """The first content that is not blank among the meta elements of these names, tried in order; character references as they stand."""
     metas = F.regexp_extract_all(page, F.lit(r"(?is)(<meta\b[^>]*>)"), F.lit(1))
@@ -147,10 +160,10 @@ def html_description(page: Column) -> Column:
     return strip(unescaped(meta_contents(page, DESCRIPTION_METAS)))
 
 
-def html_text(page: Column) -> Column:
-    """Text of a page by patterns alone: scripts and tags out, references decoded, lines stripped, at most one blank line together."""
+def html_text(page: Column, closed: bool = False) -> Column:
+    """Text of a page by patterns alone: scripts and tags out, references decoded (with `closed`, those with semicolons), lines stripped, at most one blank line together."""
     c = F.regexp_replace(page, r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</\1>", " ")
-    c = unescaped(F.regexp_replace(c, "<[^>]+>", " "))
+    c = (unescaped_closed if closed else unescaped)(F.regexp_replace(c, "<[^>]+>", " "))
     c = F.regexp_replace(c, r"[ \t\r\f\x0B]+", " ")
     c = F.regexp_replace(c, "[\u001c\u001d\u001e\u0085\u2028\u2029]", "\n")
     c = F.regexp_replace(c, r"(?U)[\s\x1F&&[^\n]]*\n[\s\x1F&&[^\n]]*", "\n")
