@@ -149,10 +149,10 @@ def meta_contents(page: Column, names: tuple[str, ...]) -> Column:
     return F.coalesce(*(F.get(F.filter(pairs, named(n)), 0)["content"] for n in names))
 
 
-def html_title(page: Column) -> Column:
-    """The title element's text without tags, else that of the title metas; empty where there is none."""
+def html_title(page: Column, closed: bool = False) -> Column:
+    """The title element's text without tags, else that of the title metas; empty where there is none. With `closed` only references with semicolons are decoded."""
     title = strip(F.regexp_replace(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1), "<[^>]+>", ""))
-    return strip(unescaped(F.when(F.length(title) > 0, title).otherwise(F.coalesce(meta_contents(page, TITLE_METAS), F.lit("")))))
+    return strip((unescaped_closed if closed else unescaped)(F.when(F.length(title) > 0, title).otherwise(F.coalesce(meta_contents(page, TITLE_METAS), F.lit("")))))
 
 
 def html_description(page: Column) -> Column:
